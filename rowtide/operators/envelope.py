@@ -33,8 +33,11 @@ def _event_json(event: Column) -> Column:
     )
 
 
-def encode_transactions(transactions: DataFrame) -> DataFrame:
-    """Keyed JSON messages, one per transaction (or per fragment of an oversized one)."""
+def encode_transactions(transactions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keyed JSON messages, one per transaction (or per fragment of an oversized one).
+
+    ``keep`` names further columns to carry along.
+    """
     events = F.concat(F.lit("["), F.array_join(F.transform("events", _event_json), ","), F.lit("]"))
     payload = _object(
         [
@@ -51,11 +54,15 @@ def encode_transactions(transactions: DataFrame) -> DataFrame:
         [("messageType", F.lit('"TRANSACTION"')), ("transaction", payload), ("schemaChange", F.lit("null"))]
     )
     return transactions.select(
-        F.col("transaction_id").alias("key"), F.col("fragment").cast("int").alias("fragment"), value.alias("value")
+        *keep,
+        F.col("transaction_id").alias("key"),
+        F.col("fragment").cast("int").alias("fragment"),
+        value.alias("value"),
     )
 
 
-def encode_schema_changes(changes: DataFrame) -> DataFrame:
+def encode_schema_changes(changes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keyed JSON messages of schema changes."""
     payload = _object(
         [
             ("eventId", json_string(F.col("event_id"))),
@@ -72,12 +79,12 @@ def encode_schema_changes(changes: DataFrame) -> DataFrame:
     value = _object(
         [("messageType", F.lit('"SCHEMA_CHANGE"')), ("transaction", F.lit("null")), ("schemaChange", payload)]
     )
-    return changes.select(F.col("event_id").alias("key"), F.lit(0).alias("fragment"), value.alias("value"))
+    return changes.select(*keep, F.col("event_id").alias("key"), F.lit(0).alias("fragment"), value.alias("value"))
 
 
-def encode_envelopes(transactions: DataFrame, schema_changes: DataFrame) -> DataFrame:
+def encode_envelopes(transactions: DataFrame, schema_changes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """All messages of a feed: key, fragment, JSON value."""
-    return encode_transactions(transactions).unionByName(encode_schema_changes(schema_changes))
+    return encode_transactions(transactions, keep).unionByName(encode_schema_changes(schema_changes, keep))
 
 
 def decode_envelopes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,12 +187,12 @@ def validate_transactions(transactions: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def explode_rows(transactions: DataFrame) -> DataFrame:
-    """One row per change, with message order and position in the list."""
+    """One row per change, with message order and position in the (whole) list."""
     header = ["arrival", "fragment", "transaction_id", "connector", "file", "file_seq", "xid", "next_position", "ts_ms"]
-    rows = transactions.select(*header, F.posexplode("events").alias("list_pos", "e"))
+    rows = transactions.select(*header, F.posexplode("events").alias("_pos", "e"))
     return rows.select(
         *header,
-        "list_pos",
+        (F.shiftleft(F.col("fragment").cast("bigint"), 32) + F.col("_pos")).alias("list_pos"),
         F.col("e.database").alias("database_name"),
         F.col("e.table").alias("table_name"),
         F.col("e.eventIndex").cast("bigint").alias("event_index"),

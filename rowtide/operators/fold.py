@@ -10,7 +10,7 @@ from rowtide.functions.values import json_string
 
 KEY = ["database_name", "table_name", "row_key"]
 VERSION = ["file_seq", "next_position", "event_index"]
-VIEW_COLUMNS = S.VIEW.fieldNames()
+VIEW_COLUMNS = S.VIEW_COLUMNS
 
 
 def dedupe_transactions(transactions: DataFrame) -> DataFrame:

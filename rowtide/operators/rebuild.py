@@ -10,6 +10,7 @@ from rowtide.sources.catalog import TableSpec
 
 TABLE = ["database_name", "table_name"]
 COORDINATE = ["file_seq", "next_position"]
+REPLAY_ORDER = ["file_seq", "next_position", "fragment"]
 
 
 def mark_obsolete(tasks: DataFrame, states: DataFrame) -> DataFrame:
@@ -41,10 +42,11 @@ def claim(tasks: DataFrame, task_id: str) -> DataFrame:
 
 
 def replay_candidates(pending: DataFrame, tasks: DataFrame, exact: bool = True) -> DataFrame:
-    """Pending messages each task may replay.
+    """Pending messages each task may replay, with its ``task_id``.
 
-    ``exact`` takes messages blocked at the task's own coordinate; otherwise also those an earlier,
-    superseded change of the same table blocked.
+    ``exact`` takes messages blocked at the task's own coordinate. Otherwise every pending message
+    that touches the task's table is taken, also one that an earlier, superseded change or another
+    table blocked; ``replayable`` then holds back what is still blocked.
     """
     wanted = tasks.select(
         "task_id",
@@ -54,16 +56,14 @@ def replay_candidates(pending: DataFrame, tasks: DataFrame, exact: bool = True)
     waiting = pending.filter(F.col("status") == "PENDING").withColumns(
         {
             "table_key": F.explode("blocked_tables"),
-            "_blocked": F.struct(
+            "_at": F.struct(
                 F.col("blocked_file_seq").alias("file_seq"), F.col("blocked_position").alias("next_position")
             ),
         }
     )
     if exact:
-        keyed = waiting.withColumnRenamed("_blocked", "_at")
-        return keyed.join(wanted, ["table_key", "_at"]).drop("_at")
-    joined = waiting.join(wanted, "table_key")
-    return joined.filter(F.col("_blocked") <= F.col("_at")).drop("_at", "_blocked")
+        return waiting.join(wanted, ["table_key", "_at"]).drop("_at")
+    return waiting.drop("_at").join(wanted.drop("_at"), "table_key")
 
 
 def replayable(candidates: DataFrame, states: DataFrame, published: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def replayable(candidates: DataFrame, states: DataFrame, published: DataFrame) -
 
 def replay_order(pending: DataFrame) -> DataFrame:
     """Pending messages by log position."""
-    return pending.orderBy("file_seq", "next_position", "fragment")
+    return pending.orderBy(*REPLAY_ORDER)
 
 
 def staged_rows(df: DataFrame, spec: TableSpec, task: dict, page_size: int = 500) -> DataFrame:
@@ -105,18 +105,18 @@ def staged_rows(df: DataFrame, spec: TableSpec, task: dict, page_size: int = 500
         *COORDINATE,
         "event_index",
         F.concat(F.lit(f"rebuild:{task['task_id']}:"), F.col("xid").cast("string")).alias("transaction_id"),
-    ).select(*S.VIEW.fieldNames())
+    ).select(*S.VIEW_COLUMNS)
 
 
 def replace_table(view: DataFrame, staged: DataFrame, spec: TableSpec, keep_tombstones: bool = False) -> DataFrame:
     """The view with all rows of one table replaced by the staged ones."""
     ours = (F.col("database_name") == spec.database) & (F.col("table_name") == spec.table)
     others = view.filter(~ours)
-    result = others.select(*S.VIEW.fieldNames()).unionByName(staged.select(*S.VIEW.fieldNames()))
+    result = others.select(*S.VIEW_COLUMNS).unionByName(staged.select(*S.VIEW_COLUMNS))
     if not keep_tombstones:
         return result
     kept = view.filter(ours & F.col("deleted")).join(staged.select("row_key"), "row_key", "left_anti")
-    return result.unionByName(kept.select(*S.VIEW.fieldNames()))
+    return result.unionByName(kept.select(*S.VIEW_COLUMNS))
 
 
 def rebuild_outcomes(tasks: DataFrame, attempts: DataFrame, max_retries: int = 3) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowtide import schemas as S
 from rowtide.functions.values import json_string
+from rowtide.operators.assemble import assemble_transactions
+from rowtide.operators.ddl import schema_change_events
+from rowtide.operators.envelope import decode_envelopes, encode_schema_changes, encode_transactions, split_messages
 from rowtide.operators.snapshot import Cutover
 from rowtide.sources.catalog import TableSpec, load_catalog
 
@@ -156,7 +159,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     rows = F.when(F.col("event_id") % 10 == 0, F.array(row(0), row(100_000))).otherwise(F.array(row(0)))
-    none_rows = F.lit(None).cast(S.RAW["rows"].dataType)
+    none_rows = F.lit(None).cast(S.ROWS)
 
     def entry(pos, type_, *, table_id=None, db=None, tbl=None, rows=none_rows, xid=None, sql=None) -> Column:
         typed = lambda v, t: (F.lit(v) if v is None else v).cast(t)
@@ -221,3 +224,189 @@ def ddl_sql() -> Column:
         "ALTER TABLE audit_log DROP COLUMN x",
     ]
     return F.element_at(F.array(*[F.lit(k) for k in kinds]), F.expr("cast((event_id DIV 997) % 6 + 1 AS int)"))
+
+
+def flawed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed with some rows no store may apply."""
+    e = F.col("event_id")
+    return changes(spark, sf_dir).withColumns(
+        {
+            "op": F.when(e % 211 == 5, "UNKNOWN").otherwise(F.col("op")),
+            "after": F.when(e % 223 == 6, F.lit(None)).otherwise(F.col("after")),
+            "primary_key_json": F.when(e % 227 == 7, F.lit("{}")).otherwise(F.col("primary_key_json")),
+            "database_name": F.when(e % 229 == 8, F.lit(" ")).otherwise(F.col("database_name")),
+        }
+    )
+
+
+def as_messages(rows: DataFrame, max_events: int = 10_000) -> DataFrame:
+    """Encoded transactions in the order of their numbers; odd arrivals are left for other messages."""
+    encoded = encode_transactions(assemble_transactions(rows, max_events), keep=("xid",))
+    return _message_columns(encoded.withColumn("arrival", F.col("xid") * 2))
+
+
+def _message_columns(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), "arrival", "key", "fragment", "value"
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flawed feed as messages, with unreadable and empty ones and schema changes mixed in."""
+    good = as_messages(flawed_changes(spark, sf_dir))
+    xid = F.expr("arrival DIV 2")
+    empty = F.lit('{"messageType":"TRANSACTION","transaction":{"transactionId":"none","events":[]}}')
+    value = (
+        F.when(xid % 50 == 7, F.lit(None).cast("string"))
+        .when(xid % 50 == 8, F.lit(" null "))
+        .when(xid % 50 == 9, F.substring("value", 1, 40))
+        .when(xid % 50 == 10, F.lit(""))
+        .when(xid % 60 == 11, empty)
+        .when(xid % 60 == 12, F.lit('{"other":1}'))
+        .otherwise(F.col("value"))
+    )
+    ddl = schema_change_events(raw_log(spark, sf_dir), catalog(spark))
+    before_xid = (F.col("file_seq") - 1) * TXNS_PER_FILE + F.expr("next_position DIV 100")
+    ddl_messages = encode_schema_changes(ddl.withColumn("arrival", before_xid * 2 - 1), keep=("arrival",))
+    return good.withColumn("value", value).unionByName(_message_columns(ddl_messages))
+
+
+def repeated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions, then every third one delivered again."""
+    once = as_messages(changes(spark, sf_dir))
+    again = once.filter(F.expr("arrival DIV 2") % 3 == 0).withColumn("arrival", F.col("arrival") + 1_000_000_000)
+    return once.unionByName(again)
+
+
+def transactions_of(message_rows: DataFrame) -> DataFrame:
+    """Decoded transactions of a message set."""
+    good, _ = decode_envelopes(message_rows)
+    return split_messages(good)[1]
+
+
+# Routing needs more tables than two: one per residue of the user number.
+ROUTED_TABLES = 40
+
+
+def routed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed spread over many tables."""
+    table = F.concat(F.lit("t"), (F.col("row_key").cast("bigint") % ROUTED_TABLES).cast("string"))
+    return changes(spark, sf_dir).withColumn("table_name", table)
+
+
+def routed_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema changes of those tables, one per 997 events, every second one destructive."""
+    e = events(spark, sf_dir).filter(F.col("event_id") % 997 == 0)
+    kind = F.when(F.expr("event_id DIV 997") % 2 == 0, "DROP_COLUMN").otherwise("ADD_COLUMN")
+    file = file_name(F.col("file_seq"))
+    position = (F.col("xid") % TXNS_PER_FILE) * 100 + 1
+    return e.select(
+        (F.col("xid") * 2 - 1).alias("arrival"),
+        F.concat_ws(":", F.lit("ddl"), file, position).alias("event_id"),
+        F.lit(CONNECTOR).alias("connector"),
+        F.lit(DATABASE).alias("database_name"),
+        F.concat(F.lit("t"), (F.col("user_id") % ROUTED_TABLES).cast("string")).alias("table_name"),
+        kind.alias("ddl_type"),
+        F.lit("ALTER TABLE").alias("raw_sql"),
+        file.alias("file"),
+        "file_seq",
+        position.alias("next_position"),
+        "ts_ms",
+    )
+
+
+def routed_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished rebuilds: the tables whose number is a multiple of three."""
+    return (
+        routed_ddl(spark, sf_dir)
+        .filter(F.substring("table_name", 2, 10).cast("int") % 3 == 0)
+        .select("database_name", "table_name", "file_seq", "next_position", F.lit("ACTIVE").alias("status"),
+                F.lit(1).cast("bigint").alias("seq"))
+    )
+
+
+def done_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of already applied transactions: the first half of the feed."""
+    applied = changes(spark, sf_dir).filter(F.col("event_id") < half(spark, sf_dir))
+    return applied.select("transaction_id").distinct()
+
+
+def rebuild_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task table: one task per error event, a table per user, statuses in turn."""
+    e = events(spark, sf_dir).filter(F.col("event_type") == "error")
+    status = F.element_at(F.array(*[F.lit(s) for s in S.REBUILD_STATUSES]), (F.col("event_id") % 5 + 1).cast("int"))
+    table = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    file = file_name(F.col("file_seq"))
+    position = F.col("next_position") + F.col("event_index")
+    return e.select(
+        F.concat(F.lit(f"{DATABASE}."), table, F.lit(":"), F.concat_ws(":", file, position)).alias("task_id"),
+        F.lit(DATABASE).alias("database_name"),
+        table.alias("table_name"),
+        file.alias("file"),
+        "file_seq",
+        position.alias("next_position"),
+        status.alias("status"),
+        (F.col("event_id") % 3).cast("int").alias("retry_count"),
+        F.when(F.col("event_id") % 5 == 3, "earlier failure").alias("last_error"),
+        F.col("ts").alias("created_at"),
+        (F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 600)).alias("updated_at"),
+    )
+
+
+def rebuild_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished runs of tasks: up to three failures, then a success for some."""
+    tasks = rebuild_tasks(spark, sf_dir).withColumn("_n", F.col("next_position") % 4)
+    runs = tasks.select("task_id", "_n", "created_at", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int"))).alias("seq"))
+    succeeded = (F.col("seq") == F.col("_n")) & (F.unix_micros("created_at") % 7 < 3)
+    kept = runs.filter((F.col("seq") < F.col("_n")) | succeeded)
+    started = F.col("created_at") + F.make_dt_interval(mins=F.col("seq"))
+    return kept.select(
+        "task_id",
+        F.col("seq").cast("bigint").alias("seq"),
+        F.when(~succeeded, F.concat(F.lit("run "), F.col("seq").cast("string"), F.lit(" failed"))).alias("error"),
+        started.alias("started_at"),
+        (started + F.make_dt_interval(secs=F.col("_n") * 7 + 1)).alias("finished_at"),
+    )
+
+
+def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest coordinate per task table."""
+    tasks = rebuild_tasks(spark, sf_dir)
+    newest = F.max_by(F.struct("file", "file_seq", "next_position"), F.struct("file_seq", "next_position"))
+    return tasks.groupBy("database_name", "table_name").agg(newest.alias("p")).select(
+        "database_name", "table_name", F.lit("REBUILD_REQUIRED").alias("status"), "p.*"
+    )
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outcome log: one entry per event."""
+    e = events(spark, sf_dir)
+    five = F.col("event_id") % 5
+    kind = F.col("event_type")
+    event_type = (
+        F.when(kind == "signup", "SNAPSHOT_ROW")
+        .when((kind == "error") & five.isin(0, 1, 2), "REBUILD")
+        .when((kind == "error") & (five == 4), "CHECKPOINT")
+        .otherwise("DML_TX")
+    )
+    result = (
+        F.when(kind.isin("signup", "click"), "PUBLISHED")
+        .when(kind == "view", "SUCCESS")
+        .when((kind == "purchase") & (five == 0), "DUPLICATE")
+        .when(kind == "purchase", "BUFFERED")
+        .when(five == 0, "STARTED")
+        .when(five == 1, "SUCCESS")
+        .when(five == 4, "SAVED")
+        .otherwise("FAILED")
+    )
+    return e.select(
+        "ts",
+        F.col("event_id").alias("seq"),
+        event_type.alias("event_type"),
+        F.lit(DATABASE).alias("database_name"),
+        "table_name",
+        F.concat(F.lit("ref:"), F.col("event_id").cast("string")).alias("reference"),
+        result.alias("result"),
+        F.lit(None).cast("string").alias("message"),
+        (F.col("event_id") % 50).alias("n_rows"),
+    )

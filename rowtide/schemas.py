@@ -1,17 +1,14 @@
-"""Schemas of the change log, the message envelope and the control tables."""
+"""Schemas of the change log, the message envelope and the control tables, as DDL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # One entry of the raw log. ``pos`` is the position after the event, ``seq`` breaks ties.
 # ``database_name``/``table_name`` are filled on TABLE_MAP, ``database_name`` also on QUERY.
-RAW = T._parse_datatype_string(
-    """connector string, file string, pos bigint, seq bigint, type string, table_id bigint,
+ROWS = "array<struct<before:array<string>, after:array<string>>>"
+RAW = f"""connector string, file string, pos bigint, seq bigint, type string, table_id bigint,
        database_name string, table_name string,
-       rows array<struct<before:array<string>, after:array<string>>>,
+       rows {ROWS},
        xid bigint, sql string, ts_ms bigint"""
-)
 
 # JSON message: row images stay JSON text, the key map keeps the order it was written in.
 ENVELOPE_JSON = (
@@ -24,58 +21,41 @@ ENVELOPE_JSON = (
 )
 
 # Messages in arrival order. ``fragment`` numbers the parts of an oversized transaction.
-MESSAGES = T._parse_datatype_string(
-    "topic string, partition int, arrival bigint, key string, fragment int, value string"
-)
+MESSAGES = "topic string, partition int, arrival bigint, key string, fragment int, value string"
 
 # One row change with its transaction header.
-CHANGES = T._parse_datatype_string(
-    """connector string, file string, file_seq bigint, xid bigint, next_position bigint, ts_ms bigint,
+CHANGES = """connector string, file string, file_seq bigint, xid bigint, next_position bigint, ts_ms bigint,
        transaction_id string, event_index bigint, database_name string, table_name string, op string,
        primary_key map<string,string>, before string, after string"""
-)
 
 # Newest change per key: the business value plus the version that guards it.
-VIEW = T._parse_datatype_string(
-    """database_name string, table_name string, row_key string, deleted boolean, payload string,
+VIEW = """database_name string, table_name string, row_key string, deleted boolean, payload string,
        file string, file_seq bigint, next_position bigint, event_index bigint, transaction_id string"""
-)
+VIEW_COLUMNS = [c.split()[0] for c in VIEW.split(",")]
 
-CHECKPOINT = T._parse_datatype_string("connector string, file string, file_seq bigint, position bigint")
+CHECKPOINT = "connector string, file string, file_seq bigint, position bigint"
 
-SCHEMA_CHANGE = T._parse_datatype_string(
-    """event_id string, connector string, database_name string, table_name string, ddl_type string,
+SCHEMA_CHANGE = """event_id string, connector string, database_name string, table_name string, ddl_type string,
        raw_sql string, file string, file_seq bigint, next_position bigint, ts_ms bigint"""
-)
 
-SCHEMA_STATE = T._parse_datatype_string(
-    """database_name string, table_name string, status string, file string, file_seq bigint,
+SCHEMA_STATE = """database_name string, table_name string, status string, file string, file_seq bigint,
        next_position bigint, ddl_type string, ddl_sql string"""
-)
 
-REBUILD_TASK = T._parse_datatype_string(
-    """task_id string, database_name string, table_name string, file string, file_seq bigint,
+REBUILD_TASK = """task_id string, database_name string, table_name string, file string, file_seq bigint,
        next_position bigint, status string, retry_count int, last_error string,
        created_at timestamp, updated_at timestamp"""
-)
 
-PENDING = T._parse_datatype_string(
-    """transaction_id string, fragment int, connector string, file string, file_seq bigint,
+PENDING = """transaction_id string, fragment int, connector string, file string, file_seq bigint,
        next_position bigint, payload string, blocked_tables array<string>,
        blocking_tables array<string>, blocked_file string, blocked_file_seq bigint,
        blocked_position bigint, status string"""
-)
 
-FULL_SYNC_TASK = T._parse_datatype_string(
-    """connector string, database_name string, table_name string, status string, cutover_file string,
+FULL_SYNC_TASK = """connector string, database_name string, table_name string, status string, cutover_file string,
        cutover_position bigint, last_sent_pk string, started_at timestamp, finished_at timestamp,
        last_error string"""
-)
 
-OUTCOME = T._parse_datatype_string(
-    """ts timestamp, seq bigint, event_type string, database_name string, table_name string,
+OUTCOME = """ts timestamp, seq bigint, event_type string, database_name string, table_name string,
        reference string, result string, message string, n_rows bigint"""
-)
 
 # Statuses, event kinds and defaults shared with existing deployments.
 WRITE_OPS = ("INSERT", "UPDATE", "SNAPSHOT_UPSERT")

@@ -6,10 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-CATALOG = T._parse_datatype_string(
-    """database_name string, table_name string, columns array<string>, primary_keys array<string>,
+CATALOG = """database_name string, table_name string, columns array<string>, primary_keys array<string>,
        bare_columns array<string>, table_order int"""
-)
 
 
 @dataclass(frozen=True)
