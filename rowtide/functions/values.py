@@ -49,8 +49,17 @@ def _local_seconds(value: Column) -> Column:
 
 def json_string(value: Column) -> Column:
     """A string as a quoted JSON token; null gives the token ``null``."""
-    as_list = F.to_json(F.array(value.cast("string")))
-    return F.substr(as_list, F.lit(2), F.length(as_list) - 2)
+    # A one-element list is the token in brackets, and the token itself never ends in one.
+    return F.btrim(F.to_json(F.array(value.cast("string"))), F.lit("[]"))
+
+
+def json_with(fields: Column, extra: dict[str, Column]) -> Column:
+    """A struct of plain values as a JSON object, followed by fields that are JSON text already."""
+    # The last plain field must be a number or a quoted string, so one brace closes the object.
+    parts = [F.rtrim(F.to_json(fields, {"ignoreNullFields": "false"}), F.lit("}"))]
+    for name, value in extra.items():
+        parts += [F.lit(f',"{name}":'), F.coalesce(value, F.lit("null"))]
+    return F.concat(*parts, F.lit("}"))
 
 
 def json_token(value: Column, bare: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowtide import schemas as S
 from rowtide.functions.versions import file_seq
 from rowtide.operators import shape
-from rowtide.operators.ordered import Blocks, commit_scan, with_blocks
+from rowtide.operators.ordered import LOG_ORDER, Blocks, commit_scan, with_blocks
 from rowtide.session import lookup_join
 
 MAX_EVENTS = 10_000
@@ -89,7 +89,7 @@ def assemble_transactions(changes: DataFrame, max_events: int = MAX_EVENTS) -> D
 
 
 def commits(grouped: DataFrame) -> DataFrame:
-    """One row per commit: its position, how many rows it has, and what it ignored."""
+    """One row per commit: its position, row count, first table, and what it ignored."""
     internal = F.col("table_name").isin(*S.INTERNAL_PROGRESS_TABLES)
     is_row = F.col("type") != "XID"
     ignored = is_row & ~F.col("configured")
@@ -101,8 +101,13 @@ def commits(grouped: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.when(is_row & F.col("configured"), F.size("rows"))), F.lit(0)).alias("n_rows"),
             F.count_if(ignored).alias("n_ignored"),
             F.count_if(ignored & ~internal).alias("n_ignored_external"),
+            F.min_by(
+                F.struct(*shape.TABLE), F.when(F.col("configured"), F.struct(*LOG_ORDER))
+            ).alias("first_table"),
+        )
+        .select(
+            "connector", "commit_group", "commit.*", "n_rows", "n_ignored", "n_ignored_external", "first_table"
         )
-        .select("connector", "commit_group", "commit.*", "n_rows", "n_ignored", "n_ignored_external")
     )
 
 

@@ -5,32 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide import schemas as S
-from rowtide.functions.values import json_string
+from rowtide.functions.values import json_with
 from rowtide.functions.versions import file_seq, key_text
 
 # The key under which a malformed message comes back from the JSON reader.
 _CORRUPT = "_malformed"
 
 
-def _object(fields: list[tuple[str, Column]]) -> Column:
-    parts: list[Column] = []
-    for i, (name, value) in enumerate(fields):
-        parts += [F.lit(("{" if i == 0 else ",") + f'"{name}":'), F.coalesce(value.cast("string"), F.lit("null"))]
-    return F.concat(*parts, F.lit("}"))
-
-
 def _event_json(event: Column) -> Column:
-    return _object(
-        [
-            ("database", json_string(event["database_name"])),
-            ("table", json_string(event["table_name"])),
-            ("eventIndex", event["event_index"]),
-            ("eventType", json_string(event["op"])),
-            ("primaryKey", event["primary_key_json"]),
-            ("before", event["before"]),
-            ("after", event["after"]),
-        ]
+    plain = F.struct(
+        event["database_name"].alias("database"),
+        event["table_name"].alias("table"),
+        event["event_index"].alias("eventIndex"),
+        event["op"].alias("eventType"),
     )
+    images = {"primaryKey": event["primary_key_json"], "before": event["before"], "after": event["after"]}
+    return json_with(plain, images)
 
 
 def encode_transactions(transactions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -38,21 +28,17 @@ def encode_transactions(transactions: DataFrame, keep: tuple[str, ...] = ()) ->
 
     ``keep`` names further columns to carry along.
     """
-    events = F.concat(F.lit("["), F.array_join(F.transform("events", _event_json), ","), F.lit("]"))
-    payload = _object(
-        [
-            ("transactionId", json_string(F.col("transaction_id"))),
-            ("connectorName", json_string(F.col("connector"))),
-            ("binlogFilename", json_string(F.col("file"))),
-            ("xid", F.col("xid")),
-            ("nextPosition", F.col("next_position")),
-            ("timestamp", F.col("ts_ms")),
-            ("events", events),
-        ]
-    )
-    value = _object(
-        [("messageType", F.lit('"TRANSACTION"')), ("transaction", payload), ("schemaChange", F.lit("null"))]
+    header = F.struct(
+        F.col("transaction_id").alias("transactionId"),
+        F.col("connector").alias("connectorName"),
+        F.col("file").alias("binlogFilename"),
+        "xid",
+        F.col("next_position").alias("nextPosition"),
+        F.col("ts_ms").alias("timestamp"),
     )
+    events = F.concat(F.lit("["), F.array_join(F.transform("events", _event_json), ","), F.lit("]"))
+    kind = F.struct(F.lit("TRANSACTION").alias("messageType"))
+    value = json_with(kind, {"transaction": json_with(header, {"events": events}), "schemaChange": F.lit("null")})
     return transactions.select(
         *keep,
         F.col("transaction_id").alias("key"),
@@ -63,22 +49,22 @@ def encode_transactions(transactions: DataFrame, keep: tuple[str, ...] = ()) ->
 
 def encode_schema_changes(changes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keyed JSON messages of schema changes."""
-    payload = _object(
-        [
-            ("eventId", json_string(F.col("event_id"))),
-            ("connectorName", json_string(F.col("connector"))),
-            ("database", json_string(F.col("database_name"))),
-            ("table", json_string(F.col("table_name"))),
-            ("ddlType", json_string(F.col("ddl_type"))),
-            ("rawSql", json_string(F.col("raw_sql"))),
-            ("binlogFilename", json_string(F.col("file"))),
-            ("nextPosition", F.col("next_position")),
-            ("timestamp", F.col("ts_ms")),
-        ]
+    payload = F.struct(
+        F.col("event_id").alias("eventId"),
+        F.col("connector").alias("connectorName"),
+        F.col("database_name").alias("database"),
+        F.col("table_name").alias("table"),
+        F.col("ddl_type").alias("ddlType"),
+        F.col("raw_sql").alias("rawSql"),
+        F.col("file").alias("binlogFilename"),
+        F.col("next_position").alias("nextPosition"),
+        F.col("ts_ms").alias("timestamp"),
     )
-    value = _object(
-        [("messageType", F.lit('"SCHEMA_CHANGE"')), ("transaction", F.lit("null")), ("schemaChange", payload)]
+    message = F.struct(
+        F.lit("SCHEMA_CHANGE").alias("messageType"), F.lit(None).cast("string").alias("transaction"),
+        payload.alias("schemaChange"),
     )
+    value = F.to_json(message, {"ignoreNullFields": "false"})
     return changes.select(*keep, F.col("event_id").alias("key"), F.lit(0).alias("fragment"), value.alias("value"))
 
 
@@ -87,8 +73,8 @@ def encode_envelopes(transactions: DataFrame, schema_changes: DataFrame, keep: t
     return encode_transactions(transactions, keep).unionByName(encode_schema_changes(schema_changes, keep))
 
 
-def decode_envelopes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parsed messages, and the ones that cannot be parsed with the reason why.
+def parse_messages(messages: DataFrame) -> DataFrame:
+    """Messages with their parsed content and, for those that cannot be parsed, the ``reason``.
 
     The reasons are ``NULL_PAYLOAD``, ``JSON_NULL`` and ``MALFORMED``; none of them goes away by
     trying again.
@@ -97,20 +83,28 @@ def decode_envelopes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = F.from_json(
         "value", f"{S.ENVELOPE_JSON}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE"}
     )
-    read = messages.withColumn("envelope", parsed)
     reason = (
         F.when(F.col("value").isNull(), F.lit("NULL_PAYLOAD"))
         .when(text == "null", F.lit("JSON_NULL"))
-        .when((text == "") | F.col(f"envelope.{_CORRUPT}").isNotNull(), F.lit("MALFORMED"))
+        .when((text == "") | F.col(f"_envelope.{_CORRUPT}").isNotNull(), F.lit("MALFORMED"))
     )
-    read = read.withColumn("reason", reason)
-    good = read.filter(F.col("reason").isNull()).select(
-        *[c for c in messages.columns],
-        F.col("envelope.messageType").alias("message_type"),
-        F.col("envelope.transaction").alias("transaction"),
-        F.col("envelope.schemaChange").alias("schema_change"),
+    return messages.withColumn("_envelope", parsed).select(
+        *messages.columns,
+        F.col("_envelope.messageType").alias("message_type"),
+        F.col("_envelope.transaction").alias("transaction"),
+        F.col("_envelope.schemaChange").alias("schema_change"),
+        reason.alias("reason"),
     )
-    poison = read.filter(F.col("reason").isNotNull()).select(*messages.columns, "reason")
+
+
+def decode_envelopes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed messages, and the ones that cannot be parsed with the reason why."""
+    return split_poison(parse_messages(messages))
+
+
+def split_poison(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = parsed.filter(F.col("reason").isNull()).drop("reason")
+    poison = parsed.filter(F.col("reason").isNotNull()).drop("message_type", "transaction", "schema_change")
     return good, poison
 
 

@@ -41,20 +41,19 @@ def file_name(seq: Column) -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their transaction number, log coordinate and target table."""
-    df = read(spark, sf_dir, "events")
-    xid = F.expr(f"event_id DIV {ROWS_PER_TXN}")
-    op = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE")
-    return df.withColumns(
-        {"xid": xid, "ts": F.col("ts").cast("timestamp"), "cents": F.round(F.col("value") * 100).cast("bigint")}
-    ).withColumns(
-        {
-            "file_seq": F.expr(f"1 + xid DIV {TXNS_PER_FILE}"),
-            "next_position": (F.col("xid") % TXNS_PER_FILE + 1) * 100,
-            "event_index": F.col("event_id") % ROWS_PER_TXN,
-            "op": op.otherwise("UPDATE"),
-            "table_name": F.when(F.col("user_id") % 2 == 0, "user").otherwise("order"),
-            "ts_ms": F.unix_millis("ts"),
-        }
+    numbered = read(spark, sf_dir, "events").selectExpr(
+        "event_id", "cast(ts AS timestamp) AS ts", "user_id", "event_type", "props",
+        "cast(round(value * 100) AS bigint) AS cents",
+        f"event_id DIV {ROWS_PER_TXN} AS xid",
+        f"event_id % {ROWS_PER_TXN} AS event_index",
+    )
+    return numbered.selectExpr(
+        "*",
+        f"1 + xid DIV {TXNS_PER_FILE} AS file_seq",
+        f"(xid % {TXNS_PER_FILE} + 1) * 100 AS next_position",
+        "CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op",
+        "CASE WHEN user_id % 2 = 0 THEN 'user' ELSE 'order' END AS table_name",
+        "unix_millis(ts) AS ts_ms",
     )
 
 
@@ -127,103 +126,69 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     in three announce their table, table ids swap meaning from file to file, some ids are never
     announced, and some transactions are closed by the next commit only.
     """
-    e = events(spark, sf_dir)
-    start = (F.col("xid") % TXNS_PER_FILE) * 100
-    i = F.col("event_index")
-    click = F.col("event_type") == "click"
-    table = (
-        F.when(click & (F.col("user_id") % 3 == 0), "cdc_offset").when(click, "audit_log").otherwise(F.col("table_name"))
+    e = events(spark, sf_dir).selectExpr(
+        "*",
+        f"(xid % {TXNS_PER_FILE}) * 100 AS start",
+        """CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN 'cdc_offset'
+                WHEN event_type = 'click' THEN 'audit_log' ELSE table_name END AS target""",
+        """CASE WHEN event_id % 101 = 0 THEN 99 WHEN event_type = 'click' AND user_id % 3 = 0 THEN 21
+                WHEN event_type = 'click' THEN 20 ELSE 10 + (user_id + file_seq) % 2 END AS table_id""",
+        "CASE WHEN event_id % 13 = 0 THEN 3 WHEN event_id % 17 = 0 THEN 5 ELSE 4 END AS width",
+        "CASE WHEN op = 'UPDATE' AND event_id % 499 = 3 THEN 1 ELSE 0 END AS key_shift",
     )
-    table_id = (
-        F.when(F.col("event_id") % 101 == 0, 99)
-        .when(click & (F.col("user_id") % 3 == 0), 21)
-        .when(click, 20)
-        .otherwise(10 + (F.col("user_id") + F.col("file_seq")) % 2)
+
+    def values(id_: str, cents: str) -> str:
+        return f"slice(array(string({id_}), string({cents}), props, event_type, 'beyond the columns'), 1, width)"
+
+    def row(offset: int) -> str:
+        before = values(f"user_id + {offset} + key_shift", "cents - 1")
+        after = values(f"user_id + {offset}", "cents")
+        return f"""named_struct('before', CASE WHEN op <> 'INSERT' THEN {before} END,
+                                'after', CASE WHEN op <> 'DELETE' THEN {after} END)"""
+
+    def entry(pos: str, kind: str, **given: str) -> str:
+        columns = {"table_id": "bigint", "database_name": "string", "table_name": "string", "rows": S.ROWS,
+                   "xid": "bigint", "sql": "string"}
+        rest = ", ".join(f"'{c}', cast({given.get(c, 'NULL')} AS {t})" for c, t in columns.items())
+        return f"named_struct('pos', cast({pos} AS bigint), 'type', {kind}, {rest})"
+
+    database = f"'{DATABASE}'"
+    statements = ", ".join(f"'{s}'" for s in DDL_STATEMENTS)
+    statement = f"element_at(array({statements}), cast((event_id DIV 997) % {len(DDL_STATEMENTS)} + 1 AS int))"
+    rows = f"CASE WHEN event_id % 10 = 0 THEN array({row(0)}, {row(100_000)}) ELSE array({row(0)}) END"
+    ddl = entry("start + 1 + event_index", "'QUERY'", database_name=database, sql=statement)
+    begin = entry("start + 5", "'QUERY'", database_name=database, sql="'BEGIN'")
+    announce = entry(
+        "start + 10 + event_index * 20", "'TABLE_MAP'", table_id="table_id", database_name=database, table_name="target"
     )
-    announced = (F.col("event_id") % 3 != 0) & (F.col("event_id") % 101 != 0)
-    row_type = F.when(F.col("op") == "INSERT", "WRITE").otherwise(F.col("op"))
-
-    def values(id_: Column, cents: Column) -> Column:
-        full = F.array(
-            id_.cast("string"), cents.cast("string"), F.col("props"), F.col("event_type"), F.lit("beyond the columns")
-        )
-        n = F.when(F.col("event_id") % 13 == 0, 3).when(F.col("event_id") % 17 == 0, 5).otherwise(4)
-        return F.slice(full, F.lit(1), n)
-
-    def row(offset: int) -> Column:
-        id_ = F.col("user_id") + offset
-        old_id = F.when(moves_key(), id_ + 1).otherwise(id_)
-        return F.struct(
-            F.when(F.col("op") != "INSERT", values(old_id, F.col("cents") - 1)).alias("before"),
-            F.when(F.col("op") != "DELETE", values(id_, F.col("cents"))).alias("after"),
-        )
-
-    rows = F.when(F.col("event_id") % 10 == 0, F.array(row(0), row(100_000))).otherwise(F.array(row(0)))
-    none_rows = F.lit(None).cast(S.ROWS)
-
-    def entry(pos, type_, *, table_id=None, db=None, tbl=None, rows=none_rows, xid=None, sql=None) -> Column:
-        typed = lambda v, t: (F.lit(v) if v is None else v).cast(t)
-        return F.struct(
-            pos.cast("bigint").alias("pos"),
-            typed(type_, "string").alias("type"),
-            typed(table_id, "bigint").alias("table_id"),
-            typed(db, "string").alias("database_name"),
-            typed(tbl, "string").alias("table_name"),
-            rows.alias("rows"),
-            typed(xid, "bigint").alias("xid"),
-            typed(sql, "string").alias("sql"),
-        )
-
-    nothing = F.lit(None)
-    entries = F.filter(
-        F.array(
-            F.when(F.col("event_id") % 997 == 0, entry(start + 1 + i, F.lit("QUERY"), db=F.lit(DATABASE), sql=ddl_sql())),
-            F.when(i == 0, entry(start + 5, F.lit("QUERY"), db=F.lit(DATABASE), sql=F.lit("BEGIN"))),
-            F.when(
-                announced,
-                entry(start + 10 + i * 20, F.lit("TABLE_MAP"), table_id=table_id, db=F.lit(DATABASE), tbl=table),
-            ),
-            entry(start + 20 + i * 20, row_type, table_id=table_id, rows=rows),
-            F.when(commits_here(), entry(start + 100, F.lit("XID"), xid=F.col("xid"))),
-        ),
-        lambda x: x.isNotNull(),
+    change = entry(
+        "start + 20 + event_index * 20", "CASE op WHEN 'INSERT' THEN 'WRITE' ELSE op END", table_id="table_id", rows=rows
     )
-    exploded = e.select("file_seq", "ts_ms", F.explode(entries).alias("x"))
-    return exploded.select(
-        F.lit(CONNECTOR).alias("connector"),
-        file_name(F.col("file_seq")).alias("file"),
-        "x.pos",
-        F.lit(0).cast("bigint").alias("seq"),
-        "x.type",
-        "x.table_id",
-        "x.database_name",
-        "x.table_name",
-        "x.rows",
-        "x.xid",
-        "x.sql",
+    commit = entry("start + 100", "'XID'", xid="xid")
+    entries = f"""array(
+        CASE WHEN event_id % 997 = 0 THEN {ddl} END,
+        CASE WHEN event_index = 0 THEN {begin} END,
+        CASE WHEN event_id % 3 <> 0 AND event_id % 101 <> 0 THEN {announce} END,
+        {change},
+        CASE WHEN event_index = {ROWS_PER_TXN - 1} AND xid % 251 <> 250 THEN {commit} END)"""
+    exploded = e.selectExpr("file_seq", "ts_ms", f"explode({entries}) AS x").filter("x IS NOT NULL")
+    return exploded.selectExpr(
+        f"'{CONNECTOR}' AS connector",
+        "format_string('mysql-bin.%06d', file_seq) AS file",
+        "x.pos", "0L AS seq", "x.type", "x.table_id", "x.database_name", "x.table_name", "x.rows", "x.xid", "x.sql",
         "ts_ms",
     )
 
 
-def moves_key() -> Column:
-    return (F.col("op") == "UPDATE") & (F.col("event_id") % 499 == 3)
-
-
-def commits_here() -> Column:
-    return (F.col("event_id") % ROWS_PER_TXN == ROWS_PER_TXN - 1) & (F.col("xid") % 251 != 250)
-
-
-def ddl_sql() -> Column:
-    """One statement per event, its kind and spelling cycling with the event id."""
-    kinds = [
-        "ALTER TABLE `user` DROP COLUMN age",
-        "alter table mini.order rename column amount to total",
-        "ALTER TABLE `mini`.`USER` MODIFY COLUMN name varchar(99)",
-        "ALTER TABLE user ADD COLUMN city varchar(10)",
-        "ALTER TABLE user DROP age",
-        "ALTER TABLE audit_log DROP COLUMN x",
-    ]
-    return F.element_at(F.array(*[F.lit(k) for k in kinds]), F.expr("cast((event_id DIV 997) % 6 + 1 AS int)"))
+# One statement per schema change, kind and spelling in turn.
+DDL_STATEMENTS = (
+    "ALTER TABLE `user` DROP COLUMN age",
+    "alter table mini.order rename column amount to total",
+    "ALTER TABLE `mini`.`USER` MODIFY COLUMN name varchar(99)",
+    "ALTER TABLE user ADD COLUMN city varchar(10)",
+    "ALTER TABLE user DROP age",
+    "ALTER TABLE audit_log DROP COLUMN x",
+)
 
 
 def flawed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtide import schemas as S
 from rowtide.operators import fold
@@ -45,9 +45,7 @@ class ChangeStore:
         self.spark, self.root, self.mode = spark, root.rstrip("/"), mode
 
     def create(self) -> ChangeStore:
-        """Write empty tables as version 0."""
-        for name, schema in TABLES.items():
-            self.write(name, 0, self.spark.createDataFrame([], schema))
+        """Start the commit log; tables appear with the first version that writes them."""
         self.commit(0, "create", "0")
         return self
 
@@ -68,10 +66,27 @@ class ChangeStore:
         """Version to write for a batch, None when that batch is committed already."""
         ours = (F.col("writer") == writer) & (F.col("batch") == batch)
         newest, seen = self.commits().agg(F.max("version"), F.bool_or(ours)).first()
-        return None if seen else newest + 1
+        if seen:
+            return None
+        self._clear(newest + 1)
+        return newest + 1
+
+    def _path(self, relative: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _clear(self, version: int) -> None:
+        """Remove what an interrupted writer left under a version that was never committed."""
+        for name in TABLES:
+            path, files = self._path(f"{name}/version={version}")
+            files.delete(path, True)
+
+    def _exists(self, relative: str) -> bool:
+        path, files = self._path(relative)
+        return files.exists(path)
 
     def write(self, name: str, version: int, df: DataFrame) -> None:
-        columns = [c.split()[0] for c in TABLES[name].split(",") if c.strip()]
+        columns = T.StructType.fromDDL(TABLES[name]).names
         df.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
 
     def commit(self, version: int, writer: str, batch: str) -> None:
@@ -82,10 +97,15 @@ class ChangeStore:
         """Rows of all committed versions, with their ``version``."""
         limit = self.latest() if upto is None else upto
         schema = f"{TABLES[name]}, version bigint"
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").filter(F.col("version") <= limit)
 
     def read_version(self, name: str, version: int) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/version={version}")
+        path = f"{name}/version={version}"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}")
 
     # --- current state -------------------------------------------------------------------------
 
@@ -126,16 +146,16 @@ class ChangeStore:
         self.commit(version, "compact", str(base))
         return version
 
-    def done(self, file_range: tuple[int, int] | None = None) -> DataFrame:
+    def done(self, file_range: tuple[int, int] | None = None, upto: int | None = None) -> DataFrame:
         """Applied transaction ids; a range of log files lets the scan skip all others."""
-        rows = self.read("done")
+        rows = self.read("done", upto)
         if file_range:
             rows = rows.filter(F.col("file_seq").between(*file_range))
         return rows.select("transaction_id")
 
-    def schema_states(self) -> DataFrame:
-        log = self.read("status_log").withColumnRenamed("version", "seq")
-        return schema_state(self.read("schema_changes"), log)
+    def schema_states(self, upto: int | None = None) -> DataFrame:
+        log = self.read("status_log", upto).withColumnRenamed("version", "seq")
+        return schema_state(self.read("schema_changes", upto), log)
 
     def tasks(self) -> DataFrame:
         """Newest row per rebuild task."""

@@ -87,6 +87,8 @@ def capture_batch(
         F.lit("PUBLISHED").alias("result"),
         F.col("n_rows"),
         F.col("commit_group").alias("seq"),
+        F.col("first_table.database_name").alias("database_name"),
+        F.col("first_table.table_name").alias("table_name"),
     ).unionByName(
         moved.select(
             F.lit("CHECKPOINT").alias("event_type"),
@@ -94,16 +96,11 @@ def capture_batch(
             F.lit("SAVED").alias("result"),
             F.lit(0).cast("bigint").alias("n_rows"),
             F.lit((1 << 40) - 1).alias("seq"),
-        )
-    )
-    empty = F.lit(None).cast("string")
-    store.write(
-        "outcomes",
-        version,
-        outcomes.withColumns(
-            {"ts": F.current_timestamp(), "database_name": empty, "table_name": empty, "message": empty}
         ),
+        allowMissingColumns=True,
     )
+    said = F.lit(None).cast("string")
+    store.write("outcomes", version, outcomes.withColumns({"ts": F.current_timestamp(), "message": said}))
     store.commit(version, WRITER, str(batch_id))
 
 
