@@ -15,13 +15,13 @@ MAX_EVENTS = 10_000
 
 def commit_groups(log: DataFrame, catalog: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
     """Row and commit events with named tables, their commit group and the closing commit."""
-    resolved = shape.resolve_table_map(with_blocks(log, blocks))
+    relevant = log.filter(F.col("type").isin("TABLE_MAP", "XID", *shape.ROW_TYPES))
+    resolved = shape.resolve_table_map(with_blocks(relevant, blocks))
     marked = shape.mark_configured(resolved, catalog)
     is_commit = F.col("type") == "XID"
     header = F.struct("xid", "file", F.col("pos").alias("next_position"), F.col("ts_ms"))
     n_rows = F.when(F.col("configured"), F.size("rows")).otherwise(0).cast("bigint")
-    events = marked.filter(F.col("type").isin("XID", *shape.ROW_TYPES))
-    return commit_scan(events, is_commit, header, n_rows)
+    return commit_scan(marked, is_commit, header, n_rows)
 
 
 def transaction_id(connector, file, xid, next_position) -> Column:
@@ -143,8 +143,9 @@ def after_checkpoint(log: DataFrame, checkpoints: DataFrame) -> DataFrame:
 def log_head(log: DataFrame) -> DataFrame:
     """Newest position of each connector's log."""
     seq = file_seq("file")
-    newest = F.max_by(F.struct("file", seq.alias("file_seq"), F.col("pos").alias("position")), F.struct(seq, "pos"))
-    return log.groupBy("connector").agg(newest.alias("p")).select("connector", "p.*")
+    newest = F.max(F.struct(seq.alias("file_seq"), F.col("pos").alias("position"), F.col("file")))
+    heads = log.groupBy("connector").agg(newest.alias("p"))
+    return heads.select("connector", "p.file", "p.file_seq", "p.position")
 
 
 def resolve_start(

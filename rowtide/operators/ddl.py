@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowtide import schemas as S
 from rowtide.functions.ddl import ddl_target, ddl_type, is_destructive
 from rowtide.functions.versions import file_seq
+from rowtide.operators import fold
 from rowtide.operators.ordered import arrival_blocks, carry_last
-from rowtide.session import pin_small
+from rowtide.session import lookup_join
 
 TABLE = ["database_name", "table_name"]
 COORDINATE = ["file_seq", "next_position"]
@@ -135,8 +136,7 @@ def blocking_versions(transactions: DataFrame, states: DataFrame) -> DataFrame:
         F.col("next_position").alias("blocked_position"),
     )
     pairs = touched_tables(transactions).select("transaction_id", F.explode("touched").alias("table_key"))
-    pinned, fits = pin_small(blocked)
-    hits = pairs.join(F.broadcast(pinned) if fits else blocked, "table_key")
+    hits = lookup_join(pairs, blocked, ["table_key"], "inner", spread=["transaction_id"])
     newest = F.max_by(
         F.struct("blocked_file", "blocked_file_seq", "blocked_position"),
         F.struct("blocked_file_seq", "blocked_position"),
@@ -150,21 +150,31 @@ def blocking_versions(transactions: DataFrame, states: DataFrame) -> DataFrame:
 
 def route(transactions: DataFrame, states: DataFrame, done: DataFrame) -> DataFrame:
     """Add ``route`` to each message: BUFFERED, DUPLICATE or APPLIED, one answer per transaction."""
-    blocking = blocking_versions(transactions, states)
-    applied = done.select("transaction_id", F.lit(True).alias("_done"))
-    return (
-        touched_tables(transactions)
-        .join(blocking, "transaction_id", "left")
-        .join(applied, "transaction_id", "left")
-        .withColumn("route", _route())
-        .drop("_done")
-    )
+    return _routed(transactions, blocking_versions(transactions, states), done)
+
+
+def route_batch(
+    transactions: DataFrame, changes: DataFrame, states: DataFrame, done: DataFrame, block_size: int = 1_000_000
+) -> DataFrame:
+    """Route a batch with the cheapest plan that gives the answer of ``route_in_order``.
+
+    Without a destructive change in the batch the stored states hold throughout, and without a
+    blocked table nothing has to be looked up at all.
+    """
+    if changes.filter(is_destructive(F.col("ddl_type"))).limit(1).count():
+        return route_in_order(transactions, changes, states, done, block_size)
+    return route(transactions, states, done)
+
+
+def _routed(transactions: DataFrame, blocking: DataFrame, done: DataFrame) -> DataFrame:
+    judged = lookup_join(touched_tables(fold.mark_done(transactions, done)), blocking, ["transaction_id"])
+    return judged.withColumn("route", _route()).drop("is_done")
 
 
 def _route() -> Column:
     return (
         F.when(F.col("blocking_tables").isNotNull(), F.lit("BUFFERED"))
-        .when(F.col("_done"), F.lit("DUPLICATE"))
+        .when(F.col("is_done"), F.lit("DUPLICATE"))
         .otherwise(F.lit("APPLIED"))
     )
 
@@ -214,14 +224,7 @@ def route_in_order(
             F.col("_b.next_position").alias("blocked_position"),
         )
     )
-    applied = done.select("transaction_id", F.lit(True).alias("_done"))
-    return (
-        touched_tables(transactions)
-        .join(blocking, "transaction_id", "left")
-        .join(applied, "transaction_id", "left")
-        .withColumn("route", _route())
-        .drop("_done")
-    )
+    return _routed(transactions, blocking, done)
 
 
 _STATE = "struct<status:string, file:string, file_seq:bigint, next_position:bigint>"

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowtide import schemas as S
 from rowtide.functions.values import json_with
 from rowtide.functions.versions import file_seq, key_text
+from rowtide.session import lookup_join
 
 # The key under which a malformed message comes back from the JSON reader.
 _CORRUPT = "_malformed"
@@ -74,7 +75,8 @@ def encode_envelopes(transactions: DataFrame, schema_changes: DataFrame, keep: t
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """Messages with their parsed content and, for those that cannot be parsed, the ``reason``.
+    """Messages with their parsed content, a ``reason`` when they cannot be parsed, and the
+    ``problem`` of the first row that cannot be applied.
 
     The reasons are ``NULL_PAYLOAD``, ``JSON_NULL`` and ``MALFORMED``; none of them goes away by
     trying again.
@@ -94,6 +96,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         F.col("_envelope.transaction").alias("transaction"),
         F.col("_envelope.schemaChange").alias("schema_change"),
         reason.alias("reason"),
+        first_problem(F.col("_envelope.transaction.events")).alias("problem"),
     )
 
 
@@ -104,7 +107,7 @@ def decode_envelopes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def split_poison(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = parsed.filter(F.col("reason").isNull()).drop("reason")
-    poison = parsed.filter(F.col("reason").isNotNull()).drop("message_type", "transaction", "schema_change")
+    poison = parsed.filter(F.col("reason").isNotNull()).drop("message_type", "transaction", "schema_change", "problem")
     return good, poison
 
 
@@ -143,6 +146,7 @@ def split_messages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("transaction.nextPosition").alias("next_position"),
         F.col("transaction.timestamp").alias("ts_ms"),
         F.col("transaction.events").alias("events"),
+        "problem",
     )
     empty = good.filter(~_is_schema_change() & _is_empty()).select("arrival", "key")
     return ddl, transactions, empty
@@ -166,18 +170,18 @@ def first_problem(events: Column) -> Column:
 
 
 def validate_transactions(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Messages whose transaction is valid, and those of transactions rejected as a whole."""
-    checked = transactions.withColumn("_own", first_problem(F.col("events")))
-    # A fragmented transaction is rejected when any of its parts is bad. Bad rows are rare, so the
-    # set of bad ids is what travels.
+    """Messages whose transaction is valid, and those of transactions rejected as a whole.
+
+    One bad row rejects every part of its transaction. Only ids of bad transactions travel to the
+    messages; while they are few the messages stay where they are.
+    """
     bad = (
-        checked.filter(F.col("_own").isNotNull())
+        transactions.filter(F.col("problem").isNotNull())
         .groupBy("transaction_id")
-        .agg(F.min_by("_own", F.struct("fragment", "arrival")).alias("reason"))
+        .agg(F.min_by("problem", F.struct("fragment", "arrival")).alias("reason"))
     )
-    ok = checked.drop("_own").join(bad, "transaction_id", "left_anti")
-    rejected = checked.drop("_own").join(bad, "transaction_id")
-    return ok, rejected
+    judged = lookup_join(transactions.drop("problem"), bad, ["transaction_id"])
+    return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
 
 def explode_rows(transactions: DataFrame) -> DataFrame:

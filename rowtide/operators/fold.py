@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide import schemas as S
-from rowtide.functions.versions import business_key, meta_key, row_version
 from rowtide.functions.values import json_string
+from rowtide.functions.versions import business_key, meta_key, row_version
+from rowtide.session import lookup_join, pin_small
 
 KEY = ["database_name", "table_name", "row_key"]
 VERSION = ["file_seq", "next_position", "event_index"]
@@ -14,24 +15,43 @@ VIEW_COLUMNS = S.VIEW_COLUMNS
 
 
 def dedupe_transactions(transactions: DataFrame) -> DataFrame:
-    """First arrival of every transaction id (and fragment); ``min_by`` combines before the shuffle."""
-    others = [c for c in transactions.columns if c not in ("transaction_id", "fragment")]
-    first = F.min_by(F.struct(*others), F.col("arrival"))
-    return (
-        transactions.groupBy("transaction_id", "fragment")
-        .agg(first.alias("_first"))
-        .select("transaction_id", "fragment", "_first.*")
-        .select(*transactions.columns)
+    """First arrival of every transaction id (and fragment).
+
+    Counting looks at ids and arrivals only. While repeats are few the messages themselves are not
+    shuffled; otherwise ``min_by`` keeps one candidate per task before they are.
+    """
+    message = ["transaction_id", "fragment"]
+    repeated = (
+        transactions.groupBy(*message)
+        .agg(F.min("arrival").alias("_first"), F.count("*").alias("_n"))
+        .filter("_n > 1")
+        .drop("_n")
     )
+    pinned, fits = pin_small(repeated)
+    if fits:
+        judged = transactions.join(F.broadcast(pinned), message, "left")
+        return judged.filter("_first IS NULL OR arrival = _first").drop("_first")
+    others = [c for c in transactions.columns if c not in message]
+    first = F.min_by(F.struct(*others), F.col("arrival"))
+    kept = transactions.groupBy(*message).agg(first.alias("_first"))
+    return kept.select(*message, "_first.*").select(*transactions.columns)
 
 
 def drop_done(transactions: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transactions not applied yet, and the duplicates of applied ones."""
-    ids = done.select("transaction_id")
-    return (
-        transactions.join(ids, "transaction_id", "left_anti"),
-        transactions.join(ids, "transaction_id", "left_semi"),
+    judged = mark_done(transactions, done)
+    return judged.filter(~F.col("is_done")).drop("is_done"), judged.filter("is_done").drop("is_done")
+
+
+def mark_done(transactions: DataFrame, done: DataFrame) -> DataFrame:
+    """Add ``is_done``. Ids meet ids; whole messages move only if very many of them are done."""
+    hits = (
+        transactions.select("transaction_id")
+        .join(done.select("transaction_id"), "transaction_id", "left_semi")
+        .distinct()
+        .withColumn("is_done", F.lit(True))
     )
+    return lookup_join(transactions, hits, ["transaction_id"]).fillna(False, ["is_done"])
 
 
 def _view_row() -> Column:

@@ -40,16 +40,16 @@ def with_blocks(log: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
     if blocks.files > 1:
         chunk = F.lit(0).cast("bigint")
     else:
-        chunk = F.floor(F.col("pos") / blocks.span).cast("bigint")
+        chunk = F.expr(f"pos DIV {int(blocks.span)}")
     return located.withColumns(
-        {"block_file": F.floor(F.col("file_seq") / blocks.files).cast("bigint"), "block_chunk": chunk}
+        {"block_file": F.expr(f"file_seq DIV {int(blocks.files)}"), "block_chunk": chunk}
     )
 
 
 def arrival_blocks(rows: DataFrame, arrival: str, size: int = 1_000_000) -> DataFrame:
     """Blocks of ``size`` consecutive arrival numbers."""
     return rows.withColumns(
-        {"block_file": F.lit(0).cast("bigint"), "block_chunk": F.floor(F.col(arrival) / size).cast("bigint")}
+        {"block_file": F.lit(0).cast("bigint"), "block_chunk": F.expr(f"{arrival} DIV {int(size)}")}
     )
 
 

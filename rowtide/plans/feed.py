@@ -13,8 +13,15 @@ from rowtide import schemas as S
 from rowtide.functions.values import json_string
 from rowtide.operators.assemble import assemble_transactions
 from rowtide.operators.ddl import schema_change_events
-from rowtide.operators.envelope import decode_envelopes, encode_schema_changes, encode_transactions, split_messages
+from rowtide.operators.envelope import (
+    encode_schema_changes,
+    encode_transactions,
+    parse_messages,
+    split_messages,
+    split_poison,
+)
 from rowtide.operators.snapshot import Cutover
+from rowtide.session import materialize
 from rowtide.sources.catalog import TableSpec, load_catalog
 
 CONNECTOR = "mini-user-sync"
@@ -35,8 +42,13 @@ def catalog(spark: SparkSession) -> DataFrame:
     return load_catalog(spark, TABLES)
 
 
-def file_name(seq: Column) -> Column:
-    return F.format_string("mysql-bin.%06d", seq)
+# At least six digits; string functions, because a formatter is parsed again for every row.
+FILE_NAME = "concat('mysql-bin.', lpad(string(file_seq), greatest(6, length(string(file_seq))), '0'))"
+
+
+def file_name() -> Column:
+    """Log file name of a ``file_seq`` column."""
+    return F.expr(FILE_NAME)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +79,7 @@ def after_json() -> Column:
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row changes in arrival order, one per event."""
-    e = events(spark, sf_dir).withColumn("file", file_name(F.col("file_seq")))
+    e = events(spark, sf_dir).withColumn("file", file_name())
     image = after_json()
     is_write = F.col("op") != "DELETE"
     row_key = F.col("user_id").cast("string")
@@ -128,6 +140,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     e = events(spark, sf_dir).selectExpr(
         "*",
+        f"{FILE_NAME} AS file",
         f"(xid % {TXNS_PER_FILE}) * 100 AS start",
         """CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN 'cdc_offset'
                 WHEN event_type = 'click' THEN 'audit_log' ELSE table_name END AS target""",
@@ -171,11 +184,10 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN event_id % 3 <> 0 AND event_id % 101 <> 0 THEN {announce} END,
         {change},
         CASE WHEN event_index = {ROWS_PER_TXN - 1} AND xid % 251 <> 250 THEN {commit} END)"""
-    exploded = e.selectExpr("file_seq", "ts_ms", f"explode({entries}) AS x").filter("x IS NOT NULL")
+    exploded = e.selectExpr("file", "ts_ms", f"explode({entries}) AS x").filter("x IS NOT NULL")
     return exploded.selectExpr(
         f"'{CONNECTOR}' AS connector",
-        "format_string('mysql-bin.%06d', file_seq) AS file",
-        "x.pos", "0L AS seq", "x.type", "x.table_id", "x.database_name", "x.table_name", "x.rows", "x.xid", "x.sql",
+        "file", "x.pos", "0L AS seq", "x.type", "x.table_id", "x.database_name", "x.table_name", "x.rows", "x.xid", "x.sql",
         "ts_ms",
     )
 
@@ -244,8 +256,8 @@ def repeated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transactions_of(message_rows: DataFrame) -> DataFrame:
-    """Decoded transactions of a message set."""
-    good, _ = decode_envelopes(message_rows)
+    """Decoded transactions of a message set, parsed once: later steps read single columns of them."""
+    good, _ = split_poison(materialize(parse_messages(message_rows), "parsed"))
     return split_messages(good)[1]
 
 
@@ -263,7 +275,7 @@ def routed_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema changes of those tables, one per 997 events, every second one destructive."""
     e = events(spark, sf_dir).filter(F.col("event_id") % 997 == 0)
     kind = F.when(F.expr("event_id DIV 997") % 2 == 0, "DROP_COLUMN").otherwise("ADD_COLUMN")
-    file = file_name(F.col("file_seq"))
+    file = file_name()
     position = (F.col("xid") % TXNS_PER_FILE) * 100 + 1
     return e.select(
         (F.col("xid") * 2 - 1).alias("arrival"),
@@ -301,7 +313,7 @@ def rebuild_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).filter(F.col("event_type") == "error")
     status = F.element_at(F.array(*[F.lit(s) for s in S.REBUILD_STATUSES]), (F.col("event_id") % 5 + 1).cast("int"))
     table = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    file = file_name(F.col("file_seq"))
+    file = file_name()
     position = F.col("next_position") + F.col("event_index")
     return e.select(
         F.concat(F.lit(f"{DATABASE}."), table, F.lit(":"), F.concat_ws(":", file, position)).alias("task_id"),

@@ -116,7 +116,7 @@ def _grouped(spark, sf):
 
 def feed_files(spark, sf):
     """File names alone: enough to size the blocks."""
-    return feed.events(spark, sf).select(feed.file_name(F.col("file_seq")).alias("file"))
+    return feed.events(spark, sf).select(feed.file_name().alias("file"))
 
 
 def _changes_of_log(spark, sf):
@@ -196,7 +196,7 @@ def _stored_checkpoint(spark, sf):
     middle = feed.events(spark, sf).filter(F.col("event_id") < half)
     seq = F.col("file_seq")
     newest = F.max_by(
-        F.struct(feed.file_name(seq).alias("file"), seq.alias("file_seq"), F.col("next_position").alias("position")),
+        F.struct(feed.file_name().alias("file"), seq.alias("file_seq"), F.col("next_position").alias("position")),
         F.struct(seq, "next_position"),
     )
     return middle.agg(newest.alias("p")).select(F.lit(feed.CONNECTOR).alias("connector"), "p.*")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,18 +30,61 @@ def shared_dir(spark: SparkSession) -> str:
     return created
 
 
+# Scratch paths written inside each open ``scratch_scope``, innermost last.
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/rowtide/{label}-{uuid.uuid4().hex}"
+    """A new path under the session's own scratch folder."""
+    return f"{shared_dir(spark)}/rowtide/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back, cutting its lineage."""
+    """Write a DataFrame to the shared folder and read it back, cutting its lineage.
+
+    The rows survive the loss of any executor. They stay until the enclosing ``scratch_scope``
+    ends or ``clear_scratch`` is called.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``materialize`` wrote inside the block once it ends."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch of this session; results still depending on it must have been read."""
+    delete_path(spark, f"{shared_dir(spark)}/rowtide/{spark.sparkContext.applicationId}")
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop path and file system, so that any storage Spark can reach works."""
+    located = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return located, located.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    located, files = file_system(spark, path)
+    files.delete(located, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    located, files = file_system(spark, path)
+    return files.exists(located)
+
+
 def pin_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Turn a DataFrame of at most ``max_rows`` rows into local data.
 
@@ -63,9 +108,10 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large, possibly skewed side with a normally tiny one.
 
-    Within the row bound the small side is broadcast. Beyond it, rows of the large side are
-    spread over ``salts`` sub-keys (a hash of the ``spread`` columns) and the small side is
-    repeated once per sub-key, so one hot join key is served by ``salts`` tasks.
+    Within the row bound the small side is broadcast and the large side does not move. Beyond it
+    Spark joins by shuffle; with ``spread`` columns, rows of the large side are then spread over
+    ``salts`` sub-keys (a hash of those columns) and the small side is repeated once per sub-key,
+    so one hot join key is served by ``salts`` tasks.
     """
     pinned, fits = pin_small(small, max_rows)
     if fits:

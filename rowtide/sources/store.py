@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from rowtide import schemas as S
 from rowtide.operators import fold
 from rowtide.operators.ddl import schema_state
-from rowtide.session import pin_small
+from rowtide.session import delete_path, path_exists, pin_small
 
 _TABLE = ["database_name", "table_name"]
 
@@ -68,22 +68,13 @@ class ChangeStore:
         newest, seen = self.commits().agg(F.max("version"), F.bool_or(ours)).first()
         if seen:
             return None
-        self._clear(newest + 1)
+        self.discard(newest + 1)
         return newest + 1
 
-    def _path(self, relative: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _clear(self, version: int) -> None:
+    def discard(self, version: int) -> None:
         """Remove what an interrupted writer left under a version that was never committed."""
         for name in TABLES:
-            path, files = self._path(f"{name}/version={version}")
-            files.delete(path, True)
-
-    def _exists(self, relative: str) -> bool:
-        path, files = self._path(relative)
-        return files.exists(path)
+            delete_path(self.spark, f"{self.root}/{name}/version={version}")
 
     def write(self, name: str, version: int, df: DataFrame) -> None:
         columns = T.StructType.fromDDL(TABLES[name]).names
@@ -97,15 +88,15 @@ class ChangeStore:
         """Rows of all committed versions, with their ``version``."""
         limit = self.latest() if upto is None else upto
         schema = f"{TABLES[name]}, version bigint"
-        if not self._exists(name):
+        if not path_exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").filter(F.col("version") <= limit)
 
     def read_version(self, name: str, version: int) -> DataFrame:
-        path = f"{name}/version={version}"
-        if not self._exists(path):
+        path = f"{self.root}/{name}/version={version}"
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}")
+        return self.spark.read.schema(TABLES[name]).parquet(path)
 
     # --- current state -------------------------------------------------------------------------
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from rowtide.operators import ddl, envelope, fold
-from rowtide.session import materialize
+from rowtide.session import materialize, scratch_scope
 from rowtide.sources.store import ChangeStore
 
 WRITER = "apply"
@@ -37,6 +37,12 @@ def apply_batch(
     version = store.begin(WRITER, str(batch_id))
     if version is None:
         return
+    with scratch_scope(store.spark):
+        _apply(store, version, messages, on_poison, on_reject)
+    store.commit(version, WRITER, str(batch_id))
+
+
+def _apply(store: ChangeStore, version: int, messages: DataFrame, on_poison: str, on_reject: str) -> None:
     before = version - 1
     # Parsing is the costly part; the parsed batch is written once and read by column below.
     good, poison = envelope.split_poison(materialize(envelope.parse_messages(messages), "parsed"))
@@ -58,8 +64,7 @@ def apply_batch(
     first_seen = fold.dedupe_transactions(valid)
     low, high = first_seen.agg(F.min("file_seq"), F.max("file_seq")).first()
     done = store.done((low, high) if low is not None else (0, -1), before)
-    routed = ddl.route_in_order(first_seen, changes, store.schema_states(before), done)
-    routed = materialize(routed, "routed")
+    routed = ddl.route_batch(first_seen, changes, store.schema_states(before), done)
     applied = routed.filter(F.col("route") == "APPLIED")
     rows = envelope.explode_rows(applied)
     store.write("changes", version, fold.fold_latest(rows) if store.mode == "meta" else fold.fold_arrival(rows))
@@ -70,7 +75,6 @@ def apply_batch(
     tasks = store.read("tasks", before).select("task_id")
     store.write("tasks", version, ddl.intake_ddl(changes).dropDuplicates(["task_id"]).join(tasks, "task_id", "left_anti"))
     store.write("outcomes", version, _outcomes(routed, rejected, changes))
-    store.commit(version, WRITER, str(batch_id))
 
 
 def _outcomes(routed: DataFrame, rejected: DataFrame, changes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from rowtide.operators.ddl import schema_change_events
 from rowtide.operators.envelope import encode_envelopes
 from rowtide.operators.ordered import Blocks
 from rowtide.operators.snapshot import with_rank
-from rowtide.session import lookup_join, materialize
+from rowtide.session import lookup_join, materialize, scratch_scope
 from rowtide.sources.store import ChangeStore
 
 WRITER = "capture"
@@ -52,6 +52,20 @@ def capture_batch(
     version = store.begin(WRITER, str(batch_id))
     if version is None:
         return
+    with scratch_scope(store.spark):
+        _capture(store, version, batch, catalog, blocks, max_events, on_pk_change)
+    store.commit(version, WRITER, str(batch_id))
+
+
+def _capture(
+    store: ChangeStore,
+    version: int,
+    batch: DataFrame,
+    catalog: DataFrame,
+    blocks: Blocks,
+    max_events: int,
+    on_pk_change: str,
+) -> None:
     previous = store.latest(WRITER)
     columns = batch.columns
     carried = store.read_version("tail", previous).select(*columns) if previous >= 0 else batch.limit(0)
@@ -101,7 +115,6 @@ def capture_batch(
     )
     said = F.lit(None).cast("string")
     store.write("outcomes", version, outcomes.withColumns({"ts": F.current_timestamp(), "message": said}))
-    store.commit(version, WRITER, str(batch_id))
 
 
 def capture_stream(log_stream: DataFrame, store: ChangeStore, catalog: DataFrame, **options) -> DataStreamWriter:

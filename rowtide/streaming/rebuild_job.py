@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowtide import schemas as S
 from rowtide.operators import envelope, fold, rebuild
-from rowtide.session import materialize
+from rowtide.session import materialize, scratch_scope
 from rowtide.sources.catalog import TableSpec
 from rowtide.sources.store import ChangeStore
 
@@ -33,22 +33,8 @@ def run_rebuild(
         return task.status
     batch = f"{task_id}#{task.retry_count}"
     version = store.begin(WRITER, batch)
-    try:
-        at = {"task_id": task_id, "file": task.file, "next_position": task.next_position}
-        staged = materialize(rebuild.staged_rows(table, spec, at, page_size), "staging")
-        state = store.schema_states().filter(
-            (F.col("database_name") == spec.database) & (F.col("table_name") == spec.table)
-        ).first()
-        if state is None or (state.file, state.next_position) != (task.file, task.next_position):
-            status, error = "OBSOLETE", task.last_error
-        else:
-            _publish(store, version, task, staged)
-            status, error = "DONE", task.last_error
-    except Exception as failure:  # noqa: BLE001 - every failure of the run is a failed attempt
-        status = "FAILED" if task.retry_count + 1 >= max_retries else "PENDING"
-        error = str(failure).splitlines()[0] if str(failure) else type(failure).__name__
-        _empty(store, version)
-        _log_status(store, version, task, "REBUILD_FAILED" if status == "FAILED" else "REBUILD_REQUIRED")
+    with scratch_scope(store.spark):
+        status, error = _attempt(store, version, task, spec, table, page_size, max_retries)
     retries = task.retry_count + (1 if status in ("FAILED", "PENDING") else 0)
     row = (
         task_id, task.database_name, task.table_name, task.file, task.file_seq, task.next_position, status, retries, error,
@@ -64,6 +50,32 @@ def run_rebuild(
     return status
 
 
+def _attempt(
+    store: ChangeStore, version: int, task, spec: TableSpec, table: DataFrame, page_size: int, max_retries: int
+) -> tuple[str, str | None]:
+    """Stage and publish; returns the task's next status and error text."""
+    try:
+        at = {"task_id": task.task_id, "file": task.file, "next_position": task.next_position}
+        staged = materialize(rebuild.staged_rows(table, spec, at, page_size), "staging")
+        state = store.schema_states().filter(
+            (F.col("database_name") == spec.database) & (F.col("table_name") == spec.table)
+        ).first()
+        if state is None or (state.file, state.next_position) != (task.file, task.next_position):
+            return "OBSOLETE", task.last_error
+        _publish(store, version, task, staged)
+        return "DONE", task.last_error
+    except Exception as failure:  # noqa: BLE001 - every failure of the run is a failed attempt
+        store.discard(version)
+        exhausted = task.retry_count + 1 >= max_retries
+        _log_status(store, version, task, "REBUILD_FAILED" if exhausted else "REBUILD_REQUIRED")
+        return ("FAILED" if exhausted else "PENDING"), _error_text(failure)
+
+
+def _error_text(failure: Exception) -> str:
+    lines = str(failure).splitlines()
+    return lines[0] if lines else type(failure).__name__
+
+
 def _publish(store: ChangeStore, version: int, task, staged: DataFrame) -> None:
     spark = store.spark
     table = spark.createDataFrame(
@@ -94,12 +106,6 @@ def _publish(store: ChangeStore, version: int, task, staged: DataFrame) -> None:
     _log_status(store, version, task, "ACTIVE")
 
 
-def _empty(store: ChangeStore, version: int) -> None:
-    """Clear what a failed publication may have written for this version."""
-    for name in ("changes", "resets", "done", "replayed"):
-        store.write(name, version, store.read_version(name, 0))
-
-
 def _log_status(store: ChangeStore, version: int, task, status: str) -> None:
     row = (task.database_name, task.table_name, task.file_seq, task.next_position, status)
     store.write("status_log", version, store.spark.createDataFrame(

@@ -10,7 +10,7 @@ from tools.local_session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "4")
+    session = local_session("tests", "4", **{"spark.sql.codegen.wholeStage": "false"})
     yield session
     session.stop()
 
