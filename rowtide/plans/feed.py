@@ -219,10 +219,11 @@ def flawed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_messages(rows: DataFrame, max_events: int = 10_000) -> DataFrame:
     """Encoded transactions in the order of their numbers; odd arrivals are left for other messages."""
     encoded = encode_transactions(assemble_transactions(rows, max_events), keep=("xid",))
-    return _message_columns(encoded.withColumn("arrival", F.col("xid") * 2))
+    return message_columns(encoded.withColumn("arrival", F.col("xid") * 2))
 
 
-def _message_columns(encoded: DataFrame) -> DataFrame:
+def message_columns(encoded: DataFrame) -> DataFrame:
+    """Encoded messages as rows of one topic."""
     return encoded.select(
         F.lit("changes").alias("topic"), F.lit(0).alias("partition"), "arrival", "key", "fragment", "value"
     )
@@ -245,7 +246,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ddl = schema_change_events(raw_log(spark, sf_dir), catalog(spark))
     before_xid = (F.col("file_seq") - 1) * TXNS_PER_FILE + F.expr("next_position DIV 100")
     ddl_messages = encode_schema_changes(ddl.withColumn("arrival", before_xid * 2 - 1), keep=("arrival",))
-    return good.withColumn("value", value).unionByName(_message_columns(ddl_messages))
+    return good.withColumn("value", value).unionByName(message_columns(ddl_messages))
 
 
 def repeated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

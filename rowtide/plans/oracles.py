@@ -637,6 +637,19 @@ _SQL: dict[str, str] = {
            FROM rstatus""", "ev", "rddl", "rstate", "rstatus"),
 }
 
+_SQL["stream_latest_state"] = _SQL["latest_state_meta"]
+_SQL["stream_arrival_state"] = _SQL["latest_state_simple"]
+_SQL["stream_transactions"] = _SQL["event_index"]
+_SQL["stream_checkpoint"] = _SQL["connector_checkpoint"]
+_SQL["stream_routed"] = _with(
+    """SELECT t.transaction_id, CASE WHEN b.transaction_id IS NOT NULL THEN 'BUFFERED' ELSE 'APPLIED' END AS route
+       FROM (SELECT DISTINCT transaction_id FROM rt) t LEFT JOIN oblock b USING (transaction_id)""", *_ORDERED)
+_SQL["stream_quarantine"] = _with(
+    """SELECT DISTINCT CAST(m_arrival AS BIGINT) AS arrival, poison AS reason FROM msg WHERE poison IS NOT NULL
+       UNION ALL
+       SELECT CAST(m_arrival AS BIGINT), arg_min(problem, event_index) FROM problems WHERE problem IS NOT NULL
+       GROUP BY m_arrival""", *_MSG, "decoded", "problems")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
