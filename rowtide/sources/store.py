@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtide import schemas as S
-from rowtide.operators import fold
+from rowtide.operators import fold, ops
 from rowtide.operators.ddl import schema_state
 from rowtide.session import delete_path, path_exists, pin_small
 
@@ -176,6 +176,12 @@ class ChangeStore:
         newest = F.max_by(F.struct(*columns), "version")
         return rows.groupBy(*keys).agg(newest.alias("_t")).select(*keys, "_t.*")
 
+    def overview(self) -> dict[str, DataFrame]:
+        """The tables of a status page."""
+        return ops.overview(
+            self.checkpoints(), self.full_sync_tasks(), self.tasks(), self.schema_states(), self.outcomes()
+        )
+
     def outcomes(self) -> DataFrame:
         """All outcomes, numbered by version and place."""
         rows = self.read("outcomes")

@@ -1,97 +1,117 @@
-"""The rebuild job: stage a table, publish it, replay what was held back."""
+"""The rebuild job: claim a task, stage its table, publish it, replay what was held back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from rowtide import schemas as S
 from rowtide.operators import envelope, fold, rebuild
 from rowtide.session import materialize, scratch_scope
 from rowtide.sources.catalog import TableSpec
-from rowtide.sources.store import ChangeStore
+from rowtide.sources.store import TABLES, ChangeStore
 
 WRITER = "rebuild"
-_TABLE = ["database_name", "table_name"]
 
 
 def run_rebuild(
     store: ChangeStore, task_id: str, spec: TableSpec, table: DataFrame, page_size: int = 500, max_retries: int = 3
 ) -> str:
-    """Run one rebuild task and return its status afterwards.
+    """Run one PENDING rebuild task and return its status afterwards.
 
-    The table is re-read into staging first. If a newer schema change has arrived meanwhile the
-    task ends OBSOLETE and nothing is published. Otherwise staged rows replace the table, pending
-    transactions that nothing blocks any more are replayed on top, and the table is ACTIVE again,
-    all in one committed version. A failure counts as a retry, the last one leaves REBUILD_FAILED.
+    The task is claimed first (RUNNING, its table REBUILDING). The table is then re-read into
+    staging. If a newer schema change has arrived meanwhile the task ends OBSOLETE and nothing is
+    published. Otherwise staged rows replace the table, pending transactions that nothing blocks
+    any more are replayed on top, and the table is ACTIVE again, all in one committed version. A
+    failure counts as a retry, the last one leaves REBUILD_FAILED.
     """
     task = store.tasks().filter(F.col("task_id") == task_id).first()
     if task is None:
         raise ValueError(f"unknown rebuild task: {task_id}")
     if (task.database_name, task.table_name) != (spec.database, spec.table):
         raise ValueError(f"task {task_id} does not belong to {spec.name}")
-    if task.status not in ("PENDING", "RUNNING"):
+    if task.status != "PENDING":
         return task.status
+    _claim(store, task)
     batch = f"{task_id}#{task.retry_count}"
     version = store.begin(WRITER, batch)
     with scratch_scope(store.spark):
         status, error = _attempt(store, version, task, spec, table, page_size, max_retries)
     retries = task.retry_count + (1 if status in ("FAILED", "PENDING") else 0)
-    row = (
-        task_id, task.database_name, task.table_name, task.file, task.file_seq, task.next_position, status, retries, error,
-        task.created_at,
-    )
-    columns = [c for c in store.tasks().columns if c != "updated_at"]
-    schema = ", ".join(part.strip() for part in S.REBUILD_TASK.split(",") if not part.strip().startswith("updated_at"))
-    done = store.spark.createDataFrame([row], schema).select(*columns, F.current_timestamp().alias("updated_at"))
-    store.write("tasks", version, done)
-    result = {"DONE": "SUCCESS", "OBSOLETE": "OBSOLETE"}.get(status, "FAILED")
-    store.write("outcomes", version, _outcome_rows(store, task, result, error))
+    _write_task(store, version, task, status, retries, error)
+    if status != "OBSOLETE":
+        done = status == "DONE"
+        _write_outcome(store, version, task, "SUCCESS" if done else "FAILED", "rebuild completed" if done else error)
     store.commit(version, WRITER, batch)
     return status
 
 
+def recover_stale_tasks(store: ChangeStore, now: Column | None = None, timeout_seconds: int = 300) -> int:
+    """Give RUNNING tasks of a lost driver back; returns how many there were."""
+    tasks = store.tasks()
+    moment = now if now is not None else F.current_timestamp()
+    running = tasks.filter(F.col("status") == "RUNNING")
+    stale = rebuild.recover_stale(running, moment, timeout_seconds).filter(F.col("status") == "PENDING")
+    rows = stale.withColumn("updated_at", moment)
+    found = rows.count()
+    if found:
+        version = store.begin("recover", f"after {store.latest()}")
+        store.write("tasks", version, rows)
+        store.commit(version, "recover", f"after {version - 1}")
+    return found
+
+
+def _claim(store: ChangeStore, task: Row) -> None:
+    batch = f"{task.task_id}#{task.retry_count}"
+    version = store.begin("claim", batch)
+    if version is None:
+        raise RuntimeError(f"task {task.task_id} was claimed before; recover it first")
+    _write_task(store, version, task, "RUNNING", task.retry_count, task.last_error)
+    if _is_current(store, task):
+        _log_status(store, version, task, "REBUILDING")
+    _write_outcome(store, version, task, "STARTED", "rebuild started")
+    store.commit(version, "claim", batch)
+
+
+def _is_current(store: ChangeStore, task: Row) -> bool:
+    """Whether the task's coordinate is still the one its table waits for."""
+    ours = (F.col("database_name") == task.database_name) & (F.col("table_name") == task.table_name)
+    state = store.schema_states().filter(ours).first()
+    return state is not None and (state.file, state.next_position) == (task.file, task.next_position)
+
+
 def _attempt(
-    store: ChangeStore, version: int, task, spec: TableSpec, table: DataFrame, page_size: int, max_retries: int
+    store: ChangeStore, version: int, task: Row, spec: TableSpec, table: DataFrame, page_size: int, max_retries: int
 ) -> tuple[str, str | None]:
     """Stage and publish; returns the task's next status and error text."""
     try:
         at = {"task_id": task.task_id, "file": task.file, "next_position": task.next_position}
         staged = materialize(rebuild.staged_rows(table, spec, at, page_size), "staging")
-        state = store.schema_states().filter(
-            (F.col("database_name") == spec.database) & (F.col("table_name") == spec.table)
-        ).first()
-        if state is None or (state.file, state.next_position) != (task.file, task.next_position):
+        if not _is_current(store, task):
             return "OBSOLETE", task.last_error
         _publish(store, version, task, staged)
         return "DONE", task.last_error
     except Exception as failure:  # noqa: BLE001 - every failure of the run is a failed attempt
         store.discard(version)
         exhausted = task.retry_count + 1 >= max_retries
-        _log_status(store, version, task, "REBUILD_FAILED" if exhausted else "REBUILD_REQUIRED")
-        return ("FAILED" if exhausted else "PENDING"), _error_text(failure)
+        if _is_current(store, task):
+            _log_status(store, version, task, "REBUILD_FAILED" if exhausted else "REBUILD_REQUIRED")
+        lines = str(failure).splitlines()
+        return ("FAILED" if exhausted else "PENDING"), (lines[0] if lines else type(failure).__name__)
 
 
-def _error_text(failure: Exception) -> str:
-    lines = str(failure).splitlines()
-    return lines[0] if lines else type(failure).__name__
-
-
-def _publish(store: ChangeStore, version: int, task, staged: DataFrame) -> None:
+def _publish(store: ChangeStore, version: int, task: Row, staged: DataFrame) -> None:
     spark = store.spark
-    table = spark.createDataFrame(
-        [(task.database_name, task.table_name)], "database_name string, table_name string"
-    )
-    one = spark.createDataFrame(
-        [(task.task_id, task.database_name, task.table_name, task.file_seq, task.next_position)],
-        "task_id string, database_name string, table_name string, file_seq bigint, next_position bigint",
-    )
+    table = spark.createDataFrame([(task.database_name, task.table_name)], TABLES["resets"])
+    one = spark.createDataFrame([task], store.tasks().schema)
     candidates = rebuild.replay_candidates(store.pending(), one, exact=False)
     chosen = materialize(rebuild.replayable(candidates, store.schema_states(), table), "replay")
+    # Log order stands in for the arrival order the messages had.
     messages = chosen.select(
-        "transaction_id", "fragment", F.col("transaction_id").alias("key"), F.col("payload").alias("value"),
-        (F.col("file_seq") * (1 << 36) + F.col("next_position")).alias("arrival"),
+        "fragment",
+        F.col("transaction_id").alias("key"),
+        F.col("payload").alias("value"),
+        (F.shiftleft("file_seq", 36) + F.col("next_position")).alias("arrival"),
     )
-    good, _ = envelope.decode_envelopes(messages.drop("transaction_id"))
+    good, _ = envelope.decode_envelopes(messages)
     _, transactions, _ = envelope.split_messages(good)
     fresh, _ = fold.drop_done(fold.dedupe_transactions(transactions), store.done())
     rows = envelope.explode_rows(fresh)
@@ -106,19 +126,19 @@ def _publish(store: ChangeStore, version: int, task, staged: DataFrame) -> None:
     _log_status(store, version, task, "ACTIVE")
 
 
-def _log_status(store: ChangeStore, version: int, task, status: str) -> None:
+def _log_status(store: ChangeStore, version: int, task: Row, status: str) -> None:
     row = (task.database_name, task.table_name, task.file_seq, task.next_position, status)
-    store.write("status_log", version, store.spark.createDataFrame(
-        [row], "database_name string, table_name string, file_seq bigint, next_position bigint, status string"))
-
-
-def _outcome_rows(store: ChangeStore, task, result: str, error: str | None) -> DataFrame:
-    rows = [(1, "STARTED", "rebuild started")]
-    if result != "OBSOLETE":
-        rows.append((2, result, "rebuild completed" if result == "SUCCESS" else error))
-    listed = [(seq, "REBUILD", task.database_name, task.table_name, task.task_id, res, text) for seq, res, text in rows]
-    df = store.spark.createDataFrame(
-        listed,
-        "seq bigint, event_type string, database_name string, table_name string, reference string, result string, message string",
-    )
-    return df.withColumns({"ts": F.current_timestamp(), "n_rows": F.lit(None).cast("bigint")})
+    store.write("status_log", version, store.spark.createDataFrame([row], TABLES["status_log"]))
+
+
+def _write_task(store: ChangeStore, version: int, task: Row, status: str, retries: int, error: str | None) -> None:
+    row = {**task.asDict(), "status": status, "retry_count": retries, "last_error": error}
+    schema = store.tasks().schema
+    changed = store.spark.createDataFrame([tuple(row[c] for c in schema.names)], schema)
+    store.write("tasks", version, changed.withColumn("updated_at", F.current_timestamp()))
+
+
+def _write_outcome(store: ChangeStore, version: int, task: Row, result: str, message: str | None) -> None:
+    row = (None, 1, "REBUILD", task.database_name, task.table_name, task.task_id, result, message, None)
+    outcome = store.spark.createDataFrame([row], TABLES["outcomes"]).withColumn("ts", F.current_timestamp())
+    store.write("outcomes", version, outcome)

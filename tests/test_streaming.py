@@ -16,7 +16,8 @@ from rowtide.sources.envelopes import read_envelopes, write_envelopes
 from rowtide.sources.store import ChangeStore
 from rowtide.streaming.apply import PoisonMessageError, RejectedTransactionError, apply_batch, run_sync
 from rowtide.streaming.capture import capture_batch, capture_stream
-from rowtide.streaming.rebuild_job import run_rebuild
+from rowtide.streaming.bootstrap_job import run_bootstrap
+from rowtide.streaming.rebuild_job import recover_stale_tasks, run_rebuild
 
 
 def rows(df, *columns):
@@ -104,20 +105,26 @@ def test_batch_is_applied_once_and_a_broken_run_leaves_nothing(spark, tmp_path):
 
 
 def test_scenarios_of_version_guard(spark, tmp_path):
-    alice, alicia = {"id": 1, "username": "alice"}, {"id": 1, "username": "alicia"}
-    cases = [
-        ([("a", 126, "DELETE", None)], None, (True, 126)),
-        ([("a", 126, "DELETE", None), ("b", 125, "INSERT", alice)], None, (True, 126)),
-        ([("a", 125, "INSERT", alice), ("b", 126, "UPDATE", alicia), ("c", 124, "DELETE", None)], alicia, (False, 126)),
-        ([("a", 125, "SNAPSHOT_UPSERT", alice)], alice, (False, 125)),
-    ]
-    for n, (listed, payload, meta) in enumerate(cases):
-        store = ChangeStore(spark, str(tmp_path / str(n))).create()
-        for i, (txn, pos, op, after) in enumerate(listed):
-            apply_batch(store, messages(spark, message(i, txn, pos, [("user", op, 1, after)])), i)
-        [row] = store.view().collect()
-        assert (row.deleted, row.next_position) == meta
-        assert (json.loads(row.payload) if row.payload else None) == payload
+    alice, alicia = '{"username":"alice"}', '{"username":"alicia"}'
+    # key: arrivals of (transaction, position, operation), expected payload, deleted, position
+    cases = {
+        1: ([(125, "INSERT", alice)], alice, False, 125),
+        2: ([(126, "DELETE", None)], None, True, 126),
+        3: ([(126, "DELETE", None), (125, "INSERT", alice)], None, True, 126),
+        4: ([(125, "INSERT", alice), (126, "UPDATE", alicia), (124, "DELETE", None)], alicia, False, 126),
+        5: ([(125, "SNAPSHOT_UPSERT", alice)], alice, False, 125),
+        6: ([(125, "INSERT", alice), (125, "UPDATE", alicia)], alice, False, 125),
+    }
+    store = ChangeStore(spark, str(tmp_path / "s")).create()
+    for step in range(3):
+        batch = [
+            message(step, f"t{key}-{step}", listed[step][0], [("user", listed[step][1], key, json.loads(listed[step][2] or "null"))])
+            for key, (listed, *_) in cases.items()
+            if step < len(listed)
+        ]
+        apply_batch(store, messages(spark, *[(*m[:2], 100 * step + i, *m[3:]) for i, m in enumerate(batch)]), step)
+    got = {r.row_key: (r.payload, r.deleted, r.next_position) for r in store.view().collect()}
+    assert got == {str(key): tuple(expected) for key, (_, *expected) in cases.items()}
 
 
 def test_poison_and_rejects(spark, tmp_path):
@@ -192,6 +199,7 @@ def test_timeline_of_schema_changes_and_rebuild(spark, tmp_path):
     spec = TableSpec("mini", "user", ("id", "v"), ("id",), ("id",))
     source = spark.createDataFrame([(1, "rebuilt"), (4, "four")], "id bigint, v string")
     assert run_rebuild(store, "mini.user:mysql-bin.000010:10", spec, source) == "OBSOLETE"
+    assert run_rebuild(store, "mini.user:mysql-bin.000010:10", spec, source) == "OBSOLETE"
     broken = source.select("id", F.raise_error(F.lit("source gone")).cast("string").alias("v"))
     task = "mini.user:mysql-bin.000010:15"
     assert run_rebuild(store, task, spec, broken, max_retries=2) == "PENDING"
@@ -279,3 +287,47 @@ def test_open_transaction_waits_for_its_commit(spark, tmp_path):
     events = json.loads(sent.value)["transaction"]["events"]
     assert [(e["eventIndex"], e["primaryKey"], e["after"]["cents"]) for e in events] == [(0, {"id": 1}, 7), (1, {"id": 2}, 8)]
     assert rows(store.checkpoints(), "file", "position") == [("mysql-bin.000001", 240)]
+
+
+def test_running_task_of_a_lost_driver_is_recovered(spark, tmp_path):
+    store = ChangeStore(spark, str(tmp_path / "s")).create()
+    apply_batch(store, messages(spark, ddl_message(1, "user", "DROP_COLUMN", 10)), 0)
+    from rowtide.streaming import rebuild_job
+
+    rebuild_job._claim(store, store.tasks().first())
+    assert rows(store.tasks(), "status") == [("RUNNING",)]
+    assert rows(store.schema_states(), "status") == [("REBUILDING",)]
+    assert recover_stale_tasks(store) == 0
+    later = F.current_timestamp() + F.make_dt_interval(mins=F.lit(10))
+    assert recover_stale_tasks(store, later) == 1
+    assert rows(store.tasks(), "status", "retry_count", "last_error") == [
+        ("PENDING", 1, "Recovered stale RUNNING task for retry.")]
+
+
+def test_bootstrap_publishes_pages_and_one_checkpoint(spark, tmp_path):
+    from rowtide.operators.snapshot import Cutover, SnapshotTable
+
+    cutover = Cutover("c", "mysql-bin.000321", 678)
+    user, order = (TableSpec("mini", t, ("id", "v"), ("id",), ("id",)) for t in ("user", "order"))
+    data = lambda n: spark.range(1, n + 1).select("id", F.lit("x").alias("v"))
+    tables = [SnapshotTable(user, data(30)), SnapshotTable(order, data(25))]
+    store = ChangeStore(spark, str(tmp_path / "s")).create()
+    broken = data(1).select("id", F.raise_error(F.lit("kafka down")).cast("string").alias("v"))
+    with pytest.raises(Exception, match="kafka down"):
+        run_bootstrap(store, [tables[0], SnapshotTable(order, broken)], cutover, 10)
+    failed = rows(store.full_sync_tasks(), "table_name", "status", "last_sent_pk")
+    assert failed == [("order", "FAILED", None), ("user", "COMPLETED", '{"id":30}')]
+    assert "kafka down" in store.full_sync_tasks().filter("table_name = 'order'").first().last_error
+    assert store.checkpoints().count() == 0
+
+    run_bootstrap(store, tables, cutover, 10)
+    assert rows(store.full_sync_tasks(), "table_name", "status", "last_sent_pk") == [
+        ("order", "COMPLETED", '{"id":25}'), ("user", "COMPLETED", '{"id":30}')]
+    assert rows(store.checkpoints(), "file", "position") == [("mysql-bin.000321", 678)]
+    sent = store.read("messages").orderBy("arrival").collect()
+    assert [m.key.split(":")[2] for m in sent] == ["mini.user"] * 6 + ["mini.order"] * 3
+    apply_batch(store, store.read("messages").drop("version"), 0)
+    assert rows(fold.live(store.view()).groupBy("table_name").count(), "table_name", "count") == [("order", 25), ("user", 30)]
+    page = store.overview()
+    assert {name: df.count() > 0 for name, df in page.items()} == {
+        "checkpoint": True, "full_sync_tasks": True, "rebuild_summary": True, "schema_states": False, "recent_events": True}
