@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -62,9 +65,20 @@ def json_with(fields: Column, extra: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
-def json_token(value: Column, bare: Column) -> Column:
-    """Text as a JSON token: unquoted when ``bare`` (numbers, booleans), quoted otherwise."""
-    return F.when(value.isNotNull() & bare, value).otherwise(json_string(value))
+def bare_pattern(columns: list[str]) -> str:
+    """Pattern of the quoted values that ``map_json`` prints bare.
+
+    Inside a JSON string every quote is escaped, so the pattern can match field names only.
+    """
+    if not columns:
+        return "(?!)()()"
+    names = "|".join(re.escape(json.dumps(c, ensure_ascii=False)) for c in columns)
+    return rf'({names}):"([^"\\]*)"'
+
+
+def map_json(image: Column, bare: Column) -> Column:
+    """A map of texts as one JSON object in map order, values matching ``bare`` without quotes."""
+    return F.regexp_replace(F.to_json(image, {"ignoreNullFields": "false"}), bare, F.lit("$1:$2"))
 
 
 def row_json(columns: list[str], keys_only: list[str] | None = None) -> Column:

@@ -60,9 +60,9 @@ def assemble_changes(
         *shape.TABLE,
         "op",
         "primary_key",
-        shape.image_json(F.col("before"), F.col("bare_columns")).alias("before"),
-        shape.image_json(F.col("after"), F.col("bare_columns")).alias("after"),
-        shape.image_json(F.col("primary_key"), F.col("bare_columns")).alias("primary_key_json"),
+        shape.image_json(F.col("before")).alias("before"),
+        shape.image_json(F.col("after")).alias("after"),
+        shape.image_json(F.col("primary_key")).alias("primary_key_json"),
     )
     open_tail = grouped.filter(F.col("commit").isNull())
     return changes, open_tail

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.functions.values import json_string, json_token, normalized
+from rowtide.functions.values import map_json, normalized
 from rowtide.operators.ordered import LOG_ORDER, carry_last
 
 ROW_TYPES = {"WRITE": "INSERT", "UPDATE": "UPDATE", "DELETE": "DELETE"}
@@ -117,15 +117,9 @@ def check_pk_stable(rows: DataFrame, on_error: str = "raise") -> tuple[DataFrame
     return guarded.drop("pk_changed"), bad
 
 
-def image_json(image: Column, bare_columns: Column) -> Column:
+def image_json(image: Column) -> Column:
     """A named image as one JSON object, numbers unquoted, fields in column order."""
-    fields = F.transform(
-        F.map_entries(image),
-        lambda e: F.concat(
-            json_string(e["key"]), F.lit(":"), json_token(e["value"], F.array_contains(bare_columns, e["key"]))
-        ),
-    )
-    return F.when(image.isNotNull(), F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")))
+    return map_json(image, F.col("bare_pattern"))
 
 
 def normalize_values(df: DataFrame) -> DataFrame:

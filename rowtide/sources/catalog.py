@@ -6,8 +6,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from rowtide.functions.values import bare_pattern
+
 CATALOG = """database_name string, table_name string, columns array<string>, primary_keys array<string>,
-       bare_columns array<string>, table_order int"""
+       bare_pattern string, table_order int"""
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,7 @@ def load_catalog(spark: SparkSession, tables: list[TableSpec]) -> DataFrame:
         if not spec.primary_key:
             raise ValueError(f"no primary key found for configured table {spec.name}")
     rows = [
-        (t.database, t.table, list(t.columns), list(t.primary_key), list(t.bare), i) for i, t in enumerate(tables)
+        (t.database, t.table, list(t.columns), list(t.primary_key), bare_pattern(list(t.bare)), i) for i, t in enumerate(tables)
     ]
     return spark.createDataFrame(rows, CATALOG)
 
