@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide import schemas as S
 from rowtide.operators.snapshot import Cutover, paginate, snapshot_rows
+from rowtide.session import lookup_join
 from rowtide.sources.catalog import TableSpec
 
 TABLE = ["database_name", "table_name"]
@@ -16,7 +17,7 @@ REPLAY_ORDER = ["file_seq", "next_position", "fragment"]
 def mark_obsolete(tasks: DataFrame, states: DataFrame) -> DataFrame:
     """Add ``current``: the task's coordinate is its table's latest one; unfinished others turn OBSOLETE."""
     latest = states.select(*TABLE, F.struct("file", "next_position").alias("_latest"))
-    joined = tasks.join(latest, TABLE, "left")
+    joined = lookup_join(tasks, latest, TABLE, spread=["task_id"])
     current = F.struct("file", "next_position").eqNullSafe(F.col("_latest"))
     open_task = F.col("status").isin("PENDING", "RUNNING")
     status = F.when(open_task & ~current, F.lit("OBSOLETE")).otherwise(F.col("status"))
@@ -26,8 +27,10 @@ def mark_obsolete(tasks: DataFrame, states: DataFrame) -> DataFrame:
 def runnable_tasks(tasks: DataFrame, states: DataFrame) -> DataFrame:
     """The next task of every table: PENDING and current, newest coordinate, then oldest."""
     ready = mark_obsolete(tasks, states).filter((F.col("status") == "PENDING") & F.col("current"))
-    per_table = Window.partitionBy(*TABLE).orderBy(*[F.desc(c) for c in COORDINATE], "created_at", "task_id")
-    return ready.withColumn("_n", F.row_number().over(per_table)).filter("_n = 1").drop("_n", "current")
+    others = [c for c in tasks.columns if c not in TABLE]
+    order = F.struct(*COORDINATE, -F.unix_micros("created_at"), "task_id")
+    best = ready.groupBy(*TABLE).agg(F.max_by(F.struct(*others), order).alias("_t"))
+    return best.select(*TABLE, "_t.*").select(*tasks.columns)
 
 
 def next_pending(tasks: DataFrame) -> DataFrame:
@@ -62,8 +65,8 @@ def replay_candidates(pending: DataFrame, tasks: DataFrame, exact: bool = True)
         }
     )
     if exact:
-        return waiting.join(wanted, ["table_key", "_at"]).drop("_at")
-    return waiting.drop("_at").join(wanted.drop("_at"), "table_key")
+        return lookup_join(waiting, wanted, ["table_key", "_at"], "inner", spread=["transaction_id"]).drop("_at")
+    return lookup_join(waiting.drop("_at"), wanted.drop("_at"), ["table_key"], "inner", spread=["transaction_id"])
 
 
 def replayable(candidates: DataFrame, states: DataFrame, published: DataFrame) -> DataFrame:
@@ -73,13 +76,9 @@ def replayable(candidates: DataFrame, states: DataFrame, published: DataFrame) -
         .join(published.select(*TABLE), TABLE, "left_anti")
         .select(F.concat_ws(".", *TABLE).alias("blocker"))
     )
-    held = (
-        candidates.select("transaction_id", F.explode("blocked_tables").alias("blocker"))
-        .join(still, "blocker", "left_semi")
-        .select("transaction_id")
-        .distinct()
-    )
-    return candidates.join(held, "transaction_id", "left_anti")
+    touching = candidates.select("transaction_id", F.explode("blocked_tables").alias("blocker"))
+    held = lookup_join(touching, still, ["blocker"], "left_semi", spread=["transaction_id"])
+    return lookup_join(candidates, held.select("transaction_id").distinct(), ["transaction_id"], "left_anti")
 
 
 def replay_order(pending: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ TABLES = {
     "checkpoints": S.CHECKPOINT,
     "full_sync": S.FULL_SYNC_TASK,
 }
+# Folders per source table, so that reading one table's state skips the files of all others.
+_BY_TABLE = {"changes"}
 _COMMITS = "version bigint, writer string, batch string"
 
 
@@ -77,8 +79,12 @@ class ChangeStore:
             delete_path(self.spark, f"{self.root}/{name}/version={version}")
 
     def write(self, name: str, version: int, df: DataFrame) -> None:
+        """Write one table of a version; not visible before the version is committed."""
         columns = T.StructType.fromDDL(TABLES[name]).names
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+        writer = df.select(*columns).write.mode("overwrite")
+        if name in _BY_TABLE:
+            writer = writer.partitionBy(*_TABLE)
+        writer.parquet(f"{self.root}/{name}/version={version}")
 
     def commit(self, version: int, writer: str, batch: str) -> None:
         row = self.spark.createDataFrame([(writer, batch)], "writer string, batch string")
@@ -88,9 +94,11 @@ class ChangeStore:
         """Rows of all committed versions, with their ``version``."""
         limit = self.latest() if upto is None else upto
         schema = f"{TABLES[name]}, version bigint"
+        columns = T.StructType.fromDDL(schema).names
         if not path_exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").filter(F.col("version") <= limit)
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return rows.select(*columns).filter(F.col("version") <= limit)
 
     def read_version(self, name: str, version: int) -> DataFrame:
         path = f"{self.root}/{name}/version={version}"

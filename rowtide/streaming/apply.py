@@ -106,18 +106,10 @@ def apply_stream(message_stream: DataFrame, store: ChangeStore, **policy) -> Dat
     as read only once the state it leads to is committed.
     """
     return message_stream.writeStream.foreachBatch(
-        lambda batch, batch_id: _apply_cached(store, batch, batch_id, policy)
+        lambda batch, batch_id: apply_batch(store, batch, batch_id, **policy)
     )
 
 
-def _apply_cached(store: ChangeStore, batch: DataFrame, batch_id: int, policy: dict) -> None:
-    batch.persist()
-    try:
-        apply_batch(store, batch, batch_id, **policy)
-    finally:
-        batch.unpersist()
-
-
 def run_sync(
     message_stream: DataFrame,
     store: ChangeStore,
