@@ -8,15 +8,36 @@ import re
 from pyspark.sql import Column, functions as F, types as T
 
 
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def utc_wall(ts: Column) -> Column:
+    """Wall-clock time of an instant in UTC, whatever the session's time zone is."""
+    seconds = (F.unix_micros(ts).cast("decimal(18,0)") * F.expr("0.000001BD")).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.expr(_EPOCH) + F.make_dt_interval(zero, zero, zero, seconds)
+
+
+def utc_instant(wall: str) -> Column:
+    """Instant of a wall-clock column that holds UTC times."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {wall})"))
+
+
+def _iso_text(wall: Column, drop_zero_seconds: bool = False) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` with 0, 3 or 6 fraction digits, whichever is the shortest exact form."""
+    text = F.replace(wall.cast("string"), F.lit(" "), F.lit("T"))
+    whole, fraction = F.split_part(text, F.lit("."), F.lit(1)), F.split_part(text, F.lit("."), F.lit(2))
+    digits = F.when(F.length(fraction) <= 3, F.rpad(fraction, 3, "0")).otherwise(F.rpad(fraction, 6, "0"))
+    if drop_zero_seconds:
+        whole_only = F.when(F.endswith(whole, F.lit(":00")), F.substring(whole, 1, 16)).otherwise(whole)
+    else:
+        whole_only = whole
+    return F.when(fraction == "", whole_only).otherwise(F.concat(whole, F.lit("."), digits))
+
+
 def iso_instant(ts: Column) -> Column:
-    """UTC instant text with 0, 3 or 6 fraction digits, whichever is the shortest exact form."""
-    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
-    pattern = (
-        F.when(micros == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(micros % 1000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-        .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    )
-    return pattern
+    """UTC instant text."""
+    return F.concat(_iso_text(utc_wall(ts)), F.lit("Z"))
 
 
 def base64_text(value: Column) -> Column:
@@ -32,24 +53,12 @@ def normalized(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampType):
         return iso_instant(value)
     if isinstance(dtype, T.TimestampNTZType):
-        return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm"), _local_seconds(value))
+        return _iso_text(value, drop_zero_seconds=True)
     if isinstance(dtype, (T.DateType, T.TimeType)):
         return value.cast("string")
     return value
 
 
-def _local_seconds(value: Column) -> Column:
-    """Seconds and fraction of a local date-time, left out when both are zero."""
-    micros = F.date_format(value, "SSSSSS").cast("int")
-    seconds = F.date_format(value, ":ss")
-    return (
-        F.when((seconds == ":00") & (micros == 0), F.lit(""))
-        .when(micros == 0, seconds)
-        .when(micros % 1000 == 0, F.concat(seconds, F.date_format(value, ".SSS")))
-        .otherwise(F.concat(seconds, F.date_format(value, ".SSSSSS")))
-    )
-
-
 def json_string(value: Column) -> Column:
     """A string as a quoted JSON token; null gives the token ``null``."""
     # A one-element list is the token in brackets, and the token itself never ends in one.

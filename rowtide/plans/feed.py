@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowtide import schemas as S
-from rowtide.functions.values import json_string
+from rowtide.functions.values import json_string, utc_instant
 from rowtide.operators.assemble import assemble_transactions
 from rowtide.operators.ddl import schema_change_events
 from rowtide.operators.envelope import (
@@ -54,12 +54,12 @@ def file_name() -> Column:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their transaction number, log coordinate and target table."""
     numbered = read(spark, sf_dir, "events").selectExpr(
-        "event_id", "cast(ts AS timestamp) AS ts", "user_id", "event_type", "props",
+        "event_id", "ts AS wall", "user_id", "event_type", "props",
         "cast(round(value * 100) AS bigint) AS cents",
         f"event_id DIV {ROWS_PER_TXN} AS xid",
         f"event_id % {ROWS_PER_TXN} AS event_index",
     )
-    return numbered.selectExpr(
+    return numbered.withColumn("ts", utc_instant("wall")).selectExpr(
         "*",
         f"1 + xid DIV {TXNS_PER_FILE} AS file_seq",
         f"(xid % {TXNS_PER_FILE} + 1) * 100 AS next_position",

@@ -637,6 +637,36 @@ _SQL: dict[str, str] = {
            FROM rstatus""", "ev", "rddl", "rstate", "rstatus"),
 }
 
+_SQL["table_catalogue"] = """
+    SELECT 'mini' AS database_name, t AS table_name, string_agg(column_name, ',' ORDER BY i) AS columns, pk AS primary_keys,
+           CAST(o AS BIGINT) AS table_order
+    FROM (SELECT 'customer' AS t, 0 AS o, 'c_custkey' AS pk, unnest(keys) AS column_name,
+                 generate_subscripts(keys, 1) AS i
+          FROM (SELECT json_keys(to_json(c)) AS keys FROM customer c LIMIT 1)
+          UNION ALL
+          SELECT 'orders', 1, 'o_orderkey', unnest(keys), generate_subscripts(keys, 1)
+          FROM (SELECT json_keys(to_json(c)) AS keys FROM orders c LIMIT 1)
+          UNION ALL
+          SELECT 'conversations', 2, 'conv_id,turn', unnest(keys), generate_subscripts(keys, 1)
+          FROM (SELECT json_keys(to_json(c)) AS keys FROM conversations c LIMIT 1))
+    GROUP BY t, pk, o"""
+_SQL["table_snapshot"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+_SQL["change_log_round_trip"] = _with(
+    f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, type, CAST(table_id AS BIGINT) AS table_id FROM log
+        UNION ALL SELECT {_FILE}, CAST(pos AS BIGINT), 'QUERY', NULL FROM queries_""", "ev", "evr", "log", "queries_")
+_SQL["message_round_trip"] = _SQL["envelopes"]
+_SQL["rebuild_run"] = _with(
+    f"""SELECT {_VIEW} FROM (
+          SELECT *, 1 AS stored FROM staged
+          UNION ALL
+          SELECT *, 0 AS stored FROM {_latest("(SELECT * FROM ch WHERE table_name = 'user' AND event_id >= half)", _BY_VERSION)})
+        QUALIFY row_number() OVER (PARTITION BY row_key
+                                   ORDER BY file_seq DESC, next_position DESC, event_index DESC, stored DESC) = 1
+        UNION ALL SELECT {_VIEW} FROM {_latest("(SELECT * FROM ch WHERE table_name = 'order')", _BY_VERSION)}""",
+    *_CH, "staged")
+_SQL["bootstrap_run"] = f"""
+    SELECT table_name, row_key, after AS payload, CAST(25000 AS BIGINT) AS next_position, event_index, transaction_id
+    FROM ({_SQL["bootstrap_rows"]})"""
 _SQL["stream_latest_state"] = _SQL["latest_state_meta"]
 _SQL["stream_arrival_state"] = _SQL["latest_state_simple"]
 _SQL["stream_transactions"] = _SQL["event_index"]

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtide import schemas as S
+from rowtide.functions.values import utc_wall
 from rowtide.functions.versions import done_key, is_newer, row_version, view_action
 from rowtide.operators import assemble, control, ddl, envelope, fold, ops, rebuild, shape, snapshot
 from rowtide.operators.ordered import fit_blocks, with_blocks
 from rowtide.plans import feed
+from rowtide.session import scratch_path
 from rowtide.sources.catalog import TableSpec, load_catalog
+from rowtide.sources.changelog import read_change_log
+from rowtide.sources.envelopes import read_envelopes, write_envelopes
+from rowtide.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,7 +261,7 @@ def pk_mutations(spark, sf):
 
 @query
 def normalized_values(spark, sf):
-    typed = feed.events(spark, sf).select("event_id", "ts", F.col("ts").cast("date").alias("day"), "event_type")
+    typed = feed.events(spark, sf).select("event_id", "ts", F.col("wall").cast("date").alias("day"), "event_type")
     return shape.normalize_values(typed)
 
 
@@ -510,7 +515,9 @@ def runnable_tasks(spark, sf):
 
 @query
 def next_pending_task(spark, sf):
-    return rebuild.next_pending(feed.rebuild_tasks(spark, sf)).select("task_id", "status", "created_at")
+    return rebuild.next_pending(feed.rebuild_tasks(spark, sf)).select(
+        "task_id", "status", utc_wall(F.col("created_at")).alias("created_at")
+    )
 
 
 @query
@@ -569,6 +576,42 @@ def published_view_with_tombstones(spark, sf):
     return rebuild.replace_table(view, _staged(spark, sf), CUSTOMER_USER, keep_tombstones=True)
 
 
+# --- sources ---------------------------------------------------------------------------------------
+
+
+@query
+def table_catalogue(spark, sf):
+    """Ordered columns and keys of tables, as the session sees them."""
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "conversations": ["conv_id", "turn"]}
+    specs = [TableSpec.of(feed.DATABASE, t, feed.read(spark, sf, t), pk) for t, pk in keys.items()]
+    return load_catalog(spark, specs).select(
+        "database_name", "table_name", F.array_join("columns", ",").alias("columns"),
+        F.array_join("primary_keys", ",").alias("primary_keys"), F.col("table_order").cast("bigint").alias("table_order"),
+    )
+
+
+@query
+def table_snapshot(spark, sf):
+    """Exactly the catalogue columns of one table."""
+    return read_table(spark, ORDERS, f"{sf}/orders.parquet")
+
+
+@query
+def change_log_round_trip(spark, sf):
+    """The raw log written as files and read with its fixed schema."""
+    path = scratch_path(spark, "log")
+    feed.raw_log(spark, sf).write.parquet(path)
+    return read_change_log(spark, path).select("file", "pos", "type", "table_id")
+
+
+@query
+def message_round_trip(spark, sf):
+    """Messages written to a topic folder and read back."""
+    path = scratch_path(spark, "topic")
+    write_envelopes(feed.as_messages(feed.changes(spark, sf)), path)
+    return read_envelopes(spark, path).select("arrival", "key", "value")
+
+
 # --- snapshot ---------------------------------------------------------------------------------------
 
 
@@ -714,18 +757,22 @@ def rebuild_durations(spark, sf):
 
 @query
 def recent_tasks(spark, sf):
-    return ops.recent_tasks(feed.rebuild_tasks(spark, sf)).select("task_id", "status", "updated_at")
+    return ops.recent_tasks(feed.rebuild_tasks(spark, sf)).select(
+        "task_id", "status", utc_wall(F.col("updated_at")).alias("updated_at")
+    )
 
 
 @query
 def recent_failed_tasks(spark, sf):
-    return ops.recent_tasks(feed.rebuild_tasks(spark, sf), "FAILED").select("task_id", "status", "updated_at")
+    return ops.recent_tasks(feed.rebuild_tasks(spark, sf), "FAILED").select(
+        "task_id", "status", utc_wall(F.col("updated_at")).alias("updated_at")
+    )
 
 
 @query
 def recent_events(spark, sf):
     return ops.recent_events(feed.outcomes(spark, sf)).select(
-        "ts", "event_type", "database_name", "table_name", "reference", "result"
+        utc_wall(F.col("ts")).alias("ts"), "event_type", "database_name", "table_name", "reference", "result"
     )
 
 
@@ -735,7 +782,7 @@ def recent_full_sync(spark, sf):
     e = feed.events(spark, sf)
     rows = e.groupBy(F.col("user_id").cast("string").alias("table_name")).agg(F.max("ts").alias("started_at"))
     rows = rows.select(F.lit(feed.DATABASE).alias("database_name"), "table_name", "started_at")
-    return ops.recent_full_sync(rows)
+    return ops.recent_full_sync(rows).withColumn("started_at", utc_wall(F.col("started_at")))
 
 
 @query

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtide.operators.envelope import decode_envelopes, encode_schema_changes, explode_rows, split_messages
 from rowtide.operators.ordered import fit_blocks
+from rowtide.operators.snapshot import SnapshotTable
 from rowtide.plans import feed
-from rowtide.plans.queries import feed_files, query
+from rowtide.plans.queries import CUSTOMER, CUSTOMER_USER, ORDERS, REBUILD, feed_files, query
 from rowtide.session import scratch_path
 from rowtide.sources.changelog import stream_change_log
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
 from rowtide.sources.store import ChangeStore
 from rowtide.streaming.apply import run_sync
+from rowtide.streaming.bootstrap_job import run_bootstrap
 from rowtide.streaming.capture import capture_stream
+from rowtide.streaming.rebuild_job import run_rebuild
 
 SLICES = 2
 
@@ -103,3 +106,36 @@ def stream_checkpoint(spark, sf):
     """Resume position after the captured stream."""
     return _captured(spark, sf).checkpoints()
 
+
+
+@query
+def rebuild_run(spark, sf):
+    """A destructive change on the user table before half of the feed; the table rebuilt from customers."""
+    change = spark.createDataFrame(
+        [(1_000_000_001, "ddl:mysql-bin.000003:700", feed.CONNECTOR, feed.DATABASE, "user", "DROP_COLUMN", "ALTER TABLE",
+          REBUILD["file"], 3, REBUILD["next_position"], 1)],
+        "arrival bigint, event_id string, connector string, database_name string, table_name string, ddl_type string, "
+        "raw_sql string, file string, file_seq bigint, next_position bigint, ts_ms bigint",
+    )
+    half = feed.half(spark, sf)
+    before = feed.changes(spark, sf).filter(F.col("event_id") < half)
+    after = feed.as_messages(feed.changes(spark, sf).filter(F.col("event_id") >= half))
+    ddl = feed.message_columns(encode_schema_changes(change, keep=("arrival",)))
+    later = after.withColumn("arrival", F.col("arrival") + 2_000_000_000)
+    store = _synced(spark, [feed.as_messages(before), ddl.unionByName(later)])
+    run_rebuild(store, REBUILD["task_id"], CUSTOMER_USER, feed.read(spark, sf, "customer"), page_size=50)
+    return store.view()
+
+
+@query
+def bootstrap_run(spark, sf):
+    """Snapshot job for two tables, its messages applied: the state both leave behind."""
+    root = scratch_path(spark, "bootstrap")
+    store = ChangeStore(spark, f"{root}/store").create()
+    tables = [
+        SnapshotTable(CUSTOMER, feed.read(spark, sf, "customer")),
+        SnapshotTable(ORDERS, feed.read(spark, sf, "orders")),
+    ]
+    run_bootstrap(store, tables, feed.CUTOVER, 500)
+    run_sync(read_envelopes(spark, f"{store.root}/messages", stream=True, max_files=1_000_000), store, f"{root}/cp")
+    return store.view().select("table_name", "row_key", "payload", "next_position", "event_index", "transaction_id")

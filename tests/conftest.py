@@ -10,7 +10,14 @@ from tools.local_session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "4", **{"spark.sql.codegen.wholeStage": "false"})
+    # Tiny inputs: interpreted, unadapted plans start faster than compiled ones.
+    quick = {
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "3",
+    }
+    session = local_session("tests", "4", **quick)
     yield session
     session.stop()
 
