@@ -158,14 +158,19 @@ def route_batch(
 ) -> DataFrame:
     """Route a batch with the cheapest plan that gives the answer of ``route_in_order``.
 
-    Without a destructive change in the batch the stored states hold throughout, and without a
-    blocked table nothing has to be looked up at all.
+    Without a destructive change in the batch the stored states hold throughout.
     """
     if changes.filter(is_destructive(F.col("ddl_type"))).limit(1).count():
         return route_in_order(transactions, changes, states, done, block_size)
     return route(transactions, states, done)
 
 
+def route_unblocked(transactions: DataFrame, done: DataFrame) -> DataFrame:
+    """Route a batch while no table is held back: only the done set is looked at."""
+    judged = fold.mark_done(transactions, done)
+    return judged.withColumn("route", F.when(F.col("is_done"), "DUPLICATE").otherwise("APPLIED")).drop("is_done")
+
+
 def _routed(transactions: DataFrame, blocking: DataFrame, done: DataFrame) -> DataFrame:
     judged = lookup_join(touched_tables(fold.mark_done(transactions, done)), blocking, ["transaction_id"])
     return judged.withColumn("route", _route()).drop("is_done")

@@ -24,8 +24,8 @@ from rowtide.operators.snapshot import Cutover
 from rowtide.session import materialize
 from rowtide.sources.catalog import TableSpec, load_catalog
 
-CONNECTOR = "mini-user-sync"
-DATABASE = "mini"
+CONNECTOR = "shop-sync"
+DATABASE = "shop"
 USER = TableSpec(DATABASE, "user", ("id", "cents", "props", "kind"), ("id",), ("id", "cents"))
 ORDER = TableSpec(DATABASE, "order", ("id", "cents", "kind", "props"), ("id",), ("id", "cents"))
 TABLES = [USER, ORDER]
@@ -195,8 +195,8 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One statement per schema change, kind and spelling in turn.
 DDL_STATEMENTS = (
     "ALTER TABLE `user` DROP COLUMN age",
-    "alter table mini.order rename column amount to total",
-    "ALTER TABLE `mini`.`USER` MODIFY COLUMN name varchar(99)",
+    "alter table shop.order rename column amount to total",
+    "ALTER TABLE `shop`.`USER` MODIFY COLUMN name varchar(99)",
     "ALTER TABLE user ADD COLUMN city varchar(10)",
     "ALTER TABLE user DROP age",
     "ALTER TABLE audit_log DROP COLUMN x",

@@ -13,10 +13,10 @@ _CTES = {
                (SELECT (max(event_id) + 1) // 2 FROM events) AS half
         FROM events""",
     "ch": """
-        SELECT event_id, half, 'mini-user-sync' AS connector, printf('mysql-bin.%06d', file_seq) AS file, file_seq, xid,
-               next_position, ts_ms, event_index, 'mini' AS database_name, table_name, op,
+        SELECT event_id, half, 'shop-sync' AS connector, printf('mysql-bin.%06d', file_seq) AS file, file_seq, xid,
+               next_position, ts_ms, event_index, 'shop' AS database_name, table_name, op,
                CAST(user_id AS VARCHAR) AS row_key, xid AS arrival, event_index AS list_pos,
-               'mini-user-sync:' || printf('mysql-bin.%06d', file_seq) || ':' || xid || ':' || next_position AS transaction_id,
+               'shop-sync:' || printf('mysql-bin.%06d', file_seq) || ':' || xid || ':' || next_position AS transaction_id,
                '{"id":' || user_id || ',"cents":' || cents || ',"props":' || CAST(to_json(props) AS VARCHAR)
                    || ',"kind":"' || event_type || '"}' AS image
         FROM ev""",
@@ -47,8 +47,8 @@ _CTES = {
         SELECT event_id, file_seq, start + 1 + event_index AS pos,
                CASE (event_id // 997) % 6
                  WHEN 0 THEN 'ALTER TABLE `user` DROP COLUMN age'
-                 WHEN 1 THEN 'alter table mini.order rename column amount to total'
-                 WHEN 2 THEN 'ALTER TABLE `mini`.`USER` MODIFY COLUMN name varchar(99)'
+                 WHEN 1 THEN 'alter table shop.order rename column amount to total'
+                 WHEN 2 THEN 'ALTER TABLE `shop`.`USER` MODIFY COLUMN name varchar(99)'
                  WHEN 3 THEN 'ALTER TABLE user ADD COLUMN city varchar(10)'
                  WHEN 4 THEN 'ALTER TABLE user DROP age'
                  ELSE 'ALTER TABLE audit_log DROP COLUMN x' END AS sql, ts_ms
@@ -69,8 +69,8 @@ _CTES = {
                  AS target_table
         FROM classified WHERE target IS NOT NULL""",
     "ddlev": """
-        SELECT 'ddl:' || printf('mysql-bin.%06d', file_seq) || ':' || pos AS event_id, 'mini-user-sync' AS connector,
-               'mini' AS database_name, target_table AS table_name, ddl_type, sql AS raw_sql,
+        SELECT 'ddl:' || printf('mysql-bin.%06d', file_seq) || ':' || pos AS event_id, 'shop-sync' AS connector,
+               'shop' AS database_name, target_table AS table_name, ddl_type, sql AS raw_sql,
                printf('mysql-bin.%06d', file_seq) AS file, file_seq, pos AS next_position, ts_ms
         FROM targets WHERE target_table IN ('user', 'order') AND ddl_type IS NOT NULL""",
     "resolved": """
@@ -103,7 +103,7 @@ _CTES = {
         JOIN (SELECT unnest([0, 1]) AS row_pos) r ON r.row_pos < g.n
         WHERE g.configured""",
     "txrows": """
-        SELECT *, 'mini-user-sync:' || printf('mysql-bin.%06d', commit_file_seq) || ':' || commit_xid || ':'
+        SELECT *, 'shop-sync:' || printf('mysql-bin.%06d', commit_file_seq) || ':' || commit_xid || ':'
                  || commit_position AS transaction_id, first_index + row_pos AS event_index
         FROM imgs WHERE commit_xid IS NOT NULL AND NOT moved""",
     "comm": """
@@ -114,7 +114,7 @@ _CTES = {
                count(*) FILTER (type <> 'XID' AND NOT configured AND table_name <> 'cdc_offset') AS n_ignored_external
         FROM grouped WHERE commit_xid IS NOT NULL GROUP BY commit_group""",
     "stored_cp": """
-        SELECT 'mini-user-sync' AS connector, printf('mysql-bin.%06d', file_seq) AS file, file_seq,
+        SELECT 'shop-sync' AS connector, printf('mysql-bin.%06d', file_seq) AS file, file_seq,
                next_position AS position
         FROM ev WHERE event_id < half ORDER BY file_seq DESC, next_position DESC LIMIT 1""",
     # messages
@@ -155,15 +155,15 @@ _CTES = {
         SELECT *, CASE WHEN d_pos IS NULL OR CAST(substr(table_name, 2) AS INT) % 3 = 0 THEN 'ACTIVE'
                        ELSE 'REBUILD_REQUIRED' END AS status FROM rstate""",
     "rblock": """
-        SELECT transaction_id, string_agg(DISTINCT 'mini.' || s.table_name, ',' ORDER BY 'mini.' || s.table_name) AS blocking_tables,
+        SELECT transaction_id, string_agg(DISTINCT 'shop.' || s.table_name, ',' ORDER BY 'shop.' || s.table_name) AS blocking_tables,
                arg_max(d_file, (d_seq, d_pos)) AS blocked_file, max((d_seq, d_pos))[1] AS blocked_file_seq,
                max((d_seq, d_pos))[2] AS blocked_position
         FROM rt JOIN rstatus s USING (table_name) WHERE s.status <> 'ACTIVE' GROUP BY transaction_id""",
     "olog": """
-        SELECT 'mini.' || table_name AS table_key, arrival, NULL AS transaction_id, file, file_seq, next_position
+        SELECT 'shop.' || table_name AS table_key, arrival, NULL AS transaction_id, file, file_seq, next_position
         FROM rddl WHERE ddl_type = 'DROP_COLUMN'
         UNION ALL
-        SELECT DISTINCT 'mini.' || table_name, xid * 2, transaction_id, NULL, NULL, NULL FROM rt""",
+        SELECT DISTINCT 'shop.' || table_name, xid * 2, transaction_id, NULL, NULL, NULL FROM rt""",
     "ostate": """
         SELECT *, last_value(CASE WHEN transaction_id IS NULL THEN {'s': file_seq, 'p': next_position, 'f': file} END IGNORE NULLS)
                  OVER (PARTITION BY table_key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st
@@ -174,16 +174,16 @@ _CTES = {
         FROM ostate WHERE transaction_id IS NOT NULL AND st IS NOT NULL GROUP BY transaction_id""",
     "otouch": """
         SELECT transaction_id, file, file_seq, next_position, string_agg(k, ',' ORDER BY i) AS touched FROM (
-            SELECT transaction_id, file, file_seq, next_position, 'mini.' || table_name AS k, min(event_index) AS i
+            SELECT transaction_id, file, file_seq, next_position, 'shop.' || table_name AS k, min(event_index) AS i
             FROM rt GROUP BY ALL) GROUP BY ALL""",
     "otask": """
-        SELECT 'mini.' || table_name || ':' || file || ':' || next_position AS task_id, 'mini.' || table_name AS table_key,
+        SELECT 'shop.' || table_name || ':' || file || ':' || next_position AS task_id, 'shop.' || table_name AS table_key,
                file_seq, next_position,
                row_number() OVER (PARTITION BY table_name ORDER BY file_seq DESC, next_position DESC) = 1 AS current
         FROM rddl WHERE ddl_type = 'DROP_COLUMN'""",
     # rebuild tasks
     "tk": """
-        SELECT event_id, ts, 'mini.u' || user_id || ':' || printf('mysql-bin.%06d', file_seq) || ':'
+        SELECT event_id, ts, 'shop.u' || user_id || ':' || printf('mysql-bin.%06d', file_seq) || ':'
                  || (next_position + event_index) AS task_id,
                'u' || user_id AS table_name, printf('mysql-bin.%06d', file_seq) AS file, file_seq,
                next_position + event_index AS next_position,
@@ -205,7 +205,7 @@ _CTES = {
                CASE WHEN event_type = 'signup' THEN 'SNAPSHOT_ROW'
                     WHEN event_type = 'error' AND event_id % 5 IN (0, 1, 2) THEN 'REBUILD'
                     WHEN event_type = 'error' AND event_id % 5 = 4 THEN 'CHECKPOINT' ELSE 'DML_TX' END AS kind,
-               'mini' AS database_name, table_name, 'ref:' || event_id AS reference,
+               'shop' AS database_name, table_name, 'ref:' || event_id AS reference,
                CASE WHEN event_type IN ('signup', 'click') THEN 'PUBLISHED' WHEN event_type = 'view' THEN 'SUCCESS'
                     WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'DUPLICATE'
                     WHEN event_type = 'purchase' THEN 'BUFFERED' WHEN event_id % 5 = 0 THEN 'STARTED'
@@ -213,11 +213,11 @@ _CTES = {
                event_id % 50 AS n_rows
         FROM ev""",
     "staged": """
-        SELECT 'mini' AS database_name, 'user' AS table_name, CAST(c_custkey AS VARCHAR) AS row_key, false AS deleted,
+        SELECT 'shop' AS database_name, 'user' AS table_name, CAST(c_custkey AS VARCHAR) AS row_key, false AS deleted,
                '{"c_custkey":' || c_custkey || ',"c_name":' || CAST(to_json(c_name) AS VARCHAR) || ',"c_nationkey":'
                  || c_nationkey || ',"c_mktsegment":' || CAST(to_json(c_mktsegment) AS VARCHAR) || '}' AS payload,
                'mysql-bin.000003' AS file, 3 AS file_seq, 700 AS next_position, rk % 50 AS event_index,
-               'rebuild:mini.user:mysql-bin.000003:700:' || (rk // 50) AS transaction_id
+               'rebuild:shop.user:mysql-bin.000003:700:' || (rk // 50) AS transaction_id
         FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rk FROM customer)""",
 }
 
@@ -284,15 +284,15 @@ _SQL: dict[str, str] = {
         f"""SELECT database_name, table_name, row_key, payload, transaction_id
             FROM {_latest('stale', _BY_ARRIVAL)} WHERE NOT deleted""", *_STALE),
     "keyed_records": _with(
-        f"""SELECT 'cdc:mini.' || table_name || ':' || row_key AS business_key, payload,
-                   'mini-cdc:row:meta:mini.' || table_name || ':' || row_key AS meta_key,
+        f"""SELECT 'cdc:shop.' || table_name || ':' || row_key AS business_key, payload,
+                   'row:meta:shop.' || table_name || ':' || row_key AS meta_key,
                    '{{"deleted":' || CASE WHEN deleted THEN 'true' ELSE 'false' END || ',"version":{{"binlogFilename":"' || file
                      || '","nextPosition":' || next_position || ',"eventIndex":' || event_index || ',"transactionId":"'
                      || transaction_id || '"}}}}' AS meta
             FROM {_latest('ch', _BY_VERSION)}""", *_CH),
     "keyed_records_table_scope": _with(
         f"""SELECT 'cdc:' || table_name || ':' || row_key AS business_key, payload,
-                   'mini-cdc:row:meta:' || table_name || ':' || row_key AS meta_key
+                   'row:meta:' || table_name || ':' || row_key AS meta_key
             FROM {_latest('ch', _BY_VERSION)} WHERE NOT deleted""", *_CH),
     "tombstones": _with(
         f"""SELECT database_name, table_name, row_key, file, CAST(next_position AS BIGINT) AS next_position,
@@ -311,7 +311,7 @@ _SQL: dict[str, str] = {
             FROM ({_halves(_BY_ARRIVAL, _BY_ARRIVAL, 'stored')}) WHERE NOT deleted""", *_STALE),
     "table_map_resolved": _with(
         f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, type, CAST(table_id AS BIGINT) AS table_id,
-                   'mini' AS database_name, table_name FROM logrows WHERE type <> 'XID'""", *_LOG),
+                   'shop' AS database_name, table_name FROM logrows WHERE type <> 'XID'""", *_LOG),
     "commit_groups": _with(
         f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, type, table_name, configured,
                    CAST(commit_group AS BIGINT) AS commit_group, CAST(first_index AS BIGINT) AS first_index,
@@ -340,7 +340,7 @@ _SQL: dict[str, str] = {
                   n_ignored_external, n_rows > 0 OR n_ignored = 0 OR n_ignored_external > 0 AS advances
            FROM comm""", *_GROUPED, "comm"),
     "connector_checkpoint": _with(
-        """SELECT 'mini-user-sync' AS connector, file, CAST(file_seq AS BIGINT) AS file_seq,
+        """SELECT 'shop-sync' AS connector, file, CAST(file_seq AS BIGINT) AS file_seq,
                   CAST(next_position AS BIGINT) AS position
            FROM (SELECT file, file_seq, next_position FROM comm
                  WHERE n_rows > 0 OR n_ignored = 0 OR n_ignored_external > 0
@@ -377,14 +377,14 @@ _SQL: dict[str, str] = {
     "whitelist_rows": _with(
         f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, type, table_name FROM logrows WHERE configured""", *_LOG),
     "ignored_tables": _with(
-        """SELECT 'mini' AS database_name, table_name, type, count(*) AS n_events FROM logrows
+        """SELECT 'shop' AS database_name, table_name, type, count(*) AS n_events FROM logrows
            WHERE type <> 'XID' AND NOT configured GROUP BY ALL""", *_LOG),
     "envelopes": _with(
         """SELECT CAST(xid * 2 AS BIGINT) AS arrival, transaction_id AS key,
                   '{"messageType":"TRANSACTION","transaction":{"transactionId":"' || transaction_id
-                  || '","connectorName":"mini-user-sync","binlogFilename":"' || file || '","xid":' || xid
+                  || '","connectorName":"shop-sync","binlogFilename":"' || file || '","xid":' || xid
                   || ',"nextPosition":' || next_position || ',"timestamp":' || min(ts_ms) || ',"events":['
-                  || string_agg('{"database":"mini","table":"' || table_name || '","eventIndex":' || event_index
+                  || string_agg('{"database":"shop","table":"' || table_name || '","eventIndex":' || event_index
                        || ',"eventType":"' || op || '","primaryKey":{"id":' || row_key || '},"before":'
                        || CASE WHEN op = 'DELETE' THEN image ELSE 'null' END || ',"after":'
                        || CASE WHEN op = 'DELETE' THEN 'null' ELSE image END || '}', ',' ORDER BY event_index)
@@ -415,7 +415,7 @@ _SQL: dict[str, str] = {
         """SELECT transaction_id, CAST(xid * 2 AS BIGINT) AS arrival, CAST(xid AS BIGINT) AS xid, count(*) AS n_events
            FROM ch GROUP BY transaction_id, xid""", *_CH),
     "done_anti_join": _with(
-        """SELECT transaction_id, 'mini-cdc:txn:done:' || transaction_id AS done_key,
+        """SELECT transaction_id, 'txn:done:' || transaction_id AS done_key,
                   CASE WHEN bool_or(event_id < half) THEN 'DUPLICATE' ELSE 'APPLIED' END AS outcome
            FROM ch GROUP BY transaction_id""", *_CH),
     "synced_view": _with(
@@ -428,7 +428,7 @@ _SQL: dict[str, str] = {
                    coalesce(ddl_type IN ('DROP_COLUMN', 'RENAME_COLUMN', 'MODIFY_COLUMN'), false) AS destructive
             FROM classified""", *_DDL),
     "ddl_targets": _with(
-        f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, 'mini' AS database_name, target_table AS table_name
+        f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, 'shop' AS database_name, target_table AS table_name
             FROM targets WHERE target_table IN ('user', 'order')""", *_DDL, "targets"),
     "schema_changes": _with(
         """SELECT event_id, connector, database_name, table_name, ddl_type, raw_sql,
@@ -444,13 +444,13 @@ _SQL: dict[str, str] = {
            FROM ddlev WHERE table_name NOT IN (SELECT table_name FROM ddlev WHERE ddl_type <> 'ADD_COLUMN')
            QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY file_seq DESC, next_position DESC) = 1""", *_DDLEV),
     "schema_state_after_runs": _with(
-        """SELECT 'mini' AS database_name, table_name, status, CASE WHEN status = 'ACTIVE' THEN l_file ELSE d_file END AS file,
+        """SELECT 'shop' AS database_name, table_name, status, CASE WHEN status = 'ACTIVE' THEN l_file ELSE d_file END AS file,
                   CAST(CASE WHEN status = 'ACTIVE' THEN l_seq ELSE d_seq END AS BIGINT) AS file_seq,
                   CAST(CASE WHEN status = 'ACTIVE' THEN l_pos ELSE d_pos END AS BIGINT) AS next_position,
                   CASE WHEN status = 'ACTIVE' THEN last_type ELSE 'DROP_COLUMN' END AS ddl_type, 'ALTER TABLE' AS ddl_sql
            FROM rstatus""", "ev", "rddl", "rstate", "rstatus"),
     "rebuild_tasks": _with(
-        """SELECT 'mini.' || table_name || ':' || file || ':' || next_position AS task_id, database_name, table_name, file,
+        """SELECT 'shop.' || table_name || ':' || file || ':' || next_position AS task_id, database_name, table_name, file,
                   CAST(next_position AS BIGINT) AS next_position, 'PENDING' AS status, CAST(0 AS BIGINT) AS retry_count
            FROM ddlev WHERE ddl_type <> 'ADD_COLUMN'""", *_DDLEV),
     "touched_tables": _with("SELECT transaction_id, touched FROM otouch", *_ORDERED),
@@ -545,7 +545,7 @@ _SQL: dict[str, str] = {
                count(*) = 50 AS has_more
         FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rk FROM conversations) GROUP BY 1""",
     "snapshot_transactions": """
-        SELECT 'snapshot:mini-user-sync:mini.customer:mysql-bin.000002:25000:' || (rk // 500) AS transaction_id,
+        SELECT 'snapshot:shop-sync:shop.customer:mysql-bin.000002:25000:' || (rk // 500) AS transaction_id,
                rk // 500 AS xid, CAST(25000 AS BIGINT) AS next_position, count(*) AS n_events,
                string_agg((rk % 500) || '|SNAPSHOT_UPSERT|{"c_custkey":' || c_custkey || '}|{"c_custkey":' || c_custkey
                  || ',"c_name":' || CAST(to_json(c_name) AS VARCHAR) || ',"c_nationkey":' || c_nationkey || '}',
@@ -553,38 +553,38 @@ _SQL: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rk FROM customer) GROUP BY rk // 500""",
     "bootstrap_rows": """
         SELECT CAST(0 AS BIGINT) AS table_order,
-               'snapshot:mini-user-sync:mini.customer:mysql-bin.000002:25000:' || (rk // 500) AS transaction_id,
+               'snapshot:shop-sync:shop.customer:mysql-bin.000002:25000:' || (rk // 500) AS transaction_id,
                rk % 500 AS event_index, 'SNAPSHOT_UPSERT' AS op, 'customer' AS table_name, CAST(c_custkey AS VARCHAR) AS row_key,
                '{"c_custkey":' || c_custkey || ',"c_name":' || CAST(to_json(c_name) AS VARCHAR) || ',"c_nationkey":'
                  || c_nationkey || '}' AS after
         FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rk FROM customer)
         UNION ALL
-        SELECT 1, 'snapshot:mini-user-sync:mini.orders:mysql-bin.000002:25000:' || (rk // 500), rk % 500, 'SNAPSHOT_UPSERT',
+        SELECT 1, 'snapshot:shop-sync:shop.orders:mysql-bin.000002:25000:' || (rk // 500), rk % 500, 'SNAPSHOT_UPSERT',
                'orders', CAST(o_orderkey AS VARCHAR),
                '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":'
                  || CAST(to_json(o_orderstatus) AS VARCHAR) || '}'
         FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rk FROM orders)""",
     "full_sync_progress": """
-        SELECT 'mini-user-sync' AS connector, 'mini' AS database_name, 'customer' AS table_name, 'COMPLETED' AS status,
+        SELECT 'shop-sync' AS connector, 'shop' AS database_name, 'customer' AS table_name, 'COMPLETED' AS status,
                'mysql-bin.000002' AS cutover_file, CAST(25000 AS BIGINT) AS cutover_position,
                '{"c_custkey":' || max(c_custkey) || '}' AS last_sent_pk, (count(*) + 499) // 500 AS n_pages, count(*) AS n_rows
         FROM customer
         UNION ALL
-        SELECT 'mini-user-sync', 'mini', 'orders', 'COMPLETED', 'mysql-bin.000002', 25000,
+        SELECT 'shop-sync', 'shop', 'orders', 'COMPLETED', 'mysql-bin.000002', 25000,
                '{"o_orderkey":' || max(o_orderkey) || '}', (count(*) + 499) // 500, count(*) FROM orders""",
     "bootstrap_checkpoint": """
-        SELECT 'mini-user-sync' AS connector, 'mysql-bin.000002' AS file, CAST(2 AS BIGINT) AS file_seq,
+        SELECT 'shop-sync' AS connector, 'mysql-bin.000002' AS file, CAST(2 AS BIGINT) AS file_seq,
                CAST(25000 AS BIGINT) AS position""",
     "snapshot_plus_incremental": _with(
         f"""SELECT {_VIEW} FROM {_latest('''(
               SELECT database_name, table_name, row_key, op, image, file, file_seq, next_position, event_index, transaction_id,
                      arrival, list_pos FROM ch
               UNION ALL
-              SELECT 'mini', 'user', CAST(c_custkey AS VARCHAR), 'SNAPSHOT_UPSERT',
+              SELECT 'shop', 'user', CAST(c_custkey AS VARCHAR), 'SNAPSHOT_UPSERT',
                      '{"c_custkey":' || c_custkey || ',"c_name":' || CAST(to_json(c_name) AS VARCHAR) || ',"c_nationkey":'
                        || c_nationkey || ',"c_mktsegment":' || CAST(to_json(c_mktsegment) AS VARCHAR) || '}',
                      'mysql-bin.000002', 2, 25000, rk % 500,
-                     'snapshot:mini-user-sync:mini.user:mysql-bin.000002:25000:' || (rk // 500), -1, rk % 500
+                     'snapshot:shop-sync:shop.user:mysql-bin.000002:25000:' || (rk // 500), -1, rk % 500
               FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rk FROM customer))''', _BY_VERSION)}""", *_CH),
     "control_upsert": _with(
         """SELECT row_key AS connector, arg_max(file, event_id) AS file, CAST(arg_max(file_seq, event_id) AS BIGINT) AS file_seq,
@@ -621,24 +621,24 @@ _SQL: dict[str, str] = {
         """SELECT ts, kind AS event_type, database_name, table_name, reference, result FROM outc
            ORDER BY ts DESC, event_id DESC LIMIT 50""", "ev", "outc"),
     "recent_full_sync": """
-        SELECT 'mini' AS database_name, CAST(user_id AS VARCHAR) AS table_name, max(ts) AS started_at FROM events
+        SELECT 'shop' AS database_name, CAST(user_id AS VARCHAR) AS table_name, max(ts) AS started_at FROM events
         GROUP BY user_id ORDER BY started_at DESC, table_name DESC LIMIT 10""",
     "connector_status": _with(
         """SELECT c.connector, 'SNAPSHOT_THEN_INCREMENTAL' AS startup_strategy, file, CAST(position AS BIGINT) AS position,
                   file IS NOT NULL AS checkpoint_present,
                   (SELECT count(*) FROM tk WHERE status = 'RUNNING') AS running_rebuilds,
                   (SELECT count(*) FROM tk WHERE status = 'FAILED') AS failed_rebuilds
-           FROM (SELECT unnest(['mini-user-sync', 'fresh']) AS connector) c LEFT JOIN stored_cp s ON s.connector = c.connector""",
+           FROM (SELECT unnest(['shop-sync', 'fresh']) AS connector) c LEFT JOIN stored_cp s ON s.connector = c.connector""",
         *_TASKS, "stored_cp"),
     "overview_states": _with(
-        """SELECT 'mini' AS database_name, table_name, status,
+        """SELECT 'shop' AS database_name, table_name, status,
                   CASE WHEN status = 'ACTIVE' THEN last_type ELSE 'DROP_COLUMN' END AS ddl_type,
                   CAST(CASE WHEN status = 'ACTIVE' THEN l_pos ELSE d_pos END AS BIGINT) AS next_position
            FROM rstatus""", "ev", "rddl", "rstate", "rstatus"),
 }
 
 _SQL["table_catalogue"] = """
-    SELECT 'mini' AS database_name, t AS table_name, string_agg(column_name, ',' ORDER BY i) AS columns, pk AS primary_keys,
+    SELECT 'shop' AS database_name, t AS table_name, string_agg(column_name, ',' ORDER BY i) AS columns, pk AS primary_keys,
            CAST(o AS BIGINT) AS table_order
     FROM (SELECT 'customer' AS t, 0 AS o, 'c_custkey' AS pk, unnest(keys) AS column_name,
                  generate_subscripts(keys, 1) AS i

@@ -551,7 +551,7 @@ CUSTOMER_USER = TableSpec(
     feed.DATABASE, "user", ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), ("c_custkey",),
     ("c_custkey", "c_nationkey"),
 )
-REBUILD = {"task_id": "mini.user:mysql-bin.000003:700", "file": "mysql-bin.000003", "next_position": 700}
+REBUILD = {"task_id": "shop.user:mysql-bin.000003:700", "file": "mysql-bin.000003", "next_position": 700}
 
 
 def _staged(spark, sf):

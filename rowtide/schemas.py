@@ -64,8 +64,7 @@ INTERNAL_PROGRESS_TABLES = ("cdc_offset", "full_sync_task", "schema_state", "reb
 REBUILD_STATUSES = ("PENDING", "RUNNING", "DONE", "FAILED", "OBSOLETE")
 DESTRUCTIVE_DDL = ("DROP_COLUMN", "RENAME_COLUMN", "MODIFY_COLUMN")
 KEY_PREFIX = "cdc:"
-META_PREFIX = "mini-cdc:row:meta:"
-DONE_PREFIX = "mini-cdc:txn:done:"
-STAGING_PREFIX = "cdc:staging:"
+META_PREFIX = "row:meta:"
+DONE_PREFIX = "txn:done:"
 STALE_TASK_ERROR = "Recovered stale RUNNING task for retry."
 PUBLISH_PAGE_ERROR = "Failed to publish snapshot page."

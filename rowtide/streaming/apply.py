@@ -56,24 +56,33 @@ def _apply(store: ChangeStore, version: int, messages: DataFrame, on_poison: str
         first = rejected.select("transaction_id", "reason").limit(1).collect()
         if first:
             raise RejectedTransactionError(f"transaction {first[0].transaction_id} rejected: {first[0].reason}")
-    bad = poison.select("arrival", "key", "value", "reason").unionByName(
-        rejected.select("arrival", F.col("transaction_id").alias("key"), "value", "reason")
-    )
-    store.write("quarantine", version, bad)
+    if "quarantine" in (on_poison, on_reject):
+        bad = poison.select("arrival", "key", "value", "reason").unionByName(
+            rejected.select("arrival", F.col("transaction_id").alias("key"), "value", "reason")
+        )
+        store.write("quarantine", version, bad)
 
     first_seen = fold.dedupe_transactions(valid)
     low, high = first_seen.agg(F.min("file_seq"), F.max("file_seq")).first()
     done = store.done((low, high) if low is not None else (0, -1), before)
-    routed = ddl.route_batch(first_seen, changes, store.schema_states(before), done)
+    states = store.schema_states(before)
+    has_ddl = changes.limit(1).count() > 0
+    if has_ddl or states.filter(F.col("status") != "ACTIVE").limit(1).count():
+        routed = ddl.route_batch(first_seen, changes, states, done)
+        known = store.read("pending", before).select("transaction_id", "fragment")
+        held = ddl.pending_rows(routed).join(known, ["transaction_id", "fragment"], "left_anti")
+        store.write("pending", version, held)
+    else:
+        routed = ddl.route_unblocked(first_seen, done)
+    if has_ddl:
+        store.write("schema_changes", version, changes)
+        tasks = store.read("tasks", before).select("task_id")
+        new = ddl.intake_ddl(changes).dropDuplicates(["task_id"]).join(tasks, "task_id", "left_anti")
+        store.write("tasks", version, new)
     applied = routed.filter(F.col("route") == "APPLIED")
     rows = envelope.explode_rows(applied)
     store.write("changes", version, fold.fold_latest(rows) if store.mode == "meta" else fold.fold_arrival(rows))
     store.write("done", version, applied.select("transaction_id", "file_seq").distinct())
-    known = store.read("pending", before).select("transaction_id", "fragment")
-    store.write("pending", version, ddl.pending_rows(routed).join(known, ["transaction_id", "fragment"], "left_anti"))
-    store.write("schema_changes", version, changes)
-    tasks = store.read("tasks", before).select("task_id")
-    store.write("tasks", version, ddl.intake_ddl(changes).dropDuplicates(["task_id"]).join(tasks, "task_id", "left_anti"))
     store.write("outcomes", version, _outcomes(routed, rejected, changes))
 
 

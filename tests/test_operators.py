@@ -48,8 +48,8 @@ def test_file_sequence_and_versions(spark):
 def test_keys(spark):
     pk = F.create_map(F.lit("tenant"), F.lit("7"), F.lit("user"), F.lit(None).cast("string"))
     assert one(spark, key_text(pk)) == "7:null"
-    db, table, key = F.lit("mini"), F.lit("user"), F.lit("1")
-    assert one(spark, business_key(db, table, key)) == "cdc:mini.user:1"
+    db, table, key = F.lit("shop"), F.lit("user"), F.lit("1")
+    assert one(spark, business_key(db, table, key)) == "cdc:shop.user:1"
     assert one(spark, business_key(db, table, key, "TABLE", "p:")) == "p:user:1"
     with pytest.raises(Exception, match="identity"):
         one(spark, business_key(F.lit(" "), table, key))
@@ -78,19 +78,19 @@ def test_values(spark):
 @pytest.mark.parametrize(
     "sql, kind, table",
     [
-        ("ALTER TABLE user DROP COLUMN age", "DROP_COLUMN", ("mini", "user")),
+        ("ALTER TABLE user DROP COLUMN age", "DROP_COLUMN", ("shop", "user")),
         ("  alter table `Shop`.`order` rename column a to b", "RENAME_COLUMN", ("shop", "order")),
-        ("ALTER TABLE user MODIFY COLUMN a int, ADD COLUMN b int", "MODIFY_COLUMN", ("mini", "user")),
-        ("ALTER TABLE user ADD COLUMN a int, DROP COLUMN b", "DROP_COLUMN", ("mini", "user")),
-        ("ALTER TABLE user ADD COLUMN a int", "ADD_COLUMN", ("mini", "user")),
-        ("ALTER TABLE user DROP age", None, ("mini", "user")),
+        ("ALTER TABLE user MODIFY COLUMN a int, ADD COLUMN b int", "MODIFY_COLUMN", ("shop", "user")),
+        ("ALTER TABLE user ADD COLUMN a int, DROP COLUMN b", "DROP_COLUMN", ("shop", "user")),
+        ("ALTER TABLE user ADD COLUMN a int", "ADD_COLUMN", ("shop", "user")),
+        ("ALTER TABLE user DROP age", None, ("shop", "user")),
         ("TRUNCATE TABLE user", None, (None, None)),
         ("BEGIN", None, (None, None)),
     ],
 )
 def test_ddl(spark, sql, kind, table):
     assert one(spark, ddl_type(F.lit(sql))) == kind
-    target = one(spark, ddl_target(F.lit("mini"), F.lit(sql)))
+    target = one(spark, ddl_target(F.lit("shop"), F.lit(sql)))
     assert (target.database_key, target.table_key) == table
 
 
@@ -106,9 +106,9 @@ def test_catalog_errors(spark):
     with pytest.raises(ValueError, match="no table"):
         load_catalog(spark, [])
     with pytest.raises(ValueError, match="no columns"):
-        load_catalog(spark, [TableSpec("mini", "user", (), ("id",))])
+        load_catalog(spark, [TableSpec("shop", "user", (), ("id",))])
     with pytest.raises(ValueError, match="no primary key"):
-        load_catalog(spark, [TableSpec("mini", "user", ("id",), ())])
+        load_catalog(spark, [TableSpec("shop", "user", ("id",), ())])
     with pytest.raises(ValueError, match="no columns"):
         catalog_from_session(spark, [("default", "missing_table")], {})
 
@@ -121,7 +121,7 @@ def test_sources_round_trip(spark, sf, tmp_path):
     sent = feed.as_messages(feed.changes(spark, sf))
     write_envelopes(sent, str(tmp_path / "topic"))
     assert read_envelopes(spark, str(tmp_path / "topic")).exceptAll(sent).count() == 0
-    spec = TableSpec("mini", "customer", ("c_name", "c_custkey"), ("c_custkey",))
+    spec = TableSpec("shop", "customer", ("c_name", "c_custkey"), ("c_custkey",))
     table = read_table(spark, spec, f"{sf}/customer.parquet")
     assert table.columns == ["c_name", "c_custkey"]
     with pytest.raises(Exception, match="kafka"):
@@ -166,7 +166,7 @@ def random_log(seed, n=400):
                 out.append({
                     "connector": connector, "file": f"bin.{file}", "pos": pos, "seq": 0, "type": kind,
                     "table_id": rng.choice([1, 2, 3]) if kind in ("TABLE_MAP", "WRITE", "DELETE") else None,
-                    "database_name": "mini", "table_name": rng.choice(["user", "order", "other"]) if kind == "TABLE_MAP" else None,
+                    "database_name": "shop", "table_name": rng.choice(["user", "order", "other"]) if kind == "TABLE_MAP" else None,
                     "rows": values if kind in ("WRITE", "DELETE") else None, "xid": len(out), "sql": None, "ts_ms": 1,
                 })
     return out
@@ -213,7 +213,7 @@ def test_carry_last_crosses_blocks(spark):
 def test_pk_rules(spark):
     catalog = feed.catalog(spark)
     log = [
-        {"type": "TABLE_MAP", "pos": 1, "table_id": 10, "database_name": "mini", "table_name": "user"},
+        {"type": "TABLE_MAP", "pos": 1, "table_id": 10, "database_name": "shop", "table_name": "user"},
         {"type": "UPDATE", "pos": 2, "table_id": 10, "rows": [{"before": ["1", "5"], "after": ["2", "6"]}]},
         {"type": "XID", "pos": 3, "xid": 9},
     ]
@@ -260,19 +260,19 @@ def test_checkpoint_rules(spark):
 
 def test_envelope_text(spark):
     change = spark.createDataFrame(
-        [("mini-user-sync", "mysql-bin.000001", 1, 345, 240, 1710000000000, "mini-user-sync:mysql-bin.000001:345:240", 0,
-          "mini", "user", "INSERT", '{"id":1}', None, '{"id":1,"username":"alice"}')],
+        [("shop-sync", "mysql-bin.000001", 1, 345, 240, 1710000000000, "shop-sync:mysql-bin.000001:345:240", 0,
+          "shop", "user", "INSERT", '{"id":1}', None, '{"id":1,"username":"alice"}')],
         "connector string, file string, file_seq bigint, xid bigint, next_position bigint, ts_ms bigint, transaction_id string, "
         "event_index bigint, database_name string, table_name string, op string, primary_key_json string, before string, after string",
     )
     sent = envelope.encode_transactions(assemble.assemble_transactions(change)).first()
-    assert sent.key == "mini-user-sync:mysql-bin.000001:345:240"
+    assert sent.key == "shop-sync:mysql-bin.000001:345:240"
     assert json.loads(sent.value) == {
         "messageType": "TRANSACTION",
         "transaction": {
-            "transactionId": "mini-user-sync:mysql-bin.000001:345:240", "connectorName": "mini-user-sync",
+            "transactionId": "shop-sync:mysql-bin.000001:345:240", "connectorName": "shop-sync",
             "binlogFilename": "mysql-bin.000001", "xid": 345, "nextPosition": 240, "timestamp": 1710000000000,
-            "events": [{"database": "mini", "table": "user", "eventIndex": 0, "eventType": "INSERT",
+            "events": [{"database": "shop", "table": "user", "eventIndex": 0, "eventType": "INSERT",
                         "primaryKey": {"id": 1}, "before": None, "after": {"id": 1, "username": "alice"}}],
         },
         "schemaChange": None,
@@ -314,7 +314,7 @@ def random_transactions(seed, n=120):
 
 def as_rows(spark, txns):
     listed = [
-        (t["id"], 0, arrival, t["file"], "c", t["pos"], i, i, "mini", r["table"], r["key"], r["op"], r["after"])
+        (t["id"], 0, arrival, t["file"], "c", t["pos"], i, i, "shop", r["table"], r["key"], r["op"], r["after"])
         for arrival, t in enumerate(txns) for i, r in enumerate(t["rows"])
     ]
     return spark.createDataFrame(
@@ -362,7 +362,7 @@ def test_dedupe_is_the_same_beyond_the_bound(spark, sf, monkeypatch):
 
 def ddl_rows(spark, *listed):
     return spark.createDataFrame(
-        [(f"ddl:{p}", "c", "mini", t, kind, "ALTER", "b.1", 1, p, 1, p) for t, kind, p in listed],
+        [(f"ddl:{p}", "c", "shop", t, kind, "ALTER", "b.1", 1, p, 1, p) for t, kind, p in listed],
         S.SCHEMA_CHANGE + ", arrival bigint",
     )
 
@@ -372,7 +372,7 @@ def test_schema_state_rules(spark):
     state = ddl.schema_state(changes)
     assert rows(state, "table_name", "status", "next_position") == [("order", "ACTIVE", 5), ("user", "REBUILD_REQUIRED", 10)]
     log = lambda status, pos: spark.createDataFrame(
-        [("mini", "user", 1, pos, status, 1)],
+        [("shop", "user", 1, pos, status, 1)],
         "database_name string, table_name string, file_seq bigint, next_position bigint, status string, seq bigint")
     done = ddl.schema_state(changes, log("ACTIVE", 10)).filter("table_name = 'user'")
     assert rows(done, "status", "ddl_type") == [("ACTIVE", "ADD_COLUMN")]
@@ -380,37 +380,37 @@ def test_schema_state_rules(spark):
     assert rows(old, "status") == [("REBUILD_REQUIRED",)]
     failed = ddl.schema_state(changes, log("REBUILD_FAILED", 10)).filter("table_name = 'user'")
     assert rows(failed, "status") == [("REBUILD_FAILED",)]
-    assert rows(ddl.intake_ddl(changes), "task_id") == [("mini.user:b.1:10",)]
+    assert rows(ddl.intake_ddl(changes), "task_id") == [("shop.user:b.1:10",)]
 
 
 def test_target_spelling_and_ambiguity(spark):
-    catalog = load_catalog(spark, [TableSpec("Mini", "User", ("id",), ("id",)), TableSpec("mini", "user", ("id",), ("id",))])
-    sql = spark.createDataFrame([("mini", "alter table USER drop column a"), ("mini", "alter table x.y drop column a")],
+    catalog = load_catalog(spark, [TableSpec("Shop", "User", ("id",), ("id",)), TableSpec("shop", "user", ("id",), ("id",))])
+    sql = spark.createDataFrame([("shop", "alter table USER drop column a"), ("shop", "alter table x.y drop column a")],
                                 "database_name string, sql string")
-    assert rows(ddl.resolve_ddl_table(sql, catalog), "database_name", "table_name") == [("Mini", "User")]
+    assert rows(ddl.resolve_ddl_table(sql, catalog), "database_name", "table_name") == [("Shop", "User")]
 
 
 def test_replay_waits_for_all_blocking_tables(spark):
     pending = spark.createDataFrame(
-        [("t1", 0, "c", "b.1", 1, 50, "{}", ["mini.a", "mini.b"], ["mini.a", "mini.b"], "b.1", 1, 20, "PENDING"),
-         ("t2", 0, "c", "b.1", 1, 60, "{}", ["mini.a"], ["mini.a"], "b.1", 1, 10, "PENDING"),
-         ("t3", 0, "c", "b.1", 1, 70, "{}", ["mini.aa"], ["mini.aa"], "b.1", 1, 10, "PENDING")], S.PENDING)
+        [("t1", 0, "c", "b.1", 1, 50, "{}", ["shop.a", "shop.b"], ["shop.a", "shop.b"], "b.1", 1, 20, "PENDING"),
+         ("t2", 0, "c", "b.1", 1, 60, "{}", ["shop.a"], ["shop.a"], "b.1", 1, 10, "PENDING"),
+         ("t3", 0, "c", "b.1", 1, 70, "{}", ["shop.aa"], ["shop.aa"], "b.1", 1, 10, "PENDING")], S.PENDING)
     tasks = ddl.intake_ddl(ddl_rows(spark, ("a", "DROP_COLUMN", 10)))
     exact = rebuild.replay_candidates(pending, tasks)
     assert rows(exact, "transaction_id") == [("t2",)]
     every = rebuild.replay_candidates(pending, tasks, exact=False)
     assert rows(every, "transaction_id") == [("t1",), ("t2",)]
     states = ddl.schema_state(ddl_rows(spark, ("a", "DROP_COLUMN", 10), ("b", "DROP_COLUMN", 20)))
-    table = lambda *names: spark.createDataFrame([("mini", n) for n in names], "database_name string, table_name string")
+    table = lambda *names: spark.createDataFrame([("shop", n) for n in names], "database_name string, table_name string")
     assert rows(rebuild.replayable(every, states, table("a")), "transaction_id") == [("t2",)]
     assert rows(rebuild.replayable(every, states, table("a", "b")), "transaction_id") == [("t1",), ("t2",)]
 
 
 def test_claim(spark):
     tasks = ddl.intake_ddl(ddl_rows(spark, ("a", "DROP_COLUMN", 10), ("b", "DROP_COLUMN", 20)))
-    claimed = rebuild.claim(tasks, "mini.a:b.1:10")
+    claimed = rebuild.claim(tasks, "shop.a:b.1:10")
     assert rows(claimed, "table_name", "status") == [("a", "RUNNING"), ("b", "PENDING")]
-    assert rows(rebuild.claim(claimed, "mini.a:b.1:10"), "status") == rows(claimed, "status")
+    assert rows(rebuild.claim(claimed, "shop.a:b.1:10"), "status") == rows(claimed, "status")
     assert rebuild.next_pending(claimed).first().table_name == "b"
 
 
@@ -438,10 +438,10 @@ def test_paging(spark, n_rows, n, pages):
 
 
 def test_full_sync_failure(spark):
-    specs = [TableSpec("mini", t, ("id",), ("id",), ("id",)) for t in ("user", "order", "item")]
-    sent = spark.createDataFrame([("mini", "user", 0, 3, '{"id":3}')],
+    specs = [TableSpec("shop", t, ("id",), ("id",), ("id",)) for t in ("user", "order", "item")]
+    sent = spark.createDataFrame([("shop", "user", 0, 3, '{"id":3}')],
                                  "database_name string, table_name string, page_index bigint, n_rows bigint, last_pk string")
-    failure = spark.createDataFrame([("mini", "order", S.PUBLISH_PAGE_ERROR, "kafka down")],
+    failure = spark.createDataFrame([("shop", "order", S.PUBLISH_PAGE_ERROR, "kafka down")],
                                     "database_name string, table_name string, message string, root_cause string")
     progress = snapshot.full_sync_progress(load_catalog(spark, specs), sent, feed.CUTOVER, failure)
     assert rows(progress, "table_name", "status", "last_error") == [

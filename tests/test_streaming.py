@@ -31,7 +31,7 @@ def view_rows(df):
 def message(arrival, txn_id, pos, events, file="mysql-bin.000010"):
     listed = [
         {
-            "database": "mini", "table": t, "eventIndex": i, "eventType": op,
+            "database": "shop", "table": t, "eventIndex": i, "eventType": op,
             "primaryKey": {"id": key}, "before": None, "after": after,
         }
         for i, (t, op, key, after) in enumerate(events)
@@ -45,7 +45,7 @@ def message(arrival, txn_id, pos, events, file="mysql-bin.000010"):
 
 def ddl_message(arrival, table, kind, pos, file="mysql-bin.000010"):
     change = {
-        "eventId": f"ddl:{file}:{pos}", "connectorName": "c", "database": "mini", "table": table, "ddlType": kind,
+        "eventId": f"ddl:{file}:{pos}", "connectorName": "c", "database": "shop", "table": table, "ddlType": kind,
         "rawSql": "ALTER TABLE", "binlogFilename": file, "nextPosition": pos, "timestamp": 1000,
     }
     return ("t", 0, arrival, change["eventId"], 0, json.dumps({"messageType": "SCHEMA_CHANGE", "schemaChange": change}))
@@ -60,14 +60,14 @@ def messages(spark, *listed):
 def test_stream_equals_batch_and_replay_changes_nothing(spark, sf, tmp_path):
     once = feed.as_messages(feed.changes(spark, sf))
     source = str(tmp_path / "topic")
-    write_envelopes(once.repartitionByRange(3, "arrival"), source)
+    write_envelopes(once.repartitionByRange(2, "arrival"), source)
     store = ChangeStore(spark, str(tmp_path / "store")).create()
     stream = read_envelopes(spark, source, stream=True, max_files=1)
     assert run_sync(stream, store, str(tmp_path / "cp")) == 1
     expected = view_rows(fold.fold_latest(feed.changes(spark, sf)))
     assert view_rows(store.view()) == expected
 
-    write_envelopes(once.withColumn("arrival", F.col("arrival") + 1_000_000), source)
+    write_envelopes(once.withColumn("arrival", F.col("arrival") + 1_000_000).coalesce(1), source)
     run_sync(stream, store, str(tmp_path / "cp"))
     assert view_rows(store.view()) == expected
     assert {r.result for r in store.outcomes().select("result").distinct().collect()} == {"SUCCESS", "DUPLICATE"}
@@ -96,8 +96,8 @@ def test_batch_is_applied_once_and_a_broken_run_leaves_nothing(spark, tmp_path):
     good = messages(spark, message(0, "a", 125, [("user", "INSERT", 1, {"id": 1, "username": "alice"})]))
     # What an interrupted writer left behind must not surface under the next committed version.
     store.write("changes", 1, store.view().unionByName(
-        spark.createDataFrame([("mini", "user", "9", False, "{}", "f.1", 1, 1, 0, "x")], store.view().schema)))
-    store.write("resets", 1, spark.createDataFrame([("mini", "user")], "database_name string, table_name string"))
+        spark.createDataFrame([("shop", "user", "9", False, "{}", "f.1", 1, 1, 0, "x")], store.view().schema)))
+    store.write("resets", 1, spark.createDataFrame([("shop", "user")], "database_name string, table_name string"))
     apply_batch(store, good, 7)
     apply_batch(store, good, 7)
     assert rows(store.view(), "row_key", "payload") == [("1", '{"id":1,"username":"alice"}')]
@@ -196,12 +196,12 @@ def test_timeline_of_schema_changes_and_rebuild(spark, tmp_path):
     assert rows(store.schema_states(), "table_name", "status", "next_position") == [("user", "REBUILD_REQUIRED", 15)]
     assert rows(store.view(), "table_name", "row_key") == [("order", "5"), ("order", "7"), ("user", "1")]
 
-    spec = TableSpec("mini", "user", ("id", "v"), ("id",), ("id",))
+    spec = TableSpec("shop", "user", ("id", "v"), ("id",), ("id",))
     source = spark.createDataFrame([(1, "rebuilt"), (4, "four")], "id bigint, v string")
-    assert run_rebuild(store, "mini.user:mysql-bin.000010:10", spec, source) == "OBSOLETE"
-    assert run_rebuild(store, "mini.user:mysql-bin.000010:10", spec, source) == "OBSOLETE"
+    assert run_rebuild(store, "shop.user:mysql-bin.000010:10", spec, source) == "OBSOLETE"
+    assert run_rebuild(store, "shop.user:mysql-bin.000010:10", spec, source) == "OBSOLETE"
     broken = source.select("id", F.raise_error(F.lit("source gone")).cast("string").alias("v"))
-    task = "mini.user:mysql-bin.000010:15"
+    task = "shop.user:mysql-bin.000010:15"
     assert run_rebuild(store, task, spec, broken, max_retries=2) == "PENDING"
     assert rows(store.schema_states(), "status") == [("REBUILD_REQUIRED",)]
     assert run_rebuild(store, task, spec, source, max_retries=2) == "DONE"
@@ -228,9 +228,9 @@ def test_timeline_of_schema_changes_and_rebuild(spark, tmp_path):
 def test_rebuild_gives_up(spark, tmp_path):
     store = ChangeStore(spark, str(tmp_path / "s")).create()
     apply_batch(store, messages(spark, ddl_message(1, "user", "DROP_COLUMN", 10)), 0)
-    spec = TableSpec("mini", "user", ("id", "v"), ("id",), ("id",))
+    spec = TableSpec("shop", "user", ("id", "v"), ("id",), ("id",))
     broken = spark.range(1).select("id", F.raise_error(F.lit("gone")).cast("string").alias("v"))
-    task = "mini.user:mysql-bin.000010:10"
+    task = "shop.user:mysql-bin.000010:10"
     assert [run_rebuild(store, task, spec, broken) for _ in range(3)] == ["PENDING", "PENDING", "FAILED"]
     assert rows(store.schema_states(), "status") == [("REBUILD_FAILED",)]
     assert store.tasks().first().retry_count == 3
@@ -241,7 +241,7 @@ def test_capture_stream_equals_batch(spark, sf, tmp_path):
     catalog = feed.catalog(spark)
     source = str(tmp_path / "log")
     # Log files appear one after the other, cut in the middle of transactions.
-    for low, high in ((0, 7_015), (7_015, 16_035), (16_035, 1 << 40)):
+    for low, high in ((0, 9_035), (9_035, 1 << 40)):
         raw.filter((F.col("pos") > low) & (F.col("pos") <= high)).coalesce(1).write.mode("append").parquet(source)
         time.sleep(1.1)
     store = ChangeStore(spark, str(tmp_path / "s")).create()
@@ -274,7 +274,7 @@ def test_open_transaction_waits_for_its_commit(spark, tmp_path):
         base = {"connector": "c", "file": "mysql-bin.000001", "pos": pos, "seq": 0, "type": kind, "table_id": None,
                 "database_name": None, "table_name": None, "rows": None, "xid": None, "sql": None, "ts_ms": 1}
         return {**base, **kw}
-    first = [event(10, "TABLE_MAP", table_id=10, database_name="mini", table_name="user"),
+    first = [event(10, "TABLE_MAP", table_id=10, database_name="shop", table_name="user"),
              event(20, "WRITE", table_id=10, rows=[{"before": None, "after": ["1", "7", "p", "k"]}])]
     second = [event(30, "WRITE", table_id=10, rows=[{"before": None, "after": ["2", "8", "p", "k"]}]),
               event(240, "XID", xid=345)]
@@ -308,7 +308,7 @@ def test_bootstrap_publishes_pages_and_one_checkpoint(spark, tmp_path):
     from rowtide.operators.snapshot import Cutover, SnapshotTable
 
     cutover = Cutover("c", "mysql-bin.000321", 678)
-    user, order = (TableSpec("mini", t, ("id", "v"), ("id",), ("id",)) for t in ("user", "order"))
+    user, order = (TableSpec("shop", t, ("id", "v"), ("id",), ("id",)) for t in ("user", "order"))
     data = lambda n: spark.range(1, n + 1).select("id", F.lit("x").alias("v"))
     tables = [SnapshotTable(user, data(30)), SnapshotTable(order, data(25))]
     store = ChangeStore(spark, str(tmp_path / "s")).create()
@@ -325,7 +325,7 @@ def test_bootstrap_publishes_pages_and_one_checkpoint(spark, tmp_path):
         ("order", "COMPLETED", '{"id":25}'), ("user", "COMPLETED", '{"id":30}')]
     assert rows(store.checkpoints(), "file", "position") == [("mysql-bin.000321", 678)]
     sent = store.read("messages").orderBy("arrival").collect()
-    assert [m.key.split(":")[2] for m in sent] == ["mini.user"] * 6 + ["mini.order"] * 3
+    assert [m.key.split(":")[2] for m in sent] == ["shop.user"] * 6 + ["shop.order"] * 3
     apply_batch(store, store.read("messages").drop("version"), 0)
     assert rows(fold.live(store.view()).groupBy("table_name").count(), "table_name", "count") == [("order", 25), ("user", 30)]
     page = store.overview()

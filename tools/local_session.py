@@ -14,6 +14,8 @@ def local_session(name: str, cpus: str = "8", **conf: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus if cpus != "*" else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # Call sites for error messages cost a stack walk per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
