@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import bpe_count, decontaminate, exact, language, pii
+from rowtide.llm import bpe_count, decontaminate, exact, jaccard, language, pii, sentence_pieces
 from rowtide.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,13 +39,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(docs, language.fit_language(docs))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii,
         op3_decontamination,
+        op4_sentence_pieces,
         op5_exact_dedup,
         op7_token_counts,
         op8_language_id,
+        op9_ngram_jaccard,
     )
 }
