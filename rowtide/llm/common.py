@@ -69,6 +69,17 @@ def column(piece: pa.RecordBatch, name: str) -> pa.Array:
     return piece.column(piece.schema.get_field_index(name))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def texts_of(piece: pa.RecordBatch, name: str) -> list[str]:
     """The column as strings; null is the empty text."""
     return [t or "" for t in column(piece, name).to_pylist()]

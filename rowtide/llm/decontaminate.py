@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from rowtide.llm.common import arrow_map, column
+from rowtide.llm.common import arrow_map, column, free_names
 from rowtide.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -159,14 +159,15 @@ def find_contamination(
 
     Returns (id, n_words, n_hit, n_items, items_sha256, contaminated, spans); ``spans`` are the merged
     stretches to remove, as word offsets ``first-past``. With ``keep`` the columns of ``docs`` are returned,
-    followed by ``_contaminated``. Null texts and items have no words; an item repeated under one id counts
+    followed by the flag. Null texts and items have no words; an item repeated under one id counts
     once; an item without an id counts under the empty name; without items nothing is hit. Rows are not
     moved, so repeated rows and hot texts are answered one by one.
     """
     spark = docs.sparkSession
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
-    state = [StructField("_n", LongType()), StructField("_spans", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))]
     base = docs if keep else docs.select(id_column, text)
+    n_, spans_, items_, flag_ = free_names(base, "_n", "_spans", "_items", "_contaminated")
+    state = [StructField(n_, LongType()), StructField(spans_, ArrayType(LongType())), StructField(items_, ArrayType(StringType()))]
     fields = list(base.schema.fields)
     rows = base
     for k, phrases in enumerate(blocks):
@@ -175,31 +176,31 @@ def find_contamination(
         def run(piece, shared=shared, first=k == 0):
             totals, spans, items = search_shard(column(piece, text).to_pylist(), shared.value)
             if not first:
-                for i, (s, t) in enumerate(zip(column(piece, "_spans").to_pylist(), column(piece, "_items").to_pylist())):
+                for i, (s, t) in enumerate(zip(column(piece, spans_).to_pylist(), column(piece, items_).to_pylist())):
                     spans[i] = merged(np.vstack((spans[i], np.array(s, dtype=np.int64).reshape(-1, 2))))
                     items[i].update(t)
             made = {f.name: column(piece, f.name) for f in fields}
-            return made | {"_n": totals, "_spans": [s.ravel().tolist() for s in spans], "_items": [sorted(t) for t in items]}
+            return made | {n_: totals, spans_: [s.ravel().tolist() for s in spans], items_: [sorted(t) for t in items]}
 
         rows = arrow_map(rows, run, text, StructType(fields + state))
     # The last step stays in SQL: sums over the spans, the hash of the names.
     hits = F.aggregate(
-        F.transform("_spans", lambda value, i: F.when(i % 2 == 1, value).otherwise(-value)),
+        F.transform(spans_, lambda value, i: F.when(i % 2 == 1, value).otherwise(-value)),
         F.lit(0).cast("bigint"),
         lambda acc, value: acc + value,
     )
-    contaminated = (hits > 0) & (20 * hits >= F.col("_n"))
+    contaminated = (hits > 0) & (20 * hits >= F.col(n_))
     if keep:
-        return rows.select(*[f.name for f in fields], contaminated.alias("_contaminated"))
-    starts = F.filter("_spans", lambda _, i: i % 2 == 0)
-    ends = F.filter("_spans", lambda _, i: i % 2 == 1)
+        return rows.select(*[f.name for f in fields], contaminated.alias(flag_))
+    starts = F.filter(spans_, lambda _, i: i % 2 == 0)
+    ends = F.filter(spans_, lambda _, i: i % 2 == 1)
     pair = F.zip_with(starts, ends, lambda a, b: F.concat_ws("-", a, b))
     return rows.select(
         id_column,
-        F.col("_n").alias("n_words"),
+        F.col(n_).alias("n_words"),
         hits.alias("n_hit"),
-        F.size("_items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        F.size(items_).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"),
         contaminated.alias("contaminated"),
         F.array_join(pair, ",").alias("spans"),
     )

@@ -323,3 +323,12 @@ def jaccard_components(
     return joined.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
+
+
+def drop_near_copies(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100
+) -> DataFrame:
+    """``docs`` without the rows whose component has a smaller id; columns are unchanged."""
+    found = jaccard_components(docs, id_column, text, size, num, den)
+    gone = found.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")

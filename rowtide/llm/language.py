@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from rowtide.llm.common import arrow_map, column
+from rowtide.llm.common import arrow_map, column, free_names
 
 BUCKETS = 1 << 16
 # The only sample of this operator: labelled rows per language the classifiers are fitted on.
@@ -199,18 +199,19 @@ def identify_language(
     """Language of every whole text: (id, held_out, lang_pred, score, ambiguous).
 
     ``lang_pred`` is ``und`` with score 0 and the flag set when the text is null, empty or has no letter.
-    With ``keep`` all columns of ``docs`` are returned, followed by ``_lang_pred`` and ``_ambiguous``.
+    With ``keep`` all columns of ``docs`` are returned, followed by the prediction and the flag.
     Rows are not moved: copies and repeated ids get the same answer one by one. Labels, sources and ids are
     not read by the prediction.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages x 2 * BUCKETS floats, whatever the input
+    label_name, flag_name = free_names(docs, "_lang_pred", "_ambiguous")
 
     def run(piece):
         label, score, flag = shared.value.predict(column(piece, text).to_pylist())
         if keep:
             made = {name: column(piece, name) for name in piece.schema.names}
-            return made | {"_lang_pred": label, "_ambiguous": flag.tolist()}
+            return made | {label_name: label, flag_name: flag.tolist()}
         return {
             id_column: column(piece, id_column),
             "held_out": column(piece, "held_out"),
@@ -222,7 +223,7 @@ def identify_language(
     if keep:
         from pyspark.sql.types import BooleanType, StringType, StructType
 
-        schema = StructType([*docs.schema.fields]).add("_lang_pred", StringType()).add("_ambiguous", BooleanType())
+        schema = StructType([*docs.schema.fields]).add(label_name, StringType()).add(flag_name, BooleanType())
         return arrow_map(docs, run, text, schema)
     rows = docs.select(id_column, F.coalesce(held_out(id_column), F.lit(False)).alias("held_out"), text)
     kind = docs.schema[id_column].dataType.simpleString()

@@ -12,4 +12,41 @@ WITH hashed AS (SELECT doc_id, sha256({NORMALIZED}) AS text_sha256 FROM document
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM grouped
 """
 
-ORACLES = {"op5_exact_dedup": OP5}
+# Turn lists up to the last reply, the exchanged reply, the common prefix counted turn by turn.
+OP10 = r"""
+WITH turns AS (
+       SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS i
+       FROM conversations WHERE conv_id IS NOT NULL),
+     last AS (SELECT conv_id, max(i) AS n FROM turns WHERE role = 'assistant' GROUP BY conv_id),
+     chosen AS (SELECT t.conv_id, t.i, t.role, t.text FROM turns t JOIN last l ON t.conv_id = l.conv_id AND t.i <= l.n),
+     rejected AS (
+       SELECT c.conv_id, c.i, c.role, c.text FROM chosen c JOIN last l USING (conv_id) WHERE c.i < l.n
+       UNION ALL
+       SELECT a.conv_id, a.n, t.role, t.text FROM last a JOIN last b ON b.conv_id = a.conv_id + 1
+       JOIN turns t ON t.conv_id = b.conv_id AND t.i = b.n),
+     sides AS (
+       SELECT coalesce(c.conv_id, r.conv_id) AS pair_id, coalesce(c.i, r.i) AS i,
+              c.role IS NOT NULL AND r.role IS NOT NULL AND c.role = r.role AND c.text = r.text AS same
+       FROM chosen c FULL JOIN rejected r ON c.conv_id = r.conv_id AND c.i = r.i),
+     prefix AS (SELECT pair_id, coalesce(min(i) FILTER (WHERE NOT same), max(i) + 1) - 1 AS k FROM sides GROUP BY pair_id),
+     drawn AS (
+       SELECT 'c' AS side, conv_id AS pair_id, i, role, text FROM chosen
+       UNION ALL SELECT 'r', conv_id, i, role, text FROM rejected),
+     placed AS (
+       SELECT d.side, d.pair_id, d.i, d.role, d.i <= p.k AS common,
+              '<|im_start|>' || d.role || chr(10) || d.text || '<|im_end|>' || chr(10) AS shown,
+              sum(length(d.role) + length(d.text) + 24) OVER (PARTITION BY d.side, d.pair_id ORDER BY d.i) AS past
+       FROM drawn d JOIN prefix p USING (pair_id))
+SELECT p.pair_id, CAST(p.k AS INTEGER) AS n_prompt_turns,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE common AND side = 'c'), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE NOT common AND side = 'c'), '') AS chosen,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (WHERE NOT common AND side = 'r'), '') AS rejected,
+       coalesce(string_agg((past - length(shown) + length(role) + 13) || ':' || (past - 1), ',' ORDER BY i)
+                FILTER (WHERE NOT common AND side = 'c' AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((past - length(shown) + length(role) + 13) || ':' || (past - 1), ',' ORDER BY i)
+                FILTER (WHERE NOT common AND side = 'r' AND role = 'assistant'), '') AS rejected_spans
+FROM prefix p JOIN placed USING (pair_id) GROUP BY p.pair_id, p.k
+"""
+
+ORACLES = {"op5_exact_dedup": OP5, "op10_preference_pairs": OP10}

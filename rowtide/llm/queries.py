@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import bpe_count, decontaminate, exact, jaccard, language, pii, sentence_pieces
+from rowtide.llm import bpe_count, chat, decontaminate, exact, jaccard, language, pii, sentence_pieces
 from rowtide.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.reply_pairs(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -53,5 +57,6 @@ QUERIES = {
         op7_token_counts,
         op8_language_id,
         op9_ngram_jaccard,
+        op10_preference_pairs,
     )
 }
