@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import bpe_count, chat, decontaminate, exact, jaccard, language, pii, sentence_pieces
+from rowtide.llm import bpe_count, chat, decontaminate, exact, jaccard, language, pii, sentence_pieces, suffix_dedup
 from rowtide.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512
@@ -54,6 +58,7 @@ QUERIES = {
         op3_decontamination,
         op4_sentence_pieces,
         op5_exact_dedup,
+        op6_suffix_dedup,
         op7_token_counts,
         op8_language_id,
         op9_ngram_jaccard,
