@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import bpe_count, chat, decontaminate, exact, jaccard, language, pii, sentence_pieces, suffix_dedup
+from rowtide.llm import bpe_count, chat, decontaminate, exact, html_text, jaccard, language, pii, sentence_pieces, suffix_dedup
 from rowtide.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(docs, pii.fit_field(docs))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract_pages(pages, html_text.fit_pages(pages))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii,
+        op2_html_text,
         op3_decontamination,
         op4_sentence_pieces,
         op5_exact_dedup,
