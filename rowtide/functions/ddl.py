@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from rowtide import schemas as S
+from rowtide.functions.values import java_trim
 
 # Recognised column operations, tried in this order.
 DDL_KINDS = (
@@ -13,13 +14,18 @@ DDL_KINDS = (
     (" MODIFY COLUMN ", "MODIFY_COLUMN"),
     (" ADD COLUMN ", "ADD_COLUMN"),
 )
-_NAME = r"(?:`[^`]+`|[\w]+)"
-ALTER_TARGET = rf"(?i)^\s*ALTER\s+TABLE\s+({_NAME}(?:\.{_NAME})?)"
+# An identifier is quoted by back-ticks (a doubled one stands for itself) or made of word characters,
+# dollar signs and characters beyond ASCII. Blanks may stand around the dot.
+_QUOTED = "`(?:``|[^`])+`"
+_PLAIN = "[0-9A-Za-z_$\\x{80}-\\x{ffff}]+"
+_STATEMENT = (
+    f"(?is)^[\\x00-\\x20]*alter\\s+table\\s+(?<first>{_QUOTED}|{_PLAIN})(?:\\s*[.]\\s*(?<second>{_QUOTED}|{_PLAIN}))?"
+)
 
 
 def ddl_type(sql: Column) -> Column:
     """Kind of a statement, null when it is not a recognised column change."""
-    text = F.upper(F.trim(sql))
+    text = F.upper(java_trim(sql))
     kind = F.lit(None).cast("string")
     for phrase, name in reversed(DDL_KINDS):
         kind = F.when(F.contains(text, F.lit(phrase)), F.lit(name)).otherwise(kind)
@@ -31,10 +37,10 @@ def is_destructive(kind: Column) -> Column:
 
 
 def unquote(identifier: Column) -> Column:
-    """Identifier without surrounding back-ticks."""
-    trimmed = F.trim(identifier)
-    quoted = F.startswith(trimmed, F.lit("`")) & F.endswith(trimmed, F.lit("`")) & (F.length(trimmed) >= 2)
-    return F.when(quoted, F.substr(trimmed, F.lit(2), F.length(trimmed) - 2)).otherwise(trimmed)
+    """Identifier without surrounding back-ticks; doubled ones inside become single."""
+    name = java_trim(identifier)
+    inner = F.regexp_extract(name, "(?s)^`(.*)`$", 1)
+    return F.when(F.rlike(name, F.lit("(?s)^`.*`$")), F.replace(inner, F.lit("``"), F.lit("`"))).otherwise(name)
 
 
 def quote(identifier: Column) -> Column:
@@ -44,11 +50,10 @@ def quote(identifier: Column) -> Column:
 
 def ddl_target(default_database: Column, sql: Column) -> Column:
     """Struct of the lower-cased database and table an ALTER TABLE names, nulls when it names none."""
-    target = F.nullif(F.regexp_extract(sql, ALTER_TARGET, 1), F.lit(""))
-    dot = F.instr(target, ".")
-    database = F.when(dot > 0, F.substr(target, F.lit(1), dot - 1)).otherwise(default_database)
-    table = F.when(dot > 0, F.substr(target, dot + 1)).otherwise(target)
+    first, second = (F.nullif(F.regexp_extract(sql, _STATEMENT, group), F.lit("")) for group in (1, 2))
+    database = F.when(second.isNotNull(), first).otherwise(default_database)
+    table = F.coalesce(second, first)
     return F.struct(
-        F.when(target.isNotNull(), F.lower(F.trim(unquote(database)))).alias("database_key"),
-        F.lower(F.trim(unquote(table))).alias("table_key"),
+        F.when(table.isNotNull(), F.lower(java_trim(unquote(database)))).alias("database_key"),
+        F.lower(java_trim(unquote(table))).alias("table_key"),
     )

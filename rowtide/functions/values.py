@@ -59,6 +59,12 @@ def normalized(name: str, dtype: T.DataType) -> Column:
     return value
 
 
+def java_trim(value: str | Column) -> Column:
+    """Text without the blanks and control characters (up to U+0020) at its ends."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def json_string(value: Column) -> Column:
     """A string as a quoted JSON token; null gives the token ``null``."""
     # A one-element list is the token in brackets, and the token itself never ends in one.
@@ -75,14 +81,15 @@ def json_with(fields: Column, extra: dict[str, Column]) -> Column:
 
 
 def bare_pattern(columns: list[str]) -> str:
-    """Pattern of the quoted values that ``map_json`` prints bare.
+    """Pattern of the quoted values that ``map_json`` prints bare: JSON numbers and truth values.
 
-    Inside a JSON string every quote is escaped, so the pattern can match field names only.
+    Inside a JSON string every quote is escaped, so the pattern can match field names only. Any other
+    text of such a column (empty, padded with zeros) stays quoted, so the object is always valid JSON.
     """
     if not columns:
         return "(?!)()()"
     names = "|".join(re.escape(json.dumps(c, ensure_ascii=False)) for c in columns)
-    return rf'({names}):"([^"\\]*)"'
+    return rf'({names}):"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false)"'
 
 
 def map_json(image: Column, bare: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from rowtide import schemas as S
+from rowtide.functions.values import java_trim
 
 
 def file_seq(file: str | Column) -> Column:
@@ -48,8 +49,8 @@ def key_text(primary_key: str | Column) -> Column:
 def table_scope(database: str | Column, table: str | Column, scope: str = "DATABASE_TABLE") -> Column:
     """Table qualifier of a key; a blank name is an error."""
     database, table = _col(database), _col(table)
-    blank_table = F.coalesce(F.trim(table), F.lit("")) == ""
-    blank_database = F.coalesce(F.trim(database), F.lit("")) == ""
+    blank_table = F.coalesce(java_trim(table), F.lit("")) == ""
+    blank_database = F.coalesce(java_trim(database), F.lit("")) == ""
     failure = F.raise_error(F.lit("row change without database/table identity")).cast("string")
     if scope == "TABLE":
         return F.when(blank_table, failure).otherwise(table)

@@ -42,11 +42,23 @@ def assemble_changes(
     Works on the output of ``commit_groups``. Changes stay exploded: a transaction of any size is
     spread over many tasks, and arrays are built only for messages (``assemble_transactions``).
     """
+    rows, _ = shape.check_pk_stable(_keyed_rows(grouped, catalog), on_pk_change)
+    return _changes(rows), grouped.filter(F.col("commit").isNull())
+
+
+def mutated_changes(grouped: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Committed updates that change their primary key, in the form of ``assemble_changes``."""
+    return _changes(shape.check_pk_stable(_keyed_rows(grouped, catalog), "quarantine")[1])
+
+
+def _keyed_rows(grouped: DataFrame, catalog: DataFrame) -> DataFrame:
     committed = grouped.filter(F.col("commit").isNotNull() & F.col("configured"))
     rows = shape.row_images(shape.join_metadata(committed, catalog))
-    rows = shape.with_keys(shape.name_columns(rows))
-    rows, _ = shape.check_pk_stable(rows, on_pk_change)
-    changes = rows.select(
+    return shape.with_keys(shape.name_columns(rows))
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "connector",
         F.col("commit.file").alias("file"),
         file_seq(F.col("commit.file")).alias("file_seq"),
@@ -64,8 +76,6 @@ def assemble_changes(
         shape.image_json(F.col("after")).alias("after"),
         shape.image_json(F.col("primary_key")).alias("primary_key_json"),
     )
-    open_tail = grouped.filter(F.col("commit").isNull())
-    return changes, open_tail
 
 
 def fragment_of(event_index: Column, max_events: int = MAX_EVENTS) -> Column:
@@ -76,16 +86,24 @@ def fragment_of(event_index: Column, max_events: int = MAX_EVENTS) -> Column:
 def assemble_transactions(changes: DataFrame, max_events: int = MAX_EVENTS) -> DataFrame:
     """One row per transaction with its changes as an ordered array.
 
-    A transaction longer than ``max_events`` rows becomes several rows with the same id and
-    consecutive ``fragment`` numbers, so no array (and no task) grows with a transaction.
+    A transaction longer than ``max_events`` rows becomes several rows with the same id, ascending
+    ``fragment`` numbers and their count in ``fragments``, so no array (and no task) grows with a
+    transaction; readers wait until all parts are there (``envelope.split_incomplete``).
     """
     header = ["connector", "file", "file_seq", "xid", "next_position"]
     event = F.struct("event_index", *shape.TABLE, "op", "primary_key_json", "before", "after")
-    return (
-        changes.withColumn("fragment", fragment_of(F.col("event_index"), max_events))
-        .groupBy("transaction_id", "fragment", *header)
-        .agg(F.min("ts_ms").alias("ts_ms"), F.array_sort(F.collect_list(event)).alias("events"))
+    numbered = changes.withColumn("fragment", fragment_of(F.col("event_index"), max_events))
+    parts = numbered.groupBy("transaction_id", "fragment", *header).agg(
+        F.min("ts_ms").alias("ts_ms"), F.array_sort(F.collect_list(event)).alias("events")
+    )
+    # Only transactions with a part beyond the first are counted: one in max_events rows at most.
+    cut = (
+        numbered.groupBy("transaction_id")
+        .agg(F.count_distinct("fragment").cast("int").alias("fragments"), F.max("fragment").alias("_last"))
+        .filter("_last > 0")
+        .drop("_last")
     )
+    return lookup_join(parts, cut, ["transaction_id"]).fillna(1, ["fragments"])
 
 
 def commits(grouped: DataFrame) -> DataFrame:

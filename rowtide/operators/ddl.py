@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide import schemas as S
 from rowtide.functions.ddl import ddl_target, ddl_type, is_destructive
+from rowtide.functions.values import java_trim
 from rowtide.functions.versions import file_seq
 from rowtide.operators import fold
 from rowtide.operators.ordered import arrival_blocks, carry_last
@@ -33,7 +34,7 @@ def resolve_ddl_table(statements: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     names = (
         catalog.select(*TABLE, "table_order")
-        .groupBy(F.lower(F.trim("database_name")).alias("_db"), F.lower(F.trim("table_name")).alias("_tbl"))
+        .groupBy(F.lower(java_trim("database_name")).alias("_db"), F.lower(java_trim("table_name")).alias("_tbl"))
         .agg(F.min_by(F.struct(*TABLE), "table_order").alias("_name"))
     )
     joined = keyed.join(F.broadcast(names), ["_db", "_tbl"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide import schemas as S
-from rowtide.functions.values import json_with
+from rowtide.functions.values import java_trim, json_with
 from rowtide.functions.versions import file_seq, key_text
 from rowtide.session import lookup_join
 
@@ -39,7 +39,10 @@ def encode_transactions(transactions: DataFrame, keep: tuple[str, ...] = ()) ->
     )
     events = F.concat(F.lit("["), F.array_join(F.transform("events", _event_json), ","), F.lit("]"))
     kind = F.struct(F.lit("TRANSACTION").alias("messageType"))
-    value = json_with(kind, {"transaction": json_with(header, {"events": events}), "schemaChange": F.lit("null")})
+    # A part of a cut transaction says which one it is and how many there are.
+    part = {"events": events, "fragment": F.col("fragment").cast("string"), "fragments": F.col("fragments").cast("string")}
+    body = F.when(F.col("fragments") > 1, json_with(header, part)).otherwise(json_with(header, {"events": events}))
+    value = json_with(kind, {"transaction": body, "schemaChange": F.lit("null")})
     return transactions.select(
         *keep,
         F.col("transaction_id").alias("key"),
@@ -74,21 +77,23 @@ def encode_envelopes(transactions: DataFrame, schema_changes: DataFrame, keep: t
     return encode_transactions(transactions, keep).unionByName(encode_schema_changes(schema_changes, keep))
 
 
-def parse_messages(messages: DataFrame) -> DataFrame:
+def parse_messages(messages: DataFrame, scope: str = "DATABASE_TABLE") -> DataFrame:
     """Messages with their parsed content, a ``reason`` when they cannot be parsed, and the
     ``problem`` of the first row that cannot be applied.
 
     The reasons are ``NULL_PAYLOAD``, ``JSON_NULL`` and ``MALFORMED``; none of them goes away by
-    trying again.
+    trying again. In ``TABLE`` scope a row needs no database.
     """
-    text = F.trim(F.col("value"))
+    text = java_trim("value")
     parsed = F.from_json(
         "value", f"{S.ENVELOPE_JSON}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE"}
     )
     reason = (
         F.when(F.col("value").isNull(), F.lit("NULL_PAYLOAD"))
         .when(text == "null", F.lit("JSON_NULL"))
-        .when((text == "") | F.col(f"_envelope.{_CORRUPT}").isNotNull(), F.lit("MALFORMED"))
+        .when(
+            (text == "") | F.col("_envelope").isNull() | F.col(f"_envelope.{_CORRUPT}").isNotNull(), F.lit("MALFORMED")
+        )
     )
     return messages.withColumn("_envelope", parsed).select(
         *messages.columns,
@@ -96,7 +101,9 @@ def parse_messages(messages: DataFrame) -> DataFrame:
         F.col("_envelope.transaction").alias("transaction"),
         F.col("_envelope.schemaChange").alias("schema_change"),
         reason.alias("reason"),
-        first_problem(F.col("_envelope.transaction.events")).alias("problem"),
+        F.when(java_trim(F.coalesce("_envelope.transaction.transactionId", F.lit(""))) == "", F.lit("transactionId"))
+        .otherwise(first_problem(F.col("_envelope.transaction.events"), scope))
+        .alias("problem"),
     )
 
 
@@ -136,7 +143,8 @@ def split_messages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     transactions = good.filter(~_is_schema_change() & ~_is_empty()).select(
         "arrival",
-        F.coalesce("fragment", F.lit(0)).alias("fragment"),
+        F.coalesce("transaction.fragment", "fragment", F.lit(0)).alias("fragment"),
+        F.coalesce("transaction.fragments", F.lit(1)).alias("fragments"),
         "value",
         F.col("transaction.transactionId").alias("transaction_id"),
         F.col("transaction.connectorName").alias("connector"),
@@ -152,21 +160,23 @@ def split_messages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ddl, transactions, empty
 
 
-def row_problem(event: Column) -> Column:
+def row_problem(event: Column, scope: str = "DATABASE_TABLE") -> Column:
     """Why a row cannot be applied, null when it can."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: F.coalesce(java_trim(c), F.lit("")) == ""
+    nameless = blank(event["table"]) if scope == "TABLE" else blank(event["database"]) | blank(event["table"])
     op = event["eventType"]
     return (
         F.when(F.coalesce(F.size(event["primaryKey"]), F.lit(0)) <= 0, F.lit("primaryKey"))
         .when(op.isNull() | ~op.isin(*S.WRITE_OPS, S.DELETE_OP), F.lit("eventType"))
         .when((op != S.DELETE_OP) & event["after"].isNull(), F.lit("after"))
-        .when(blank(event["database"]) | blank(event["table"]), F.lit("identity"))
+        .when(nameless, F.lit("identity"))
     )
 
 
-def first_problem(events: Column) -> Column:
+def first_problem(events: Column, scope: str = "DATABASE_TABLE") -> Column:
     """Problem of the first bad row of a message."""
-    return F.try_element_at(F.filter(F.transform(events, row_problem), lambda r: r.isNotNull()), F.lit(1))
+    problems = F.transform(events, lambda event: row_problem(event, scope))
+    return F.try_element_at(F.filter(problems, lambda r: r.isNotNull()), F.lit(1))
 
 
 def validate_transactions(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,10 +190,29 @@ def validate_transactions(transactions: DataFrame) -> tuple[DataFrame, DataFrame
         .groupBy("transaction_id")
         .agg(F.min_by("problem", F.struct("fragment", "arrival")).alias("reason"))
     )
-    judged = lookup_join(transactions.drop("problem"), bad, ["transaction_id"])
+    judged = lookup_join(transactions.withColumnRenamed("problem", "_own"), bad, ["transaction_id"])
+    # A missing id meets no other message, so such a message is judged by itself.
+    own = F.when(F.col("transaction_id").isNull(), F.col("_own"))
+    judged = judged.withColumn("reason", F.coalesce("reason", own)).drop("_own")
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
 
+def split_incomplete(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages of transactions that are all there, and the parts of those that are not yet.
+
+    Only cut transactions are counted; their ids alone travel to the messages.
+    """
+    missing = (
+        transactions.filter("fragments > 1")
+        .groupBy("transaction_id")
+        .agg(F.count_distinct("fragment").alias("_there"), F.max("fragments").alias("_all"))
+        .filter("_there < _all")
+        .select("transaction_id", F.lit(True).alias("_missing"))
+    )
+    judged = lookup_join(transactions, missing, ["transaction_id"])
+    return judged.filter("_missing IS NULL").drop("_missing"), judged.filter("_missing").drop("_missing")
+
+
 def explode_rows(transactions: DataFrame) -> DataFrame:
     """One row per change, with message order and position in the (whole) list."""
     header = ["arrival", "fragment", "transaction_id", "connector", "file", "file_seq", "xid", "next_position", "ts_ms"]

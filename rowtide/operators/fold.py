@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowtide import schemas as S
 from rowtide.functions.values import json_string
 from rowtide.functions.versions import business_key, meta_key, row_version
-from rowtide.session import lookup_join, pin_small
+from rowtide.session import lookup_join
 
 KEY = ["database_name", "table_name", "row_key"]
 VERSION = ["file_seq", "next_position", "event_index"]
@@ -17,24 +17,22 @@ VIEW_COLUMNS = S.VIEW_COLUMNS
 def dedupe_transactions(transactions: DataFrame) -> DataFrame:
     """First arrival of every transaction id (and fragment).
 
-    Counting looks at ids and arrivals only. While repeats are few the messages themselves are not
-    shuffled; otherwise ``min_by`` keeps one candidate per task before they are.
+    Counting looks at ids, arrivals and hashes only; messages that occur once pass unchanged. Among equal
+    arrivals (offsets of two partitions) the smaller payload hash is first, and of one message delivered
+    twice at one arrival one row stays. Messages without an id are no repeats of each other; validation
+    rejects them.
     """
     message = ["transaction_id", "fragment"]
+    place = F.struct(F.col("arrival"), F.xxhash64("value").alias("hash"))
     repeated = (
         transactions.groupBy(*message)
-        .agg(F.min("arrival").alias("_first"), F.count("*").alias("_n"))
-        .filter("_n > 1")
+        .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
+        .filter("_n > 1 AND transaction_id IS NOT NULL")
         .drop("_n")
     )
-    pinned, fits = pin_small(repeated)
-    if fits:
-        judged = transactions.join(F.broadcast(pinned), message, "left")
-        return judged.filter("_first IS NULL OR arrival = _first").drop("_first")
-    others = [c for c in transactions.columns if c not in message]
-    first = F.min_by(F.struct(*others), F.col("arrival"))
-    kept = transactions.groupBy(*message).agg(first.alias("_first"))
-    return kept.select(*message, "_first.*").select(*transactions.columns)
+    judged = lookup_join(transactions, repeated, message, spread=["arrival"])
+    again = judged.filter(F.col("_first").isNotNull() & (place == F.col("_first"))).dropDuplicates(message)
+    return judged.filter("_first IS NULL").unionByName(again).drop("_first")
 
 
 def drop_done(transactions: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +117,15 @@ def bootstrap_view(snapshot_rows: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def keyed_records(view: DataFrame, scope: str = "DATABASE_TABLE") -> DataFrame:
-    """The view as key/value records: business key, payload, meta key and meta JSON."""
+    """The view as key/value records: business key, payload, meta key and meta JSON.
+
+    In ``TABLE`` scope tables of one name share their keys, so the newest row of a key stays.
+    """
+    if scope == "TABLE":
+        key = ["table_name", "row_key"]
+        values = F.struct(*[c for c in VIEW_COLUMNS if c not in key])
+        newest = F.max_by(values, F.struct(row_version(*VERSION), F.col("database_name")))
+        view = view.groupBy(*key).agg(newest.alias("_v")).select(*key, "_v.*").select(*VIEW_COLUMNS)
     meta = F.concat(
         F.lit('{"deleted":'), F.col("deleted").cast("string"),
         F.lit(',"version":{"binlogFilename":'), json_string(F.col("file")),

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowtide.functions.values import row_json
+from rowtide.functions.values import java_trim, row_json
 from rowtide.functions.versions import file_seq
 from rowtide.operators.assemble import assemble_transactions
 from rowtide.session import materialize
@@ -167,7 +167,7 @@ def bootstrap(tables: list[SnapshotTable], cutover: Cutover, page_size: int = 50
 
 def failure_text(message: Column, root_cause: Column) -> Column:
     """``message: root cause``, the message alone when the cause adds nothing."""
-    adds = (F.coalesce(F.trim(root_cause), F.lit("")) != "") & ~message.eqNullSafe(root_cause)
+    adds = (F.coalesce(java_trim(root_cause), F.lit("")) != "") & ~message.eqNullSafe(root_cause)
     return F.when(adds, F.concat(message, F.lit(": "), root_cause)).otherwise(message)
 
 

@@ -200,6 +200,7 @@ DDL_STATEMENTS = (
     "ALTER TABLE user ADD COLUMN city varchar(10)",
     "ALTER TABLE user DROP age",
     "ALTER TABLE audit_log DROP COLUMN x",
+    "\n\tALTER TABLE user DROP COLUMN zip\n",
 )
 
 
@@ -236,9 +237,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.lit('{"messageType":"TRANSACTION","transaction":{"transactionId":"none","events":[]}}')
     value = (
         F.when(xid % 50 == 7, F.lit(None).cast("string"))
-        .when(xid % 50 == 8, F.lit(" null "))
+        .when(xid % 50 == 8, F.lit("\n null "))
         .when(xid % 50 == 9, F.substring("value", 1, 40))
-        .when(xid % 50 == 10, F.lit(""))
+        .when(xid % 100 == 10, F.lit(""))
+        .when(xid % 100 == 60, F.lit("\n\t"))
         .when(xid % 60 == 11, empty)
         .when(xid % 60 == 12, F.lit('{"other":1}'))
         .otherwise(F.col("value"))

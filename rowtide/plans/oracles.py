@@ -45,22 +45,23 @@ _CTES = {
         FROM evr WHERE event_id % 4 = 3 AND xid % 251 <> 250""",
     "queries_": """
         SELECT event_id, file_seq, start + 1 + event_index AS pos,
-               CASE (event_id // 997) % 6
+               CASE (event_id // 997) % 7
                  WHEN 0 THEN 'ALTER TABLE `user` DROP COLUMN age'
                  WHEN 1 THEN 'alter table shop.order rename column amount to total'
                  WHEN 2 THEN 'ALTER TABLE `shop`.`USER` MODIFY COLUMN name varchar(99)'
                  WHEN 3 THEN 'ALTER TABLE user ADD COLUMN city varchar(10)'
                  WHEN 4 THEN 'ALTER TABLE user DROP age'
-                 ELSE 'ALTER TABLE audit_log DROP COLUMN x' END AS sql, ts_ms
+                 WHEN 5 THEN 'ALTER TABLE audit_log DROP COLUMN x'
+                 ELSE chr(10) || chr(9) || 'ALTER TABLE user DROP COLUMN zip' || chr(10) END AS sql, ts_ms
         FROM evr WHERE event_id % 997 = 0
         UNION ALL
         SELECT event_id, file_seq, start + 5, 'BEGIN', ts_ms FROM evr WHERE event_index = 0""",
     "classified": """
-        SELECT *, CASE WHEN NOT starts_with(upper(trim(sql)), 'ALTER TABLE') THEN NULL
-                       WHEN contains(upper(trim(sql)), ' DROP COLUMN ') THEN 'DROP_COLUMN'
-                       WHEN contains(upper(trim(sql)), ' RENAME COLUMN ') THEN 'RENAME_COLUMN'
-                       WHEN contains(upper(trim(sql)), ' MODIFY COLUMN ') THEN 'MODIFY_COLUMN'
-                       WHEN contains(upper(trim(sql)), ' ADD COLUMN ') THEN 'ADD_COLUMN' END AS ddl_type,
+        SELECT *, CASE WHEN NOT starts_with(upper(trim(sql, ' ' || chr(9) || chr(10))), 'ALTER TABLE') THEN NULL
+                       WHEN contains(upper(trim(sql, ' ' || chr(9) || chr(10))), ' DROP COLUMN ') THEN 'DROP_COLUMN'
+                       WHEN contains(upper(trim(sql, ' ' || chr(9) || chr(10))), ' RENAME COLUMN ') THEN 'RENAME_COLUMN'
+                       WHEN contains(upper(trim(sql, ' ' || chr(9) || chr(10))), ' MODIFY COLUMN ') THEN 'MODIFY_COLUMN'
+                       WHEN contains(upper(trim(sql, ' ' || chr(9) || chr(10))), ' ADD COLUMN ') THEN 'ADD_COLUMN' END AS ddl_type,
                nullif(regexp_extract(sql, '(?i)^\\s*ALTER\\s+TABLE\\s+((?:`[^`]+`|[\\w]+)(?:\\.(?:`[^`]+`|[\\w]+))?)', 1), '')
                  AS target
         FROM queries_""",
@@ -639,7 +640,7 @@ _SQL: dict[str, str] = {
 
 _SQL["table_catalogue"] = """
     SELECT 'shop' AS database_name, t AS table_name, string_agg(column_name, ',' ORDER BY i) AS columns, pk AS primary_keys,
-           CAST(o AS BIGINT) AS table_order
+           CAST(o AS BIGINT) AS table_order, n_rows, n_keys
     FROM (SELECT 'customer' AS t, 0 AS o, 'c_custkey' AS pk, unnest(keys) AS column_name,
                  generate_subscripts(keys, 1) AS i
           FROM (SELECT json_keys(to_json(c)) AS keys FROM customer c LIMIT 1)
@@ -649,7 +650,10 @@ _SQL["table_catalogue"] = """
           UNION ALL
           SELECT 'conversations', 2, 'conv_id,turn', unnest(keys), generate_subscripts(keys, 1)
           FROM (SELECT json_keys(to_json(c)) AS keys FROM conversations c LIMIT 1))
-    GROUP BY t, pk, o"""
+    JOIN (SELECT 'customer' AS t, count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys FROM customer
+          UNION ALL SELECT 'orders', count(*), count(DISTINCT o_orderkey) FROM orders
+          UNION ALL SELECT 'conversations', count(*), count(DISTINCT (conv_id, turn)) FROM conversations) USING (t)
+    GROUP BY t, pk, o, n_rows, n_keys"""
 _SQL["table_snapshot"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 _SQL["change_log_round_trip"] = _with(
     f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, type, CAST(table_id AS BIGINT) AS table_id FROM log
@@ -668,6 +672,14 @@ _SQL["bootstrap_run"] = f"""
     SELECT table_name, row_key, after AS payload, CAST(25000 AS BIGINT) AS next_position, event_index, transaction_id
     FROM ({_SQL["bootstrap_rows"]})"""
 _SQL["stream_latest_state"] = _SQL["latest_state_meta"]
+_SQL["stream_fragments"] = _SQL["latest_state_meta"]
+_SQL["captured_quarantine"] = _with(
+    """SELECT transaction_id, CASE WHEN moved THEN 'PRIMARY_KEY_MUTATION' ELSE 'PUBLISHED' END AS reason,
+              CAST(CASE WHEN moved THEN 1 ELSE count(*) END AS BIGINT) AS n_rows
+       FROM (SELECT *, 'shop-sync:' || printf('mysql-bin.%06d', commit_file_seq) || ':' || commit_xid || ':'
+                    || commit_position AS transaction_id
+             FROM imgs WHERE commit_xid IS NOT NULL)
+       GROUP BY transaction_id, moved, CASE WHEN moved THEN event_id * 2 + row_pos END""", *_IMGS)
 _SQL["stream_arrival_state"] = _SQL["latest_state_simple"]
 _SQL["stream_transactions"] = _SQL["event_index"]
 _SQL["stream_checkpoint"] = _SQL["connector_checkpoint"]

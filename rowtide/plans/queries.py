@@ -581,11 +581,18 @@ def published_view_with_tombstones(spark, sf):
 
 @query
 def table_catalogue(spark, sf):
-    """Ordered columns and keys of tables, as the session sees them."""
+    """Ordered columns and keys of tables, as the session sees them, with what the rows say about the keys."""
     keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "conversations": ["conv_id", "turn"]}
     specs = [TableSpec.of(feed.DATABASE, t, feed.read(spark, sf, t), pk) for t, pk in keys.items()]
-    return load_catalog(spark, specs).select(
-        "database_name", "table_name", F.array_join("columns", ",").alias("columns"),
+    read = [
+        feed.read(spark, sf, t).agg(
+            F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*pk).alias("n_keys"),
+        )
+        for t, pk in keys.items()
+    ]
+    rows = read[0].unionByName(read[1]).unionByName(read[2])
+    return load_catalog(spark, specs).join(rows, "table_name").select(
+        "n_rows", "n_keys", "database_name", "table_name", F.array_join("columns", ",").alias("columns"),
         F.array_join("primary_keys", ",").alias("primary_keys"), F.col("table_order").cast("bigint").alias("table_order"),
     )
 

@@ -48,6 +48,16 @@ def stream_latest_state(spark, sf):
     return _synced(spark, [*parts, again]).view()
 
 
+@query
+def stream_fragments(spark, sf):
+    """Transactions cut every two rows, their parts in different batches, the first parts delivered twice."""
+    cut = feed.as_messages(feed.changes(spark, sf), max_events=2)
+    apart = cut.withColumn("arrival", F.col("arrival") + F.col("fragment") * 1_000_000_000)
+    parts = _slices(apart, "arrival")
+    again = parts[0].withColumn("arrival", F.col("arrival") + 4_000_000_000)
+    return _synced(spark, [*parts, again]).view()
+
+
 @query
 def stream_arrival_state(spark, sf):
     """Arrival-order mode: late messages win."""
@@ -101,6 +111,16 @@ def stream_transactions(spark, sf):
     )
 
 
+@query
+def captured_quarantine(spark, sf):
+    """Key-mutating updates the captured stream set aside; with the published rows they are all committed rows."""
+    store = _captured(spark, sf)
+    aside = store.read("quarantine").select(F.col("key").alias("transaction_id"), "reason")
+    published = store.outcomes().filter("event_type = 'DML_TX'").select("reference", "n_rows")
+    counted = published.select(F.col("reference").alias("transaction_id"), F.lit("PUBLISHED").alias("reason"), "n_rows")
+    return aside.withColumn("n_rows", F.lit(1).cast("bigint")).unionByName(counted)
+
+
 @query
 def stream_checkpoint(spark, sf):
     """Resume position after the captured stream."""

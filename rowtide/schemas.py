@@ -14,7 +14,7 @@ RAW = f"""connector string, file string, pos bigint, seq bigint, type string, ta
 ENVELOPE_JSON = (
     "messageType string, "
     "transaction struct<transactionId:string, connectorName:string, binlogFilename:string, xid:bigint, "
-    "nextPosition:bigint, timestamp:bigint, events:array<struct<database:string, `table`:string, "
+    "nextPosition:bigint, timestamp:bigint, fragment:int, fragments:int, events:array<struct<database:string, `table`:string, "
     "eventIndex:int, eventType:string, primaryKey:map<string,string>, before:string, after:string>>>, "
     "schemaChange struct<eventId:string, connectorName:string, database:string, `table`:string, "
     "ddlType:string, rawSql:string, binlogFilename:string, nextPosition:bigint, timestamp:bigint>"
@@ -23,11 +23,6 @@ ENVELOPE_JSON = (
 # Messages in arrival order. ``fragment`` numbers the parts of an oversized transaction.
 MESSAGES = "topic string, partition int, arrival bigint, key string, fragment int, value string"
 
-# One row change with its transaction header.
-CHANGES = """connector string, file string, file_seq bigint, xid bigint, next_position bigint, ts_ms bigint,
-       transaction_id string, event_index bigint, database_name string, table_name string, op string,
-       primary_key map<string,string>, before string, after string"""
-
 # Newest change per key: the business value plus the version that guards it.
 VIEW = """database_name string, table_name string, row_key string, deleted boolean, payload string,
        file string, file_seq bigint, next_position bigint, event_index bigint, transaction_id string"""
@@ -57,7 +52,7 @@ FULL_SYNC_TASK = """connector string, database_name string, table_name string, s
 OUTCOME = """ts timestamp, seq bigint, event_type string, database_name string, table_name string,
        reference string, result string, message string, n_rows bigint"""
 
-# Statuses, event kinds and defaults shared with existing deployments.
+# Statuses and event kinds shared with existing deployments; the key prefixes are own defaults.
 WRITE_OPS = ("INSERT", "UPDATE", "SNAPSHOT_UPSERT")
 DELETE_OP = "DELETE"
 INTERNAL_PROGRESS_TABLES = ("cdc_offset", "full_sync_task", "schema_state", "rebuild_task", "pending_tx")

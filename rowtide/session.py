@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A side is broadcast only when it has been counted and holds at most this many rows.
@@ -14,29 +15,29 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a folder of its own; a cluster
-    session without it is an error, because a driver-local path would be lost with
-    the machine and is not visible to executors.
-    """
+    """Folder every executor can reach, named by ``spark.checkpoint.dir``; the session must set it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    created = tempfile.mkdtemp(prefix="rowtide-")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    return configured.rstrip("/")
+
 
+# Scratch paths taken inside each open ``scratch_scope`` of a thread, innermost last.
+_open = threading.local()
 
-# Scratch paths written inside each open ``scratch_scope``, innermost last.
-_scopes: list[list[str]] = []
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_open, "scopes"):
+        _open.scopes = []
+    return _open.scopes
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the session's own scratch folder."""
-    return f"{shared_dir(spark)}/rowtide/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/rowtide/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _scopes():
+        _scopes()[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -48,19 +49,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Delete what ``materialize`` wrote inside the block once it ends."""
-    _scopes.append([])
+    """Delete the scratch paths this thread took inside the block once it ends."""
+    _scopes().append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes().pop():
             delete_path(spark, path)
 
 
@@ -85,6 +84,34 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(located)
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file, False when it exists already; of two writers one succeeds."""
+    located, files = file_system(spark, path)
+    files.mkdirs(located.getParent())
+    try:
+        out = files.create(located, False)
+    except Py4JJavaError as failure:
+        if files.exists(located):
+            return False
+        raise failure
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return True
+
+
+def read_files(spark: SparkSession, path: str) -> dict[str, str]:
+    """Names and texts of the few small files of a folder, empty when there is no folder."""
+    located, files = file_system(spark, path)
+    if not files.exists(located):
+        return {}
+    out = {}
+    for status in files.listStatus(located):
+        stream = files.open(status.getPath())
+        out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode("utf-8")
+        stream.close()
+    return out
+
+
 def pin_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Turn a DataFrame of at most ``max_rows`` rows into local data.
 

@@ -1,9 +1,9 @@
 """Synced state as append-only Parquet tables, one folder per committed version.
 
-A version is written in full and then named in the commit log, so a failed run leaves nothing a
-reader can see and its rerun overwrites the same folder. The latest state is folded when it is
-read; ``compact`` writes the folded state once so that reads stay short. One driver writes a store
-at a time.
+A version is claimed by creating a file, written in full and then named in the commit log; claims of
+running and failed writers hide their versions from readers. Several writers may work on one store: each
+claims a version of its own, and only a writer's rerun removes what its failed attempt left. The latest
+state is folded when it is read; ``compact`` writes the folded state once so that reads stay short.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from rowtide import schemas as S
 from rowtide.operators import fold, ops
 from rowtide.operators.ddl import schema_state
-from rowtide.session import delete_path, path_exists, pin_small
+from rowtide.session import create_file, delete_path, path_exists, pin_small, read_files
 
 _TABLE = ["database_name", "table_name"]
 
@@ -27,6 +27,7 @@ TABLES = {
     "status_log": "database_name string, table_name string, file_seq bigint, next_position bigint, status string",
     "tasks": S.REBUILD_TASK,
     "outcomes": S.OUTCOME,
+    "held": "arrival bigint, key string, fragment int, value string",
     "quarantine": "arrival bigint, key string, value string, reason string",
     "messages": S.MESSAGES,
     "tail": S.RAW,
@@ -70,11 +71,26 @@ class ChangeStore:
         newest, seen = self.commits().agg(F.max("version"), F.bool_or(ours)).first()
         if seen:
             return None
-        self.discard(newest + 1)
-        return newest + 1
+        owner = f"{writer}/{batch}"
+        claims = self._claims()
+        for version, name in claims.items():
+            if name == owner:  # an earlier attempt at this batch
+                self.discard(version)
+                self._release(version)
+        version = max([newest, *claims]) + 1
+        while not create_file(self.spark, f"{self.root}/claims/{version}", owner):
+            version += 1
+        return version
+
+    def _claims(self) -> dict[int, str]:
+        """Versions being written or left unfinished, with their owners; a handful at most."""
+        return {int(name): text for name, text in read_files(self.spark, f"{self.root}/claims").items()}
+
+    def _release(self, version: int) -> None:
+        delete_path(self.spark, f"{self.root}/claims/{version}")
 
     def discard(self, version: int) -> None:
-        """Remove what an interrupted writer left under a version that was never committed."""
+        """Remove what a writer left under a version of its own that was never committed."""
         for name in TABLES:
             delete_path(self.spark, f"{self.root}/{name}/version={version}")
 
@@ -86,9 +102,15 @@ class ChangeStore:
             writer = writer.partitionBy(*_TABLE)
         writer.parquet(f"{self.root}/{name}/version={version}")
 
+    @staticmethod
+    def first_arrival(version: int) -> int:
+        """First arrival number of a version's messages: versions leave room for 2**31 messages each."""
+        return version << 31
+
     def commit(self, version: int, writer: str, batch: str) -> None:
         row = self.spark.createDataFrame([(writer, batch)], "writer string, batch string")
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/version={version}")
+        self._release(version)
 
     def read(self, name: str, upto: int | None = None) -> DataFrame:
         """Rows of all committed versions, with their ``version``."""
@@ -98,7 +120,8 @@ class ChangeStore:
         if not path_exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        return rows.select(*columns).filter(F.col("version") <= limit)
+        # A committed version has no claim; the limit was fixed before the claims are listed.
+        return rows.select(*columns).filter((F.col("version") <= limit) & ~F.col("version").isin(sorted(self._claims())))
 
     def read_version(self, name: str, version: int) -> DataFrame:
         path = f"{self.root}/{name}/version={version}"

@@ -24,12 +24,18 @@ class RejectedTransactionError(ValueError):
 
 
 def apply_batch(
-    store: ChangeStore, messages: DataFrame, batch_id: int | str, on_poison: str = "fail", on_reject: str = "fail"
+    store: ChangeStore,
+    messages: DataFrame,
+    batch_id: int | str,
+    on_poison: str = "fail",
+    on_reject: str = "fail",
+    scope: str = "DATABASE_TABLE",
 ) -> None:
     """Apply one batch of messages; a batch applied before changes nothing.
 
     ``fail`` stops at an unreadable message or a rejected transaction, nothing of the batch being
-    committed; ``quarantine`` stores those messages with the reason and goes on.
+    committed; ``quarantine`` stores those messages with the reason and goes on. Parts of a transaction
+    wait in the store until the last one has come; then it is judged and applied as a whole.
     """
     for policy in (on_poison, on_reject):
         if policy not in ("fail", "quarantine"):
@@ -38,19 +44,30 @@ def apply_batch(
     if version is None:
         return
     with scratch_scope(store.spark):
-        _apply(store, version, messages, on_poison, on_reject)
+        _apply(store, version, messages, on_poison, on_reject, scope)
     store.commit(version, WRITER, str(batch_id))
 
 
-def _apply(store: ChangeStore, version: int, messages: DataFrame, on_poison: str, on_reject: str) -> None:
+def _apply(
+    store: ChangeStore, version: int, messages: DataFrame, on_poison: str, on_reject: str, scope: str
+) -> None:
     before = version - 1
+    columns = ["arrival", "key", "fragment", "value"]
+    waiting = store.read_version("held", store.latest(WRITER))
+    batch = messages.select(*columns).unionByName(waiting.select(*columns))
     # Parsing is the costly part; the parsed batch is written once and read by column below.
-    good, poison = envelope.split_poison(materialize(envelope.parse_messages(messages), "parsed"))
+    good, poison = envelope.split_poison(materialize(envelope.parse_messages(batch, scope), "parsed"))
     if on_poison == "fail":
         first = poison.select("arrival", "reason").limit(1).collect()
         if first:
             raise PoisonMessageError(f"message {first[0].arrival} cannot be parsed: {first[0].reason}")
     changes, transactions, _ = envelope.split_messages(good)
+    low, high = transactions.agg(F.min("file_seq"), F.max("file_seq")).first()
+    done = store.done((low, high) if low is not None else (0, -1), before)
+    transactions, incomplete = envelope.split_incomplete(transactions)
+    # A late copy of one part of an applied transaction waits for nothing.
+    held, _ = fold.drop_done(fold.dedupe_transactions(incomplete), done)
+    store.write("held", version, held.withColumn("key", F.col("transaction_id")).select(*columns))
     valid, rejected = envelope.validate_transactions(transactions)
     if on_reject == "fail":
         first = rejected.select("transaction_id", "reason").limit(1).collect()
@@ -63,8 +80,6 @@ def _apply(store: ChangeStore, version: int, messages: DataFrame, on_poison: str
         store.write("quarantine", version, bad)
 
     first_seen = fold.dedupe_transactions(valid)
-    low, high = first_seen.agg(F.min("file_seq"), F.max("file_seq")).first()
-    done = store.done((low, high) if low is not None else (0, -1), before)
     states = store.schema_states(before)
     has_ddl = changes.limit(1).count() > 0
     if has_ddl or states.filter(F.col("status") != "ACTIVE").limit(1).count():
@@ -144,8 +159,3 @@ def run_sync(
                 raise
             time.sleep(max(0.0, backoff_seconds))
     raise AssertionError("unreachable")
-
-
-def dedupe_within(messages: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """Stream of messages without repeats that arrive within ``delay``: bounded state, no store."""
-    return messages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["key", "fragment"])

@@ -61,9 +61,8 @@ def _publish_table(
     spec, pk = table.spec, list(table.spec.primary_key)
     paged = snapshot.paginate(table.df.select(*spec.columns), pk, page_size)
     transactions = snapshot.snapshot_transactions(paged, spec, cutover, page_size)
-    sent = store.read("messages", version - 1).agg(F.coalesce(F.max("arrival") + 1, F.lit(0))).first()[0]
     messages = envelope.encode_transactions(transactions, keep=("xid",)).select(
-        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), (F.col("xid") + sent).alias("arrival"),
+        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), (F.col("xid") + store.first_arrival(version)).alias("arrival"),
         "key", "fragment", "value",
     )
     store.write("messages", version, messages)

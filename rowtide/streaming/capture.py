@@ -75,15 +75,21 @@ def _capture(
 
     grouped = materialize(assemble.commit_groups(entries, catalog, blocks), "grouped")
     changes, _ = assemble.assemble_changes(grouped, catalog, on_pk_change)
+    mutated = materialize(assemble.mutated_changes(grouped, catalog), "mutated")
+    if on_pk_change == "raise":
+        first_bad = mutated.select("transaction_id").limit(1).collect()
+        if first_bad:
+            raise ValueError(f"primary key mutation in {first_bad[0].transaction_id} is not supported")
+    else:
+        store.write("quarantine", version, _set_aside(mutated, store.first_arrival(version)))
     # Schema changes take effect when read, commit or not, so only new entries are looked at.
     ddl = schema_change_events(log.filter("_fresh").drop("_fresh"), catalog)
     encoded = encode_envelopes(
         assemble.assemble_transactions(changes, max_events), ddl, keep=("file_seq", "next_position")
     )
-    sent = store.read("messages", version - 1).agg(F.coalesce(F.max("arrival") + 1, F.lit(0))).first()[0]
     ranked = with_rank(encoded, ["file_seq", "next_position", "fragment"])
     messages = ranked.select(
-        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), (F.col("row_rank") + sent).alias("arrival"),
+        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), (F.col("row_rank") + store.first_arrival(version)).alias("arrival"),
         "key", "fragment", "value",
     )
     store.write("messages", version, messages)
@@ -95,11 +101,15 @@ def _capture(
         F.max(F.struct(file_seq("file").alias("file_seq"), F.col("next_position").alias("pos"))).alias("_p")
     ).select("connector", "_p.*")
     store.write("tail", version, open_tail(entries, last))
-    outcomes = commits.filter("n_rows > 0").select(
+    bad = mutated.groupBy(F.col("transaction_id").alias("reference")).agg(F.count("*").alias("_bad"))
+    reference = assemble.transaction_id("connector", "file", "xid", "next_position")
+    counted = lookup_join(commits.filter("n_rows > 0").withColumn("reference", reference), bad, ["reference"])
+    published = F.col("n_rows") - F.coalesce("_bad", F.lit(0))
+    outcomes = counted.filter(published > 0).select(
         F.lit("DML_TX").alias("event_type"),
-        assemble.transaction_id("connector", "file", "xid", "next_position").alias("reference"),
+        "reference",
         F.lit("PUBLISHED").alias("result"),
-        F.col("n_rows"),
+        published.alias("n_rows"),
         F.col("commit_group").alias("seq"),
         F.col("first_table.database_name").alias("database_name"),
         F.col("first_table.table_name").alias("table_name"),
@@ -117,6 +127,17 @@ def _capture(
     store.write("outcomes", version, outcomes.withColumns({"ts": F.current_timestamp(), "message": said}))
 
 
+def _set_aside(mutated: DataFrame, first: int) -> DataFrame:
+    """Quarantine rows of key-mutating updates: both images, under the id of their transaction."""
+    images = F.to_json(F.struct(*["database_name", "table_name", "event_index", "before", "after"]))
+    return mutated.select(
+        (F.lit(first) + F.col("event_index")).alias("arrival"),
+        F.col("transaction_id").alias("key"),
+        images.alias("value"),
+        F.lit("PRIMARY_KEY_MUTATION").alias("reason"),
+    )
+
+
 def capture_stream(log_stream: DataFrame, store: ChangeStore, catalog: DataFrame, **options) -> DataStreamWriter:
     """A stream writer that captures every micro-batch; start it with a trigger and a checkpoint."""
     return log_stream.writeStream.foreachBatch(

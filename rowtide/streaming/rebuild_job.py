@@ -111,7 +111,10 @@ def _publish(store: ChangeStore, version: int, task: Row, staged: DataFrame) ->
         F.col("payload").alias("value"),
         (F.shiftleft("file_seq", 36) + F.col("next_position")).alias("arrival"),
     )
-    good, _ = envelope.decode_envelopes(messages)
+    good, poison = envelope.decode_envelopes(messages)
+    unreadable = poison.select("key", "reason").limit(1).collect()
+    if unreadable:
+        raise ValueError(f"held-back message {unreadable[0].key} cannot be parsed: {unreadable[0].reason}")
     _, transactions, _ = envelope.split_messages(good)
     fresh, _ = fold.drop_done(fold.dedupe_transactions(transactions), store.done())
     rows = envelope.explode_rows(fresh)
