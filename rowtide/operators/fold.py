@@ -23,7 +23,8 @@ def dedupe_transactions(transactions: DataFrame) -> DataFrame:
     rejects them.
     """
     message = ["transaction_id", "fragment"]
-    place = F.struct(F.col("arrival"), F.xxhash64("value").alias("hash"))
+    payload = "value" if "value" in transactions.columns else "arrival"
+    place = F.struct(F.col("arrival"), F.xxhash64(payload).alias("hash"))
     repeated = (
         transactions.groupBy(*message)
         .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from model import MetaModel, SimpleModel, assemble as assemble_model
-from rowtide import schemas as S
+from rowtide import schemas as S, session
 from rowtide.functions.ddl import ddl_target, ddl_type, quote, unquote
-from rowtide.functions.values import base64_text, iso_instant, json_string
+from rowtide.functions.values import bare_pattern, base64_text, iso_instant, json_string, map_json
 from rowtide.functions.versions import business_key, file_seq, is_newer, key_text, normalize_op, row_version, view_action
 from rowtide.operators import assemble, control, ddl, envelope, fold, ops, rebuild, shape, snapshot
 from rowtide.operators.ordered import Blocks, arrival_blocks, carry_last, fit_blocks, with_blocks
@@ -351,10 +351,39 @@ def test_folds_equal_row_by_row_models(spark, seed):
 
 
 def test_dedupe_is_the_same_beyond_the_bound(spark, sf, monkeypatch):
-    txns = feed.transactions_of(feed.repeated_messages(spark, sf))
-    expected = rows(fold.dedupe_transactions(txns), "transaction_id", "arrival")
-    monkeypatch.setattr(fold, "pin_small", lambda df: (df, False))
-    assert rows(fold.dedupe_transactions(txns), "transaction_id", "arrival") == expected
+    txns = feed.transactions_of(feed.repeated_messages(spark, sf)).select("transaction_id", "fragment", "arrival", "value")
+    odd = spark.createDataFrame(
+        [(None, 0, 1, "a"), (None, 0, 1, "a"), (None, 0, 2, "b"), ("tie", 0, 5, "x"), ("tie", 0, 5, "y"), ("same", 0, 7, "z"), ("same", 0, 7, "z"),
+         ("cut", 0, 3, "p"), ("cut", 1, 4, "q"), ("cut", 1, 9, "q")], txns.schema)
+    txns = txns.unionByName(odd)
+    expected = rows(fold.dedupe_transactions(txns), "transaction_id", "fragment", "arrival", "value")
+    monkeypatch.setattr(session, "pin_small", lambda df, max_rows=0: (df, False))
+    assert rows(fold.dedupe_transactions(txns), "transaction_id", "fragment", "arrival", "value") == expected
+    kept = [r[:3] for r in expected if r[0] in (None, "tie", "same", "cut")]
+    assert sorted(kept, key=str) == sorted([(None, 0, 1), (None, 0, 1), (None, 0, 2), ("tie", 0, 5), ("same", 0, 7), ("cut", 0, 3), ("cut", 1, 4)], key=str)
+
+
+def test_text_rules(spark):
+    """Control characters at the ends do not count, bare values are JSON, quoted identifiers are unescaped."""
+    sql = spark.createDataFrame([("\n\tALTER TABLE `a``b` . c$1 DROP COLUMN x\r\n",), ("alter table ü.`t`\nadd column y int",)], "sql string")
+    got = sql.select(ddl_type(F.col("sql")).alias("k"), ddl_target(F.lit("d"), F.col("sql")).alias("t")).collect()
+    assert [(r.k, tuple(r.t)) for r in got] == [("DROP_COLUMN", ("a`b", "c$1")), (None, ("ü", "t"))]
+    values = ["", "7", "-1.5e3", "007", "true", "x", "1."]
+    image = F.create_map(F.lit("cents"), F.col("v"), F.lit("t"), F.lit('"cents":"7"'))
+    text = spark.createDataFrame([(v,) for v in values], "v string").select(map_json(image, F.lit(bare_pattern(["cents"]))).alias("j"))
+    assert [json.loads(r.j)["cents"] for r in text.collect()] == ["", 7, -1500.0, "007", True, "x", "1."]
+    payloads = spark.createDataFrame([(i, "k", v) for i, v in enumerate(["\n", "\t ", "\nnull\r", "{}", None])], "arrival bigint, key string, value string")
+    reasons = envelope.parse_messages(payloads.withColumn("fragment", F.lit(0))).select("arrival", "reason")
+    assert rows(reasons, "arrival", "reason") == [(0, "MALFORMED"), (1, "MALFORMED"), (2, "JSON_NULL"), (3, None), (4, "NULL_PAYLOAD")]
+
+
+def test_table_scope_needs_no_database(spark):
+    event = spark.createDataFrame([("", "t", "DELETE", {"id": "1"}), ("d", " ", "DELETE", {"id": "1"})],
+                                  "database string, `table` string, eventType string, primaryKey map<string,string>")
+    event = event.withColumn("after", F.lit(None).cast("string"))
+    whole = F.struct(*event.columns)
+    judged = event.select(envelope.row_problem(whole).alias("a"), envelope.row_problem(whole, "TABLE").alias("b"))
+    assert [tuple(r) for r in judged.collect()] == [("identity", None), ("identity", "identity")]
 
 
 # --- schema state, rebuild, snapshot -----------------------------------------------------------------
