@@ -13,14 +13,23 @@ from rowtide.session import lookup_join
 MAX_EVENTS = 10_000
 
 
-def commit_groups(log: DataFrame, catalog: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
-    """Row and commit events with named tables, their commit group and the closing commit."""
+def commit_groups(
+    log: DataFrame, catalog: DataFrame, blocks: Blocks = Blocks(), images: bool = True
+) -> DataFrame:
+    """Row and commit events with named tables, their commit group and the closing commit.
+
+    Without ``images`` the row images are counted (``n_rows``) and left behind before anything is
+    shuffled, which is all that commits and checkpoints need.
+    """
     relevant = log.filter(F.col("type").isin("TABLE_MAP", "XID", *shape.ROW_TYPES))
+    relevant = relevant.withColumn("n_rows", F.when(F.col("type").isin(*shape.ROW_TYPES), F.size("rows")))
+    if not images:
+        relevant = relevant.drop("rows")
     resolved = shape.resolve_table_map(with_blocks(relevant, blocks))
     marked = shape.mark_configured(resolved, catalog)
     is_commit = F.col("type") == "XID"
     header = F.struct("xid", "file", F.col("pos").alias("next_position"), F.col("ts_ms"))
-    n_rows = F.when(F.col("configured"), F.size("rows")).otherwise(0).cast("bigint")
+    n_rows = F.when(F.col("configured"), F.coalesce("n_rows", F.lit(0))).otherwise(0).cast("bigint")
     return commit_scan(marked, is_commit, header, n_rows)
 
 
@@ -116,7 +125,7 @@ def commits(grouped: DataFrame) -> DataFrame:
         .groupBy("connector", "commit_group")
         .agg(
             F.max("commit").alias("commit"),
-            F.coalesce(F.sum(F.when(is_row & F.col("configured"), F.size("rows"))), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.sum(F.when(is_row & F.col("configured"), F.col("n_rows"))), F.lit(0)).alias("n_rows"),
             F.count_if(ignored).alias("n_ignored"),
             F.count_if(ignored & ~internal).alias("n_ignored_external"),
             F.min_by(

@@ -114,9 +114,9 @@ def override_stored_view(spark, sf):
 # --- raw log ----------------------------------------------------------------------------------
 
 
-def _grouped(spark, sf):
+def _grouped(spark, sf, images=True):
     log = feed.raw_log(spark, sf)
-    return assemble.commit_groups(log, feed.catalog(spark), fit_blocks(feed_files(spark, sf)))
+    return assemble.commit_groups(log, feed.catalog(spark), fit_blocks(feed_files(spark, sf)), images)
 
 
 def feed_files(spark, sf):
@@ -181,7 +181,7 @@ def transaction_ids(spark, sf):
 
 @query
 def commits(spark, sf):
-    rows = assemble.commits(_grouped(spark, sf))
+    rows = assemble.commits(_grouped(spark, sf, images=False))
     return rows.select(
         "commit_group", "xid", "file", "next_position", "n_rows", "n_ignored", "n_ignored_external",
         assemble.advances_checkpoint().alias("advances"),
@@ -190,7 +190,7 @@ def commits(spark, sf):
 
 @query
 def connector_checkpoint(spark, sf):
-    grouped = _grouped(spark, sf)
+    grouped = _grouped(spark, sf, images=False)
     ddl_events = ddl.schema_change_events(feed.raw_log(spark, sf), feed.catalog(spark))
     return assemble.advance_checkpoint(assemble.commits(grouped), ddl_events)
 

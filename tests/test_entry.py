@@ -33,6 +33,14 @@ def test_scans_read_only_what_they_need(spark, sf):
     assert "TakeOrderedAndProject" in page and "GreaterThan(o_orderkey,321)" in page
 
 
+def test_commits_shuffle_no_images(spark, sf):
+    for name in ("commits", "connector_checkpoint"):
+        execution = QUERIES[name](spark, sf)._jdf.queryExecution()
+        text = spark._jvm.PythonSQLUtils.explainString(execution, "formatted")
+        shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", text)
+        assert shuffled and not any(re.search(r"\brows#", columns) for columns in shuffled), name
+
+
 def test_no_cartesian_products_and_no_python_in_plans(spark, sf):
     for name in ("latest_state_meta", "commit_groups", "schema_state", "connector_status", "rebuild_outcomes"):
         text = plan(QUERIES[name](spark, sf))
