@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.functions.values import map_json, normalized
+from rowtide.functions.versions import file_seq
 from rowtide.operators.ordered import LOG_ORDER, carry_last
 
 ROW_TYPES = {"WRITE": "INSERT", "UPDATE": "UPDATE", "DELETE": "DELETE"}
@@ -45,9 +46,17 @@ def mark_configured(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 def join_metadata(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Attach columns and primary key; a row whose table has no metadata is an error.
 
-    The catalogue is the configured list, so broadcasting it has a fixed bound.
+    With a layout history (``catalog.with_layouts``) a row gets the newest layout at or before its log
+    position. The catalogue is the configured list, so broadcasting it has a fixed bound.
     """
     joined = rows.join(F.broadcast(catalog.drop("table_order")), TABLE, "left")
+    if "layouts" in catalog.columns:
+        here = F.struct(file_seq("file").alias("file_seq"), F.col("pos").alias("position"))
+        newest = F.try_element_at(F.filter("layouts", lambda x: x["since"] <= here), F.lit(-1))
+        joined = joined.withColumn("_layout", newest)
+        for c in ("columns", "primary_keys", "bare_pattern"):
+            joined = joined.withColumn(c, F.coalesce(F.col(f"_layout.{c}"), F.col(c)))
+        joined = joined.drop("layouts", "_layout")
     missing = F.raise_error(F.concat_ws(".", F.lit("no metadata loaded for configured table"), *TABLE))
     return joined.withColumn(
         "columns", F.when(F.col("columns").isNull(), missing.cast("array<string>")).otherwise(F.col("columns"))

@@ -22,7 +22,7 @@ from rowtide.operators.envelope import (
 )
 from rowtide.operators.snapshot import Cutover
 from rowtide.session import materialize
-from rowtide.sources.catalog import TableSpec, load_catalog
+from rowtide.sources.catalog import Layout, TableSpec, load_catalog, with_layouts
 
 CONNECTOR = "shop-sync"
 DATABASE = "shop"
@@ -42,6 +42,17 @@ def catalog(spark: SparkSession) -> DataFrame:
     return load_catalog(spark, TABLES)
 
 
+# A column of ``user`` is dropped at one position and another added at a later one.
+LAYOUTS = [
+    Layout(TableSpec(DATABASE, "user", ("id", "cents", "kind"), ("id",), ("id", "cents")), 1, 10_000),
+    Layout(TableSpec(DATABASE, "user", ("id", "cents", "kind", "city"), ("id",), ("id", "cents")), 1, 20_000),
+]
+
+
+def catalog_history(spark: SparkSession) -> DataFrame:
+    return with_layouts(catalog(spark), LAYOUTS)
+
+
 # At least six digits; string functions, because a formatter is parsed again for every row.
 FILE_NAME = "concat('mysql-bin.', lpad(string(file_seq), greatest(6, length(string(file_seq))), '0'))"
 

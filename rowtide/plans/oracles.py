@@ -363,6 +363,16 @@ _SQL: dict[str, str] = {
     "named_rows": _with(
         f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, CAST(row_pos AS BIGINT) AS row_pos, table_name,
                    {_image_text('after')} AS after_text, {_image_text('before')} AS before_text FROM imgs""", *_IMGS),
+    "layout_change": _with(
+        f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, CAST(row_pos AS BIGINT) AS row_pos,
+                   CASE WHEN type <> 'DELETE' THEN 'id=' || id || ';cents=' || cents ||
+                     CASE WHEN file_seq > 1 OR pos >= 20000
+                          THEN ';kind=' || props || CASE WHEN width >= 4 THEN ';city=' || event_type ELSE '' END
+                          WHEN pos >= 10000 THEN ';kind=' || props
+                          ELSE ';props=' || props || CASE WHEN width >= 4 THEN ';kind=' || event_type ELSE '' END
+                     END END AS after_text,
+                   type <> 'WRITE' AS has_before
+            FROM imgs WHERE table_name = 'user'""", *_IMGS),
     "row_images": _with(
         f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, CAST(row_pos AS BIGINT) AS row_pos, op,
                    'id=' || id AS key_text, op <> 'INSERT' AS has_before, op <> 'DELETE' AS has_after FROM imgs""", *_IMGS),

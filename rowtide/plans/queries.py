@@ -241,6 +241,19 @@ def named_rows(spark, sf):
     )
 
 
+@query
+def layout_change(spark, sf):
+    """Images of the user table before and after its layout changes, as JSON by name."""
+    history = feed.catalog_history(spark)
+    blocks = fit_blocks(feed_files(spark, sf))
+    grouped = assemble.commit_groups(feed.raw_log(spark, sf), history, blocks).filter("configured")
+    rows = shape.name_columns(shape.row_images(shape.join_metadata(grouped, history))).filter("table_name = 'user'")
+    return rows.select(
+        "file", "pos", F.col("row_pos").cast("bigint").alias("row_pos"), _map_text("after").alias("after_text"),
+        shape.image_json(F.col("before")).isNotNull().alias("has_before"),
+    )
+
+
 @query
 def row_images(spark, sf):
     return _images(spark, sf).select(

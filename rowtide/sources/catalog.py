@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.functions.values import bare_pattern
 
@@ -51,6 +51,35 @@ def load_catalog(spark: SparkSession, tables: list[TableSpec]) -> DataFrame:
     return spark.createDataFrame(rows, CATALOG)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Columns a table has from a log position on: row events at or after it carry them."""
+
+    spec: TableSpec
+    file_seq: int
+    position: int
+
+
+def with_layouts(catalog: DataFrame, layouts: list[Layout]) -> DataFrame:
+    """The catalogue with later layouts of its tables, so that rows are named as of their log position.
+
+    Adds ``layouts``, the versions of each table in log order; a table without any keeps its columns. The
+    list grows by one entry for each schema change.
+    """
+    rows = [
+        (x.spec.database, x.spec.table, x.file_seq, x.position, list(x.spec.columns), list(x.spec.primary_key), bare_pattern(list(x.spec.bare)))
+        for x in layouts
+    ]
+    listed = catalog.sparkSession.createDataFrame(
+        rows,
+        "database_name string, table_name string, file_seq bigint, position bigint, columns array<string>, "
+        "primary_keys array<string>, bare_pattern string",
+    )
+    version = F.struct(F.struct("file_seq", "position").alias("since"), "columns", "primary_keys", "bare_pattern")
+    versions = listed.groupBy("database_name", "table_name").agg(F.array_sort(F.collect_list(version)).alias("layouts"))
+    return catalog.join(versions, ["database_name", "table_name"], "left")
+
+
 def catalog_from_session(
     spark: SparkSession, tables: list[tuple[str, str]], primary_keys: dict[str, list[str]]
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -138,9 +140,18 @@ def _set_aside(mutated: DataFrame, first: int) -> DataFrame:
     )
 
 
-def capture_stream(log_stream: DataFrame, store: ChangeStore, catalog: DataFrame, **options) -> DataStreamWriter:
-    """A stream writer that captures every micro-batch; start it with a trigger and a checkpoint."""
-    return log_stream.writeStream.foreachBatch(
-        lambda batch, batch_id: capture_batch(store, batch, batch_id, catalog, **options)
-    )
+def capture_stream(
+    log_stream: DataFrame, store: ChangeStore, catalog: DataFrame | Callable[[], DataFrame], **options
+) -> DataStreamWriter:
+    """A stream writer that captures every micro-batch; start it with a trigger and a checkpoint.
+
+    A function as ``catalog`` is asked before each batch, so that layouts added after a schema change
+    (``catalog.with_layouts``) name the rows behind it.
+    """
+
+    def capture(batch: DataFrame, batch_id: int) -> None:
+        known = catalog() if callable(catalog) else catalog
+        capture_batch(store, batch, batch_id, known, **options)
+
+    return log_stream.writeStream.foreachBatch(capture)
 
