@@ -64,10 +64,11 @@ def _apply(
     changes, transactions, _ = envelope.split_messages(good)
     low, high = transactions.agg(F.min("file_seq"), F.max("file_seq")).first()
     done = store.done((low, high) if low is not None else (0, -1), before)
-    transactions, incomplete = envelope.split_incomplete(transactions)
-    # A late copy of one part of an applied transaction waits for nothing.
-    held, _ = fold.drop_done(fold.dedupe_transactions(incomplete), done)
-    store.write("held", version, held.withColumn("key", F.col("transaction_id")).select(*columns))
+    if transactions.filter("fragments > 1").limit(1).count():
+        transactions, incomplete = envelope.split_incomplete(transactions)
+        # A late copy of one part of an applied transaction waits for nothing.
+        held, _ = fold.drop_done(fold.dedupe_transactions(incomplete), done)
+        store.write("held", version, held.withColumn("key", F.col("transaction_id")).select(*columns))
     valid, rejected = envelope.validate_transactions(transactions)
     if on_reject == "fail":
         first = rejected.select("transaction_id", "reason").limit(1).collect()
