@@ -30,7 +30,7 @@ from rowtide.llm.induced_sort import sort_suffixes
 WIDTH = 50
 GRAM = 16
 BUCKET_BYTES = 8 << 20  # text of one bucket of documents
-SHARD_BYTES = 24 << 20  # input text per shard of contexts
+SHARD_BYTES = 8 << 20  # input text per shard of contexts
 PIECE = 1 << 20  # bytes hashed at a time
 LONGEST = 1024  # strings of one context
 # A hash that occurs more often than this is routed string by string, so no shard gathers all its contexts.
