@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 # Rows of one Arrow batch are handled in pieces of about this many bytes of text.
@@ -69,6 +69,18 @@ def column(piece: pa.RecordBatch, name: str) -> pa.Array:
     return piece.column(piece.schema.get_field_index(name))
 
 
+def hash_sample(df: DataFrame, text: str, rows: int, max_chars: int) -> list[str]:
+    """At most ``rows`` texts of at most ``max_chars`` characters, the ones of smallest hash.
+
+    A share of the hashes that yields about four times the wanted rows is cut out before anything is sorted,
+    so what the tasks send does not grow with their number.
+    """
+    share = min(1.0, 4 * rows / max(1, df.count()))
+    near = F.pmod(F.xxhash64(text), F.lit(1 << 20)) <= int(share * (1 << 20))
+    short = df.filter(near & (F.length(text) <= max_chars)).select(F.col(text).alias("t"))
+    return [r["t"] for r in short.orderBy(F.xxhash64("t")).limit(rows).collect()]
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of ``df`` has them."""
     taken = {c.lower() for c in df.columns}

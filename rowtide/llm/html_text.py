@@ -14,10 +14,10 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from rowtide.llm.boosting import BoostedTrees
-from rowtide.llm.common import arrow_map, column, texts_of
+from rowtide.llm.common import arrow_map, column, hash_sample, texts_of
 
 # --- document tree -------------------------------------------------------------------------------------
 
@@ -339,10 +339,7 @@ def fit_pages(pages: DataFrame, column_: str = "html", sample_pages: int = SAMPL
     The sample is the pages of smallest hash among those of at most ``SAMPLE_CHARS`` characters; it only lends
     words and paragraph lengths. Without pages the layouts are filled with placeholder words.
     """
-    rows = (
-        pages.filter(F.length(column_) <= SAMPLE_CHARS).select(F.col(column_).alias("h")).orderBy(F.xxhash64("h")).limit(sample_pages).collect()
-    )
-    return fit_layouts([r["h"] for r in rows], seed)
+    return fit_layouts(hash_sample(pages, column_, sample_pages, SAMPLE_CHARS), seed)
 
 
 def fit_layouts(sample: list[str], seed: int = 5) -> PageModel:

@@ -13,9 +13,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from rowtide.llm.common import arrow_map, column, sha256_hex, texts_of
+from rowtide.llm.common import arrow_map, column, hash_sample, sha256_hex, texts_of
 
 KINDS = ("email", "ip", "card", "phone")  # fixed order of the report
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -404,14 +404,7 @@ def fit_field(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOC
     The sample is the rows of smallest hash among the texts of at most ``SAMPLE_CHARS`` characters; an empty
     table trains on the made-up values alone.
     """
-    rows = (
-        docs.filter(F.length(text) <= SAMPLE_CHARS)
-        .select(F.col(text).alias("t"))
-        .orderBy(F.xxhash64("t"))
-        .limit(sample_docs)
-        .collect()
-    )
-    return SemiMarkovField().fit(training_examples([r["t"] for r in rows]))
+    return SemiMarkovField().fit(training_examples(hash_sample(docs, text, sample_docs, SAMPLE_CHARS)))
 
 
 def all_spans(text: str, field: SemiMarkovField) -> tuple[list, list]:
