@@ -13,56 +13,94 @@ Pairs are then looked for only across the groups so far, which loses no componen
 from __future__ import annotations
 
 import hashlib
+import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from rowtide.llm.common import arrow_map, column, pieces
+from rowtide.llm.common import arrow_map, column
 from rowtide.llm.components import connected_components
 from rowtide.session import materialize
 
-SKETCH = 1 << 18
-SKETCH_PARTS = 16
-CACHE_WORDS = 1 << 19
 MORE_MATCHES = 16  # a prefix is lengthened by at most so many shingles
 VERIFY_COST = 20.0  # comparing two sets, in steps along a posting list
 BLOCK = 256  # members or probes of one posting list that meet in one task
+BUCKET_BYTES = 8 << 20  # text of one bucket of documents
+SHARD_BYTES = 24 << 20  # text whose shingles one task counts
+PIECE = 1 << 20  # bytes hashed at a time
+
+# --- sets ----------------------------------------------------------------------------------------------
+
+ODD = 0x9E3779B97F4A7C15
+UNDO = pow(ODD, -1, 2**64)
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return values ^ (values >> np.uint64(29))
 
 
 class Shingler:
-    """Sets of hashed word shingles: sorted distinct 64-bit values."""
+    """Sets of hashed word shingles: sorted distinct 64-bit values.
+
+    Words are hashed for many texts at once: a word's hash is the sum of its bytes times powers of an odd
+    number, shifted back to its start.
+    """
 
     def __init__(self, size: int):
         self.size = size
-        self.words: dict[bytes, int] = {}
-
-    def set_of(self, text: str | None) -> np.ndarray:
-        found = text.encode("utf-8", "replace").lower().split() if text else []
-        if not found:
-            return np.empty(0, dtype=np.uint64)
-        known = self.words
-        try:
-            ids = list(map(known.__getitem__, found))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for word in set(found).difference(known):
-                known[word] = xxhash.xxh64_intdigest(word)
-            ids = list(map(known.__getitem__, found))
-        values = np.array(ids, dtype=np.uint64)
-        width = min(self.size, len(values))
-        mixed = np.full(len(values) - width + 1, len(found) if width < self.size else 0, dtype=np.uint64)
-        for k in range(width):
-            mixed = (mixed ^ values[k : len(values) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
-
-
-def _buckets(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+        self.up = self.down = np.empty(0, dtype=np.uint64)
+
+    def sets_of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(texts):
+            stop, held = at, 0
+            while stop < len(texts) and (stop == at or held + len(texts[stop]) <= PIECE):
+                held += len(texts[stop]) + 1
+                stop += 1
+            yield from self._sets(texts[at:stop])
+            at = stop
+
+    def _sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        data = np.frombuffer(b" ".join(texts).lower() + b" ", dtype=np.uint8)
+        if len(data) > len(self.up):
+            self.up, self.down = _powers(ODD, len(data)), _powers(UNDO, len(data))
+        inside = ~BLANK[data]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        first, past = edges[::2], edges[1::2]
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)])))
+        word = _mixed((total[past] - total[first]) * self.down[first] + (past - first).astype(np.uint64))
+        lengths = np.array([len(t) + 1 for t in texts])
+        bounds = np.searchsorted(first, np.concatenate(([0], np.cumsum(lengths))))
+        rolled = word.copy()
+        for k in range(1, self.size):
+            rolled = _mixed(rolled[:-1] * np.uint64(ODD) + word[k:]) if len(rolled) > 1 else rolled[:0]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if b - a >= self.size:
+                yield np.unique(rolled[a : b - self.size + 1])
+            elif b > a:
+                short = np.array([b - a], dtype=np.uint64)
+                for k in range(a, b):
+                    short = _mixed(short * np.uint64(ODD) + word[k])
+                yield short
+            else:
+                yield np.empty(0, dtype=np.uint64)
+
+
+def set_key(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -70,63 +108,122 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def sketch_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Documents per shingle bucket over the whole table; fixed size, whatever the input."""
-    width = SKETCH // SKETCH_PARTS
-
-    def run(batches):
-        shingler, total, any_row = Shingler(size), np.zeros(SKETCH, dtype=np.uint32), False
-        for piece in pieces(batches, text):
-            sets = [shingler.set_of(t) for t in column(piece, text).to_pylist()]
-            total += np.bincount(_buckets(np.concatenate(sets)), minlength=SKETCH).astype(np.uint32)
-            any_row = True
-        if any_row:
-            parts = [total[k * width : (k + 1) * width].tobytes() for k in range(SKETCH_PARTS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
-
-    rows = docs.select(text).mapInArrow(run, "part int, counts binary")
-    # Two levels, so no task adds up more than a share of the tasks' sketches.
-    rows = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
-        .groupBy("part", "salt")
-        .applyInPandas(lambda r: _added(r, np.uint32), "part int, counts binary")
-    )
-    out = np.zeros(SKETCH, dtype=np.int64)
-    for row in rows.groupBy("part").applyInPandas(lambda r: _added(r, np.int64), "part int, counts binary").collect():
-        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.int64)
-    return out
-
-
-def _added(rows: pd.DataFrame, kind: type) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(c, dtype=kind) for c in rows["counts"]], axis=0, dtype=np.int64)
-    return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [total.tobytes()]})
-
+# --- how many sets hold each shingle ---------------------------------------------------------------------
+
+
+def _node_sets(docs: pa.Table, nodes: pa.Table, size: int) -> tuple[list[bytes], list, list[np.ndarray]]:
+    """Keys, ids and sets of the bucket's nodes, each from one row with the node's id and set, by key."""
+    wanted = dict(zip(nodes.column("_key").to_pylist(), nodes.column("_id").to_pylist()))
+    ids = set(wanted.values())
+    rows = [(i, t or b"") for i, t in zip(docs.column("_id").to_pylist(), docs.column("_text").to_pylist()) if i in ids]
+    found = {}
+    for (i, _), values in zip(rows, Shingler(size).sets_of([t for _, t in rows])):
+        key = set_key(values)
+        if key not in found and key in wanted and wanted[key] == i:
+            found[key] = values
+    keys = sorted(found)
+    return keys, [wanted[k] for k in keys], [found[k] for k in keys]
+
+
+def _by_shard(sets: list[np.ndarray], n_shards: int, bits: int):
+    """Distinct shortened shingles of a bucket ordered by shard, their counts, and where each occurrence went."""
+    flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+    short = flat >> np.uint64(64 - bits)
+    width = -(-(1 << bits) // n_shards)  # shards are ranges, so value order is shard order
+    values, where, counts = np.unique(short, return_inverse=True, return_counts=True)
+    cuts = np.searchsorted(values, np.arange(n_shards + 1, dtype=np.uint64) * np.uint64(width))
+    return values, counts, where, cuts
+
+
+LISTS = "_shard bigint, _bucket bigint, tokens binary, counts binary"
+ANSWERS = "_bucket bigint, _shard bigint, counts binary"
+
+
+def list_shingles(docs: pa.Table, nodes: pa.Table, size: int, n_shards: int, bits: int) -> pa.Table:
+    made = {"_shard": [], "_bucket": [], "tokens": [], "counts": []}
+    if docs.num_rows and nodes.num_rows:
+        values, counts, _, cuts = _by_shard(_node_sets(docs, nodes, size)[2], n_shards, bits)
+        for shard in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[shard], cuts[shard + 1]
+            steps = np.diff(values[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+            # Byte planes: the steps are small, so the high planes vanish under compression.
+            kept = max(1, 8 - int((steps[1:].max(0)[::-1] > 0).argmax()) if b - a > 1 and steps[1:].any() else 1)
+            planes = np.ascontiguousarray(steps[:, :kept].T).tobytes()
+            made["_shard"].append(int(shard))
+            made["_bucket"].append(nodes.column("_bucket")[0].as_py())
+            made["tokens"].append(bytes([kept]) + int(values[a]).to_bytes(8, "little") + planes)
+            made["counts"].append(zlib.compress(counts[a:b].astype(np.uint32).tobytes(), 1))
+    kinds = pa.schema([("_shard", pa.int64()), ("_bucket", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
+    return pa.table(made, schema=kinds)
+
+
+def _tokens(blob: bytes) -> np.ndarray:
+    kept, first = blob[0], int.from_bytes(blob[1:9], "little")
+    planes = np.frombuffer(blob, dtype=np.uint8, offset=9).reshape(kept, -1)
+    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    steps[:, :kept] = planes.T
+    steps = steps.view(np.uint64).ravel().copy()
+    steps[0] = first
+    return np.cumsum(steps)
+
+
+def count_shingles(group: pa.Table) -> pa.Table:
+    """Sets over all buckets that hold each shingle, returned to every bucket in its own order."""
+    rows = group.to_pylist()
+    parts = [_tokens(r["tokens"]) for r in rows]
+    _, where = np.unique(np.concatenate(parts), return_inverse=True)
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32) for r in rows])
+    total = np.bincount(where, weights=counts).astype(np.uint32)[where]
+    made, at = [], 0
+    for r, mine in zip(rows, parts):
+        made.append({"_bucket": r["_bucket"], "_shard": r["_shard"], "counts": zlib.compress(total[at : at + len(mine)].tobytes(), 1)})
+        at += len(mine)
+    return pa.Table.from_pylist(made, schema=pa.schema([("_bucket", pa.int64()), ("_shard", pa.int64()), ("counts", pa.binary())]))
+
+
+LIVE = "key binary, min_id {kind}, n bigint, need int, prefix binary, tokens array<bigint>, counts array<bigint>, values binary"
+
+
+def live_nodes(docs: pa.Table, both: pa.Table, size: int, n_shards: int, bits: int, num: int, den: int, kind: pa.DataType) -> pa.Table:
+    """Nodes that share a shingle of their one-match prefix with another node.
+
+    ``tokens`` and ``counts`` are those shared shingles and their list lengths; ``prefix`` is the prefix for the
+    ``need`` matches the node picked; ``values`` is the whole set.
+    """
+    made = {"key": [], "min_id": [], "n": [], "need": [], "prefix": [], "tokens": [], "counts": [], "values": []}
+    nodes = both.filter(pc.is_valid(both.column("_key")))
+    answers = both.filter(pc.is_valid(both.column("counts")))
+    if docs.num_rows and nodes.num_rows:
+        keys, ids, sets = _node_sets(docs, nodes, size)
+        values, _, where, _ = _by_shard(sets, n_shards, bits)
+        order = np.argsort(answers.column("_shard").to_numpy(), kind="stable").tolist()
+        blobs = answers.column("counts").to_pylist()
+        common = np.concatenate([np.frombuffer(zlib.decompress(blobs[i]), dtype=np.uint32) for i in order])[where].astype(np.int64)
+        at = 0
+        for key, node_id, mine in zip(keys, ids, sets):
+            n = len(mine)
+            held = common[at : at + n]
+            at += n
+            first = n - least_overlap(n, num, den) + 1
+            ordered = np.lexsort((mine, held))[: min(n, first + MORE_MATCHES - 1)]
+            shared = ordered[:first][held[ordered[:first]] > 1]
+            if not len(shared):
+                continue
+            m = matches_needed(held[ordered].astype(np.float64), first)
+            made["key"].append(key)
+            made["min_id"].append(node_id)
+            made["n"].append(n)
+            made["need"].append(m)
+            made["prefix"].append(mine[ordered[: first + m - 1]].tobytes())
+            made["tokens"].append(mine[shared].view(np.int64))
+            made["counts"].append(held[shared])
+            made["values"].append(mine.tobytes())
+    longs = pa.list_(pa.int64())
+    kinds = pa.schema([("key", pa.binary()), ("min_id", kind), ("n", pa.int64()), ("need", pa.int32()), ("prefix", pa.binary()), ("tokens", longs), ("counts", longs), ("values", pa.binary())])
+    return pa.table({f.name: pa.array(made[f.name], f.type) for f in kinds}, schema=kinds)
 
-def shingle_rows(docs: DataFrame, sketch: np.ndarray, id_column: str, text: str, size: int, num: int, den: int) -> DataFrame:
-    """(id, n, key, first, prefix): set size, set hash, length of the one-match prefix, longest prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # SKETCH counters
-    kept: list[Shingler] = []
 
-    def run(piece):
-        if not kept:
-            kept.append(Shingler(size))
-        out = {"n": [], "key": [], "first": [], "prefix": []}
-        for t in column(piece, text).to_pylist():
-            values = kept[0].set_of(t)
-            n = len(values)
-            first = n - least_overlap(n, num, den) + 1 if n else 0
-            longest = min(n, first + MORE_MATCHES - 1)
-            order = np.lexsort((values, shared.value[_buckets(values)]))[:longest]
-            out["n"].append(n)
-            out["key"].append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
-            out["first"].append(first)
-            out["prefix"].append(values[order].view(np.int64))
-        out["prefix"] = pa.array(out["prefix"], type=pa.list_(pa.int64()))
-        return out | {"id": column(piece, "id")}
-
-    docs = docs.select(F.col(id_column).alias("id"), text)
-    kind = docs.schema["id"].dataType.simpleString()
-    return arrow_map(docs, run, text, f"id {kind}, n bigint, key binary, first int, prefix array<bigint>")
+# --- pairs ---------------------------------------------------------------------------------------------
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -161,53 +258,80 @@ def matches_needed(counts: np.ndarray, first: int) -> int:
     return int(options[np.argmin(read + VERIFY_COST * read / options)])
 
 
-def cross_candidates(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Candidate pairs of one block of one posting list: probes against members of other groups.
+LIST_ROW = ["token", "mb", "pb", "probe", "key", "label", "n", "need", "prefix"]
+
+
+def cross_candidates(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs out of sorted rows of list blocks (token, mb, pb), several blocks in an Arrow batch.
+
+    A block that ends with its batch may go on in the next one, so its rows wait for it.
+    """
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([*waiting, batch]).combine_chunks()
+        columns = [held.column(c).to_numpy() for c in ("token", "mb", "pb")]
+        change = np.zeros(held.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(change)
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield _block_pairs(held.slice(0, last), cuts[:-1], num, den)
+        waiting = held.slice(last).to_batches()
+    if waiting:
+        yield _block_pairs(pa.Table.from_batches(waiting).combine_chunks(), np.empty(0, dtype=np.int64), num, den)
+
+
+def _block_pairs(rows: pa.Table, cuts: np.ndarray, num: int, den: int) -> pa.RecordBatch:
+    token, n, need = (rows.column(c).to_numpy() for c in ("token", "n", "need"))
+    probe = np.array(rows.column("probe").to_pylist(), dtype=bool)
+    key, label, blobs = (rows.column(c).to_pylist() for c in ("key", "label", "prefix"))
+    a, b = [], []
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows]):
+        members = [i for i in range(low, high) if not probe[i]]
+        probes = [i for i in range(low, high) if probe[i]]
+        if members and probes and (len(members) > 1 or len(probes) > 1 or key[members[0]] != key[probes[0]]):
+            for p, m in _list_pairs(token[low], members, probes, n, need, label, blobs, num, den):
+                a.append(key[p])
+                b.append(key[m])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _list_pairs(token, members, probes, n, need, label, blobs, num: int, den: int):
+    """Probes against members of other groups in one block of one posting list.
 
     A pair is left to the list of its first shared prefix shingle, and needs the smaller of the two match
     numbers and an overlap bound that can still reach the threshold.
     """
-    token = np.uint64(np.int64(rows["token"].iloc[0]).view(np.uint64))
-    members, probes = rows[~rows["probe"]], rows[rows["probe"]]
-    none = pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
-    if members.empty or probes.empty:
-        return none
-    prefixes = [np.frombuffer(p, dtype=np.uint64) for p in members["prefix"]]
+    token = np.int64(token).view(np.uint64)
+    prefixes = [np.frombuffer(blobs[i], dtype=np.uint64) for i in members]
     lengths = np.array([len(p) for p in prefixes])
-    flat = np.concatenate(prefixes)
-    owner = np.repeat(np.arange(len(prefixes)), lengths)
+    flat, owner = np.concatenate(prefixes), np.repeat(np.arange(len(members)), lengths)
     place = np.argsort(flat, kind="stable")
     flat, owner = flat[place], owner[place]
-    n = members["n"].to_numpy()
-    need, key = members["need"].to_numpy(), members["key"].to_numpy()
-    label = members["label"].to_numpy()
-    rest = n - lengths
-    made_a, made_b = [], []
-    for p in probes.itertuples():
-        mine = np.frombuffer(p.prefix, dtype=np.uint64)
+    sizes, wanted = n[members], need[members]
+    rest = sizes - lengths
+    for p in probes:
+        mine = np.frombuffer(blobs[p], dtype=np.uint64)
         low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-        hit = [owner[a:b] for a, b in zip(low, high)]
-        which = np.concatenate(hit)
-        if not len(which):
+        many = high - low
+        place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        which = owner[place]
+        count = np.bincount(which, minlength=len(members))
+        small, large = np.minimum(sizes, n[p]), np.maximum(sizes, n[p])
+        bound = np.minimum(count + np.maximum(rest, n[p] - len(mine)), small)
+        fits = (count >= np.minimum(wanted, need[p])) & (den * small >= num * large) & ((num + den) * bound >= num * (sizes + n[p]))
+        chosen = [i for i in np.flatnonzero(fits).tolist() if label[members[i]] != label[p]]
+        if not chosen:
             continue
-        count = np.bincount(which, minlength=len(n))
-        bound = count + np.maximum(rest, p.n - len(mine))
-        fits = (
-            (count >= np.minimum(need, p.need))
-            & (den * np.minimum(n, p.n) >= num * np.maximum(n, p.n))
-            & ((num + den) * np.minimum(bound, np.minimum(n, p.n)) >= num * (n + p.n))
-            & (label != p.label)
-        )
-        if not fits.any():
-            continue
-        where = np.repeat(np.arange(len(mine)), high - low)
-        first = np.full(len(n), len(mine))
-        np.minimum.at(first, which, where)
+        first = np.full(len(members), len(mine))
+        np.minimum.at(first, which, np.repeat(np.arange(len(mine)), many))
         here = int(np.flatnonzero(mine == token)[0])
-        for i in np.flatnonzero(fits & (first == here)):
-            made_a.append(p.key)
-            made_b.append(key[i])
-    return pd.DataFrame({"a": made_a, "b": made_b}) if made_a else none
+        for i in chosen:
+            if first[i] == here:
+                yield p, members[i]
 
 
 def jaccard_components(
@@ -217,97 +341,78 @@ def jaccard_components(
     size: int = 3,
     num: int = 90,
     den: int = 100,
+    bucket_bytes: int = BUCKET_BYTES,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Set size and component of every row: (id, n_shingles, component_id).
 
     Sets hold distinct shingles of ``size`` words, or the whole sequence of a shorter text; rows link when
     ``den * intersection >= num * union``. The component is the smallest id reachable. Null and wordless
     texts have an empty set, link with nothing and are their own component. Rows with equal sets are one
-    node, so ties, repeated rows and hot groups of copies add no pairs. Rows without an id can only take the
-    component of others. Other columns are not read; an empty table gives an empty result.
+    node, so ties, repeated rows and hot groups of copies add no pairs. A row without an id takes the
+    component of rows with an equal set and is not compared otherwise. Other columns are not read; an empty
+    table gives an empty result.
     """
-    docs = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
-    sketch = sketch_counts(docs, "_text", size)
-    rows = materialize(shingle_rows(docs, sketch, "_id", "_text", size, num, den), "shingles")
-    nodes = materialize(
-        rows.filter("n > 0").groupBy("key").agg(
-            F.min("id").alias("min_id"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("prefix").alias("prefix")
-        ),
-        "nodes",
-    )
-    postings = nodes.select("key", F.explode(F.slice("prefix", F.lit(1), F.col("first"))).alias("token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    live = materialize(postings.join(shared, "token").select("token", "key", "c"), "live-postings")
-
-    # Sets of the nodes that share any prefix shingle, from the text of one row each.
-    wanted = nodes.join(live.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("wanted"), "min_id")
-    found = docs.join(wanted, docs["_id"].eqNullSafe(wanted["min_id"])).select("wanted", "_text")
-    kept: list[Shingler] = []
-
-    def full_sets(piece):
-        if not kept:
-            kept.append(Shingler(size))
-        values = [kept[0].set_of(t).tobytes() for t in column(piece, "_text").to_pylist()]
+    docs = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
+    kind = docs.schema["_id"].dataType.simpleString()
+    shinglers: list[Shingler] = []
+
+    def keys(piece):
+        if not shinglers:
+            shinglers.append(Shingler(size))
+        sets = list(shinglers[0].sets_of(column(piece, "_text").to_pylist()))
         return {
-            "key": column(piece, "wanted"),
-            "values": values,
-            "same": [hashlib.blake2b(v, digest_size=16).digest() == k for v, k in zip(values, column(piece, "wanted").to_pylist())],
-        }
-
-    sets = materialize(
-        arrow_map(found, full_sets, "_text", "key binary, values binary, same boolean")
-        .filter("same").select("key", "values").dropDuplicates(["key"]),
-        "sets",
+            "id": column(piece, "_id"), "n": [len(v) for v in sets],
+            "key": [set_key(v) if len(v) else None for v in sets], "bytes": column(piece, "_size"),
+        }
+
+    sized = docs.withColumn("_size", F.octet_length("_text").cast("bigint"))
+    rows = materialize(arrow_map(sized, keys, "_text", f"id {kind}, n bigint, key binary, bytes bigint"), "set-keys")
+    nodes = materialize(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("min_id")), "nodes")
+    live = materialize(_live(docs, nodes, rows, size, num, den, bucket_bytes, shard_bytes), "live-nodes")
+    sets = live.select("key", "values")
+    lists = materialize(
+        live.select("key", "min_id", F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
+        .select("key", "min_id", F.col("t.tokens").alias("token"), F.col("t.counts").alias("c")),
+        "lists",
     )
 
     # One centre for the nodes that share their most common prefix shingle.
-    chosen = live.groupBy("key").agg(F.max(F.struct("c", "token")).alias("s")).select("key", F.col("s.token").alias("token"))
-    chosen = materialize(chosen.join(nodes.select("key", "min_id"), "key"), "chosen")
-    centres = materialize(chosen.groupBy("token").agg(F.min(F.struct("min_id", "key")).alias("s")).select("token", F.col("s.key").alias("b")), "centres")
+    chosen = materialize(
+        lists.groupBy("key").agg(F.max(F.struct("c", "token", "min_id")).alias("s")).select("key", "s.token", "s.min_id"), "chosen"
+    )
+    centres = materialize(
+        chosen.groupBy("token").agg(F.min(F.struct("min_id", "key")).alias("s")).select("token", F.col("s.key").alias("b")), "centres"
+    )
     stars = chosen.select("token", F.col("key").alias("a")).join(centres, "token").filter("a <> b").select("a", "b")
     star_links = materialize(linked_pairs(stars, sets, num, den), "star-links")
 
-    # Pairs across groups, list by list.
+    # Pairs across the groups so far, list by list.
     groups = star_links.select(F.col("a").alias("key"), F.col("b").alias("label"))
-    labelled = live.join(groups, "key", "left").select("token", "key", "c", F.coalesce("label", "key").alias("label"))
-    labelled = materialize(labelled, "labelled")
+    labelled = materialize(
+        lists.join(groups, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label")), "labelled"
+    )
     sizes = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
     mixed = materialize(
-        sizes.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("members"))
-        .filter("labels > 1").select("token", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("probes")),
+        sizes.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("members"))
+        .filter("labels > 1")
+        .select("token", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("probes")),
         "mixed-lists",
     )
-    # How many matches each node asks for, from the list lengths along its longest prefix.
-    along = nodes.select("key", "n", "first", F.posexplode("prefix").alias("at", "token"))
-    along = along.join(labelled.select("key").distinct(), "key", "left_semi").join(shared, "token", "left")
-    costs = along.groupBy("key").agg(
-        F.first("n").alias("n"), F.first("first").alias("first"),
-        F.sort_array(F.collect_list(F.struct("at", "token", F.coalesce("c", F.lit(1)).alias("c")))).alias("p"),
-    )  # at most the prefix of one node
-
-    def choose(piece):
-        need, blobs = [], []
-        for first, p in zip(column(piece, "first").to_pylist(), column(piece, "p").to_pylist()):
-            m = matches_needed(np.array([x["c"] for x in p], dtype=np.float64), first)
-            need.append(m)
-            blobs.append(np.array([x["token"] for x in p[: first + m - 1]], dtype=np.int64).tobytes())
-        return {"key": column(piece, "key"), "n": column(piece, "n"), "need": need, "prefix": blobs}
-
-    chosen_prefix = materialize(
-        arrow_map(costs.select("key", "n", "first", "p"), choose, "key", "key binary, n bigint, need int, prefix binary"), "prefixes"
-    )
-    in_lists = labelled.join(mixed, "token").join(chosen_prefix, "key")
-    spread = lambda column_, of: F.pmod(F.xxhash64(column_), F.ceil(F.col(of) / F.lit(BLOCK))).cast("int")
-    every = lambda of: F.sequence(F.lit(0), (F.ceil(F.col(of) / F.lit(BLOCK)) - 1).cast("int"))
+    in_lists = labelled.join(mixed, "token").join(live.select("key", "n", "need", "prefix"), "key")
+    blocks = lambda of: F.ceil(F.col(of) / F.lit(BLOCK)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), blocks(of) - 1))
+    own = lambda of: F.pmod(F.hash("key"), blocks(of))
     fields = ["token", "key", "label", "n", "need", "prefix"]
-    member_rows = in_lists.select(*fields, spread("key", "members").alias("mb"), F.explode(every("probes")).alias("pb"), F.lit(False).alias("probe"))
-    probe_rows = in_lists.filter("label <> main").select(
-        *fields, F.explode(every("members")).alias("mb"), spread("key", "probes").alias("pb"), F.lit(True).alias("probe")
-    )
+    members = in_lists.select(*fields, own("members").alias("mb"), every("probes").alias("pb"), F.lit(False).alias("probe"))
+    probes = in_lists.filter("label <> main").select(*fields, every("members").alias("mb"), own("probes").alias("pb"), F.lit(True).alias("probe"))
     candidates = (
-        member_rows.unionByName(probe_rows)
-        .groupBy("token", "mb", "pb")
-        .applyInPandas(lambda r: cross_candidates(r, num, den), "a binary, b binary")
+        members.unionByName(probes)
+        .select(*LIST_ROW)
+        .repartition("token", "mb", "pb")
+        .sortWithinPartitions("token", "mb", "pb")
+        .mapInArrow(lambda batches: cross_candidates(batches, num, den), "a binary, b binary")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
@@ -316,15 +421,39 @@ def jaccard_components(
     parts = connected_components(star_links.union(cross_links))
     named = parts.join(nodes.select(F.col("key").alias("node"), "min_id"), "node")
     least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    linked = materialize(named.join(least, "root").select(F.col("node").alias("key"), "component_id"), "component-of")
-    answer = nodes.select("key", "min_id").join(linked, "key", "left")
-    answer = materialize(answer.select("key", F.coalesce("component_id", "min_id").alias("component_id")), "answer")
-    joined = rows.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(answer, "key", "left")
-    return joined.select(
+    linked = named.join(least, "root").select(F.col("node").alias("key"), "component_id")
+    answer = materialize(
+        nodes.join(linked, "key", "left").select("key", F.coalesce("component_id", "min_id").alias("component_id")), "answer"
+    )
+    return rows.join(answer, "key", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
+def _live(docs, nodes, rows, size, num, den, bucket_bytes, shard_bytes) -> DataFrame:
+    """Live nodes with their prefixes and sets; the text is shuffled once, by bucket of its id."""
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    n_buckets, n_shards = max(1, math.ceil(total / bucket_bytes)), max(1, math.ceil(total / shard_bytes))
+    # Shingles are counted by so many leading bits that chance equals are about one in a thousand.
+    bits = min(64, max(32, total.bit_length() + 10))
+    id_kind = docs.schema["_id"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_kind = to_arrow_type(id_kind)
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(n_buckets).cast("bigint"))
+    spread = docs.withColumn("_bucket", bucket("_id")).groupBy("_bucket")
+    node_rows = nodes.filter("min_id IS NOT NULL").select(
+        bucket("min_id").alias("_bucket"), F.col("min_id").alias("_id"), F.col("key").alias("_key"),
+        F.lit(None).cast("bigint").alias("_shard"), F.lit(None).cast("binary").alias("counts"),
+    )
+    listed = spread.cogroup(node_rows.groupBy("_bucket")).applyInArrow(lambda d, n: list_shingles(d, n, size, n_shards, bits), LISTS)
+    answers = listed.groupBy("_shard").applyInArrow(count_shingles, ANSWERS)
+    both = node_rows.unionByName(answers.select("_bucket", F.lit(None).cast(id_kind).alias("_id"), F.lit(None).cast("binary").alias("_key"), "_shard", "counts"))
+    return spread.cogroup(both.groupBy("_bucket")).applyInArrow(
+        lambda d, b: live_nodes(d, b, size, n_shards, bits, num, den, arrow_kind), LIVE.format(kind=id_kind.simpleString())
+    )
+
+
 def drop_near_copies(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
