@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from rowtide.llm.common import arrow_map, column, texts_of
 
 SPACE = "▁"
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 CACHE_PAIRS = 1 << 20
 # No piece holds a space mark after another character, so all paths meet in front of a word's mark.
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -53,8 +54,8 @@ class PieceModel:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.longest = max(map(len, self.ids))
-        # Beginnings of longer pieces: past any other text no piece can follow from the same boundary.
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
+        # Ends of longer pieces: before any other text no piece can begin and end at the same boundary.
+        self.suffixes = {p[k:] for p in self.ids for k in range(1, len(p))}
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that span words are not supported")
@@ -105,44 +106,39 @@ class StreamingViterbi:
     def cut(self, text: str):
         """Yield the pieces of ``text``; unknown characters come as themselves.
 
-        Boundaries are taken from left to right and offer their edges to the boundaries ahead, so a boundary
-        is settled once it is reached. ``front`` starts as all settled or offered boundaries that a future
-        path can still use.
+        Each boundary looks back over the pieces that end there, at most ``longest`` characters, and keeps its
+        best survivor. ``front`` starts as the boundaries that a future path can still leave from.
         """
         model, longest, n = self.model, self.model.longest, len(text)
-        ids, prefixes, bpe, allowed = model.ids, model.prefixes, model.kind == BPE, self.allowed
+        ids, suffixes, bpe, allowed = model.ids, model.suffixes, model.kind == BPE, self.allowed
         # Survivors: boundary -> (boundary before, piece, path score).
         back: dict[int, tuple[int, str, float]] = {0: (-1, "", 0.0)}
         done = 0
-        for start in range(n):
-            here = back.get(start)
-            if here is None:
-                continue
-            previous, score = here[1], here[2]
-            free = start == 0 or previous not in ids
-            for end in range(start + 1, min(n, start + longest) + 1):
+        for end in range(1, n + 1):
+            edges = []
+            for start in range(end - 1, max(done, end - longest) - 1, -1):
                 piece = text[start:end]
-                if piece in ids:
-                    if bpe:
-                        if end not in back:
-                            fits = free or allowed.get((previous, piece))
-                            if fits is None:
-                                fits = self.compatible(previous, piece)
-                            if fits:
-                                back[end] = (start, piece, 0.0)
-                    else:
-                        total = score + model.score[piece]
-                        if end not in back or total > back[end][2]:
-                            back[end] = (start, piece, total)
-                elif end == start + 1:
-                    total = score + model.worst
-                    if end not in back or total > back[end][2]:
-                        back[end] = (start, piece, total)
-                if piece not in prefixes:
-                    break
-            if start - done >= 2 * longest:
+                if start in back and (piece in ids or start == end - 1):
+                    edges.append((start, piece))
+                if piece not in suffixes:
+                    break  # no longer piece ends here
+            if bpe:
+                for start, piece in reversed(edges):
+                    previous = back[start][1]
+                    fits = allowed.get((previous, piece))
+                    if fits is None:
+                        fits = start == 0 or piece not in ids or previous not in ids or self.compatible(previous, piece)
+                    if fits:
+                        back[end] = (start, piece, 0.0)
+                        break
+            else:
+                for start, piece in edges:
+                    score = back[start][2] + model.score.get(piece, model.worst)
+                    if end not in back or score >= back[end][2]:
+                        back[end] = (start, piece, score)
+            if end - done >= 2 * longest:
                 # Follow the survivors back until they have merged into one boundary.
-                front = {b for b in back if b > start}
+                front = {b for b in back if b > end - longest}
                 while len(front) > 1:
                     latest = max(front)
                     front.remove(latest)
@@ -193,6 +189,9 @@ class StreamingViterbi:
     def decode(self, ids: list[int]) -> str:
         """Text of ids; runs of byte pieces are read as UTF-8."""
         model = self.model
+        pieces = model.texts
+        if model.byte_of.keys().isdisjoint(ids) and model.unknown not in ids:
+            return self._plain("".join([pieces[i] for i in ids]))
         out, pending = [], bytearray()
         for i in ids:
             b = model.byte_of.get(i)
@@ -202,15 +201,24 @@ class StreamingViterbi:
             if pending:
                 out.append(pending.decode("utf-8", "replace"))
                 pending.clear()
-            out.append(model.texts[i] if i != model.unknown else " ⁇ ")
+            out.append(pieces[i] if i != model.unknown else " ⁇ ")
         if pending:
             out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out)
-        if model.prefix and text.startswith(SPACE):
+        return self._plain("".join(out))
+
+    def _plain(self, text: str) -> str:
+        """Text without the leading mark the encoder added, marks as spaces."""
+        if self.model.prefix and text.startswith(SPACE):
             text = text[1:]
         return text.replace(SPACE, " ")
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> StreamingViterbi:
+    """The encoder of a worker process; its caches serve all tasks the process runs."""
+    return StreamingViterbi(PieceModel(path))
+
+
 def encode_documents(
     docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", keep: bool = False
 ) -> DataFrame:
@@ -222,20 +230,18 @@ def encode_documents(
     it does not round-trip. Rows are not moved; repeated rows are encoded one by one. ``path`` must exist on
     every worker.
     """
-    kept: list[StreamingViterbi] = []
     names = ("piece_ids", "n_pieces", "round_trip") if keep else ("ids", "n_ids", "round_trip")
     base = docs.drop(*names) if keep else docs.select(id_column, text)
     fields = [f for f in base.schema.fields if keep or f.name == id_column]
 
     def run(piece):
-        if not kept:
-            kept.append(StreamingViterbi(PieceModel(path)))
+        viterbi = encoder(path)
         texts = texts_of(piece, text)
-        ids = [kept[0].encode(t) for t in texts]
+        ids = [viterbi.encode(t) for t in texts]
         made = {f.name: column(piece, f.name) for f in fields}
         made[names[0]] = pa.array(ids, type=pa.list_(pa.int32()))
         made[names[1]] = [len(i) for i in ids]
-        made[names[2]] = [kept[0].decode(i) == t for i, t in zip(ids, texts)]
+        made[names[2]] = [viterbi.decode(i) == t for i, t in zip(ids, texts)]
         return made
 
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
