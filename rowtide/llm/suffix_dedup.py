@@ -283,17 +283,25 @@ def judge_shard(group: pa.Table, width: int) -> pa.Table:
     for k in range(1, width):
         is_start[begins + lengths - k] = False
     least_id = equal_strings(text, is_start, np.repeat(least, lengths), width)
-    # Every sent context against the decisions of its text.
+    # Every sent context against the decisions of its text; neighbouring removed strings become one run at once.
     n = lengths[which] - width + 1
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.cumsum(n) - n
+    inner = np.arange(n.sum()) - np.repeat(first, n)
     hit = least_id[np.repeat(begins[which], n) + inner] < np.repeat(ids, n)
-    places = np.flatnonzero(hit)
-    entry = np.repeat(np.arange(len(which)), n)[places]
-    start = starts[entry] + inner[places]
+    before, after = np.roll(hit, 1), np.roll(hit, -1)
+    before[first] = False
+    after[first + n - 1] = False
+    opens, closes = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
+    entry = np.searchsorted(first, opens, "right") - 1
+    run_start, run_end = starts[entry] + inner[opens], starts[entry] + inner[closes] + width
+    order = np.argsort(buckets[entry], kind="stable")
+    entry, run_start, run_end = entry[order], run_start[order], run_end[order]
+    cuts = np.flatnonzero(np.diff(buckets[entry])) + 1
     made = []
-    for bucket in np.unique(buckets[entry]):
-        mine = buckets[entry] == bucket
-        made.append(_runs_row(int(bucket), ids[entry[mine]], start[mine], start[mine] + width))
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(entry)]):
+        if high > low:
+            bucket = int(buckets[entry[low]])
+            made.append(_runs_row(bucket, ids[entry[low:high]], run_start[low:high], run_end[low:high]))
     return pa.Table.from_pylist(made, schema=RUNS)
 
 
