@@ -258,11 +258,11 @@ def matches_needed(counts: np.ndarray, first: int) -> int:
     return int(options[np.argmin(read + VERIFY_COST * read / options)])
 
 
-LIST_ROW = ["token", "mb", "pb", "probe", "key", "label", "n", "need", "prefix"]
+LIST_ROW = ["token", "mb", "pb", "probe", "key", "label", "n", "need", "prefix", "values"]
 
 
-def cross_candidates(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs out of sorted rows of list blocks (token, mb, pb), several blocks in an Arrow batch.
+def cross_links(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Links between groups out of sorted rows of list blocks (token, mb, pb), several blocks in an Arrow batch.
 
     A block that ends with its batch may go on in the next one, so its rows wait for it.
     """
@@ -287,24 +287,32 @@ def cross_candidates(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
 def _block_pairs(rows: pa.Table, cuts: np.ndarray, num: int, den: int) -> pa.RecordBatch:
     token, n, need = (rows.column(c).to_numpy() for c in ("token", "n", "need"))
     probe = np.array(rows.column("probe").to_pylist(), dtype=bool)
-    key, label, blobs = (rows.column(c).to_pylist() for c in ("key", "label", "prefix"))
+    key, label, blobs, sets = (rows.column(c).to_pylist() for c in ("key", "label", "prefix", "values"))
     a, b = [], []
     for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows]):
         members = [i for i in range(low, high) if not probe[i]]
         probes = [i for i in range(low, high) if probe[i]]
         if members and probes and (len(members) > 1 or len(probes) > 1 or key[members[0]] != key[probes[0]]):
-            for p, m in _list_pairs(token[low], members, probes, n, need, label, blobs, num, den):
+            for p, m in _list_links(token[low], members, probes, n, need, label, blobs, sets, num, den):
                 a.append(key[p])
                 b.append(key[m])
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def _list_pairs(token, members, probes, n, need, label, blobs, num: int, den: int):
+def _list_links(token, members, probes, n, need, label, blobs, sets, num: int, den: int):
     """Probes against members of other groups in one block of one posting list.
 
-    A pair is left to the list of its first shared prefix shingle, and needs the smaller of the two match
-    numbers and an overlap bound that can still reach the threshold.
+    A pair is left to the list of its first shared prefix shingle, and is compared in full only with the
+    smaller of the two match numbers and an overlap bound that can still reach the threshold. Groups that
+    a link has joined need no second link, so a block yields fewer links than it has rows.
     """
+    joined: dict[bytes, bytes] = {}
+
+    def group(x: bytes) -> bytes:
+        while x in joined:
+            x = joined[x]
+        return x
+
     token = np.int64(token).view(np.uint64)
     prefixes = [np.frombuffer(blobs[i], dtype=np.uint64) for i in members]
     lengths = np.array([len(p) for p in prefixes])
@@ -329,9 +337,14 @@ def _list_pairs(token, members, probes, n, need, label, blobs, num: int, den: in
         first = np.full(len(members), len(mine))
         np.minimum.at(first, which, np.repeat(np.arange(len(mine)), many))
         here = int(np.flatnonzero(mine == token)[0])
+        whole = np.frombuffer(sets[p], dtype=np.uint64)
         for i in chosen:
-            if first[i] == here:
-                yield p, members[i]
+            one, other = group(label[p]), group(label[members[i]])
+            if first[i] == here and one != other:
+                shared = np.intersect1d(whole, np.frombuffer(sets[members[i]], dtype=np.uint64), assume_unique=True).size
+                if den * shared >= num * (n[p] + sizes[i] - shared):
+                    joined[one] = other
+                    yield p, members[i]
 
 
 def jaccard_components(
@@ -390,35 +403,41 @@ def jaccard_components(
     # Pairs across the groups so far, list by list.
     groups = star_links.select(F.col("a").alias("key"), F.col("b").alias("label"))
     labelled = materialize(
-        lists.join(groups, "key", "left").select("token", "key", F.coalesce("label", "key").alias("label")), "labelled"
+        lists.join(groups, "key", "left").select("token", "key", "c", F.coalesce("label", "key").alias("label")), "labelled"
     )
-    sizes = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    sizes = labelled.groupBy("token", "label").agg(
+        F.count(F.lit(1)).alias("m"), F.max("c").alias("c"),
+        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+    )
     mixed = materialize(
         sizes.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("members"))
+        .agg(
+            F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("members"),
+            F.max("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+        )
         .filter("labels > 1")
-        .select("token", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("probes")),
+        .select("token", F.col("top.label").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("probes"), "c", "x", "y")
+        # Of lists with the same members only the first in the order of shingles can hold a pair's first one.
+        .groupBy("x", "y", "members")
+        .agg(F.min(F.struct("c", F.col("token").bitwiseXOR(F.lit(-(2**63))).alias("place"), "token", "main", "probes")).alias("s"))
+        .select("s.token", "s.main", "members", "s.probes"),
         "mixed-lists",
     )
-    in_lists = labelled.join(mixed, "token").join(live.select("key", "n", "need", "prefix"), "key")
+    in_lists = labelled.drop("c").join(mixed, "token").join(live.select("key", "n", "need", "prefix", "values"), "key")
     blocks = lambda of: F.ceil(F.col(of) / F.lit(BLOCK)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), blocks(of) - 1))
     own = lambda of: F.pmod(F.hash("key"), blocks(of))
-    fields = ["token", "key", "label", "n", "need", "prefix"]
+    fields = ["token", "key", "label", "n", "need", "prefix", "values"]
     members = in_lists.select(*fields, own("members").alias("mb"), every("probes").alias("pb"), F.lit(False).alias("probe"))
     probes = in_lists.filter("label <> main").select(*fields, every("members").alias("mb"), own("probes").alias("pb"), F.lit(True).alias("probe"))
-    candidates = (
+    across = (
         members.unionByName(probes)
         .select(*LIST_ROW)
         .repartition("token", "mb", "pb")
         .sortWithinPartitions("token", "mb", "pb")
-        .mapInArrow(lambda batches: cross_candidates(batches, num, den), "a binary, b binary")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .mapInArrow(lambda batches: cross_links(batches, num, den), "a binary, b binary")
     )
-    cross_links = linked_pairs(materialize(candidates, "candidates"), sets, num, den)
-
-    parts = connected_components(star_links.union(cross_links))
+    parts = connected_components(star_links.union(across))
     named = parts.join(nodes.select(F.col("key").alias("node"), "min_id"), "node")
     least = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
     linked = named.join(least, "root").select(F.col("node").alias("key"), "component_id")
