@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowtide.operators.snapshot import with_rank
+
 # The marks of the ChatML layout.
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>\n"
 
@@ -88,21 +90,51 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     )
 
 
-def reply_pairs(conversations: DataFrame) -> DataFrame:
-    """Preference pairs out of plain conversations: (pair_id, chosen, rejected).
-
-    Chosen is a conversation up to its last assistant turn. Rejected is the same conversation with that last
-    reply exchanged for the last reply of the conversation with the next id, or left out when there is none.
-    Conversations without an assistant turn have no reply to prefer and form no pair.
-    """
+def up_to_last_reply(conversations: DataFrame) -> DataFrame:
+    """(conv_id, chosen): each conversation that has an assistant turn, up to the last one."""
     whole = turns_of(conversations)
     backwards = F.transform(F.reverse("turns"), lambda t: t["role"])
     from_end = F.array_position(backwards, "assistant").cast("int")
     cut = whole.withColumn("last", F.when(from_end > 0, F.size("turns") - from_end + 1)).filter("last IS NOT NULL")
-    cut = cut.select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    replies = cut.select((F.col("conv_id") - 1).alias("conv_id"), F.slice("chosen", -1, 1).alias("other"))
+    return cut.select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
+
+
+def exchanged(cut: DataFrame, replies: DataFrame, on: str) -> DataFrame:
+    """(pair_id, chosen, rejected): the last reply exchanged for ``other`` of the joined row, or left out without one."""
     before = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
     none = F.array().cast("array<struct<role:string,text:string>>")
-    return cut.join(replies, "conv_id", "left").select(
+    return cut.join(replies, on, "left").select(
         F.col("conv_id").alias("pair_id"), "chosen", F.concat(before, F.coalesce("other", none)).alias("rejected")
     )
+
+
+def reply_pairs(conversations: DataFrame) -> DataFrame:
+    """Preference pairs by consecutive ids: (pair_id, chosen, rejected).
+
+    Chosen is a conversation up to its last assistant turn. Rejected is the same conversation with that last
+    reply exchanged for the last reply of conversation ``conv_id + 1``, or left out when there is none.
+    Conversations without an assistant turn have no reply to prefer and form no pair. Where ids may have
+    gaps, ``next_reply_pairs`` leaves nothing out.
+    """
+    cut = up_to_last_reply(conversations)
+    replies = cut.select((F.col("conv_id") - 1).alias("conv_id"), F.slice("chosen", -1, 1).alias("other"))
+    return exchanged(cut, replies, "conv_id")
+
+
+def next_reply_pairs(conversations: DataFrame) -> DataFrame:
+    """Preference pairs by the order of ids: (pair_id, chosen, rejected).
+
+    As ``reply_pairs``, but the other reply is that of the next conversation, in id order, that has one; the
+    last conversation takes the first one's. Ids may be sparse and of any ordered type. Only a table with a
+    single reply leaves it out of the rejected side. Conversations without an assistant turn form no pair.
+    """
+    cut = up_to_last_reply(conversations)
+    # Only ids are ranked and written; the turns stay in the plan.
+    ids = conversations.filter("conv_id IS NOT NULL AND role = 'assistant'").select("conv_id").distinct()
+    ranked = with_rank(ids, ["conv_id"])
+    after = ranked.filter("n_total > 1").select(
+        F.pmod(F.col("row_rank") - 1, "n_total").alias("row_rank"), F.col("conv_id").alias("next_id")
+    )
+    following = ranked.join(after, "row_rank").select("conv_id", "next_id")
+    replies = cut.select(F.col("conv_id").alias("next_id"), F.slice("chosen", -1, 1).alias("other"))
+    return exchanged(cut.join(following, "conv_id", "left"), replies, "next_id")

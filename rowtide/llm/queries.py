@@ -53,7 +53,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(chat.reply_pairs(table(spark, sf_dir, "conversations")))
+    return chat.format_preferences(chat.next_reply_pairs(table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rowtide.llm import chat
@@ -58,6 +59,31 @@ def test_reply_pairs(spark):
     assert chat.reply_pairs(turns.limit(0)).collect() == []
 
 
+def test_next_reply_pairs_bridge_gaps(spark):
+    """Sparse ids, neighbours without a reply and the last id all get another conversation's reply."""
+    rows = [(10, 0, "user", "q"), (10, 1, "assistant", "a"), (20, 0, "user", "z"), (30, 0, "assistant", "b"),
+            (70, 0, "user", "w"), (70, 1, "assistant", "c"), (70, 2, "user", "more"), (None, 0, "assistant", "lost")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for df in (turns, turns.withColumn("conv_id", F.concat(F.lit("k"), "conv_id"))):
+        got = {str(r["pair_id"]).strip("k"): [tuple(t) for t in r["rejected"]] for r in chat.next_reply_pairs(df).collect()}
+        assert got == {
+            "10": [("user", "q"), ("assistant", "b")],
+            "30": [("assistant", "c")],
+            "70": [("user", "w"), ("assistant", "a")],
+        }
+    alone = chat.next_reply_pairs(turns.filter("conv_id <= 20")).collect()
+    assert [(r["pair_id"], [tuple(t) for t in r["rejected"]]) for r in alone] == [(10, [("user", "q")])]
+    assert chat.next_reply_pairs(turns.limit(0)).collect() == []
+
+
+def test_op10_leaves_no_reply_out(spark, tmp_path):
+    rows = [(i * 10, t, role, f"{role} {i}") for i in range(5) for t, role in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["pair_id"]: r["rejected"] for r in entry.queries()["op10_preference_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {i * 10: f"<|im_start|>assistant\nassistant {(i + 1) % 5}<|im_end|>\n" for i in range(5)}
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     for n in range(1, 11):
