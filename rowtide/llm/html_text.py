@@ -29,8 +29,16 @@ TOKEN = re.compile(r"[a-z]+")
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select".split())
-SILENT = RAW | {"head"}
+RAW = frozenset("script style textarea title noscript iframe".split())
+QUIET = frozenset("svg select template".split())  # parsed, but nothing below them is text of the page
+SILENT = RAW | QUIET | {"head"}
+# HTML elements that end an open svg, and svg elements inside which they do not.
+LEAVES_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HTML_IN_SVG = ("~foreignobject", "~desc", "~title")
+SELECT_TAG = re.compile(r"<(/?)select(?=[\s/>]|\Z)", re.IGNORECASE)
 BLOCK = frozenset(
     "html body head article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre "
     "blockquote figure figcaption nav header footer aside form fieldset address details summary hr menu center dialog "
@@ -56,6 +64,9 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     Character references are decoded, white space inside a block is one space. Unclosed and stray tags are
     taken as browsers take them: a new block closes an open paragraph, an end tag closes up to its start.
+    What lies in ``svg``, ``select`` and ``template`` is left out. They end at their end tag or with the block
+    around them; a self-closed svg is empty, an HTML block inside an svg ends it, and a select without an end
+    tag of its own ends at the next block.
     """
     nodes = [Node(-1, "#page", [], 0, 0)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; inline ones have the number of their block
@@ -63,6 +74,8 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     blocks: list[tuple[int, str]] = []
     parts: list[str] = []
     in_link = 0
+    quiet = 0  # open elements in or at the root of a silent subtree; their names start with ~
+    loose_select = False
 
     def flush():
         if parts:
@@ -74,9 +87,11 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             parts.clear()
 
     def pop():
-        nonlocal in_link
+        nonlocal in_link, quiet
         tag, _ = stack[-1]
-        if tag in BLOCK:
+        if tag[0] == "~":
+            quiet -= 1
+        elif tag in BLOCK:
             flush()
         elif tag == "a":
             in_link -= 1
@@ -87,7 +102,7 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     for m in MARKUP.finditer(page):
         if m.start() < at:
             continue  # inside raw text
-        if m.start() > at:
+        if m.start() > at and not quiet:
             piece = page[at : m.start()]
             parts.append(piece)
             if in_link > 0:
@@ -97,6 +112,30 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if quiet and not m.group(1):
+            leaving = ""
+            if open_count["~svg"] > 0:
+                if tag in LEAVES_SVG and not any(open_count[t] > 0 for t in HTML_IN_SVG):
+                    leaving = "~svg"
+            elif open_count["~select"] > 0 and (tag == "select" or loose_select and (tag in BLOCK and tag != "hr" or tag in ("input", "textarea"))):
+                leaving = "~select"
+            while leaving and open_count[leaving] > 0:
+                pop()
+        if quiet and m.group(1):
+            if open_count["~" + tag] > 0:
+                tag = "~" + tag
+            elif tag not in BLOCK:
+                continue  # an inline element around the silent subtree does not end inside it
+        foreign = tag == "svg" or open_count["~svg"] > 0
+        if not m.group(1) and (tag in QUIET or quiet and (foreign or tag not in RAW)):
+            if tag not in VOID and not (foreign and m.group(3).endswith("/")):
+                if tag == "select":
+                    following = SELECT_TAG.search(page, at)
+                    loose_select = not (following and following.group(1))
+                stack.append(("~" + tag, stack[-1][1]))
+                open_count["~" + tag] += 1
+                quiet += 1
+            continue
         if m.group(1):
             if tag in BLOCK:
                 flush()
@@ -143,7 +182,7 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[stack[-1][1]].links += 1
             stack.append((tag, stack[-1][1]))
             open_count[tag] += 1
-    if at < len(page):
+    if at < len(page) and not quiet:
         parts.append(page[at:])
     flush()
     return nodes, blocks

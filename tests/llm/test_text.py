@@ -119,6 +119,27 @@ def test_page_reading():
     assert read("") == [] and read("<") == ["<"] and read("<div>" * 3000 + "x") == ["x"]
 
 
+def test_silent_subtrees_do_not_cut_the_page():
+    read = lambda h: [t for _, t in html_text.read_page(h)[1]]
+    # Closed ones are left out whole, with the tags in them.
+    assert read("<p>a <svg><g><title>t</title><text>x</text></g></svg>b</p>") == ["a b"]
+    assert read("<p>a <select><option>x<option>y</select>b</p><p>c</p>") == ["a b", "c"]
+    assert read("<div>a <template><div><p>x<li>y</div></template>b</div>") == ["a b"]
+    assert read("<svg><foreignObject><p>x</p></foreignObject></svg><p>a</p>") == ["a"]
+    assert read("<template><script></template></script><select><option>x</select></template>a") == ["a"]
+    assert read("<select><div>x</div></select><p>a</p>") == ["a"]
+    # A self-closed svg is empty, and so are self-closed elements in one.
+    assert read("<p>a<svg width='1'/>b</p><p>c</p>") == ["ab", "c"]
+    assert read("<svg><title/><style/><path d='M0'/></svg><p>a</p>") == ["a"]
+    # Unclosed ones end with the block around them, an svg or a select also at the next HTML block.
+    assert read("<p>a<svg><path><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert read("<form><select><option>x</form><p>a</p>") == ["a"]
+    assert read("<select><option>x<p>a</p><select><option>y</select><p>b</p>") == ["a", "b"]
+    assert read("<div><template><b>x</div><p>a</p>") == ["a"]
+    assert read("<a href='#'><svg></a><p>a</p>") == ["a"]
+    assert read("<svg><g>x") == [] and read("<div>a</div><select><option>x") == ["a"]
+
+
 def test_decoding_has_no_contradictions(model):
     pick = random.Random(9)
     for _ in range(30):
