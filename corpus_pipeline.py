@@ -17,8 +17,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of equal texts."""
-    return exact.drop_copies(docs)
+    """The document of smallest id of each group of equal texts, as one row; one row of a group without ids."""
+    return exact.drop_copies(exact.drop_repeats(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

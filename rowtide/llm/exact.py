@@ -85,3 +85,21 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     )
     sha = F.sha2(normalized(docs[text]), 256)
     return docs.join(removed, docs[id_column].eqNullSafe(removed["_id"]) & (sha == removed["_sha"]), "left_anti")
+
+
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each (id, normalised text), the least by its columns; a null id is an id of its own.
+
+    Repeats are counted over ids and hashes. Only rows that have any are gathered, and they combine in their tasks.
+    """
+    sha = F.sha2(normalized(docs[text]), 256)
+    repeated = materialize(
+        docs.select(docs[id_column].alias("_id"), sha.alias("_sha")).groupBy("_id", "_sha").count().filter("count > 1").drop("count"),
+        "repeats",
+    )
+    if repeated.isEmpty():
+        return docs
+    same = docs[id_column].eqNullSafe(repeated["_id"]) & (sha == repeated["_sha"])
+    row = F.struct(*[docs[c] for c in docs.columns])
+    least = docs.join(repeated, same, "left_semi").groupBy(docs[id_column], sha).agg(F.min(row).alias("_row"))
+    return docs.join(repeated, same, "left_anti").unionByName(least.select("_row.*"))

@@ -21,9 +21,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType, StringType
 
-from rowtide.llm.common import arrow_map, column
+from rowtide.llm.common import arrow_map, column, free_names
 from rowtide.llm.components import connected_components
+from rowtide.llm.exact import drop_repeats, normalized
+from rowtide.operators.snapshot import with_rank
 from rowtide.session import materialize
 
 MORE_MATCHES = 16  # a prefix is lengthened by at most so many shingles
@@ -473,10 +476,38 @@ def _live(docs, nodes, rows, size, num, den, bucket_bytes, shard_bytes) -> DataF
     )
 
 
+def _named(docs: DataFrame, id_column: str, text: str, name: str) -> DataFrame:
+    """``docs`` with every id as ``name``; texts without an id get names past the greatest id, in the order of their hashes."""
+    lost = docs.filter(docs[id_column].isNull())
+    if lost.isEmpty():
+        return docs.withColumn(name, F.col(id_column))
+    integral = isinstance(docs.schema[id_column].dataType, IntegralType)
+    if not integral and not isinstance(docs.schema[id_column].dataType, StringType):
+        raise TypeError(f"rows without an id need ids that are integers or strings: {id_column}")
+    (sha,) = free_names(docs, "_sha")
+    hashed = lost.withColumn(sha, F.sha2(normalized(F.col(text)), 256))
+    ranked = with_rank(hashed.select(sha).distinct(), [sha])
+    greatest = docs.agg(F.max(id_column)).first()[0]
+    if integral:
+        past = F.lit(-1 if greatest is None else greatest).cast("bigint") + 1 + F.col("row_rank")
+    else:
+        past = F.concat(F.lit(greatest or ""), F.lit("~"), F.lpad(F.col("row_rank").cast("string"), 20, "0"))
+    # A text delivered many times without an id is one row by now (drop_repeats), so no key is hot.
+    named = hashed.join(ranked.select(sha, past.alias(name)), sha).drop(sha)
+    kind = "bigint" if integral else "string"
+    return docs.filter(docs[id_column].isNotNull()).withColumn(name, F.col(id_column).cast(kind)).unionByName(named)
+
+
 def drop_near_copies(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; columns are unchanged."""
-    found = jaccard_components(docs, id_column, text, size, num, den)
-    gone = found.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    """``docs`` with the document of smallest id of each component; columns are unchanged.
+
+    Rows that repeat an id and its text are one document. Documents without an id come after all others;
+    where a component has none with an id, the one of smallest text hash stays.
+    """
+    (name,) = free_names(docs, "_name")
+    named = _named(drop_repeats(docs, id_column, text), id_column, text, name)
+    found = jaccard_components(named, name, text, size, num, den)
+    gone = found.filter(F.col(name) != F.col("component_id")).select(F.col(name).alias("_gone")).distinct()
+    return named.join(gone, named[name] == gone["_gone"], "left_anti").select(*[named[c] for c in docs.columns])

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -41,6 +42,27 @@ def test_exact_dedup_edge_cases(spark, docs, no_docs):
     assert sorted(map(tuple, exact.drop_copies(rows).collect()), key=str) == sorted([(1, "a"), (1, "a"), (None, "z"), (3, "b")], key=str)
 
 
+def test_one_row_of_each_document_stays(spark, docs):
+    """Documents delivered twice under an id, and groups without any id, leave one row in both dedup stages."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a", "x"), (1, " a".strip(), "w"), (None, "a", "x"), (None, "z", "x"), (None, "z", "x"), (3, "b", "x"), (3, "a", "x"),
+            (5, long, "x"), (5, long, "x"), (None, long + " v", "x"), (7, long + " u", "x"), (None, "q " * 3, "x"), (None, "q  " * 3, "x")]
+    many = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    left = corpus_pipeline.drop_exact_copies(spark, many, "")
+    got = sorted(((r["doc_id"], r["text"].split()[0], r["lang"]) for r in left.collect()), key=str)
+    assert got == sorted([(1, "a", "w"), (None, "z", "x"), (3, "b", "x"), (5, "w0", "x"), (None, "w0", "x"), (7, "w0", "x"), (None, "q", "x")], key=str)
+    for kind in ("bigint", "string", "int"):
+        near = corpus_pipeline.drop_near_copies(spark, many.withColumn("doc_id", many.doc_id.cast(kind)), "")
+        assert near.columns == many.columns and near.schema["doc_id"].dataType.simpleString() == kind
+        found = [(str(r["doc_id"]), r["text"]) for r in near.collect()]
+        assert len(found) == len(set(found)) and [d for d, t in found if t.startswith("w0")] == ["5"]
+        assert sorted(d for d, t in found if t == "z") == ["None"]
+    # Near copies none of which has an id: one stays.
+    lost = spark.createDataFrame([(None, long), (None, long + " v"), (None, long)], "doc_id bigint, text string")
+    assert corpus_pipeline.drop_near_copies(spark, lost, "").count() == 1
+    assert sorted(r["doc_id"] for r in exact.drop_repeats(docs).collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
 def test_exact_dedup_is_native(docs):
     plan = exact.exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
