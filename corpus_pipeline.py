@@ -11,7 +11,10 @@ from rowtide.session import materialize
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found; null, empty and letterless texts go."""
+    """Documents with a letter; null, empty and letterless texts go, and all when no row is labelled.
+
+    The language found and the ambiguity flag reject nothing.
+    """
     found = language.identify_language(docs, language.fit_language(docs), keep=True)
     return found.filter(F.col(found.columns[-2]) != language.UNKNOWN).select(*[found[c] for c in docs.columns])
 
