@@ -5,8 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm import bpe_count, chat, decontaminate, exact, html_text, jaccard, language, pii, sentence_pieces, suffix_dedup
+from rowtide.llm import (
+    bpe_count,
+    chat,
+    decontaminate,
+    exact,
+    html_text,
+    infilling,
+    jaccard,
+    language,
+    merkle,
+    pii,
+    sentence_pieces,
+    sharding,
+    suffix_dedup,
+)
 from rowtide.llm.common import table
+from rowtide.session import materialize
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +71,19 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(chat.next_reply_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return infilling.fill_in_middle(materialize(infilling.store_frames(docs), "frames"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,5 +97,8 @@ QUERIES = {
         op8_language_id,
         op9_ngram_jaccard,
         op10_preference_pairs,
+        op11_merkle_manifest,
+        op12_feistel_shards,
+        op13_fill_in_middle,
     )
 }
