@@ -108,25 +108,13 @@ def exchanged(cut: DataFrame, replies: DataFrame, on: str) -> DataFrame:
     )
 
 
-def reply_pairs(conversations: DataFrame) -> DataFrame:
-    """Preference pairs by consecutive ids: (pair_id, chosen, rejected).
-
-    Chosen is a conversation up to its last assistant turn. Rejected is the same conversation with that last
-    reply exchanged for the last reply of conversation ``conv_id + 1``, or left out when there is none.
-    Conversations without an assistant turn have no reply to prefer and form no pair. Where ids may have
-    gaps, ``next_reply_pairs`` leaves nothing out.
-    """
-    cut = up_to_last_reply(conversations)
-    replies = cut.select((F.col("conv_id") - 1).alias("conv_id"), F.slice("chosen", -1, 1).alias("other"))
-    return exchanged(cut, replies, "conv_id")
-
-
 def next_reply_pairs(conversations: DataFrame) -> DataFrame:
     """Preference pairs by the order of ids: (pair_id, chosen, rejected).
 
-    As ``reply_pairs``, but the other reply is that of the next conversation, in id order, that has one; the
-    last conversation takes the first one's. Ids may be sparse and of any ordered type. Only a table with a
-    single reply leaves it out of the rejected side. Conversations without an assistant turn form no pair.
+    Chosen is a conversation up to its last assistant turn. Rejected is the same conversation with that reply exchanged
+    for the last reply of the next conversation, in id order, that has one; the last takes the first one's. Ids may
+    be sparse and of any ordered type. Only a table with a single reply leaves it out of the rejected side.
+    Conversations without an assistant turn form no pair.
     """
     cut = up_to_last_reply(conversations)
     # Only ids are ranked and written; the turns stay in the plan.

@@ -121,7 +121,7 @@ def _jump(pointers: DataFrame, longest: int) -> DataFrame:
     """
     pointers = materialize(pointers, "merkle-pointers")
     distance = 1
-    while distance < longest:
+    while distance <= longest:
         salts = min(FANOUT ** max(0, distance - 2), MAX_SALTS)
         far = pointers.filter((F.col("tree") == TOP) | (F.col("level") > distance)).select(
             *[F.col(c).alias(f"a_{c}") for c in _NODE],
