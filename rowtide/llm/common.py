@@ -40,7 +40,9 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BY
             yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict], text: str, schema: StructType | str) -> DataFrame:
+def arrow_map(
+    df: DataFrame, function: Callable[[pa.RecordBatch], dict], text: str, schema: StructType | str, limit: int = PIECE_BYTES
+) -> DataFrame:
     """Apply ``function`` (piece of rows to a dict of columns) to every row of ``df``; rows are not moved."""
     schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
@@ -48,7 +50,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict], text: s
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, limit):
             made = function(piece)
             yield pa.RecordBatch.from_arrays(
                 [_array(made[field.name], field.type) for field in target], schema=target

@@ -26,6 +26,8 @@ SMOOTHING = 0.05
 AMBIGUOUS = 0.2
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+# Texts are scored in slices of this size; working memory is about 30 bytes a byte of it.
+SLICE_BYTES = 1 << 20
 
 
 def byte_ngrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +78,25 @@ class LanguageModel:
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log odds of every bit, and the number of known n-grams, for each text."""
         parts = [padded(t) for t in texts]
+        out, seen = np.zeros((len(texts), len(self.trust))), np.zeros(len(texts), dtype=np.int64)
+        # Slices of a text share two bytes, so every n-gram lies whole in the slice in which it starts.
+        group, owner, size = [], [], 0
+        for i, part in enumerate(parts):
+            for at in range(0, len(part), SLICE_BYTES):
+                piece = part[at : at + SLICE_BYTES + 2]
+                if size and size + len(piece) > SLICE_BYTES:
+                    self._add(group, owner, out, seen)
+                    group, owner, size = [], [], 0
+                group.append((piece, len(piece) == SLICE_BYTES + 2))
+                owner.append(i)
+                size += len(piece)
+        self._add(group, owner, out, seen)
+        return out, seen
+
+    def _add(self, group: list[tuple[bytes, bool]], owner: list[int], out: np.ndarray, seen: np.ndarray) -> None:
+        """Add the log odds and known n-grams of slices to those of their texts."""
+        parts = [piece for piece, _ in group]
+        goes_on = np.array([full for _, full in group])
         lengths = np.array([len(p) for p in parts])
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         data = np.frombuffer(b"".join(parts) + b"  ", dtype=np.uint8)
@@ -84,16 +105,16 @@ class LanguageModel:
         two, three = two[:n], three[:n] + np.uint32(BUCKETS)
         # N-grams that would reach into the next text count for nobody.
         ends = starts + lengths
-        skip_two, skip_three = ends - 1, np.concatenate((ends - 1, ends - 2))
-        out = np.empty((len(texts), len(self.trust)))
+        skip_two = np.concatenate((ends - 1, ends[goes_on] - 2))
+        skip_three = np.concatenate((ends - 1, ends - 2))
         for b, w in enumerate(self.weights):
             a, c = w[two], w[three]
             a[skip_two] = 0
             c[skip_three] = 0
-            out[:, b] = np.add.reduceat(a + c, starts, dtype=np.float64)
-        seen = self.known[two].astype(np.int32)
-        seen[skip_two] = 0
-        return out, np.add.reduceat(seen, starts)
+            np.add.at(out[:, b], owner, np.add.reduceat(a + c, starts, dtype=np.float64))
+        met = self.known[two].astype(np.int32)
+        met[skip_two] = 0
+        np.add.at(seen, owner, np.add.reduceat(met, starts))
 
     def decode(self, margins: np.ndarray) -> np.ndarray:
         """Probability of every language from the weighted logistic loss of its codeword."""
