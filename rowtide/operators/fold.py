@@ -91,24 +91,38 @@ def tombstones(view: DataFrame) -> DataFrame:
     return view.filter(F.col("deleted"))
 
 
-def merge_view(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Stored view with the incoming folded changes; the stored row wins unless strictly older."""
-    both = stored.select(*VIEW_COLUMNS, F.lit(1).alias("_stored")).unionByName(
+def merge_rows(both: DataFrame, by: list[str], guarded: bool = True) -> DataFrame:
+    """Fold stored (``_stored`` 1) and incoming (0) view rows, one of each a key at most.
+
+    ``guarded``: the stored row wins unless strictly older, otherwise the incoming one wins. Grouping by
+    ``by`` and the key needs no exchange when rows are partitioned by ``by``.
+    """
+    keys = [*by, *[k for k in KEY if k not in by]]
+    order = F.struct(row_version(*VERSION), F.col("_stored")) if guarded else -F.col("_stored")
+    values = F.struct(*[c for c in VIEW_COLUMNS if c not in keys])
+    newest = both.groupBy(*keys).agg(F.max_by(values, order).alias("_v")).select(*keys, "_v.*")
+    return newest.select(*VIEW_COLUMNS, *[c for c in by if c not in VIEW_COLUMNS])
+
+
+def _both(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    return stored.select(*VIEW_COLUMNS, F.lit(1).alias("_stored")).unionByName(
         incoming.select(*VIEW_COLUMNS, F.lit(0).alias("_stored"))
     )
-    values = F.struct(*[c for c in VIEW_COLUMNS if c not in KEY])
-    newest = F.max_by(values, F.struct(row_version(*VERSION), F.col("_stored")))
-    return both.groupBy(*KEY).agg(newest.alias("_v")).select(*KEY, "_v.*").select(*VIEW_COLUMNS)
+
+
+def merge_view(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored view with the incoming folded changes; the stored row wins unless strictly older."""
+    return merge_rows(_both(stored, incoming), KEY)
 
 
 def override_view(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored view with every incoming key replaced (arrival-order mode), deleted keys gone."""
-    both = stored.select(*VIEW_COLUMNS, F.lit(0).alias("_new")).unionByName(
-        incoming.select(*VIEW_COLUMNS, F.lit(1).alias("_new"))
-    )
-    values = F.struct(*[c for c in VIEW_COLUMNS if c not in KEY])
-    last = both.groupBy(*KEY).agg(F.max_by(values, F.col("_new")).alias("_v")).select(*KEY, "_v.*")
-    return live(last.select(*VIEW_COLUMNS))
+    return live(override_rows(stored, incoming))
+
+
+def override_rows(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """As ``override_view``, deleted keys still marked."""
+    return merge_rows(_both(stored, incoming), KEY, guarded=False)
 
 
 def bootstrap_view(snapshot_rows: DataFrame, changes: DataFrame) -> DataFrame:

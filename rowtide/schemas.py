@@ -52,6 +52,10 @@ FULL_SYNC_TASK = """connector string, database_name string, table_name string, s
 OUTCOME = """ts timestamp, seq bigint, event_type string, database_name string, table_name string,
        reference string, result string, message string, n_rows bigint"""
 
+# Columns a table has from a log position on.
+LAYOUT = """database_name string, table_name string, file_seq bigint, position bigint, columns array<string>,
+       primary_keys array<string>, bare array<string>, ddl_sql string"""
+
 # Statuses and event kinds shared with existing deployments; the key prefixes are own defaults.
 WRITE_OPS = ("INSERT", "UPDATE", "SNAPSHOT_UPSERT")
 DELETE_OP = "DELETE"

@@ -85,31 +85,49 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def create_file(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file, False when it exists already; of two writers one succeeds."""
+    """Create a small file with its whole text at once, False when it exists already; of two writers one succeeds.
+
+    The text is written beside it and moved into place, which a file system with atomic renames does once.
+    """
     located, files = file_system(spark, path)
-    files.mkdirs(located.getParent())
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
     try:
-        out = files.create(located, False)
-    except Py4JJavaError as failure:
+        context.rename(files.makeQualified(draft), files.makeQualified(located), options)
+    except Py4JJavaError:
+        files.delete(draft, False)
         if files.exists(located):
             return False
-        raise failure
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
+        raise
     return True
 
 
-def read_files(spark: SparkSession, path: str) -> dict[str, str]:
-    """Names and texts of the few small files of a folder, empty when there is no folder."""
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    located, files = file_system(spark, path)
+    files.rename(located, spark._jvm.org.apache.hadoop.fs.Path(to))
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none when there is no folder; drafts and hidden files left out."""
     located, files = file_system(spark, path)
     if not files.exists(located):
-        return {}
-    out = {}
-    for status in files.listStatus(located):
-        stream = files.open(status.getPath())
-        out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode("utf-8")
+        return []
+    return [n for s in files.listStatus(located) if not (n := s.getPath().getName()).startswith(("_", "."))]
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    located, files = file_system(spark, path)
+    stream = files.open(located)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
         stream.close()
-    return out
 
 
 def pin_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:

@@ -1,25 +1,31 @@
-"""Synced state as append-only Parquet tables, one folder per committed version.
+"""Synced state: Parquet tables whose batches count once their commit file exists, and a merged view.
 
-A version is claimed by creating a file, written in full and then named in the commit log; claims of
-running and failed writers hide their versions from readers. Several writers may work on one store: each
-claims a version of its own, and only a writer's rerun removes what its failed attempt left. The latest
-state is folded when it is read; ``compact`` writes the folded state once so that reads stay short.
+A batch writes its rows into folders of its own attempt and is committed by one file, created atomically with the
+next number. Until then nobody reads its folders, afterwards everybody does; there is no state between. A batch of
+the state (``apply``, ``rebuild``) is refused when another one was committed since it began, and is done again.
+
+The view is Parquet partitioned by database, table and bucket of the row key. A batch merges its changes into the
+buckets they touch, keeps the result with its attempt, commits, and then overwrites just those partitions (Spark's
+dynamic partition overwrite). Should the driver be lost on the way, the kept result is read in their place until the
+next batch has repeated the overwrite.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowtide import schemas as S
 from rowtide.operators import fold, ops
 from rowtide.operators.ddl import schema_state
-from rowtide.session import create_file, delete_path, path_exists, pin_small, read_files
+from rowtide.session import create_file, delete_path, list_names, move_path, path_exists, read_file
 
 _TABLE = ["database_name", "table_name"]
 
 TABLES = {
-    "changes": S.VIEW,
-    "resets": "database_name string, table_name string",
     "done": "transaction_id string, file_seq bigint",
     "pending": S.PENDING,
     "replayed": "transaction_id string",
@@ -31,142 +37,192 @@ TABLES = {
     "quarantine": "arrival bigint, key string, value string, reason string",
     "messages": S.MESSAGES,
     "tail": S.RAW,
+    "layouts": S.LAYOUT,
     "checkpoints": S.CHECKPOINT,
     "full_sync": S.FULL_SYNC_TASK,
 }
-# Folders per source table, so that reading one table's state skips the files of all others.
-_BY_TABLE = {"changes"}
-_COMMITS = "version bigint, writer string, batch string"
+_PARTS = [*_TABLE, "bucket"]
+_VIEW = f"{S.VIEW}, bucket int"
+# Writers whose batches build on each other; a batch of one is refused when a batch of its group came between.
+_GROUPS = {"apply": "state", "rebuild": "state", "capture": "log", "snapshot": "log"}
+
+
+class ConflictError(RuntimeError):
+    """Another batch was committed since this one began; begin again."""
+
+
+class Batch(NamedTuple):
+    """One attempt at a batch: the newest commit it builds on, and the folder its rows go to."""
+
+    writer: str
+    name: str
+    base: int
+    attempt: str
+
+    @property
+    def version(self) -> int:
+        """Orders the rows of writers that build on each other."""
+        return self.base + 1
 
 
 class ChangeStore:
-    """A folder of versioned tables. ``mode`` is ``meta`` (version guard) or ``simple`` (arrival order)."""
+    """A folder of tables. ``mode`` is ``meta`` (version guard) or ``simple`` (arrival order).
+
+    ``buckets`` divides each table of the view. A batch rewrites the buckets its keys fall into, so take enough of
+    them that one bucket is some 100 MB; the number is fixed when the store is created.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, mode: str = "meta"):
+    def __init__(self, spark: SparkSession, root: str, mode: str = "meta", buckets: int = 16):
         if mode not in ("meta", "simple"):
             raise ValueError(f"unknown apply mode: {mode}")
-        self.spark, self.root, self.mode = spark, root.rstrip("/"), mode
+        self.spark, self.root, self.mode, self.buckets = spark, root.rstrip("/"), mode, buckets
+        self._seen: dict[int, dict] = {}
 
     def create(self) -> ChangeStore:
-        """Start the commit log; tables appear with the first version that writes them."""
-        self.commit(0, "create", "0")
+        """Start the commit log; tables appear with the first batch that writes them."""
+        self.commit(Batch("create", "0", -1, "none"))
         return self
 
-    # --- versions ---------------------------------------------------------------------------
+    # --- commits ----------------------------------------------------------------------------
 
-    def commits(self) -> DataFrame:
-        return self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
+    def _entries(self) -> dict[int, dict]:
+        """The commit log by number. Entries never change, so only new ones are opened."""
+        for name in list_names(self.spark, f"{self.root}/commits"):
+            if int(name) not in self._seen:
+                self._seen[int(name)] = json.loads(read_file(self.spark, f"{self.root}/commits/{name}"))
+        if 0 in self._seen:
+            self.buckets = self._seen[0]["buckets"]
+        return self._seen
 
     def latest(self, writer: str | None = None) -> int:
-        """Newest committed version, of one writer if given; -1 when there is none."""
-        rows = self.commits()
-        if writer:
-            rows = rows.filter(F.col("writer") == writer)
-        newest = rows.agg(F.max("version")).first()[0]
-        return -1 if newest is None else newest
-
-    def begin(self, writer: str, batch: str) -> int | None:
-        """Version to write for a batch, None when that batch is committed already."""
-        ours = (F.col("writer") == writer) & (F.col("batch") == batch)
-        newest, seen = self.commits().agg(F.max("version"), F.bool_or(ours)).first()
-        if seen:
+        """Number of the newest commit, of one writer if given; -1 when there is none."""
+        return max((n for n, e in self._entries().items() if writer in (None, e["writer"])), default=-1)
+
+    def begin(self, writer: str, name: str) -> Batch | None:
+        """A new attempt at a batch, None when the batch is committed already."""
+        entries = self._entries()
+        self.publish()
+        if any((e["writer"], e["batch"]) == (writer, name) for e in entries.values()):
             return None
-        owner = f"{writer}/{batch}"
-        claims = self._claims()
-        for version, name in claims.items():
-            if name == owner:  # an earlier attempt at this batch
-                self.discard(version)
-                self._release(version)
-        version = max([newest, *claims]) + 1
-        while not create_file(self.spark, f"{self.root}/claims/{version}", owner):
-            version += 1
-        return version
-
-    def _claims(self) -> dict[int, str]:
-        """Versions being written or left unfinished, with their owners; a handful at most."""
-        return {int(name): text for name, text in read_files(self.spark, f"{self.root}/claims").items()}
-
-    def _release(self, version: int) -> None:
-        delete_path(self.spark, f"{self.root}/claims/{version}")
-
-    def discard(self, version: int) -> None:
-        """Remove what a writer left under a version of its own that was never committed."""
+        return Batch(writer, name, max(entries, default=-1), uuid.uuid4().hex[:16])
+
+    def commit(self, batch: Batch, view: DataFrame | None = None, replaced: DataFrame | None = None) -> None:
+        """Make a batch count, with the changes it makes to the view.
+
+        ``view`` holds folded changes, one row a key, to be merged; tables listed in ``replaced`` lose their old rows.
+        """
+        if view is not None:
+            self._write_merged(batch, view, replaced)
+        group = _GROUPS.get(batch.writer, batch.writer)
+        entry = {"writer": batch.writer, "batch": batch.name, "attempt": batch.attempt, "view": view is not None,
+                 "buckets": self.buckets}
+        while True:
+            entries = self._entries()
+            newer = [e for n, e in entries.items() if n > batch.base]
+            if any(_GROUPS.get(e["writer"], e["writer"]) == group for e in newer):
+                raise ConflictError(f"{batch.writer} {batch.name}: another {group} batch was committed meanwhile")
+            if create_file(self.spark, f"{self.root}/commits/{max(entries, default=-1) + 1}", json.dumps(entry)):
+                break
+        self.publish()
+
+    def discard(self, batch: Batch) -> None:
+        """Remove the rows of an attempt that was not committed; nobody reads them, they only take room."""
         for name in TABLES:
-            delete_path(self.spark, f"{self.root}/{name}/version={version}")
+            delete_path(self.spark, f"{self.root}/{name}/version={batch.version}/attempt={batch.attempt}")
+        delete_path(self.spark, f"{self.root}/merged/{batch.attempt}")
 
-    def write(self, name: str, version: int, df: DataFrame) -> None:
-        """Write one table of a version; not visible before the version is committed."""
+    # --- tables -----------------------------------------------------------------------------
+
+    def write(self, name: str, batch: Batch, df: DataFrame) -> None:
+        """Write one table of a batch; not visible before the batch is committed."""
         columns = T.StructType.fromDDL(TABLES[name]).names
-        writer = df.select(*columns).write.mode("overwrite")
-        if name in _BY_TABLE:
-            writer = writer.partitionBy(*_TABLE)
-        writer.parquet(f"{self.root}/{name}/version={version}")
+        path = f"{self.root}/{name}/version={batch.version}/attempt={batch.attempt}"
+        df.select(*columns).write.mode("overwrite").parquet(path)
 
     @staticmethod
-    def first_arrival(version: int) -> int:
-        """First arrival number of a version's messages: versions leave room for 2**31 messages each."""
-        return version << 31
-
-    def commit(self, version: int, writer: str, batch: str) -> None:
-        row = self.spark.createDataFrame([(writer, batch)], "writer string, batch string")
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/version={version}")
-        self._release(version)
-
-    def read(self, name: str, upto: int | None = None) -> DataFrame:
-        """Rows of all committed versions, with their ``version``."""
-        limit = self.latest() if upto is None else upto
-        schema = f"{TABLES[name]}, version bigint"
-        columns = T.StructType.fromDDL(schema).names
+    def first_arrival(batch: Batch) -> int:
+        """First arrival number of a batch's messages: each has room for 2**31."""
+        return batch.version << 31
+
+    def read(self, name: str, upto: int | None = None, only: int | None = None) -> DataFrame:
+        """Rows of committed batches with their ``version``: of all, of those up to a commit, or of one commit."""
+        schema = f"{TABLES[name]}, version bigint, attempt string"
+        columns = [c for c in T.StructType.fromDDL(schema).names if c != "attempt"]
         if not path_exists(self.spark, f"{self.root}/{name}"):
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).select(*columns)
+        listed = [
+            e["attempt"] for n, e in sorted(self._entries().items())
+            if (only is None or n == only) and (upto is None or n <= upto)
+        ]
+        # Folder names are partition values, so folders of other attempts are not opened.
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        # A committed version has no claim; the limit was fixed before the claims are listed.
-        return rows.select(*columns).filter((F.col("version") <= limit) & ~F.col("version").isin(sorted(self._claims())))
-
-    def read_version(self, name: str, version: int) -> DataFrame:
-        path = f"{self.root}/{name}/version={version}"
-        if not path_exists(self.spark, path):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(path)
-
-    # --- current state -------------------------------------------------------------------------
-
-    def _live_changes(self, upto: int | None) -> DataFrame:
-        """Changes not replaced by a later rebuild of their table or by compaction."""
-        resets = self.read("resets", upto)
-        everything = resets.filter(F.col("database_name").isNull()).agg(F.max("version")).first()[0] or 0
-        changes = self.read("changes", upto).filter(F.col("version") >= everything)
-        per_table = (
-            resets.filter(F.col("database_name").isNotNull() & (F.col("version") > everything))
-            .groupBy(*_TABLE)
-            .agg(F.max("version").alias("_from"))
-        )
-        # One row per rebuilt table; beyond the bound Spark's own join strategies take over.
-        pinned, fits = pin_small(per_table)
-        joined = changes.join(F.broadcast(pinned) if fits else per_table, _TABLE, "left")
-        return joined.filter(F.col("version") >= F.coalesce("_from", F.lit(0))).drop("_from")
-
-    def view(self, upto: int | None = None) -> DataFrame:
+        return rows.filter(F.col("attempt").isin(listed)).select(*columns)
+
+    # --- view -------------------------------------------------------------------------------
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("row_key"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _place(self) -> Column:
+        return F.concat_ws("/", *_PARTS)
+
+    def _stored(self) -> DataFrame:
+        """The view as its partitions hold it, with one row without a key in each."""
+        if not path_exists(self.spark, f"{self.root}/view"):
+            return self.spark.createDataFrame([], _VIEW)
+        return self.spark.read.schema(_VIEW).parquet(f"{self.root}/view")
+
+    def _unpublished(self) -> list[str]:
+        """Attempts committed with a merged result that has not replaced its partitions yet; one at most."""
+        kept = set(list_names(self.spark, f"{self.root}/merged"))
+        return [e["attempt"] for _, e in sorted(self._entries().items()) if e["attempt"] in kept]
+
+    def _merged(self, attempt: str) -> DataFrame:
+        return self.spark.read.schema(_VIEW).parquet(f"{self.root}/merged/{attempt}")
+
+    def _write_merged(self, batch: Batch, view: DataFrame, replaced: DataFrame | None) -> None:
+        """Keep the new content of every touched bucket."""
+        incoming = view.select(*S.VIEW_COLUMNS, self._bucket())
+        places = incoming.select(*_PARTS).distinct()
+        if replaced is not None:
+            every = F.explode(F.sequence(F.lit(0), F.lit(self.buckets - 1))).alias("bucket")
+            places = places.unionByName(replaced.select(*_TABLE, every)).distinct()
+        # Bounded by configuration: tables times buckets.
+        places = self.spark.createDataFrame(places.toArrow(), places.schema)
+        touched = [r[0] for r in places.select(self._place()).collect()]
+        stored = self._stored().filter(self._place().isin(touched) & F.col("row_key").isNotNull())
+        if replaced is not None:
+            stored = stored.join(F.broadcast(replaced.select(*_TABLE).distinct()), _TABLE, "left_anti")
+        # One exchange by bucket serves the merge and the files.
+        both = stored.withColumn("_stored", F.lit(1)).unionByName(incoming.withColumn("_stored", F.lit(0)))
+        rows = fold.merge_rows(both.repartition(*_PARTS), by=_PARTS, guarded=self.mode == "meta")
+        if self.mode == "simple":
+            rows = fold.live(rows)
+        empty = places.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in _PARTS else F.col(f.name)
+                                for f in T.StructType.fromDDL(_VIEW)])
+        # A row without a key stands for the bucket, so that one which lost all its rows is overwritten too.
+        rows.unionByName(empty).write.mode("overwrite").parquet(f"{self.root}/merged/{batch.attempt}")
+
+    def publish(self) -> None:
+        """Overwrite the partitions of the view that a committed batch has merged; may be repeated."""
+        for attempt in self._unpublished():
+            self._merged(attempt).repartition(*_PARTS).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy(*_PARTS).parquet(f"{self.root}/view")
+            # Moved away in one step before it is deleted, so that half of it is never taken for the whole.
+            move_path(self.spark, f"{self.root}/merged/{attempt}", f"{self.root}/merged/_{attempt}")
+            delete_path(self.spark, f"{self.root}/merged/_{attempt}")
+
+    def view(self) -> DataFrame:
         """Latest state per key, tombstones included in ``meta`` mode."""
-        values = F.struct(*[c for c in S.VIEW_COLUMNS if c not in fold.KEY])
-        if self.mode == "meta":
-            order = F.struct(*fold.VERSION, -F.col("version"))
-        else:
-            order = F.col("version")
-        newest = self._live_changes(upto).groupBy(*fold.KEY).agg(F.max_by(values, order).alias("_v"))
-        folded = newest.select(*fold.KEY, "_v.*").select(*S.VIEW_COLUMNS)
-        return folded if self.mode == "meta" else fold.live(folded)
-
-    def compact(self) -> int:
-        """Write the folded view as the one version later reads start from."""
-        base = self.latest()
-        version = self.begin("compact", str(base))
-        if version is None:
-            return base
-        self.write("changes", version, self.view(base))
-        self.write("resets", version, self.spark.createDataFrame([(None, None)], TABLES["resets"]))
-        self.commit(version, "compact", str(base))
-        return version
+        rows = self._stored()
+        for attempt in self._unpublished():
+            merged = self._merged(attempt)
+            touched = [r[0] for r in merged.select(self._place()).distinct().collect()]
+            rows = rows.filter(~self._place().isin(touched)).unionByName(merged)
+        return rows.filter("row_key IS NOT NULL").select(*S.VIEW_COLUMNS)
+
+    # --- current state ----------------------------------------------------------------------
 
     def done(self, file_range: tuple[int, int] | None = None, upto: int | None = None) -> DataFrame:
         """Applied transaction ids; a range of log files lets the scan skip all others."""

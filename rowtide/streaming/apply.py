@@ -10,9 +10,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from rowtide.operators import ddl, envelope, fold
 from rowtide.session import materialize, scratch_scope
-from rowtide.sources.store import ChangeStore
+from rowtide.sources.store import Batch, ChangeStore, ConflictError
 
 WRITER = "apply"
+# A batch is begun again this often when a rebuild was published while it ran.
+CONFLICT_ATTEMPTS = 5
 
 
 class PoisonMessageError(ValueError):
@@ -40,23 +42,31 @@ def apply_batch(
     for policy in (on_poison, on_reject):
         if policy not in ("fail", "quarantine"):
             raise ValueError(f"unknown failure policy: {policy}")
-    version = store.begin(WRITER, str(batch_id))
-    if version is None:
-        return
-    with scratch_scope(store.spark):
-        _apply(store, version, messages, on_poison, on_reject, scope)
-    store.commit(version, WRITER, str(batch_id))
+    for left in reversed(range(CONFLICT_ATTEMPTS)):
+        batch = store.begin(WRITER, str(batch_id))
+        if batch is None:
+            return
+        try:
+            with scratch_scope(store.spark):
+                view = _apply(store, batch, messages, on_poison, on_reject, scope)
+                store.commit(batch, view)
+            return
+        except ConflictError:
+            store.discard(batch)
+            if not left:
+                raise
 
 
 def _apply(
-    store: ChangeStore, version: int, messages: DataFrame, on_poison: str, on_reject: str, scope: str
-) -> None:
-    before = version - 1
+    store: ChangeStore, batch: Batch, messages: DataFrame, on_poison: str, on_reject: str, scope: str
+) -> DataFrame:
+    """Write what a batch leads to, all but the view, whose folded changes are returned."""
+    before = batch.base
     columns = ["arrival", "key", "fragment", "value"]
-    waiting = store.read_version("held", store.latest(WRITER))
-    batch = messages.select(*columns).unionByName(waiting.select(*columns))
+    waiting = store.read("held", only=store.latest(WRITER))
+    arrived = messages.select(*columns).unionByName(waiting.select(*columns))
     # Parsing is the costly part; the parsed batch is written once and read by column below.
-    good, poison = envelope.split_poison(materialize(envelope.parse_messages(batch, scope), "parsed"))
+    good, poison = envelope.split_poison(materialize(envelope.parse_messages(arrived, scope), "parsed"))
     if on_poison == "fail":
         first = poison.select("arrival", "reason").limit(1).collect()
         if first:
@@ -68,7 +78,7 @@ def _apply(
         transactions, incomplete = envelope.split_incomplete(transactions)
         # A late copy of one part of an applied transaction waits for nothing.
         held, _ = fold.drop_done(fold.dedupe_transactions(incomplete), done)
-        store.write("held", version, held.withColumn("key", F.col("transaction_id")).select(*columns))
+        store.write("held", batch, held.withColumn("key", F.col("transaction_id")).select(*columns))
     valid, rejected = envelope.validate_transactions(transactions)
     if on_reject == "fail":
         first = rejected.select("transaction_id", "reason").limit(1).collect()
@@ -78,7 +88,7 @@ def _apply(
         bad = poison.select("arrival", "key", "value", "reason").unionByName(
             rejected.select("arrival", F.col("transaction_id").alias("key"), "value", "reason")
         )
-        store.write("quarantine", version, bad)
+        store.write("quarantine", batch, bad)
 
     first_seen = fold.dedupe_transactions(valid)
     states = store.schema_states(before)
@@ -87,19 +97,20 @@ def _apply(
         routed = ddl.route_batch(first_seen, changes, states, done)
         known = store.read("pending", before).select("transaction_id", "fragment")
         held = ddl.pending_rows(routed).join(known, ["transaction_id", "fragment"], "left_anti")
-        store.write("pending", version, held)
+        store.write("pending", batch, held)
     else:
         routed = ddl.route_unblocked(first_seen, done)
     if has_ddl:
-        store.write("schema_changes", version, changes)
+        store.write("schema_changes", batch, changes)
         tasks = store.read("tasks", before).select("task_id")
         new = ddl.intake_ddl(changes).dropDuplicates(["task_id"]).join(tasks, "task_id", "left_anti")
-        store.write("tasks", version, new)
+        store.write("tasks", batch, new)
     applied = routed.filter(F.col("route") == "APPLIED")
     rows = envelope.explode_rows(applied)
-    store.write("changes", version, fold.fold_latest(rows) if store.mode == "meta" else fold.fold_arrival(rows))
-    store.write("done", version, applied.select("transaction_id", "file_seq").distinct())
-    store.write("outcomes", version, _outcomes(routed, rejected, changes))
+    store.write("done", batch, applied.select("transaction_id", "file_seq").distinct())
+    store.write("outcomes", batch, _outcomes(routed, rejected, changes))
+    folded = fold.fold_latest(rows) if store.mode == "meta" else fold.fold_arrival(rows)
+    return materialize(folded, "folded")
 
 
 def _outcomes(routed: DataFrame, rejected: DataFrame, changes: DataFrame) -> DataFrame:

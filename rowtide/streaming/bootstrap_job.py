@@ -9,7 +9,7 @@ from rowtide.functions.versions import file_seq
 from rowtide.operators import envelope, snapshot
 from rowtide.operators.snapshot import Cutover, SnapshotTable
 from rowtide.session import scratch_scope
-from rowtide.sources.store import ChangeStore
+from rowtide.sources.store import Batch, ChangeStore
 
 WRITER = "snapshot"
 
@@ -25,7 +25,7 @@ def run_bootstrap(store: ChangeStore, tables: list[SnapshotTable], cutover: Cuto
     if not tables:
         raise ValueError("at least one configured table is required for a snapshot")
     run = f"{cutover.connector}:{cutover.file}:{cutover.position}@{store.latest()}"
-    version = store.begin(WRITER, f"{run}:start")
+    batch = store.begin(WRITER, f"{run}:start")
     started = store.spark.createDataFrame(
         [(cutover.connector, t.spec.database, t.spec.table, "RUNNING", cutover.file, cutover.position) for t in tables],
         "connector string, database_name string, table_name string, status string, cutover_file string, cutover_position bigint",
@@ -33,42 +33,41 @@ def run_bootstrap(store: ChangeStore, tables: list[SnapshotTable], cutover: Cuto
         {"last_sent_pk": F.lit(None).cast("string"), "started_at": F.current_timestamp(),
          "finished_at": F.lit(None).cast("timestamp"), "last_error": F.lit(None).cast("string")}
     )
-    store.write("full_sync", version, started)
-    store.commit(version, WRITER, f"{run}:start")
+    store.write("full_sync", batch, started)
+    store.commit(batch)
     for order, table in enumerate(tables):
-        batch = f"{run}:{order}"
-        version = store.begin(WRITER, batch)
+        batch = store.begin(WRITER, f"{run}:{order}")
         try:
             with scratch_scope(store.spark):
-                _publish_table(store, version, table, cutover, page_size)
+                _publish_table(store, batch, table, cutover, page_size)
         except Exception as failure:
-            store.discard(version)
-            _write_progress(store, version, table, cutover, "FAILED", None, _failure_text(failure))
-            store.commit(version, WRITER, batch)
+            store.discard(batch)
+            _write_progress(store, batch, table, cutover, "FAILED", None, _failure_text(failure))
+            store.commit(batch)
             raise
-        store.commit(version, WRITER, batch)
-    version = store.begin(WRITER, f"{run}:checkpoint")
+        store.commit(batch)
+    batch = store.begin(WRITER, f"{run}:checkpoint")
     row = store.spark.createDataFrame(
         [(cutover.connector, cutover.file, cutover.position)], "connector string, file string, position bigint"
     )
-    store.write("checkpoints", version, row.withColumn("file_seq", file_seq("file")))
-    store.commit(version, WRITER, f"{run}:checkpoint")
+    store.write("checkpoints", batch, row.withColumn("file_seq", file_seq("file")))
+    store.commit(batch)
 
 
 def _publish_table(
-    store: ChangeStore, version: int, table: SnapshotTable, cutover: Cutover, page_size: int
+    store: ChangeStore, batch: Batch, table: SnapshotTable, cutover: Cutover, page_size: int
 ) -> None:
     spec, pk = table.spec, list(table.spec.primary_key)
     paged = snapshot.paginate(table.df.select(*spec.columns), pk, page_size)
     transactions = snapshot.snapshot_transactions(paged, spec, cutover, page_size)
     messages = envelope.encode_transactions(transactions, keep=("xid",)).select(
-        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), (F.col("xid") + store.first_arrival(version)).alias("arrival"),
+        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), (F.col("xid") + store.first_arrival(batch)).alias("arrival"),
         "key", "fragment", "value",
     )
-    store.write("messages", version, messages)
+    store.write("messages", batch, messages)
     pages = snapshot.pages(paged, pk)
     last = pages.agg(F.max_by("last_pk", "page_index")).first()[0]
-    _write_progress(store, version, table, cutover, "COMPLETED", last, None)
+    _write_progress(store, batch, table, cutover, "COMPLETED", last, None)
     listed = pages.select(
         F.current_timestamp().alias("ts"),
         F.col("page_index").alias("seq"),
@@ -80,11 +79,11 @@ def _publish_table(
         F.concat(F.lit("rows="), F.col("n_rows").cast("string")).alias("message"),
         "n_rows",
     )
-    store.write("outcomes", version, listed)
+    store.write("outcomes", batch, listed)
 
 
 def _write_progress(
-    store: ChangeStore, version: int, table: SnapshotTable, cutover: Cutover, status: str, last_pk: str | None,
+    store: ChangeStore, batch: Batch, table: SnapshotTable, cutover: Cutover, status: str, last_pk: str | None,
     error: str | None,
 ) -> None:
     key = {"connector": cutover.connector, "database_name": table.spec.database, "table_name": table.spec.table}
@@ -100,7 +99,7 @@ def _write_progress(
             "last_error": F.lit(error).cast("string"),
         }
     )
-    store.write("full_sync", version, row)
+    store.write("full_sync", batch, row)
 
 
 def _failure_text(failure: Exception) -> str:

@@ -14,7 +14,7 @@ from rowtide.operators.envelope import encode_envelopes
 from rowtide.operators.ordered import Blocks
 from rowtide.operators.snapshot import with_rank
 from rowtide.session import lookup_join, materialize, scratch_scope
-from rowtide.sources.store import ChangeStore
+from rowtide.sources.store import Batch, ChangeStore
 
 WRITER = "capture"
 
@@ -51,17 +51,17 @@ def capture_batch(
 
     Entries of transactions still open are kept with the version and lead the next batch.
     """
-    version = store.begin(WRITER, str(batch_id))
-    if version is None:
+    attempt = store.begin(WRITER, str(batch_id))
+    if attempt is None:
         return
     with scratch_scope(store.spark):
-        _capture(store, version, batch, catalog, blocks, max_events, on_pk_change)
-    store.commit(version, WRITER, str(batch_id))
+        _capture(store, attempt, batch, catalog, blocks, max_events, on_pk_change)
+    store.commit(attempt)
 
 
 def _capture(
     store: ChangeStore,
-    version: int,
+    attempt: Batch,
     batch: DataFrame,
     catalog: DataFrame,
     blocks: Blocks,
@@ -70,7 +70,7 @@ def _capture(
 ) -> None:
     previous = store.latest(WRITER)
     columns = batch.columns
-    carried = store.read_version("tail", previous).select(*columns) if previous >= 0 else batch.limit(0)
+    carried = store.read("tail", only=previous).select(*columns) if previous >= 0 else batch.limit(0)
     fresh = batch.withColumn("_fresh", F.lit(True))
     log = materialize(carried.withColumn("_fresh", F.lit(False)).unionByName(fresh), "capture")
     entries = log.drop("_fresh")
@@ -83,7 +83,7 @@ def _capture(
         if first_bad:
             raise ValueError(f"primary key mutation in {first_bad[0].transaction_id} is not supported")
     else:
-        store.write("quarantine", version, _set_aside(mutated, store.first_arrival(version)))
+        store.write("quarantine", attempt, _set_aside(mutated, store.first_arrival(attempt)))
     # Schema changes take effect when read, commit or not, so only new entries are looked at.
     ddl = schema_change_events(log.filter("_fresh").drop("_fresh"), catalog)
     encoded = encode_envelopes(
@@ -91,18 +91,18 @@ def _capture(
     )
     ranked = with_rank(encoded, ["file_seq", "next_position", "fragment"])
     messages = ranked.select(
-        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), (F.col("row_rank") + store.first_arrival(version)).alias("arrival"),
+        F.lit("changes").alias("topic"), F.lit(0).alias("partition"), (F.col("row_rank") + store.first_arrival(attempt)).alias("arrival"),
         "key", "fragment", "value",
     )
-    store.write("messages", version, messages)
+    store.write("messages", attempt, messages)
 
     commits = materialize(assemble.commits(grouped), "commits")
     moved = assemble.advance_checkpoint(commits, ddl)
-    store.write("checkpoints", version, moved)
+    store.write("checkpoints", attempt, moved)
     last = commits.groupBy("connector").agg(
         F.max(F.struct(file_seq("file").alias("file_seq"), F.col("next_position").alias("pos"))).alias("_p")
     ).select("connector", "_p.*")
-    store.write("tail", version, open_tail(entries, last))
+    store.write("tail", attempt, open_tail(entries, last))
     bad = mutated.groupBy(F.col("transaction_id").alias("reference")).agg(F.count("*").alias("_bad"))
     reference = assemble.transaction_id("connector", "file", "xid", "next_position")
     counted = lookup_join(commits.filter("n_rows > 0").withColumn("reference", reference), bad, ["reference"])
@@ -126,7 +126,7 @@ def _capture(
         allowMissingColumns=True,
     )
     said = F.lit(None).cast("string")
-    store.write("outcomes", version, outcomes.withColumns({"ts": F.current_timestamp(), "message": said}))
+    store.write("outcomes", attempt, outcomes.withColumns({"ts": F.current_timestamp(), "message": said}))
 
 
 def _set_aside(mutated: DataFrame, first: int) -> DataFrame:

@@ -1,15 +1,17 @@
-"""The rebuild job: claim a task, stage its table, publish it, replay what was held back."""
+"""The rebuild job: stage the re-read table, publish it, replay what was held back."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from rowtide.operators import envelope, fold, rebuild
 from rowtide.session import materialize, scratch_scope
 from rowtide.sources.catalog import TableSpec
-from rowtide.sources.store import TABLES, ChangeStore
+from rowtide.sources.store import TABLES, Batch, ChangeStore, ConflictError
 
 WRITER = "rebuild"
+# Publishing is done again this often when a batch was applied while it ran; the staged table is kept.
+CONFLICT_ATTEMPTS = 20
 
 
 def run_rebuild(
@@ -17,58 +19,47 @@ def run_rebuild(
 ) -> str:
     """Run one PENDING rebuild task and return its status afterwards.
 
-    The task is claimed first (RUNNING, its table REBUILDING). The table is then re-read into
-    staging. If a newer schema change has arrived meanwhile the task ends OBSOLETE and nothing is
-    published. Otherwise staged rows replace the table, pending transactions that nothing blocks
-    any more are replayed on top, and the table is ACTIVE again, all in one committed version. A
-    failure counts as a retry, the last one leaves REBUILD_FAILED.
+    The table is re-read into staging. If a newer schema change has arrived meanwhile the task ends OBSOLETE
+    and nothing is published. Otherwise staged rows replace the table, pending transactions that nothing blocks
+    any more are replayed on top, and the table is ACTIVE again, all in one commit: a driver lost before it
+    leaves the task PENDING. A failure counts as a retry, the last one leaves REBUILD_FAILED. Of two drivers
+    running one task the first to commit counts.
     """
-    task = store.tasks().filter(F.col("task_id") == task_id).first()
+    task = _task(store, task_id)
     if task is None:
         raise ValueError(f"unknown rebuild task: {task_id}")
     if (task.database_name, task.table_name) != (spec.database, spec.table):
         raise ValueError(f"task {task_id} does not belong to {spec.name}")
     if task.status != "PENDING":
         return task.status
-    _claim(store, task)
-    batch = f"{task_id}#{task.retry_count}"
-    version = store.begin(WRITER, batch)
     with scratch_scope(store.spark):
-        status, error = _attempt(store, version, task, spec, table, page_size, max_retries)
-    retries = task.retry_count + (1 if status in ("FAILED", "PENDING") else 0)
-    _write_task(store, version, task, status, retries, error)
-    if status != "OBSOLETE":
-        done = status == "DONE"
-        _write_outcome(store, version, task, "SUCCESS" if done else "FAILED", "rebuild completed" if done else error)
-    store.commit(version, WRITER, batch)
-    return status
+        staged, error = None, None
+        if _is_current(store, task):
+            try:
+                at = {"task_id": task.task_id, "file": task.file, "next_position": task.next_position}
+                staged = materialize(rebuild.staged_rows(table, spec, at, page_size), "staging")
+            except Exception as failure:  # noqa: BLE001 - every failure of the run is a failed attempt
+                error = _first_line(failure)
+        for left in reversed(range(CONFLICT_ATTEMPTS)):
+            batch = store.begin(WRITER, f"{task_id}#{task.retry_count}")
+            if batch is None:
+                return _task(store, task_id).status
+            try:
+                return _finish(store, batch, task, staged, error, max_retries)
+            except ConflictError:
+                store.discard(batch)
+                if not left:
+                    raise
+    raise AssertionError("unreachable")
 
 
-def recover_stale_tasks(store: ChangeStore, now: Column | None = None, timeout_seconds: int = 300) -> int:
-    """Give RUNNING tasks of a lost driver back; returns how many there were."""
-    tasks = store.tasks()
-    moment = now if now is not None else F.current_timestamp()
-    running = tasks.filter(F.col("status") == "RUNNING")
-    stale = rebuild.recover_stale(running, moment, timeout_seconds).filter(F.col("status") == "PENDING")
-    rows = stale.withColumn("updated_at", moment)
-    found = rows.count()
-    if found:
-        version = store.begin("recover", f"after {store.latest()}")
-        store.write("tasks", version, rows)
-        store.commit(version, "recover", f"after {version - 1}")
-    return found
-
-
-def _claim(store: ChangeStore, task: Row) -> None:
-    batch = f"{task.task_id}#{task.retry_count}"
-    version = store.begin("claim", batch)
-    if version is None:
-        raise RuntimeError(f"task {task.task_id} was claimed before; recover it first")
-    _write_task(store, version, task, "RUNNING", task.retry_count, task.last_error)
-    if _is_current(store, task):
-        _log_status(store, version, task, "REBUILDING")
-    _write_outcome(store, version, task, "STARTED", "rebuild started")
-    store.commit(version, "claim", batch)
+def _task(store: ChangeStore, task_id: str) -> Row | None:
+    return store.tasks().filter(F.col("task_id") == task_id).first()
+
+
+def _first_line(failure: Exception) -> str:
+    lines = str(failure).splitlines()
+    return lines[0] if lines else type(failure).__name__
 
 
 def _is_current(store: ChangeStore, task: Row) -> bool:
@@ -78,30 +69,31 @@ def _is_current(store: ChangeStore, task: Row) -> bool:
     return state is not None and (state.file, state.next_position) == (task.file, task.next_position)
 
 
-def _attempt(
-    store: ChangeStore, version: int, task: Row, spec: TableSpec, table: DataFrame, page_size: int, max_retries: int
-) -> tuple[str, str | None]:
-    """Stage and publish; returns the task's next status and error text."""
-    try:
-        at = {"task_id": task.task_id, "file": task.file, "next_position": task.next_position}
-        staged = materialize(rebuild.staged_rows(table, spec, at, page_size), "staging")
-        if not _is_current(store, task):
-            return "OBSOLETE", task.last_error
-        _publish(store, version, task, staged)
-        return "DONE", task.last_error
-    except Exception as failure:  # noqa: BLE001 - every failure of the run is a failed attempt
-        store.discard(version)
-        exhausted = task.retry_count + 1 >= max_retries
-        if _is_current(store, task):
-            _log_status(store, version, task, "REBUILD_FAILED" if exhausted else "REBUILD_REQUIRED")
-        lines = str(failure).splitlines()
-        return ("FAILED" if exhausted else "PENDING"), (lines[0] if lines else type(failure).__name__)
+def _finish(
+    store: ChangeStore, batch: Batch, task: Row, staged: DataFrame | None, error: str | None, max_retries: int
+) -> str:
+    """Publish what was staged, or record why not; returns the task's status."""
+    table = store.spark.createDataFrame([(task.database_name, task.table_name)], "database_name string, table_name string")
+    status, view = "OBSOLETE", None
+    if _is_current(store, task):
+        if error is None:
+            try:
+                view = _published(store, batch, task, staged, table)
+            except Exception as failure:  # noqa: BLE001
+                store.discard(batch)
+                error = _first_line(failure)
+        status = "DONE" if error is None else "FAILED" if task.retry_count + 1 >= max_retries else "PENDING"
+        _log_status(store, batch, task, {"DONE": "ACTIVE", "FAILED": "REBUILD_FAILED"}.get(status, "REBUILD_REQUIRED"))
+        _write_outcomes(store, batch, task, error)
+    retries = task.retry_count + (1 if status in ("FAILED", "PENDING") else 0)
+    _write_task(store, batch, task, status, retries, error or task.last_error)
+    store.commit(batch, view, None if view is None else table)
+    return status
 
 
-def _publish(store: ChangeStore, version: int, task: Row, staged: DataFrame) -> None:
-    spark = store.spark
-    table = spark.createDataFrame([(task.database_name, task.table_name)], TABLES["resets"])
-    one = spark.createDataFrame([task], store.tasks().schema)
+def _published(store: ChangeStore, batch: Batch, task: Row, staged: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows that replace the table, with the replayed changes of this and other tables on top."""
+    one = store.spark.createDataFrame([task], store.tasks().schema)
     candidates = rebuild.replay_candidates(store.pending(), one, exact=False)
     chosen = materialize(rebuild.replayable(candidates, store.schema_states(), table), "replay")
     # Log order stands in for the arrival order the messages had.
@@ -116,32 +108,37 @@ def _publish(store: ChangeStore, version: int, task: Row, staged: DataFrame) ->
     if unreadable:
         raise ValueError(f"held-back message {unreadable[0].key} cannot be parsed: {unreadable[0].reason}")
     _, transactions, _ = envelope.split_messages(good)
-    fresh, _ = fold.drop_done(fold.dedupe_transactions(transactions), store.done())
+    low, high = transactions.agg(F.min("file_seq"), F.max("file_seq")).first()
+    done = store.done((low, high) if low is not None else (0, -1))
+    fresh, _ = fold.drop_done(fold.dedupe_transactions(transactions), done)
     rows = envelope.explode_rows(fresh)
     if store.mode == "meta":
         merged = fold.merge_view(staged, fold.fold_latest(rows))
     else:
-        merged = fold.override_view(staged, fold.fold_arrival(rows))
-    store.write("changes", version, merged)
-    store.write("resets", version, table)
-    store.write("done", version, fresh.select("transaction_id", "file_seq").distinct())
-    store.write("replayed", version, chosen.select("transaction_id").distinct())
-    _log_status(store, version, task, "ACTIVE")
+        merged = fold.override_rows(staged, fold.fold_arrival(rows))
+    store.write("done", batch, fresh.select("transaction_id", "file_seq").distinct())
+    store.write("replayed", batch, chosen.select("transaction_id").distinct())
+    return materialize(merged, "published")
 
 
-def _log_status(store: ChangeStore, version: int, task: Row, status: str) -> None:
+def _log_status(store: ChangeStore, batch: Batch, task: Row, status: str) -> None:
     row = (task.database_name, task.table_name, task.file_seq, task.next_position, status)
-    store.write("status_log", version, store.spark.createDataFrame([row], TABLES["status_log"]))
+    store.write("status_log", batch, store.spark.createDataFrame([row], TABLES["status_log"]))
 
 
-def _write_task(store: ChangeStore, version: int, task: Row, status: str, retries: int, error: str | None) -> None:
+def _write_task(store: ChangeStore, batch: Batch, task: Row, status: str, retries: int, error: str | None) -> None:
     row = {**task.asDict(), "status": status, "retry_count": retries, "last_error": error}
     schema = store.tasks().schema
     changed = store.spark.createDataFrame([tuple(row[c] for c in schema.names)], schema)
-    store.write("tasks", version, changed.withColumn("updated_at", F.current_timestamp()))
-
-
-def _write_outcome(store: ChangeStore, version: int, task: Row, result: str, message: str | None) -> None:
-    row = (None, 1, "REBUILD", task.database_name, task.table_name, task.task_id, result, message, None)
-    outcome = store.spark.createDataFrame([row], TABLES["outcomes"]).withColumn("ts", F.current_timestamp())
-    store.write("outcomes", version, outcome)
+    store.write("tasks", batch, changed.withColumn("updated_at", F.current_timestamp()))
+
+
+def _write_outcomes(store: ChangeStore, batch: Batch, task: Row, error: str | None) -> None:
+    rows = [
+        (None, seq, "REBUILD", task.database_name, task.table_name, task.task_id, result, message, None)
+        for seq, result, message in (
+            (1, "STARTED", "rebuild started"),
+            (2, "FAILED" if error else "SUCCESS", error or "rebuild completed"),
+        )
+    ]
+    store.write("outcomes", batch, store.spark.createDataFrame(rows, TABLES["outcomes"]).withColumn("ts", F.current_timestamp()))

@@ -13,11 +13,11 @@ from rowtide.plans import feed
 from rowtide.sources.changelog import stream_change_log
 from rowtide.sources.catalog import TableSpec
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
-from rowtide.sources.store import ChangeStore
+from rowtide.sources.store import ChangeStore, ConflictError
 from rowtide.streaming.apply import PoisonMessageError, RejectedTransactionError, apply_batch, run_sync
 from rowtide.streaming.capture import capture_batch, capture_stream
 from rowtide.streaming.bootstrap_job import run_bootstrap
-from rowtide.streaming.rebuild_job import recover_stale_tasks, run_rebuild
+from rowtide.streaming.rebuild_job import run_rebuild
 
 
 def rows(df, *columns):
@@ -72,9 +72,6 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, sf, tmp_path):
     assert view_rows(store.view()) == expected
     assert {r.result for r in store.outcomes().select("result").distinct().collect()} == {"SUCCESS", "DUPLICATE"}
 
-    before = store.latest()
-    assert store.compact() == before + 1
-    assert view_rows(store.view()) == expected
 
 
 def test_late_messages_differ_by_mode(spark, sf, tmp_path):
@@ -91,41 +88,136 @@ def test_late_messages_differ_by_mode(spark, sf, tmp_path):
         assert rows(store.view(), "table_name", "row_key", "payload") == rows(folded, "table_name", "row_key", "payload")
 
 
+def store_of(spark, path, mode="meta", buckets=4):
+    return ChangeStore(spark, str(path), mode, buckets).create()
+
+
+def insert(arrival, key, value="v", pos=None, table="user"):
+    return message(arrival, f"t{arrival}", pos or 100 + arrival, [(table, "INSERT", key, {"id": key, "v": value})])
+
+
 def test_batch_is_applied_once_and_a_broken_run_leaves_nothing(spark, tmp_path):
-    store = ChangeStore(spark, str(tmp_path / "s")).create()
-    good = messages(spark, message(0, "a", 125, [("user", "INSERT", 1, {"id": 1, "username": "alice"})]))
-    # What an interrupted attempt left behind must not surface, neither its own nor another writer's.
-    for writer, batch in (("apply", "7"), ("other", "1")):
-        version = store.begin(writer, batch)
-        store.write("resets", version, spark.createDataFrame([("shop", "user")], "database_name string, table_name string"))
-    store.write("changes", version, store.view().unionByName(
-        spark.createDataFrame([("shop", "user", "9", False, "{}", "f.1", 1, 1, 0, "x")], store.view().schema)))
+    store = store_of(spark, tmp_path / "s")
+    good = messages(spark, insert(0, 1))
+    # What interrupted attempts left behind must not surface, neither the writer's own nor another's.
+    for writer, name in (("apply", "7"), ("rebuild", "1")):
+        batch = store.begin(writer, name)
+        store.write("done", batch, spark.createDataFrame([("lost", 1)], "transaction_id string, file_seq bigint"))
+        store._write_merged(batch, spark.createDataFrame([("shop", "user", "9", False, "{}", "f.1", 1, 1, 0, "x")], feed.S.VIEW), None)
     apply_batch(store, good, 7)
     apply_batch(store, good, 7)
-    assert rows(store.view(), "row_key", "payload") == [("1", '{"id":1,"username":"alice"}')]
-    assert store.latest() == 3 and store.read("resets").count() == 0
-    # The other writer tries again and then counts.
-    version = store.begin("other", "1")
-    store.write("resets", version, spark.createDataFrame([("shop", "order")], "database_name string, table_name string"))
-    store.commit(version, "other", "1")
-    assert rows(store.read("resets"), "table_name") == [("order",)] and store.begin("other", "1") is None
+    assert rows(store.view(), "row_key", "payload") == [("1", '{"id":1,"v":"v"}')]
+    assert store.latest() == 1 and rows(store.done(), "transaction_id") == [("t0",)]
 
 
-def test_two_writers_interleave(spark, tmp_path):
-    store = ChangeStore(spark, str(tmp_path / "s")).create()
-    row = lambda t: spark.createDataFrame([("shop", t)], "database_name string, table_name string")
-    a, b = store.begin("a", "1"), store.begin("b", "1")
-    assert a != b
-    store.write("resets", a, row("one"))
-    store.write("resets", b, row("two"))
-    store.commit(b, "b", "1")
-    assert rows(store.read("resets"), "table_name") == [("two",)]
-    c = store.begin("b", "2")
-    store.commit(a, "a", "1")
-    store.write("resets", c, row("three"))
-    assert rows(store.read("resets"), "table_name") == [("one",), ("two",)]
-    store.commit(c, "b", "2")
-    assert rows(store.read("resets"), "table_name") == [("one",), ("three",), ("two",)]
+class Lost(Exception):
+    pass
+
+
+LOSSES = ["before the commit file", "after it", "in the overwrite", "before the move", "before the deletion"]
+
+
+@pytest.mark.parametrize("step, mode", [*[(s, "meta") for s in LOSSES], ("in the overwrite", "simple")])
+def test_a_lost_driver_loses_no_batch(spark, tmp_path, monkeypatch, step, mode):
+    """The driver goes at each step of a commit; a new one that gets the batch again ends with the same state."""
+    from rowtide.sources import store as module
+
+    store = store_of(spark, tmp_path / "s", mode)
+    apply_batch(store, messages(spark, *[insert(i, i) for i in range(6)]), 0)
+    second = messages(spark, insert(10, 1, "new"), insert(11, 7), message(12, "gone", 130, [("user", "DELETE", 2, None)]))
+
+    def lose(*_, **__):
+        raise Lost
+
+    if step == "before the commit file":
+        monkeypatch.setattr(module, "create_file", lose)
+    elif step == "after it":
+        monkeypatch.setattr(ChangeStore, "publish", lambda self, n=[0]: n.append(1) if len(n) == 1 else lose())
+    elif step == "in the overwrite":
+        real = ChangeStore._merged
+
+        def some_partitions_gone(self, attempt):
+            # The commit of an overwrite deletes and moves folder by folder: leave a view that lost part of itself.
+            if len(self._entries()) > 2:
+                lost = real(self, attempt).filter("row_key IS NULL").select(*module._PARTS).first()
+                module.delete_path(spark, f"{store.root}/view/database_name={lost[0]}/table_name={lost[1]}/bucket={lost[2]}")
+                raise Lost
+            return real(self, attempt)
+
+        monkeypatch.setattr(ChangeStore, "_merged", some_partitions_gone)
+    elif step == "before the move":
+        monkeypatch.setattr(module, "move_path", lose)
+    else:
+        monkeypatch.setattr(module, "delete_path", lambda spark, path: lose() if "/merged/_" in path else None)
+    with pytest.raises(Lost):
+        apply_batch(store, second, 1)
+    monkeypatch.undo()
+    keys = ["0", "1", "2", "3", "4", "5", "7"] if mode == "meta" else ["0", "1", "3", "4", "5", "7"]
+    other = ChangeStore(spark, store.root, mode)
+    if step != "before the commit file":  # committed, so readers see it before anything is repeated
+        assert sorted(r[0] for r in rows(other.view(), "row_key")) == keys
+    apply_batch(other, second, 1)
+    assert sorted(r[0] for r in rows(other.view(), "row_key")) == keys
+    assert rows(fold.live(other.view()).filter("row_key = 1"), "payload") == [('{"id":1,"v":"new"}',)]
+    assert rows(other.done(), "transaction_id") == sorted([(f"t{i}",) for i in (*range(6), 10, 11)] + [("gone",)], key=str)
+    assert other.latest() == 2 and other._unpublished() == []
+    apply_batch(other, messages(spark, insert(20, 8)), 2)
+    assert len(rows(other.view(), "row_key")) == len(keys) + 1
+
+
+def test_overlapping_batches_hide_nothing(spark, tmp_path):
+    """Of two state batches that overlap one is refused and done again; other writers are never refused."""
+    store = store_of(spark, tmp_path / "s")
+    one = store.begin("apply", "1")
+    two = ChangeStore(spark, store.root).begin("rebuild", "x")
+    log = store.begin("capture", "5")
+    row = lambda key: spark.createDataFrame([("shop", "user", key, False, "{}", "f.1", 1, 1, 0, "x")], feed.S.VIEW)
+    store.commit(log)
+    store.commit(two, row("two"))
+    with pytest.raises(ConflictError):
+        store.commit(one, row("one"))
+    assert rows(store.view(), "row_key") == [("two",)]
+    again = store.begin("apply", "1")
+    store.commit(again, row("one"))
+    assert rows(store.view(), "row_key") == [("one",), ("two",)]
+    assert store.begin("apply", "1") is None and store.latest() == 3
+
+
+def test_a_batch_is_begun_again_after_a_rebuild(spark, tmp_path, monkeypatch):
+    """A rebuild published while a batch ran: what the batch would have held back is applied."""
+    from rowtide.streaming import apply as module
+
+    store = store_of(spark, tmp_path / "s")
+    apply_batch(store, messages(spark, insert(0, 1), ddl_message(1, "user", "DROP_COLUMN", 110)), 0)
+    spec = TableSpec("shop", "user", ("id", "v"), ("id",), ("id",))
+    source = spark.createDataFrame([(1, "rebuilt")], "id bigint, v string")
+    real, runs = module._apply, []
+
+    def interrupted(*args):
+        view = real(*args)
+        if not runs:
+            assert run_rebuild(ChangeStore(spark, store.root), "shop.user:mysql-bin.000010:110", spec, source) == "DONE"
+        runs.append(1)
+        return view
+
+    monkeypatch.setattr(module, "_apply", interrupted)
+    apply_batch(store, messages(spark, insert(5, 2, pos=120)), 1)
+    assert len(runs) == 2 and store.pending().count() == 0
+    assert rows(store.view(), "row_key", "payload") == [("1", '{"id":1,"v":"rebuilt"}'), ("2", '{"id":2,"v":"v"}')]
+
+
+def test_view_files_do_not_grow_with_batches(spark, tmp_path):
+    """Small batches leave one file a bucket, and rewrite only buckets they touch."""
+    store = store_of(spark, tmp_path / "s")
+    counts, files = [], []
+    for i in range(8):
+        store.commit(store.begin("apply", str(i)), spark.createDataFrame(
+            [("shop", t, str(k), False, str(i), "f.1", 1, i, 0, "x") for t in ("user", "order") for k in (i % 3, 100 + i)], feed.S.VIEW))
+        files.append(sorted(store.view().inputFiles()))
+        counts.append(len(files[-1]))
+    assert max(counts) <= 8 and counts[-1] == counts[-3]
+    assert any(set(a) & set(b) for a, b in zip(files, files[1:]))
+    assert rows(store.view().filter("table_name = 'user' AND row_key < 3"), "row_key", "payload") == [("0", "6"), ("1", "7"), ("2", "5")]
 
 
 def fragments(arrival, txn_id, pos, parts, start=0):
@@ -156,7 +248,7 @@ def test_parts_in_different_batches_are_one_transaction(spark, tmp_path):
     assert rows(store.pending(), "transaction_id", "fragment") == [("blocked", 0), ("blocked", 1)]
     # A part delivered again after its transaction was applied waits for nothing and changes nothing.
     apply_batch(store, messages(spark, *[(t, p, a + 100, k, f, v) for t, p, a, k, f, v in good[:1]]), 3, on_reject="quarantine")
-    assert store.read_version("held", store.latest("apply")).count() == 0
+    assert store.read("held", only=store.latest("apply")).count() == 0
     assert rows(store.view(), "row_key") == [(str(k),) for k in range(5)]
 
 
@@ -371,21 +463,6 @@ def test_open_transaction_waits_for_its_commit(spark, tmp_path):
     assert rows(store.checkpoints(), "file", "position") == [("mysql-bin.000001", 240)]
 
 
-def test_running_task_of_a_lost_driver_is_recovered(spark, tmp_path):
-    store = ChangeStore(spark, str(tmp_path / "s")).create()
-    apply_batch(store, messages(spark, ddl_message(1, "user", "DROP_COLUMN", 10)), 0)
-    from rowtide.streaming import rebuild_job
-
-    rebuild_job._claim(store, store.tasks().first())
-    assert rows(store.tasks(), "status") == [("RUNNING",)]
-    assert rows(store.schema_states(), "status") == [("REBUILDING",)]
-    assert recover_stale_tasks(store) == 0
-    later = F.current_timestamp() + F.make_dt_interval(mins=F.lit(10))
-    assert recover_stale_tasks(store, later) == 1
-    assert rows(store.tasks(), "status", "retry_count", "last_error") == [
-        ("PENDING", 1, "Recovered stale RUNNING task for retry.")]
-
-
 def test_bootstrap_publishes_pages_and_one_checkpoint(spark, tmp_path):
     from rowtide.operators.snapshot import Cutover, SnapshotTable
 
