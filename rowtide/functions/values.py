@@ -89,7 +89,17 @@ def bare_pattern(columns: list[str]) -> str:
     if not columns:
         return "(?!)()()"
     names = "|".join(re.escape(json.dumps(c, ensure_ascii=False)) for c in columns)
-    return rf'({names}):"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false)"'
+    return f"({names}){_BARE_VALUE}"
+
+
+_BARE_VALUE = r':"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false)"'
+
+
+def bare_pattern_of(columns: Column) -> Column:
+    """``bare_pattern`` of an array of column names."""
+    quoted = F.transform(columns, lambda c: F.concat(F.lit("\\Q"), json_string(c), F.lit("\\E")))
+    pattern = F.concat(F.lit("("), F.array_join(quoted, "|"), F.lit(f"){_BARE_VALUE}"))
+    return F.when(F.size(columns) > 0, pattern).otherwise(F.lit("(?!)()()"))
 
 
 def map_json(image: Column, bare: Column) -> Column:

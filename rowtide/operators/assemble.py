@@ -8,29 +8,36 @@ from rowtide import schemas as S
 from rowtide.functions.versions import file_seq
 from rowtide.operators import shape
 from rowtide.operators.ordered import LOG_ORDER, Blocks, commit_scan, with_blocks
-from rowtide.session import lookup_join
+from rowtide.session import lookup_join, materialize
 
 MAX_EVENTS = 10_000
 
 
+# What identifies a log entry.
+COORDINATE = ["connector", "file", "pos", "seq"]
+
+
 def commit_groups(
     log: DataFrame, catalog: DataFrame, blocks: Blocks = Blocks(), images: bool = True
 ) -> DataFrame:
     """Row and commit events with named tables, their commit group and the closing commit.
 
-    Without ``images`` the row images are counted (``n_rows``) and left behind before anything is
-    shuffled, which is all that commits and checkpoints need.
+    Everything is found on entries without their row images, which are written once, so the windows neither read
+    the log again nor carry images. With ``images`` they are joined back by their coordinate, the only exchange
+    they meet; without, commits and checkpoints make do with their count (``n_rows``). A coordinate names one entry.
     """
     relevant = log.filter(F.col("type").isin("TABLE_MAP", "XID", *shape.ROW_TYPES))
-    relevant = relevant.withColumn("n_rows", F.when(F.col("type").isin(*shape.ROW_TYPES), F.size("rows")))
-    if not images:
-        relevant = relevant.drop("rows")
-    resolved = shape.resolve_table_map(with_blocks(relevant, blocks))
+    is_row = F.col("type").isin(*shape.ROW_TYPES)
+    narrow = relevant.withColumn("n_rows", F.when(is_row, F.size("rows"))).drop("rows", "sql")
+    resolved = shape.resolve_table_map(materialize(with_blocks(narrow, blocks), "entries"))
     marked = shape.mark_configured(resolved, catalog)
     is_commit = F.col("type") == "XID"
     header = F.struct("xid", "file", F.col("pos").alias("next_position"), F.col("ts_ms"))
     n_rows = F.when(F.col("configured"), F.coalesce("n_rows", F.lit(0))).otherwise(0).cast("bigint")
-    return commit_scan(marked, is_commit, header, n_rows)
+    grouped = commit_scan(marked, is_commit, header, n_rows)
+    if not images:
+        return grouped
+    return grouped.join(relevant.filter(is_row).select(*COORDINATE, "rows"), COORDINATE, "left")
 
 
 def transaction_id(connector, file, xid, next_position) -> Column:
@@ -105,10 +112,11 @@ def assemble_transactions(changes: DataFrame, max_events: int = MAX_EVENTS) -> D
     parts = numbered.groupBy("transaction_id", "fragment", *header).agg(
         F.min("ts_ms").alias("ts_ms"), F.array_sort(F.collect_list(event)).alias("events")
     )
-    # Only transactions with a part beyond the first are counted: one in max_events rows at most.
+    # Written once; how many parts a transaction has is then read from two columns of them.
+    parts = materialize(parts, "parts")
     cut = (
-        numbered.groupBy("transaction_id")
-        .agg(F.count_distinct("fragment").cast("int").alias("fragments"), F.max("fragment").alias("_last"))
+        parts.groupBy("transaction_id")
+        .agg(F.count("*").cast("int").alias("fragments"), F.max("fragment").alias("_last"))
         .filter("_last > 0")
         .drop("_last")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide import schemas as S
-from rowtide.functions.ddl import ddl_target, ddl_type, is_destructive
+from rowtide.functions.ddl import COLUMNS, changed_columns, column_changes, ddl_target, ddl_type, is_destructive
 from rowtide.functions.values import java_trim
 from rowtide.functions.versions import file_seq
 from rowtide.operators import fold
@@ -59,6 +59,43 @@ def schema_change_events(log: DataFrame, catalog: DataFrame, now: Column | None
     )
 
 
+def layout_history(log: DataFrame, catalog: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Columns, key and bare columns of each table after every statement of the log that changes them.
+
+    The statements of a table are applied in log order to its newest ``stored`` layout, else to the catalogue's
+    columns. Every ALTER TABLE on a configured table counts, also one that ``classify_ddl`` does not announce, since
+    rows behind it carry its columns. A table's statements are gathered in one row: there is one per schema change.
+    """
+    queries = log.filter((F.col("type") == "QUERY") & F.col("sql").isNotNull())
+    changes = resolve_ddl_table(queries, catalog).withColumn("changes", column_changes(F.col("sql"))).filter(F.size("changes") > 0)
+    statement = F.struct(file_seq("file").alias("file_seq"), F.col("pos").alias("position"), "seq", "changes", "sql")
+    listed = changes.groupBy(*TABLE).agg(F.array_sort(F.collect_set(statement)).alias("statements"))
+    start = catalog.select(*TABLE, F.struct("columns", "primary_keys", "bare").cast(COLUMNS).alias("start"))
+    if stored is not None:
+        newest = stored.groupBy(*TABLE).agg(
+            F.max_by(F.struct("columns", "primary_keys", "bare").cast(COLUMNS), F.struct("file_seq", "position")).alias("_last"),
+            F.max(F.struct("file_seq", "position")).alias("_at"),
+        )
+        start = start.join(newest, TABLE, "left").select(*TABLE, F.coalesce("_last", "start").alias("start"), "_at")
+    else:
+        start = start.withColumn("_at", F.lit(None).cast("struct<file_seq:bigint, position:bigint>"))
+    joined = listed.join(F.broadcast(start), TABLE)
+    # A statement at or before the newest stored layout has been applied already.
+    here = lambda s: F.struct(s["file_seq"], s["position"])
+    new = F.filter("statements", lambda s: F.col("_at").isNull() | (here(s) > F.col("_at")))
+    entry = "struct<file_seq:bigint, position:bigint, columns:array<string>, primary_keys:array<string>, bare:array<string>, ddl_sql:string>"
+    none = F.array().cast(f"array<{entry}>")
+
+    def one(held, s):
+        now = changed_columns(held["now"], s["changes"])
+        made = F.struct(s["file_seq"], s["position"], now["columns"], now["primary_keys"], now["bare"], s["sql"]).cast(entry)
+        out = F.when(now == held["now"], held["out"]).otherwise(F.concat(held["out"], F.array(made)))
+        return F.struct(now.alias("now"), out.alias("out"))
+
+    history = F.aggregate(new, F.struct(F.col("start").alias("now"), none.alias("out")), one, lambda held: held["out"])
+    return joined.select(*TABLE, F.explode(history).alias("_l")).select(*TABLE, "_l.*")
+
+
 def schema_state(changes: DataFrame, status_log: DataFrame | None = None) -> DataFrame:
     """Newest state per table from its schema changes and an optional log of status changes.
 

@@ -29,9 +29,16 @@ class Blocks(NamedTuple):
 
 
 def fit_blocks(log: DataFrame, max_blocks: int = MAX_BLOCKS) -> Blocks:
-    """Blocks wide enough that a log of many small files yields at most ``max_blocks`` of them."""
-    newest = log.agg(F.max(file_seq("file"))).first()[0] or 0
-    return Blocks(files=max(1, -(-newest // max_blocks)))
+    """Blocks that take several files together where a log has more than ``max_blocks`` small ones.
+
+    Files are counted, whatever their numbers. A log with a file as long as a block keeps the cut inside files, so
+    no block is ever longer than ``span``.
+    """
+    one = Blocks()
+    length = F.max("pos") if "pos" in log.columns else F.lit(0)
+    n_files, longest = log.agg(F.count_distinct("file"), length).first()
+    files = max(1, -(-n_files // max_blocks))
+    return one if files > 1 and files * (longest or 0) >= one.span else Blocks(files=files)
 
 
 def with_blocks(log: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:

@@ -49,8 +49,12 @@ def replay_candidates(pending: DataFrame, tasks: DataFrame, exact: bool = True)
 
     ``exact`` takes messages blocked at the task's own coordinate. Otherwise every pending message
     that touches the task's table is taken, also one that an earlier, superseded change or another
-    table blocked; ``replayable`` then holds back what is still blocked.
+    table blocked, by the table's newest task; ``replayable`` then holds back what is still blocked.
     """
+    if not exact:
+        newest = F.max_by("task_id", F.struct(*COORDINATE, "task_id"))
+        last = tasks.groupBy(*TABLE).agg(newest.alias("task_id"), F.max(F.struct(*COORDINATE)).alias("_c"))
+        tasks = last.select("task_id", *TABLE, "_c.*")
     wanted = tasks.select(
         "task_id",
         F.concat_ws(".", *TABLE).alias("table_key"),

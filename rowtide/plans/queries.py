@@ -13,7 +13,7 @@ from rowtide.operators import assemble, control, ddl, envelope, fold, ops, rebui
 from rowtide.operators.ordered import fit_blocks, with_blocks
 from rowtide.plans import feed
 from rowtide.session import scratch_path
-from rowtide.sources.catalog import TableSpec, load_catalog
+from rowtide.sources.catalog import TableSpec, attach_layouts, load_catalog
 from rowtide.sources.changelog import read_change_log
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
 from rowtide.sources.tables import read_table
@@ -241,12 +241,23 @@ def named_rows(spark, sf):
     )
 
 
+@query
+def table_layouts(spark, sf):
+    """Columns of every table after each statement that changed them."""
+    found = ddl.layout_history(feed.altered_log(spark, sf), feed.catalog(spark))
+    return found.select(
+        "table_name", "file_seq", "position", F.array_join("columns", ",").alias("columns"),
+        F.array_join("primary_keys", ",").alias("primary_keys"), F.array_join(F.array_sort("bare"), ",").alias("bare"),
+    )
+
+
 @query
 def layout_change(spark, sf):
-    """Images of the user table before and after its layout changes, as JSON by name."""
-    history = feed.catalog_history(spark)
+    """Images of the user table before and after its layout changes, as JSON by name; layouts read from the log."""
+    log = feed.altered_log(spark, sf)
+    history = attach_layouts(feed.catalog(spark), ddl.layout_history(log, feed.catalog(spark)))
     blocks = fit_blocks(feed_files(spark, sf))
-    grouped = assemble.commit_groups(feed.raw_log(spark, sf), history, blocks).filter("configured")
+    grouped = assemble.commit_groups(log, history, blocks).filter("configured")
     rows = shape.name_columns(shape.row_images(shape.join_metadata(grouped, history))).filter("table_name = 'user'")
     return rows.select(
         "file", "pos", F.col("row_pos").cast("bigint").alias("row_pos"), _map_text("after").alias("after_text"),

@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowtide.functions.values import bare_pattern
+from rowtide import schemas as S
+from rowtide.functions.values import bare_pattern, bare_pattern_of
 
 CATALOG = """database_name string, table_name string, columns array<string>, primary_keys array<string>,
-       bare_pattern string, table_order int"""
+       bare array<string>, bare_pattern string, table_order int"""
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ def load_catalog(spark: SparkSession, tables: list[TableSpec]) -> DataFrame:
         if not spec.primary_key:
             raise ValueError(f"no primary key found for configured table {spec.name}")
     rows = [
-        (t.database, t.table, list(t.columns), list(t.primary_key), bare_pattern(list(t.bare)), i) for i, t in enumerate(tables)
+        (t.database, t.table, list(t.columns), list(t.primary_key), list(t.bare), bare_pattern(list(t.bare)), i) for i, t in enumerate(tables)
     ]
     return spark.createDataFrame(rows, CATALOG)
 
@@ -61,22 +62,24 @@ class Layout:
 
 
 def with_layouts(catalog: DataFrame, layouts: list[Layout]) -> DataFrame:
-    """The catalogue with later layouts of its tables, so that rows are named as of their log position.
+    """The catalogue with later layouts of its tables given by the caller."""
+    rows = [
+        (x.spec.database, x.spec.table, x.file_seq, x.position, list(x.spec.columns), list(x.spec.primary_key), list(x.spec.bare), None)
+        for x in layouts
+    ]
+    return attach_layouts(catalog, catalog.sparkSession.createDataFrame(rows, S.LAYOUT))
+
+
+def attach_layouts(catalog: DataFrame, layouts: DataFrame) -> DataFrame:
+    """The catalogue with later layouts of its tables (``ddl.layout_history``), so that rows are named as of their position.
 
     Adds ``layouts``, the versions of each table in log order; a table without any keeps its columns. The
     list grows by one entry for each schema change.
     """
-    rows = [
-        (x.spec.database, x.spec.table, x.file_seq, x.position, list(x.spec.columns), list(x.spec.primary_key), bare_pattern(list(x.spec.bare)))
-        for x in layouts
-    ]
-    listed = catalog.sparkSession.createDataFrame(
-        rows,
-        "database_name string, table_name string, file_seq bigint, position bigint, columns array<string>, "
-        "primary_keys array<string>, bare_pattern string",
+    version = F.struct(
+        F.struct("file_seq", "position").alias("since"), "columns", "primary_keys", bare_pattern_of(F.col("bare")).alias("bare_pattern")
     )
-    version = F.struct(F.struct("file_seq", "position").alias("since"), "columns", "primary_keys", "bare_pattern")
-    versions = listed.groupBy("database_name", "table_name").agg(F.array_sort(F.collect_list(version)).alias("layouts"))
+    versions = layouts.groupBy("database_name", "table_name").agg(F.array_sort(F.collect_list(version)).alias("layouts"))
     return catalog.join(versions, ["database_name", "table_name"], "left")
 
 

@@ -9,11 +9,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from rowtide.functions.versions import file_seq
 from rowtide.operators import assemble
-from rowtide.operators.ddl import schema_change_events
+from rowtide.operators.ddl import layout_history, schema_change_events
 from rowtide.operators.envelope import encode_envelopes
 from rowtide.operators.ordered import Blocks
 from rowtide.operators.snapshot import with_rank
-from rowtide.session import lookup_join, materialize, scratch_scope
+from rowtide.session import lookup_join, materialize, pin_small, scratch_scope
+from rowtide.sources.catalog import attach_layouts
 from rowtide.sources.store import Batch, ChangeStore
 
 WRITER = "capture"
@@ -74,6 +75,12 @@ def _capture(
     fresh = batch.withColumn("_fresh", F.lit(True))
     log = materialize(carried.withColumn("_fresh", F.lit(False)).unionByName(fresh), "capture")
     entries = log.drop("_fresh")
+    # Rows behind a schema change carry its columns: layouts follow from the statements of the log.
+    known = store.read("layouts").drop("version")
+    layouts, _ = pin_small(layout_history(log.filter("_fresh").drop("_fresh"), catalog, known))
+    store.write("layouts", attempt, layouts)
+    if "layouts" not in catalog.columns:
+        catalog = attach_layouts(catalog, known.unionByName(layouts))
 
     grouped = materialize(assemble.commit_groups(entries, catalog, blocks), "grouped")
     changes, _ = assemble.assemble_changes(grouped, catalog, on_pk_change)
@@ -145,8 +152,9 @@ def capture_stream(
 ) -> DataStreamWriter:
     """A stream writer that captures every micro-batch; start it with a trigger and a checkpoint.
 
-    A function as ``catalog`` is asked before each batch, so that layouts added after a schema change
-    (``catalog.with_layouts``) name the rows behind it.
+    Schema changes read from the log change the columns of the rows behind them (``ddl.layout_history``); the layouts
+    are kept in the store. A function as ``catalog`` is asked before each batch, and one that brings layouts
+    of its own (``catalog.with_layouts``) is taken at its word.
     """
 
     def capture(batch: DataFrame, batch_id: int) -> None:

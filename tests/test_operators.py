@@ -2,20 +2,21 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from model import MetaModel, SimpleModel, assemble as assemble_model
 from rowtide import schemas as S, session
-from rowtide.functions.ddl import ddl_target, ddl_type, quote, unquote
+from rowtide.functions.ddl import changed_columns, column_changes, ddl_target, ddl_type, quote, unquote
 from rowtide.functions.values import bare_pattern, base64_text, iso_instant, json_string, map_json
 from rowtide.functions.versions import business_key, file_seq, is_newer, key_text, normalize_op, row_version, view_action
 from rowtide.operators import assemble, control, ddl, envelope, fold, ops, rebuild, shape, snapshot
 from rowtide.operators.ordered import Blocks, arrival_blocks, carry_last, fit_blocks, with_blocks
 from rowtide.plans import feed
 from rowtide.session import clear_scratch, lookup_join, materialize, path_exists, pin_small, scratch_scope, shared_dir
-from rowtide.sources.catalog import TableSpec, catalog_from_session, load_catalog
+from rowtide.sources.catalog import TableSpec, attach_layouts, catalog_from_session, load_catalog
 from rowtide.sources.changelog import read_change_log
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
 from rowtide.sources.tables import read_table
@@ -94,6 +95,59 @@ def test_ddl(spark, sql, kind, table):
     assert (target.database_key, target.table_key) == table
 
 
+@pytest.mark.parametrize(
+    "sql, columns, keys, bare",
+    [
+        ("ALTER TABLE t DROP COLUMN b", "id,c", "id", "id"),
+        ("alter table shop.t drop B, add column (d decimal(10,2), `e f` enum('x,y','(')) ;", "id,c,d,e f", "id", "id,d"),
+        ("ALTER TABLE `t` ADD COLUMN d INT UNSIGNED NOT NULL DEFAULT (1 + (2)) FIRST", "d,id,b,c", "id", "id,d"),
+        ("ALTER TABLE t ADD d varchar(9) COMMENT 'first, after c' AFTER `ID`, DROP COLUMN c", "id,d,b", "id", "id"),
+        ("ALTER TABLE t RENAME COLUMN id TO key1, RENAME COLUMN b TO `c``x`", "key1,c`x,c", "key1", "key1"),
+        ("ALTER TABLE t CHANGE COLUMN id no bigint AFTER c, MODIFY b float", "b,c,no", "no", "no,b"),
+        ("ALTER TABLE t MODIFY COLUMN id varchar(3), MODIFY c text FIRST", "c,id,b", "id", ""),
+        ("ALTER TABLE t ADD KEY (b, c), DROP INDEX x, ADD UNIQUE KEY u (c), DROP PRIMARY KEY, RENAME TO z", "id,b,c", "id", "id"),
+        ("ALTER TABLE t ADD COLUMN IF NOT EXISTS b int, DROP COLUMN IF EXISTS nope, ALTER COLUMN c SET DEFAULT 3", "id,b,c", "id", "id"),
+        ("ALTER TABLE t /* DROP COLUMN b, */ ENGINE = x, COMMENT = 'drop column b'", "id,b,c", "id", "id"),
+        ("ALTER TABLE t ADD COLUMN d int, ADD COLUMN e int AFTER d, DROP COLUMN d", "id,b,c,e", "id", "id,e"),
+    ],
+)
+def test_column_changes(spark, sql, columns, keys, bare):
+    start = F.struct(*[F.array(*map(F.lit, x)).alias(n) for n, x in (("columns", ["id", "b", "c"]), ("primary_keys", ["id"]), ("bare", ["id"]))])
+    got = one(spark, changed_columns(start, column_changes(F.lit(sql))))
+    assert (",".join(got.columns), ",".join(got.primary_keys), ",".join(got.bare)) == (columns, keys, bare)
+
+
+def test_layouts_go_on_from_stored_ones(spark):
+    catalog = load_catalog(spark, [TableSpec("shop", "user", ("id", "a"), ("id",), ("id",)), TableSpec("shop", "order", ("id",), ("id",))])
+    query = lambda pos, sql, seq=0: ("c", "bin.000007", pos, seq, "QUERY", "shop", sql)
+    log = lambda *listed: spark.createDataFrame(
+        list(listed), "connector string, file string, pos bigint, seq bigint, type string, database_name string, sql string")
+    first = ddl.layout_history(log(query(30, "alter table user add b int"), query(10, "alter table user drop column a"),
+                                   query(20, "alter table other drop a"), query(40, "alter table user add key (id)")), catalog)
+    columns = ("table_name", "position", "columns", "bare")
+    assert rows(first, *columns) == [("user", 10, ["id"], ["id"]), ("user", 30, ["id", "b"], ["id", "b"])]
+    again = log(query(30, "alter table user add b int"), query(50, "alter table USER rename column b to c"), query(60, "alter table `order` add x text"))
+    second = ddl.layout_history(again, catalog, first)
+    assert rows(second, *columns) == [("order", 60, ["id", "x"], []), ("user", 50, ["id", "c"], ["id", "c"])]
+    known = attach_layouts(catalog, first.unionByName(second)).filter("table_name = 'user'").first()
+    assert [x.since.position for x in known.layouts] == [10, 30, 50]
+    from rowtide.functions.values import bare_pattern
+
+    assert re.findall(known.layouts[2].bare_pattern.replace("\\Q", "").replace("\\E", ""), '{"id":"1","c":"2"}') == re.findall(
+        bare_pattern(["id", "c"]), '{"id":"1","c":"2"}')
+    assert ddl.layout_history(log(query(1, "BEGIN")), catalog, first).count() == 0
+
+
+def test_guards_hold_whatever_is_selected(spark):
+    bad = spark.createDataFrame([(1, "UPDATE", True), (2, "UPDATE", False)], "v int, op string, pk_changed boolean")
+    with pytest.raises(Exception, match="primary key mutation"):
+        shape.check_pk_stable(bad, "raise")[0].select("v").collect()
+    assert rows(shape.check_pk_stable(bad.filter("NOT pk_changed"), "raise")[0].select("v"), "v") == [(2,)]
+    unknown = spark.createDataFrame([("shop", "nobody", 5)], "database_name string, table_name string, v int")
+    with pytest.raises(Exception, match="no metadata"):
+        shape.join_metadata(unknown, feed.catalog(spark)).select("v").collect()
+
+
 def test_quoting(spark):
     assert one(spark, quote(F.lit("a`b"))) == "`a``b`"
     assert one(spark, unquote(F.lit(" `a b` "))) == "a b"
@@ -196,7 +250,10 @@ def test_assembly_equals_model_for_any_block_size(spark, seed, blocks):
 
 def test_blocks_are_bounded(spark):
     log = spark.createDataFrame([("bin.000001",), ("bin.5000000",)], "file string")
-    assert fit_blocks(log) == Blocks(files=5) and fit_blocks(log, 10_000_000) == Blocks(files=1)
+    assert fit_blocks(log) == Blocks() and fit_blocks(log, 1) == Blocks(files=2)
+    # Files as long as a block keep the cut inside files.
+    long = log.withColumn("pos", F.lit(1 << 40))
+    assert fit_blocks(long, 1) == Blocks() and fit_blocks(log.withColumn("pos", F.lit(5)), 1) == Blocks(files=2)
 
 
 def test_carry_last_crosses_blocks(spark):
