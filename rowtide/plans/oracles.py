@@ -699,6 +699,12 @@ _SQL["captured_quarantine"] = _with(
        GROUP BY transaction_id, moved, CASE WHEN moved THEN event_id * 2 + row_pos END""", *_IMGS)
 _SQL["stream_arrival_state"] = _SQL["latest_state_simple"]
 _SQL["stream_transactions"] = _SQL["event_index"]
+_SQL["stream_end_to_end"] = _with(
+    """SELECT table_name, CAST(id AS VARCHAR) AS row_key, op = 'DELETE' AS deleted, CAST(commit_file_seq AS BIGINT) AS file_seq,
+              CAST(commit_position AS BIGINT) AS next_position, CAST(event_index AS BIGINT) AS event_index, transaction_id
+       FROM txrows
+       QUALIFY row_number() OVER (PARTITION BY table_name, id
+                                  ORDER BY commit_file_seq DESC, commit_position DESC, event_index DESC) = 1""", *_TXROWS)
 _SQL["stream_checkpoint"] = _SQL["connector_checkpoint"]
 _SQL["stream_routed"] = _with(
     """SELECT t.transaction_id, CASE WHEN b.transaction_id IS NOT NULL THEN 'BUFFERED' ELSE 'APPLIED' END AS route
@@ -709,6 +715,18 @@ _SQL["stream_quarantine"] = _with(
        SELECT CAST(m_arrival AS BIGINT), arg_min(problem, event_index) FROM problems WHERE problem IS NOT NULL
        GROUP BY m_arrival""", *_MSG, "decoded", "problems")
 
+_SQL["stream_dedupe_bounded"] = f"SELECT transaction_id, arrival FROM ({_SQL['dedupe_transactions']})"
+_SQL["operations_overview"] = f"""
+    SELECT 'checkpoint' AS part, connector AS item, file || ' ' || position AS detail FROM ({_SQL["connector_checkpoint"]})
+    UNION ALL
+    SELECT 'full_sync_tasks', table_name, status || ' ' || last_sent_pk || ' -' FROM ({_SQL["full_sync_progress"]})
+    UNION ALL
+    SELECT 'rebuild_summary', 'tasks', count(*) || ' 0 0 0 0' FROM ({_SQL["rebuild_tasks"]})
+    UNION ALL
+    SELECT 'schema_states', table_name, status || ' ' || ddl_type || ' ' || next_position FROM ({_SQL["schema_state"]})
+    UNION ALL
+    SELECT 'recent_events', 'events', 'true' FROM (SELECT event_id FROM events LIMIT 50)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

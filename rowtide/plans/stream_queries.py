@@ -13,7 +13,7 @@ from rowtide.session import scratch_path
 from rowtide.sources.changelog import stream_change_log
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
 from rowtide.sources.store import ChangeStore
-from rowtide.streaming.apply import run_sync
+from rowtide.streaming.apply import drop_repeats, run_sync
 from rowtide.streaming.bootstrap_job import run_bootstrap
 from rowtide.streaming.capture import capture_stream
 from rowtide.streaming.rebuild_job import run_rebuild
@@ -87,10 +87,24 @@ def stream_quarantine(spark, sf):
     return store.read("quarantine").select("arrival", "reason")
 
 
-def _captured(spark, sf) -> ChangeStore:
+@query
+def stream_dedupe_bounded(spark, sf):
+    """All transactions with every third one delivered again in a later batch: repeats inside the horizon dropped."""
+    root = scratch_path(spark, "dedupe")
+    for part in _slices(feed.repeated_messages(spark, sf), "arrival"):
+        write_envelopes(part, f"{root}/topic")
+        stream = read_envelopes(spark, f"{root}/topic", stream=True, max_files=1_000_000)
+        writer = drop_repeats(stream, "1 day").writeStream.format("parquet").option("path", f"{root}/once")
+        writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return feed.transactions_of(spark.read.parquet(f"{root}/once")).select("transaction_id", "arrival")
+
+
+def _captured(spark, sf, log=None, first=None, after_slice=None) -> ChangeStore:
     root = scratch_path(spark, "capture")
     store = ChangeStore(spark, f"{root}/store").create()
-    log = feed.raw_log(spark, sf).withColumn("_file", F.expr("bigint(substr(file, 11))"))
+    if first:
+        first(store)
+    log = (feed.raw_log(spark, sf) if log is None else log).withColumn("_file", F.expr("bigint(substr(file, 11))"))
     options = {"blocks": fit_blocks(feed_files(spark, sf)), "on_pk_change": "quarantine"}
     for part in _slices(log, "_file"):
         part.drop("_file").write.mode("append").parquet(f"{root}/log")
@@ -98,9 +112,46 @@ def _captured(spark, sf) -> ChangeStore:
         writer = capture_stream(stream, store, feed.catalog(spark), **options)
         run = writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
         run.awaitTermination()
+        if after_slice:
+            after_slice(store)
     return store
 
 
+def _apply_messages(store: ChangeStore) -> None:
+    stream = read_envelopes(store.spark, f"{store.root}/messages", stream=True, max_files=1_000_000)
+    run_sync(stream, store, f"{store.root}-applied", on_reject="quarantine", horizon="1 day")
+
+
+@query
+def stream_end_to_end(spark, sf):
+    """Capture and apply in turn on one store, the raw log without schema changes: the state of every key."""
+    log = feed.raw_log(spark, sf).filter("type <> 'QUERY' OR sql = 'BEGIN'")
+    view = _captured(spark, sf, log, after_slice=_apply_messages).view()
+    return view.select("table_name", "row_key", "deleted", "file_seq", "next_position", "event_index", "transaction_id")
+
+
+@query
+def operations_overview(spark, sf):
+    """All parts of the status page, from a store on which snapshot, capture and apply ran."""
+    tables = [SnapshotTable(CUSTOMER, feed.read(spark, sf, "customer")), SnapshotTable(ORDERS, feed.read(spark, sf, "orders"))]
+    store = _captured(spark, sf, first=lambda store: run_bootstrap(store, tables, feed.CUTOVER, 500))
+    _apply_messages(store)
+    parts = store.overview()
+    text = lambda *names: F.concat_ws(" ", *[F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in names])
+    shown = {
+        "checkpoint": (F.col("connector"), text("file", "position")),
+        "full_sync_tasks": (F.col("table_name"), text("status", "last_sent_pk", "last_error")),
+        "rebuild_summary": (F.lit("tasks"), text("pending", "running", "done", "failed", "obsolete")),
+        "schema_states": (F.col("table_name"), text("status", "ddl_type", "next_position")),
+        "recent_events": (F.lit("events"), F.col("event_type").isNotNull().cast("string")),
+    }
+    rows = None
+    for name, (item, detail) in shown.items():
+        part = parts[name].select(F.lit(name).alias("part"), item.alias("item"), detail.alias("detail"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query
 def stream_transactions(spark, sf):
     """The raw log captured as a stream; open transactions cross from slice to slice."""

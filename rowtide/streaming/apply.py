@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from rowtide.operators import ddl, envelope, fold
@@ -135,6 +135,27 @@ def _outcomes(routed: DataFrame, rejected: DataFrame, changes: DataFrame) -> Dat
     )
 
 
+# Fixed value: Spark's state store on RocksDB, which keeps state off the heap.
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drop_repeats(message_stream: DataFrame, horizon: str, arrived: Column | None = None) -> DataFrame:
+    """The stream without messages delivered again within ``horizon`` of their first arrival.
+
+    The state holds one entry a message of the last ``horizon`` only. ``arrived`` is the time a message arrived (the
+    broker's timestamp), the time of its batch by default; never the time inside the message, since rows behind a
+    watermark would be dropped. Messages are the same when key, part and text are; those without a key are all
+    kept. What comes back after the horizon meets the done set, so results do not depend on it.
+    """
+    message_stream.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
+    identity = F.struct(
+        F.coalesce("key", F.concat(F.lit("#"), F.col("partition"), F.lit(":"), F.col("arrival"))), "fragment", F.xxhash64("value")
+    )
+    timed = message_stream.withColumns({"_arrived": arrived if arrived is not None else F.current_timestamp(), "_message": identity})
+    return timed.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["_message"]).drop("_arrived", "_message")
+
+
 def apply_stream(message_stream: DataFrame, store: ChangeStore, **policy) -> DataStreamWriter:
     """A stream writer that applies every micro-batch; start it with a trigger and a checkpoint.
 
@@ -152,13 +173,18 @@ def run_sync(
     checkpoint: str,
     max_attempts: int = 4,
     backoff_seconds: float = 1.0,
+    horizon: str | None = None,
     **policy,
 ) -> int:
     """Apply everything available, retrying failed batches; returns the attempts used.
 
+    With ``horizon`` repeats inside it are dropped before a batch is parsed (``drop_repeats``).
+
     Unreadable messages stop the run at once. Anything else is tried ``max_attempts`` times in
     total, then the failure is raised with the failed batch still unread.
     """
+    if horizon:
+        message_stream = drop_repeats(message_stream, horizon)
     attempts = max(1, max_attempts)
     for attempt in range(1, attempts + 1):
         writer = apply_stream(message_stream, store, **policy).option("checkpointLocation", checkpoint)

@@ -14,7 +14,7 @@ from rowtide.sources.changelog import stream_change_log
 from rowtide.sources.catalog import TableSpec
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
 from rowtide.sources.store import ChangeStore, ConflictError
-from rowtide.streaming.apply import PoisonMessageError, RejectedTransactionError, apply_batch, run_sync
+from rowtide.streaming.apply import PoisonMessageError, RejectedTransactionError, apply_batch, drop_repeats, run_sync
 from rowtide.streaming.capture import capture_batch, capture_stream
 from rowtide.streaming.bootstrap_job import run_bootstrap
 from rowtide.streaming.rebuild_job import run_rebuild
@@ -463,6 +463,29 @@ def test_open_transaction_waits_for_its_commit(spark, tmp_path):
     assert rows(store.checkpoints(), "file", "position") == [("mysql-bin.000001", 240)]
 
 
+def test_repeats_inside_the_horizon_are_dropped(spark, tmp_path):
+    """Repeats in later batches go while the horizon lasts; after it the done set still knows them."""
+    source, minute = str(tmp_path / "topic"), "timestamp_seconds(1000000 + arrival * 60)"
+
+    def run(*listed):
+        write_envelopes(messages(spark, *listed).coalesce(1), source)
+        stream = read_envelopes(spark, source, stream=True)
+        kept = drop_repeats(stream, "10 minutes", F.expr(minute)).writeStream.format("parquet").option("path", str(tmp_path / "once"))
+        kept.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return [(r.arrival, r.key) for r in spark.read.parquet(str(tmp_path / "once")).orderBy("arrival").collect()]
+
+    again = lambda m, at: (m[0], m[1], at, *m[3:])
+    one, none = insert(0, 1), ("t", 0, 1, None, 0, "x")
+    other = (*insert(0, 2)[:3], "t0", *insert(0, 2)[4:])
+    assert run(one, none) == [(0, "t0"), (1, None)]
+    assert run(again(one, 5), again(none, 6), again(other, 7)) == [(0, "t0"), (1, None), (6, None), (7, "t0")]
+    run(insert(40, 3))
+    assert run(again(one, 45))[-1] == (45, "t0")
+    store = store_of(spark, tmp_path / "s")
+    assert run_sync(read_envelopes(spark, source, stream=True), store, str(tmp_path / "cp2"), horizon="1 hour", on_poison="quarantine") == 1
+    assert rows(store.done(), "transaction_id") == [("t0",), ("t40",)]
+
+
 def test_bootstrap_publishes_pages_and_one_checkpoint(spark, tmp_path):
     from rowtide.operators.snapshot import Cutover, SnapshotTable
 
