@@ -261,13 +261,15 @@ def matches_needed(counts: np.ndarray, first: int) -> int:
     return int(options[np.argmin(read + VERIFY_COST * read / options)])
 
 
-LIST_ROW = ["token", "mb", "pb", "probe", "key", "label", "n", "need", "prefix", "values"]
+LIST_ROW = ["token", "mb", "pb", "probe", "key", "label", "n", "need", "prefix"]
 
 
 def cross_links(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Links between groups out of sorted rows of list blocks (token, mb, pb), several blocks in an Arrow batch.
 
-    A block that ends with its batch may go on in the next one, so its rows wait for it.
+    Rows without their sets (``values``) are only looked through for candidates: what comes out then is the list
+    (token) and key of every row that has one. A block that ends with its batch may go on in the next one, so its
+    rows wait for it.
     """
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
@@ -290,15 +292,22 @@ def cross_links(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
 def _block_pairs(rows: pa.Table, cuts: np.ndarray, num: int, den: int) -> pa.RecordBatch:
     token, n, need = (rows.column(c).to_numpy() for c in ("token", "n", "need"))
     probe = np.array(rows.column("probe").to_pylist(), dtype=bool)
-    key, label, blobs, sets = (rows.column(c).to_pylist() for c in ("key", "label", "prefix", "values"))
-    a, b = [], []
+    key, label, blobs = (rows.column(c).to_pylist() for c in ("key", "label", "prefix"))
+    sets = rows.column("values").to_pylist() if "values" in rows.column_names else None
+    a, b, seen = [], [], set()
     for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows]):
         members = [i for i in range(low, high) if not probe[i]]
         probes = [i for i in range(low, high) if probe[i]]
         if members and probes and (len(members) > 1 or len(probes) > 1 or key[members[0]] != key[probes[0]]):
             for p, m in _list_links(token[low], members, probes, n, need, label, blobs, sets, num, den):
+                if sets is None:
+                    seen.update((p, m))
+                    continue
                 a.append(key[p])
                 b.append(key[m])
+    if sets is None:
+        found = sorted({(int(token[i]), key[i]) for i in seen})
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())], ["token", "key"])
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
@@ -340,6 +349,9 @@ def _list_links(token, members, probes, n, need, label, blobs, sets, num: int, d
         first = np.full(len(members), len(mine))
         np.minimum.at(first, which, np.repeat(np.arange(len(mine)), many))
         here = int(np.flatnonzero(mine == token)[0])
+        if sets is None:
+            yield from ((p, members[i]) for i in chosen if first[i] == here)
+            continue
         whole = np.frombuffer(sets[p], dtype=np.uint64)
         for i in chosen:
             one, other = group(label[p]), group(label[members[i]])
@@ -426,19 +438,26 @@ def jaccard_components(
         .select("s.token", "s.main", "members", "s.probes"),
         "mixed-lists",
     )
-    in_lists = labelled.drop("c").join(mixed, "token").join(live.select("key", "n", "need", "prefix", "values"), "key")
+    in_lists = labelled.drop("c").join(mixed, "token")
     blocks = lambda of: F.ceil(F.col(of) / F.lit(BLOCK)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), blocks(of) - 1))
     own = lambda of: F.pmod(F.hash("key"), blocks(of))
-    fields = ["token", "key", "label", "n", "need", "prefix", "values"]
-    members = in_lists.select(*fields, own("members").alias("mb"), every("probes").alias("pb"), F.lit(False).alias("probe"))
-    probes = in_lists.filter("label <> main").select(*fields, every("members").alias("mb"), own("probes").alias("pb"), F.lit(True).alias("probe"))
-    across = (
-        members.unionByName(probes)
-        .select(*LIST_ROW)
-        .repartition("token", "mb", "pb")
-        .sortWithinPartitions("token", "mb", "pb")
-        .mapInArrow(lambda batches: cross_links(batches, num, den), "a binary, b binary")
+
+    def in_blocks(rows: DataFrame, sets: list[str]) -> DataFrame:
+        """Rows of list blocks: a member meets every block of probes, a probe every block of members."""
+        known = rows.join(live.select("key", "n", "need", "prefix", *sets), "key")
+        fields = ["token", "key", "label", "n", "need", "prefix", *sets]
+        members = known.select(*fields, own("members").alias("mb"), every("probes").alias("pb"), F.lit(False).alias("probe"))
+        probes = known.filter("label <> main").select(*fields, every("members").alias("mb"), own("probes").alias("pb"), F.lit(True).alias("probe"))
+        return (
+            members.unionByName(probes).select(*LIST_ROW, *sets).repartition("token", "mb", "pb").sortWithinPartitions("token", "mb", "pb")
+        )
+
+    # Prefixes alone tell which rows have a candidate; only those bring their sets.
+    promising = in_blocks(in_lists, []).mapInArrow(lambda batches: cross_links(batches, num, den), "token bigint, key binary")
+    promising = materialize(promising.distinct(), "promising")
+    across = in_blocks(in_lists.join(promising, ["token", "key"], "left_semi"), ["values"]).mapInArrow(
+        lambda batches: cross_links(batches, num, den), "a binary, b binary"
     )
     parts = connected_components(star_links.union(across))
     named = parts.join(nodes.select(F.col("key").alias("node"), "min_id"), "node")
