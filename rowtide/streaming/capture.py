@@ -76,9 +76,12 @@ def _capture(
     log = materialize(carried.withColumn("_fresh", F.lit(False)).unionByName(fresh), "capture")
     entries = log.drop("_fresh")
     # Rows behind a schema change carry its columns: layouts follow from the statements of the log.
+    fresh_log = log.filter("_fresh").drop("_fresh")
     known = store.read("layouts").drop("version")
-    layouts, _ = pin_small(layout_history(log.filter("_fresh").drop("_fresh"), catalog, known))
-    store.write("layouts", attempt, layouts)
+    layouts = known.limit(0)
+    if fresh_log.filter("type = 'QUERY' AND lower(sql) LIKE '%alter%'").limit(1).count():
+        layouts, _ = pin_small(layout_history(fresh_log, catalog, known))
+        store.write("layouts", attempt, layouts)
     if "layouts" not in catalog.columns:
         catalog = attach_layouts(catalog, known.unionByName(layouts))
 
@@ -92,7 +95,7 @@ def _capture(
     else:
         store.write("quarantine", attempt, _set_aside(mutated, store.first_arrival(attempt)))
     # Schema changes take effect when read, commit or not, so only new entries are looked at.
-    ddl = schema_change_events(log.filter("_fresh").drop("_fresh"), catalog)
+    ddl = schema_change_events(fresh_log, catalog)
     encoded = encode_envelopes(
         assemble.assemble_transactions(changes, max_events), ddl, keep=("file_seq", "next_position")
     )

@@ -463,6 +463,46 @@ def test_open_transaction_waits_for_its_commit(spark, tmp_path):
     assert rows(store.checkpoints(), "file", "position") == [("mysql-bin.000001", 240)]
 
 
+def test_rows_are_named_by_the_columns_of_their_position(spark, tmp_path):
+    """A schema change names the rows behind it, in its own batch, in a transaction it interrupts and in later batches."""
+    schema = spark.createDataFrame([], feed.S.RAW).schema
+
+    def event(pos, kind, file=1, **kw):
+        base = {"connector": "c", "file": f"mysql-bin.{file:06}", "pos": pos, "seq": 0, "type": kind, "table_id": None,
+                "database_name": None, "table_name": None, "rows": None, "xid": None, "sql": None, "ts_ms": 1}
+        return {**base, **kw}
+
+    def write(pos, *values, file=1):
+        return event(pos, "WRITE", file, table_id=10, rows=[{"before": None, "after": list(values)}])
+
+    table_map = lambda pos, file=1: event(pos, "TABLE_MAP", file, table_id=10, database_name="shop", table_name="user")
+    query = lambda pos, sql, file=1: event(pos, "QUERY", file, database_name="shop", sql=sql)
+    batches = [
+        [table_map(10), write(20, "1", "7", "p", "k"), event(30, "XID", xid=1), query(40, "ALTER TABLE user ADD COLUMN age int AFTER id"),
+         table_map(50), write(60, "2", "33", "8", "p", "k"), event(70, "XID", xid=2), write(80, "3", "34", "9", "p", "k")],
+        [event(90, "XID", xid=3), query(100, "alter table shop.user drop column props, rename column kind to sort"), table_map(110),
+         write(120, "4", "35", "10", "s"), event(130, "XID", xid=4)],
+        [table_map(5, 2), write(10, "5", "36", "11", "s", file=2), event(20, "XID", 2, xid=5)],
+    ]
+    store = ChangeStore(spark, str(tmp_path / "s")).create()
+    for i, listed in enumerate(batches):
+        capture_batch(store, spark.createDataFrame(listed, schema), i, feed.catalog(spark))
+    after = {}
+    for m in store.read("messages").collect():
+        body = json.loads(m.value)
+        if body["messageType"] == "TRANSACTION":
+            after[body["transaction"]["xid"]] = body["transaction"]["events"][0]["after"]
+    assert after == {
+        1: {"id": 1, "cents": 7, "props": "p", "kind": "k"},
+        2: {"id": 2, "age": 33, "cents": 8, "props": "p", "kind": "k"},
+        3: {"id": 3, "age": 34, "cents": 9, "props": "p", "kind": "k"},
+        4: {"id": 4, "age": 35, "cents": 10, "sort": "s"},
+        5: {"id": 5, "age": 36, "cents": 11, "sort": "s"},
+    }
+    assert rows(store.read("layouts"), "position", "columns") == [
+        (100, ["id", "age", "cents", "sort"]), (40, ["id", "age", "cents", "props", "kind"])]
+
+
 def test_repeats_inside_the_horizon_are_dropped(spark, tmp_path):
     """Repeats in later batches go while the horizon lasts; after it the done set still knows them."""
     source, minute = str(tmp_path / "topic"), "timestamp_seconds(1000000 + arrival * 60)"
