@@ -78,7 +78,7 @@ def test_manifest(spark):
     assert {r[6] for r in got} == {True, False}
 
 
-@pytest.mark.parametrize("n, sources", [(1, 1), (2, 1), (16, 1), (17, 1), (17, 17), (40, 2)])
+@pytest.mark.parametrize("n, sources", [(1, 1), (17, 1), (17, 17)])
 def test_manifest_of_few_rows(spark, n, sources):
     rows = [(i * 3, f"s{i % sources}", "en", i, f"Text {i}") for i in range(n)]
     assert proofs_of(spark, rows, 2) == plain_proofs(rows)
