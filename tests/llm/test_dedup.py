@@ -132,6 +132,41 @@ def test_suffix_dedup_edge_cases(spark, no_docs):
     rows = spark.createDataFrame([(5, text), (5, text), (None, text), (9, "-" + text)], "doc_id bigint, text string")
     got = sorted(map(tuple, suffix_dedup.remove_repeats(rows).select("doc_id", "n_removed").collect()), key=str)
     assert got == sorted([(5, 0), (5, 0), (None, 0), (9, 100)], key=str)
+    row = suffix_dedup.remove_repeats(rows).filter("doc_id is null").first()
+    assert (row["n_bytes"], row["n_spans"], row["kept_sha256"], row["spans"]) == (100, 0, hashlib.sha256(text.encode()).hexdigest(), "")
+
+
+@pytest.mark.parametrize("bounds", [{}, {"bucket_bytes": 300, "shard_bytes": 300}])
+def test_suffix_dedup_of_one_id_with_two_texts(spark, bounds):
+    """Each row loses what is found in its own text, and rows of one id leave each other alone."""
+    pick = np.random.default_rng(3)
+    a, b, c = ("".join(map(chr, pick.integers(97, 123, 120))) for _ in range(3))
+    texts = [(1, a), (5, a + "xyz"), (5, b), (5, a[20:] + b), (5, a + "xyz"), (7, c + b), (7, c), (None, a), (8, None), (9, "")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = suffix_dedup.remove_repeats(rows, **bounds).select("doc_id", "n_bytes", "n_removed", "spans").collect()
+    want = [(1, 120, 0, ""), (5, 123, 120, "0:120"), (5, 120, 0, ""), (5, 220, 100, "0:100"), (5, 123, 120, "0:120"),
+            (7, 240, 120, "120:240"), (7, 120, 0, ""), (None, 120, 0, ""), (8, 0, 0, ""), (9, 0, 0, "")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_shard_sorts_on_disk_at_the_registered_bounds(monkeypatch):
+    """A repeated stretch of 400 KB among unique text goes through queues on disk; ids as by a dict of strings."""
+    pick = np.random.default_rng(5)
+    text = pick.integers(97, 123, 1_200_000, dtype=np.uint8)
+    text[700_013:1_100_013] = text[100_000:500_000]
+    ids = np.repeat(np.array([4, 9]), 600_000)
+    is_start = np.ones(len(text), dtype=bool)
+    is_start[600_000 - 49 : 600_000] = is_start[-49:] = False
+    files = []
+    close = SuffixQueue.close
+    monkeypatch.setattr(SuffixQueue, "close", lambda queue: (files.append(queue.end), close(queue)))
+    got = suffix_dedup.least_ids(text, is_start, ids, 50)
+    assert sum(files) > 0
+    data, first = text.tobytes(), {}
+    for k in np.flatnonzero(is_start).tolist():
+        first.setdefault(data[k : k + 50], 4 if k < 600_000 else 9)
+    want = [first[data[k : k + 50]] for k in np.flatnonzero(is_start).tolist()]
+    assert got[is_start].tolist() == want and want.count(4) == 600_000 - 49 + 400_000 - 49
 
 
 def brute_components(by_id, size, num, den):
