@@ -106,13 +106,16 @@ RUN = re.compile(
     r"|[+(]?[0-9]++(?:[ ()./\[\]-]{1,3}+[0-9]++)*+"
 )
 # Cheap test for a stretch worth matching RUN at.
-SPOT = re.compile(r"[0-9@]|[ \[({](?:at|AT)[ \])}]")
+SPOT = re.compile(r"[0-9@]|[ ]?[\[({](?:at|AT)[\])}]|[ ](?:at|AT)[ ]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
 LABELS = ("none", *KINDS)
 
 
 def runs(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches the field reads: at least four digits, or an at-sign plain or spelled."""
+    """Stretches the field reads, of any length: at least four digits, or an at-sign plain or spelled.
+
+    The part before an at-sign has at most 64 characters, as in addresses.
+    """
     end = 0
     spot = SPOT.search(text)
     while spot:
@@ -120,14 +123,13 @@ def runs(text: str) -> Iterator[tuple[int, int]]:
         start = spot.start()
         while start > end and start > spot.start() - 64 and not text[start - 1].isspace():
             start -= 1
-        found = RUN.search(text, start, min(len(text), spot.end() + 4096))
+        found = RUN.search(text, start)
         if not found:
-            following = spot.end()
-        else:
-            following = max(found.end(), spot.end())
-            run = found.group()
-            if sum("0" <= c <= "9" for c in run) >= 4 or not run[0].isdigit() and "+" != run[0] != "(":
-                yield found.span()
+            return  # nor is there one from any later spot
+        following = max(found.end(), spot.end())
+        run = found.group()
+        if sum("0" <= c <= "9" for c in run) >= 4 or not run[0].isdigit() and "+" != run[0] != "(":
+            yield found.span()
         end = following
         spot = SPOT.search(text, following)
 
@@ -136,21 +138,19 @@ def tokens(run: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(run)]
 
 
-def segments(run: str, cut: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Token ranges a span may cover: they begin and end with a word, a number or an opening sign."""
-    opens = [run[a].isalnum() or run[a] in "+(" for a, _ in cut]
-    closes = [run[b - 1].isalnum() for _, b in cut]
-    for i in range(len(cut)):
-        if opens[i]:
-            digits, worded = 0, False
-            for j in range(i + 1, min(len(cut), i + MAX_TOKENS) + 1):
-                a, b = cut[j - 1]
-                worded |= run[a].isalpha()
-                digits += (b - a) * run[a].isdigit()
-                if digits > MAX_DIGITS and not worded:
-                    break  # longer than any number of the four kinds
-                if closes[j - 1]:
-                    yield i, j
+def segments_from(run: str, cut: list[tuple[int, int]], i: int) -> Iterator[int]:
+    """Where a span from token ``i`` may end (token past it): with a word or a number, as it begins or with a sign."""
+    first = run[cut[i][0]]
+    if first.isalnum() or first in "+(":
+        digits, worded = 0, False
+        for j in range(i + 1, min(len(cut), i + MAX_TOKENS) + 1):
+            a, b = cut[j - 1]
+            worded |= run[a].isalpha()
+            digits += (b - a) * run[a].isdigit()
+            if digits > MAX_DIGITS and not worded:
+                break  # longer than any number of the four kinds
+            if run[b - 1].isalnum():
+                yield j
 
 
 def span_features(text: str, start: int, end: int) -> list[str]:
@@ -196,52 +196,54 @@ class SemiMarkovField:
         self.weights: dict[str, np.ndarray] = {}
         self.transitions = np.zeros((len(LABELS), len(LABELS)))
 
-    def lattice(self, text: str, start: int, end: int):
-        """Tokens of a run and its scored segments: (first, past, kind scores, features)."""
-        run = text[start:end]
-        cut = tokens(run)
-        none = np.zeros(len(KINDS))
-        out = []
-        for i, j in segments(run, cut):
+    def scored(self, text: str, start: int, run: str, cut: list[tuple[int, int]], i: int):
+        """The segments from token ``i`` of a run: (first, past, kind scores, features)."""
+        for j in segments_from(run, cut, i):
             features = span_features(text, start + cut[i][0], start + cut[j - 1][1])
-            score = none.copy()
+            score = np.zeros(len(KINDS))
             for f in features:
                 w = self.weights.get(f)
                 if w is not None:
                     score += w
-            out.append((i, j, score, features))
-        return cut, out
+            yield i, j, score, features
+
+    def lattice(self, text: str, start: int, end: int):
+        """Tokens of a run and all its scored segments."""
+        run = text[start:end]
+        cut = tokens(run)
+        return cut, [segment for i in range(len(cut)) for segment in self.scored(text, start, run, cut, i)]
 
     def decode(self, text: str, start: int, end: int) -> list[tuple[int, str, int]]:
-        """The best cut of a run into typed spans and plain tokens."""
-        cut, found = self.lattice(text, start, end)
-        n = len(cut)
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for i, j, score, _ in found:
-            ending[j].append((i, score))
-        best = np.full((n + 1, len(LABELS)), -np.inf)
+        """The best cut of a run into typed spans and plain tokens.
+
+        Only the scores of the last ``MAX_TOKENS`` boundaries are held; of the others two small numbers a label stay,
+        the length of the last piece and the label before it, so a run may be as long as its text.
+        """
+        run = text[start:end]
+        cut = tokens(run)
+        n, m, ring = len(cut), len(LABELS), MAX_TOKENS + 1
+        best = np.full((ring, m), -np.inf)
         best[0, 0] = 0.0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        into = np.empty((n + 1, len(LABELS)))
-        came = np.empty((n + 1, len(LABELS)), dtype=int)
-        for j in range(n + 1):
-            if j:
-                best[j, 0] = into[j - 1, 0]
-                back[j, 0] = (j - 1, int(came[j - 1, 0]))
-                for i, score in ending[j]:
-                    for k in range(len(KINDS)):
-                        value = into[i, k + 1] + score[k]
-                        if value > best[j, k + 1]:
-                            best[j, k + 1] = value
-                            back[j, k + 1] = (i, int(came[i, k + 1]))
-            all_ways = best[j][:, None] + self.transitions
-            into[j], came[j] = all_ways.max(0), all_ways.argmax(0)
-        spans, j, y = [], n, int(best[n].argmax())
+        length, before = np.zeros((n + 1, m), dtype=np.int8), np.zeros((n + 1, m), dtype=np.int8)
+        for i in range(n):
+            here = best[i % ring]
+            all_ways = here[:, None] + self.transitions
+            into, came = all_ways.max(0), all_ways.argmax(0)
+            here[:] = -np.inf  # the place of boundary i + ring from now on
+            following = best[(i + 1) % ring]
+            following[0] = into[0]
+            length[i + 1, 0], before[i + 1, 0] = 1, came[0]
+            for _, j, score, _ in self.scored(text, start, run, cut, i):
+                value = into[1:] + score
+                for k in np.flatnonzero(value > best[j % ring, 1:]) + 1:
+                    best[j % ring, k] = value[k - 1]
+                    length[j, k], before[j, k] = j - i, came[k]
+        spans, j, y = [], n, int(best[n % ring].argmax())
         while j > 0:
-            i, before = back[j, y]
+            i = j - int(length[j, y])
             if y:
                 spans.append((start + cut[i][0], LABELS[y], start + cut[j - 1][1]))
-            j, y = i, before
+            j, y = i, int(before[j, y])
         return spans[::-1]
 
     def gradient(self, text: str, start: int, end: int, gold: list[tuple[int, str, int]]):
@@ -331,12 +333,12 @@ def _card(pick: random.Random) -> str:
 def _positive(pick: random.Random) -> tuple[str, str]:
     """A value of one kind, as the base patterns know it or in a way people write to dodge them."""
     kind = pick.choice(KINDS)
-    name = "".join(pick.choice("abcdefghiklmnoprstuvw") for _ in range(pick.randint(3, 8)))
+    name, second = ("".join(pick.choice("abcdefghiklmnoprstuvw") for _ in range(pick.randint(2, 9))) for _ in range(2))
     host = "".join(pick.choice("abcdefghiklmnoprstuvw") for _ in range(pick.randint(3, 8)))
     top = pick.choice(["com", "org", "net", "de", "fr", "es", "io"])
     if kind == "email":
-        name += pick.choice(["", ".", "_", "-"]) * 1
-        name = name.rstrip("._-") + pick.choice(["", str(pick.randint(1, 99)), f".{pick.randint(1, 99)}"])
+        name += pick.choice(["", "", f"{pick.choice('._-')}{second}", f".{second[0]}.{second}"])
+        name += pick.choice(["", "", str(pick.randint(1, 99)), f".{pick.randint(1, 99)}"])
         mid = pick.choice(["", f"mail{pick.randint(1, 9)}"])
         at, dot = pick.choice([("@", "."), ("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("(at)", "."), ("[at]", ".")])
         return kind, name + at + dot.join(p for p in (mid, host, top) if p)
@@ -410,9 +412,14 @@ def fit_field(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOC
 def all_spans(text: str, field: SemiMarkovField) -> tuple[list, list]:
     """Base spans, and base spans with those the field adds where no base span lies."""
     base = base_spans(text)
-    extra = []
+    extra, low = [], 0
     for start, end in runs(text):
-        near = [s for s in base if s[0] < end and s[2] > start]
+        while low < len(base) and base[low][2] <= start:
+            low += 1
+        past = low
+        while past < len(base) and base[past][0] < end:
+            past += 1
+        near = base[low:past]
         for span in field.decode(text, start, end):
             if not any(s[0] < span[2] and s[2] > span[0] for s in near):
                 extra.append(span)
@@ -426,7 +433,7 @@ def find_personal_data(
 
     Returns (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added). The counts and the hash are
     of the base spans; ``spans`` holds all of them, ``kind:start:end`` in code points, end exclusive. Null and
-    empty texts have no spans. Rows are not moved: repeated rows are read one by one, and other columns are
+    empty texts have no spans. A run of numbers or signs is read whole however long it is. Rows are not moved: repeated rows are read one by one, and other columns are
     not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # a few thousand weights

@@ -76,18 +76,32 @@ def test_field_decodes_the_best_cut(field):
 def test_field_adds_what_the_patterns_miss_and_leaves_plain_numbers(field):
     found = lambda t: [t[a:b] for a, _, b in pii.all_spans(t, field)[1]]
     assert found("write to john.smith at mail dot example dot com please") == ["john.smith at mail dot example dot com"]
+    for name in ("anna.meier", "jo", "hans_p.klein42", "a.b.smith"):
+        for at, dot in ((" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "."), (" (at) ", " (dot) ")):
+            assert found(f"write to {name}{at}posthaus{dot}de today") == [f"{name}{at}posthaus{dot}de"]
     assert found("call (255) 555-8013 now") == ["(255) 555-8013"]
     for plain in ("on 2024-01-15 we met", "version 1.2.3 and 10.5", "pages 12-34", "@user hello", "he came at 5"):
         assert found(plain) == []
 
 
+def test_runs_of_any_length_are_read_whole(field):
+    """A number behind thousands of others, wherever a block of 4,096 characters would end."""
+    for many in (700, 815, 818, 819, 820, 2000):
+        text = "1234 " * many + "415-555-0134 end"
+        assert [r for r in pii.runs(text)] == [(0, len(text) - 4)]
+        assert pii.all_spans(text, field)[1][-1] == (5 * many, "phone", 5 * many + 12)
+    long = "x" * 5000 + "@" + "y" * 5000
+    assert pii.all_spans(long + " a@b.de " + "." * 9000, field)[1][-1][1] == "email"
+
+
 def test_personal_data_query(spark, docs, by_id, no_docs, field):
     rows = pii.find_personal_data(docs, field).collect()
     assert len(rows) == len(by_id)
     for r in rows:
         base = brute_spans(by_id[r["doc_id"]] or "")
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
-        assert r["n_card"] == sum(s[1] == "card" for s in base)
+        for kind in pii.KINDS:
+            assert r[f"n_{kind}"] == sum(s[1] == kind for s in base)
     assert pii.find_personal_data(no_docs, field).collect() == []
     one = spark.createDataFrame([(1, "é +1 (255) 555-8013 x@y.de"), (1, "é +1 (255) 555-8013 x@y.de")], "doc_id bigint, text string")
     assert [r["spans"] for r in pii.find_personal_data(one, field).collect()] == ["phone:2:19,email:20:26"] * 2
