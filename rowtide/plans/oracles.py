@@ -546,16 +546,16 @@ _SQL: dict[str, str] = {
             SELECT {_VIEW} FROM {_latest('ch', _BY_VERSION)}
             WHERE table_name <> 'user' OR (deleted AND row_key NOT IN (SELECT row_key FROM staged))""", *_CH, "staged"),
     "keyset_page_single": """
-        SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 321 ORDER BY o_orderkey LIMIT 500""",
+        SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate) FROM orders WHERE o_orderkey > 321 ORDER BY o_orderkey LIMIT 500""",
     "keyset_page_composite": """
         SELECT conv_id, turn, role, text FROM conversations
         WHERE conv_id > 3 OR (conv_id = 3 AND turn > 1) ORDER BY conv_id, turn LIMIT 50""",
     "paginate_orders": """
-        SELECT o_orderkey, o_custkey, rk AS row_rank, rk // 500 AS page_index, rk % 500 AS row_index,
+        SELECT * EXCLUDE (rk, n) REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate), rk AS row_rank, rk // 500 AS page_index, rk % 500 AS row_index,
                (rk // 500 + 1) * 500 <= n AS has_more, rk % 500 = 499 OR rk = n - 1 AS last_in_page
         FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rk, count(*) OVER () AS n FROM orders)""",
     "paginate_composite": """
-        SELECT conv_id, turn, rk // 50 AS page_index, rk % 50 AS row_index, (rk // 50 + 1) * 50 <= n AS has_more
+        SELECT conv_id, turn, role, text, rk // 50 AS page_index, rk % 50 AS row_index, (rk // 50 + 1) * 50 <= n AS has_more
         FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rk, count(*) OVER () AS n FROM conversations)""",
     "snapshot_pages": """
         SELECT rk // 50 AS page_index, count(*) AS n_rows,
@@ -671,7 +671,7 @@ _SQL["table_catalogue"] = """
           UNION ALL SELECT 'orders', count(*), count(DISTINCT o_orderkey) FROM orders
           UNION ALL SELECT 'conversations', count(*), count(DISTINCT (conv_id, turn)) FROM conversations) USING (t)
     GROUP BY t, pk, o, n_rows, n_keys"""
-_SQL["table_snapshot"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+_SQL["table_snapshot"] = "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate) FROM orders"
 _SQL["change_log_round_trip"] = _with(
     f"""SELECT {_FILE} AS file, CAST(pos AS BIGINT) AS pos, type, CAST(table_id AS BIGINT) AS table_id FROM log
         UNION ALL SELECT {_FILE}, CAST(pos AS BIGINT), 'QUERY', NULL FROM queries_""", "ev", "evr", "log", "queries_")

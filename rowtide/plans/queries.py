@@ -621,10 +621,20 @@ def table_catalogue(spark, sf):
     )
 
 
+def _whole_orders(spark, sf):
+    """Every column of the orders table, as its catalogue entry lists them."""
+    spec = TableSpec.of(feed.DATABASE, "orders", feed.read(spark, sf, "orders"), ["o_orderkey"])
+    return read_table(spark, spec, f"{sf}/orders.parquet")
+
+
+def _with_date_text(orders):
+    return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @query
 def table_snapshot(spark, sf):
-    """Exactly the catalogue columns of one table."""
-    return read_table(spark, ORDERS, f"{sf}/orders.parquet")
+    """All columns of one table, the date as text."""
+    return _with_date_text(_whole_orders(spark, sf))
 
 
 @query
@@ -648,8 +658,7 @@ def message_round_trip(spark, sf):
 
 @query
 def keyset_page_single(spark, sf):
-    orders = feed.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return snapshot.keyset_page(orders, ["o_orderkey"], {"o_orderkey": 321}, 500)
+    return _with_date_text(snapshot.keyset_page(_whole_orders(spark, sf), ["o_orderkey"], {"o_orderkey": 321}, 500))
 
 
 @query
@@ -660,16 +669,13 @@ def keyset_page_composite(spark, sf):
 
 @query
 def paginate_orders(spark, sf):
-    orders = feed.read(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    paged = snapshot.paginate(orders, ["o_orderkey"], 500)
-    return paged.select("o_orderkey", "o_custkey", "row_rank", "page_index", "row_index", "has_more", "last_in_page")
+    return _with_date_text(snapshot.paginate(_whole_orders(spark, sf), ["o_orderkey"], 500))
 
 
 @query
 def paginate_composite(spark, sf):
-    turns = feed.read(spark, sf, "conversations").select("conv_id", "turn", "role")
-    paged = snapshot.paginate(turns, ["conv_id", "turn"], 50)
-    return paged.select("conv_id", "turn", "page_index", "row_index", "has_more")
+    paged = snapshot.paginate(feed.read(spark, sf, "conversations"), ["conv_id", "turn"], 50)
+    return paged.select("conv_id", "turn", "role", "text", "page_index", "row_index", "has_more")
 
 
 @query
