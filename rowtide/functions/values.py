@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -107,7 +107,20 @@ def map_json(image: Column, bare: Column) -> Column:
     return F.regexp_replace(F.to_json(image, {"ignoreNullFields": "false"}), bare, F.lit("$1:$2"))
 
 
-def row_json(columns: list[str], keys_only: list[str] | None = None) -> Column:
-    """A row as one JSON object with its nulls kept, fields in the given order."""
-    names = keys_only if keys_only is not None else columns
-    return F.to_json(F.struct(*[F.col(c) for c in names]), {"ignoreNullFields": "false"})
+def exported(name: str, dtype: T.DataType) -> Column:
+    """One column in the form snapshot images carry it.
+
+    As ``normalized``, but a wall-clock time keeps its seconds and only the fraction digits it needs.
+    """
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.replace(F.col(name).cast("string"), F.lit(" "), F.lit("T"))
+    return normalized(name, dtype)
+
+
+def row_json(df: DataFrame, columns: list[str]) -> Column:
+    """Columns of a table as one JSON object with its nulls kept, fields in the given order.
+
+    The text does not depend on the session's time zone or JSON options.
+    """
+    fields = [exported(c, df.schema[c].dataType).alias(c) for c in columns]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

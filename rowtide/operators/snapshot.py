@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowtide.functions.values import java_trim, row_json
+from rowtide.functions.values import exported, java_trim, row_json
 from rowtide.functions.versions import file_seq
 from rowtide.operators.assemble import assemble_transactions
 from rowtide.session import materialize
@@ -95,7 +95,7 @@ def pages(paged: DataFrame, pk: list[str]) -> DataFrame:
     return paged.filter("last_in_page").select(
         "page_index",
         (F.col("row_index") + 1).alias("n_rows"),
-        row_json(paged.columns, pk).alias("last_pk"),
+        row_json(paged, pk).alias("last_pk"),
         "has_more",
     )
 
@@ -108,7 +108,7 @@ def snapshot_id(spec: TableSpec, cutover: Cutover) -> Column:
 def snapshot_rows(paged: DataFrame, spec: TableSpec, cutover: Cutover, now_ms: Column | None = None) -> DataFrame:
     """Pages as row changes: SNAPSHOT_UPSERT at the cutover version, index inside the page."""
     now = now_ms if now_ms is not None else F.unix_millis(F.current_timestamp())
-    pk_values = F.array(*[F.col(c).cast("string") for c in spec.primary_key])
+    pk_values = F.array(*[exported(c, paged.schema[c].dataType).cast("string") for c in spec.primary_key])
     return paged.select(
         F.lit(cutover.connector).alias("connector"),
         F.lit(cutover.file).alias("file"),
@@ -123,8 +123,8 @@ def snapshot_rows(paged: DataFrame, spec: TableSpec, cutover: Cutover, now_ms: C
         F.lit("SNAPSHOT_UPSERT").alias("op"),
         F.map_from_arrays(F.array(*[F.lit(c) for c in spec.primary_key]), pk_values).alias("primary_key"),
         F.lit(None).cast("string").alias("before"),
-        row_json(list(spec.columns)).alias("after"),
-        row_json(list(spec.columns), list(spec.primary_key)).alias("primary_key_json"),
+        row_json(paged, list(spec.columns)).alias("after"),
+        row_json(paged, list(spec.primary_key)).alias("primary_key_json"),
         F.array_join(
             F.transform(pk_values, lambda v: F.coalesce(v, F.lit("null"))), ":"
         ).alias("row_key"),

@@ -328,8 +328,8 @@ def done_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rebuild_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A task table: one task per error event, a table per user, statuses in turn."""
-    e = events(spark, sf_dir).filter(F.col("event_type") == "error")
+    """A task table: one task per event, a table per user, statuses in turn."""
+    e = events(spark, sf_dir)
     status = F.element_at(F.array(*[F.lit(s) for s in S.REBUILD_STATUSES]), (F.col("event_id") % 5 + 1).cast("int"))
     table = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     file = file_name()

@@ -2,6 +2,32 @@
 
 from __future__ import annotations
 
+def _json(tokens: dict[str, str]) -> str:
+    """SQL of one JSON object: each column with the SQL of its token."""
+    parts = [f"""'"{name}":' || coalesce({token}, 'null')""" for name, token in tokens.items()]
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def _number(column: str) -> str:
+    return f"CAST({column} AS VARCHAR)"
+
+
+def _text(column: str) -> str:
+    return f"CAST(to_json({column}) AS VARCHAR)"
+
+
+# Whole rows as snapshot images carry them.
+_CUSTOMER = _json({
+    "c_custkey": _number("c_custkey"), "c_name": _text("c_name"), "c_nationkey": _number("c_nationkey"),
+    "c_acctbal": _number("c_acctbal"), "c_mktsegment": _text("c_mktsegment"),
+})
+_ORDERS = _json({
+    "o_orderkey": _number("o_orderkey"), "o_custkey": _number("o_custkey"), "o_orderstatus": _text("o_orderstatus"),
+    "o_totalprice": _number("o_totalprice"),
+    "o_orderdate": """'"' || replace(CAST(o_orderdate AS VARCHAR), ' ', 'T') || '"'""",
+    "o_orderpriority": _text("o_orderpriority"),
+})
+
 # Common table expressions; each may use the ones before it.
 _CTES = {
     "ev": """
@@ -192,7 +218,7 @@ _CTES = {
                                  ELSE 'OBSOLETE' END AS status,
                event_id % 3 AS retry_count, CASE WHEN event_id % 5 = 3 THEN 'earlier failure' END AS last_error,
                ts AS created_at, ts + to_seconds(event_id % 600) AS updated_at
-        FROM ev WHERE event_type = 'error'""",
+        FROM ev""",
     "tkc": """
         SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY file_seq DESC, next_position DESC) = 1 AS current
         FROM tk""",
@@ -213,10 +239,9 @@ _CTES = {
                     WHEN event_id % 5 = 1 THEN 'SUCCESS' WHEN event_id % 5 = 4 THEN 'SAVED' ELSE 'FAILED' END AS result,
                event_id % 50 AS n_rows
         FROM ev""",
-    "staged": """
+    "staged": f"""
         SELECT 'shop' AS database_name, 'user' AS table_name, CAST(c_custkey AS VARCHAR) AS row_key, false AS deleted,
-               '{"c_custkey":' || c_custkey || ',"c_name":' || CAST(to_json(c_name) AS VARCHAR) || ',"c_nationkey":'
-                 || c_nationkey || ',"c_mktsegment":' || CAST(to_json(c_mktsegment) AS VARCHAR) || '}' AS payload,
+               {_CUSTOMER} AS payload,
                'mysql-bin.000003' AS file, 3 AS file_seq, 700 AS next_position, rk % 50 AS event_index,
                'rebuild:shop.user:mysql-bin.000003:700:' || (rk // 50) AS transaction_id
         FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rk FROM customer)""",
@@ -562,25 +587,21 @@ _SQL: dict[str, str] = {
                '{"conv_id":' || arg_max(conv_id, rk) || ',"turn":' || arg_max(turn, rk) || '}' AS last_pk,
                count(*) = 50 AS has_more
         FROM (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rk FROM conversations) GROUP BY 1""",
-    "snapshot_transactions": """
+    "snapshot_transactions": f"""
         SELECT 'snapshot:shop-sync:shop.customer:mysql-bin.000002:25000:' || (rk // 500) AS transaction_id,
                rk // 500 AS xid, CAST(25000 AS BIGINT) AS next_position, count(*) AS n_events,
-               string_agg((rk % 500) || '|SNAPSHOT_UPSERT|{"c_custkey":' || c_custkey || '}|{"c_custkey":' || c_custkey
-                 || ',"c_name":' || CAST(to_json(c_name) AS VARCHAR) || ',"c_nationkey":' || c_nationkey || '}',
-                 chr(10) ORDER BY rk) AS events_text
+               string_agg((rk % 500) || '|SNAPSHOT_UPSERT|{{"c_custkey":' || c_custkey || '}}|' || {_CUSTOMER}, chr(10) ORDER BY rk) AS events_text
         FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rk FROM customer) GROUP BY rk // 500""",
-    "bootstrap_rows": """
+    "bootstrap_rows": f"""
         SELECT CAST(0 AS BIGINT) AS table_order,
                'snapshot:shop-sync:shop.customer:mysql-bin.000002:25000:' || (rk // 500) AS transaction_id,
                rk % 500 AS event_index, 'SNAPSHOT_UPSERT' AS op, 'customer' AS table_name, CAST(c_custkey AS VARCHAR) AS row_key,
-               '{"c_custkey":' || c_custkey || ',"c_name":' || CAST(to_json(c_name) AS VARCHAR) || ',"c_nationkey":'
-                 || c_nationkey || '}' AS after
+               {_CUSTOMER} AS after
         FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rk FROM customer)
         UNION ALL
         SELECT 1, 'snapshot:shop-sync:shop.orders:mysql-bin.000002:25000:' || (rk // 500), rk % 500, 'SNAPSHOT_UPSERT',
                'orders', CAST(o_orderkey AS VARCHAR),
-               '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":'
-                 || CAST(to_json(o_orderstatus) AS VARCHAR) || '}'
+               {_ORDERS}
         FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rk FROM orders)""",
     "full_sync_progress": """
         SELECT 'shop-sync' AS connector, 'shop' AS database_name, 'customer' AS table_name, 'COMPLETED' AS status,
@@ -599,8 +620,7 @@ _SQL: dict[str, str] = {
                      arrival, list_pos FROM ch
               UNION ALL
               SELECT 'shop', 'user', CAST(c_custkey AS VARCHAR), 'SNAPSHOT_UPSERT',
-                     '{"c_custkey":' || c_custkey || ',"c_name":' || CAST(to_json(c_name) AS VARCHAR) || ',"c_nationkey":'
-                       || c_nationkey || ',"c_mktsegment":' || CAST(to_json(c_mktsegment) AS VARCHAR) || '}',
+                     ''' + _CUSTOMER + ''',
                      'mysql-bin.000002', 2, 25000, rk % 500,
                      'snapshot:shop-sync:shop.user:mysql-bin.000002:25000:' || (rk // 500), -1, rk % 500
               FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS rk FROM customer))''', _BY_VERSION)}""", *_CH),

@@ -571,15 +571,21 @@ def replay_order(spark, sf):
     return ranked.select("transaction_id", "file", "next_position", "row_rank")
 
 
-CUSTOMER_USER = TableSpec(
-    feed.DATABASE, "user", ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), ("c_custkey",),
-    ("c_custkey", "c_nationkey"),
-)
+def customer_spec(spark, sf, table="customer"):
+    """Every column of the customer table, under the name of a configured table."""
+    return TableSpec.of(feed.DATABASE, table, feed.read(spark, sf, "customer"), ["c_custkey"])
+
+
+def orders_spec(spark, sf):
+    """Every column of the orders table."""
+    return TableSpec.of(feed.DATABASE, "orders", feed.read(spark, sf, "orders"), ["o_orderkey"])
+
+
 REBUILD = {"task_id": "shop.user:mysql-bin.000003:700", "file": "mysql-bin.000003", "next_position": 700}
 
 
 def _staged(spark, sf):
-    return rebuild.staged_rows(feed.read(spark, sf, "customer"), CUSTOMER_USER, REBUILD, page_size=50)
+    return rebuild.staged_rows(feed.read(spark, sf, "customer"), customer_spec(spark, sf, "user"), REBUILD, page_size=50)
 
 
 @query
@@ -591,13 +597,13 @@ def rebuilt_table(spark, sf):
 def published_view(spark, sf):
     """One table of the view replaced by its rebuilt rows."""
     view = fold.fold_latest(feed.changes(spark, sf))
-    return rebuild.replace_table(view, _staged(spark, sf), CUSTOMER_USER)
+    return rebuild.replace_table(view, _staged(spark, sf), customer_spec(spark, sf, "user"))
 
 
 @query
 def published_view_with_tombstones(spark, sf):
     view = fold.fold_latest(feed.changes(spark, sf))
-    return rebuild.replace_table(view, _staged(spark, sf), CUSTOMER_USER, keep_tombstones=True)
+    return rebuild.replace_table(view, _staged(spark, sf), customer_spec(spark, sf, "user"), keep_tombstones=True)
 
 
 # --- sources ---------------------------------------------------------------------------------------
@@ -623,8 +629,7 @@ def table_catalogue(spark, sf):
 
 def _whole_orders(spark, sf):
     """Every column of the orders table, as its catalogue entry lists them."""
-    spec = TableSpec.of(feed.DATABASE, "orders", feed.read(spark, sf, "orders"), ["o_orderkey"])
-    return read_table(spark, spec, f"{sf}/orders.parquet")
+    return read_table(spark, orders_spec(spark, sf), f"{sf}/orders.parquet")
 
 
 def _with_date_text(orders):
@@ -684,17 +689,10 @@ def snapshot_pages(spark, sf):
     return snapshot.pages(snapshot.paginate(turns, ["conv_id", "turn"], 50), ["conv_id", "turn"])
 
 
-CUSTOMER = TableSpec(feed.DATABASE, "customer", ("c_custkey", "c_name", "c_nationkey"), ("c_custkey",),
-                     ("c_custkey", "c_nationkey"))
-ORDERS = TableSpec(feed.DATABASE, "orders", ("o_orderkey", "o_custkey", "o_orderstatus"), ("o_orderkey",),
-                   ("o_orderkey", "o_custkey"))
-
-
 @query
 def snapshot_transactions(spark, sf):
-    customers = feed.read(spark, sf, "customer").select(*CUSTOMER.columns)
-    paged = snapshot.paginate(customers, ["c_custkey"], 500)
-    txns = snapshot.snapshot_transactions(paged, CUSTOMER, feed.CUTOVER, 500)
+    paged = snapshot.paginate(feed.read(spark, sf, "customer"), ["c_custkey"], 500)
+    txns = snapshot.snapshot_transactions(paged, customer_spec(spark, sf), feed.CUTOVER, 500)
     rows = F.transform("events", lambda e: F.concat_ws("|", e["event_index"], e["op"], e["primary_key_json"], e["after"]))
     return txns.select(
         "transaction_id", "xid", "next_position", F.size("events").cast("bigint").alias("n_events"),
@@ -702,12 +700,22 @@ def snapshot_transactions(spark, sf):
     )
 
 
-def _bootstrap(spark, sf):
-    tables = [
-        snapshot.SnapshotTable(CUSTOMER, feed.read(spark, sf, "customer")),
-        snapshot.SnapshotTable(ORDERS, feed.read(spark, sf, "orders")),
+def snapshot_tables(spark, sf):
+    """Two whole tables in their configured order."""
+    return [
+        snapshot.SnapshotTable(customer_spec(spark, sf), feed.read(spark, sf, "customer")),
+        snapshot.SnapshotTable(orders_spec(spark, sf), feed.read(spark, sf, "orders")),
     ]
-    return snapshot.bootstrap(tables, feed.CUTOVER, 500)
+
+
+def _bootstrap(spark, sf):
+    return snapshot.bootstrap(snapshot_tables(spark, sf), feed.CUTOVER, 500)
+
+
+def _progress(spark, sf):
+    _, page_rows = _bootstrap(spark, sf)
+    catalog = load_catalog(spark, [customer_spec(spark, sf), orders_spec(spark, sf)])
+    return snapshot.full_sync_progress(catalog, page_rows, feed.CUTOVER)
 
 
 @query
@@ -721,9 +729,7 @@ def bootstrap_rows(spark, sf):
 
 @query
 def full_sync_progress(spark, sf):
-    _, page_rows = _bootstrap(spark, sf)
-    progress = snapshot.full_sync_progress(load_catalog(spark, [CUSTOMER, ORDERS]), page_rows, feed.CUTOVER)
-    return progress.select(
+    return _progress(spark, sf).select(
         "connector", "database_name", "table_name", "status", "cutover_file", "cutover_position", "last_sent_pk",
         "n_pages", "n_rows",
     )
@@ -731,17 +737,14 @@ def full_sync_progress(spark, sf):
 
 @query
 def bootstrap_checkpoint(spark, sf):
-    _, page_rows = _bootstrap(spark, sf)
-    progress = snapshot.full_sync_progress(load_catalog(spark, [CUSTOMER, ORDERS]), page_rows, feed.CUTOVER)
-    return snapshot.bootstrap_checkpoint(progress)
+    return snapshot.bootstrap_checkpoint(_progress(spark, sf))
 
 
 @query
 def snapshot_plus_incremental(spark, sf):
     """Customers as the snapshot of the user table, later changes of the feed on top."""
-    customers = feed.read(spark, sf, "customer").select(*CUSTOMER_USER.columns)
-    paged = snapshot.paginate(customers, ["c_custkey"], 500)
-    rows = snapshot.snapshot_rows(paged, CUSTOMER_USER, feed.CUTOVER).withColumns(
+    paged = snapshot.paginate(feed.read(spark, sf, "customer"), ["c_custkey"], 500)
+    rows = snapshot.snapshot_rows(paged, customer_spec(spark, sf, "user"), feed.CUTOVER).withColumns(
         {"arrival": F.lit(-1).cast("bigint"), "list_pos": F.col("event_index")}
     )
     return fold.bootstrap_view(rows, feed.changes(spark, sf))

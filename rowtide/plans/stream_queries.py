@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtide.operators.envelope import decode_envelopes, encode_schema_changes, explode_rows, split_messages
 from rowtide.operators.ordered import fit_blocks
-from rowtide.operators.snapshot import SnapshotTable
 from rowtide.plans import feed
-from rowtide.plans.queries import CUSTOMER, CUSTOMER_USER, ORDERS, REBUILD, feed_files, query
+from rowtide.plans.queries import REBUILD, customer_spec, feed_files, query, snapshot_tables
 from rowtide.session import scratch_path
 from rowtide.sources.changelog import stream_change_log
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
@@ -133,7 +132,7 @@ def stream_end_to_end(spark, sf):
 @query
 def operations_overview(spark, sf):
     """All parts of the status page, from a store on which snapshot, capture and apply ran."""
-    tables = [SnapshotTable(CUSTOMER, feed.read(spark, sf, "customer")), SnapshotTable(ORDERS, feed.read(spark, sf, "orders"))]
+    tables = snapshot_tables(spark, sf)
     store = _captured(spark, sf, first=lambda store: run_bootstrap(store, tables, feed.CUTOVER, 500))
     _apply_messages(store)
     parts = store.overview()
@@ -194,7 +193,7 @@ def rebuild_run(spark, sf):
     ddl = feed.message_columns(encode_schema_changes(change, keep=("arrival",)))
     later = after.withColumn("arrival", F.col("arrival") + 2_000_000_000)
     store = _synced(spark, [feed.as_messages(before), ddl.unionByName(later)])
-    run_rebuild(store, REBUILD["task_id"], CUSTOMER_USER, feed.read(spark, sf, "customer"), page_size=50)
+    run_rebuild(store, REBUILD["task_id"], customer_spec(spark, sf, "user"), feed.read(spark, sf, "customer"), page_size=50)
     return store.view()
 
 
@@ -203,10 +202,6 @@ def bootstrap_run(spark, sf):
     """Snapshot job for two tables, its messages applied: the state both leave behind."""
     root = scratch_path(spark, "bootstrap")
     store = ChangeStore(spark, f"{root}/store").create()
-    tables = [
-        SnapshotTable(CUSTOMER, feed.read(spark, sf, "customer")),
-        SnapshotTable(ORDERS, feed.read(spark, sf, "orders")),
-    ]
-    run_bootstrap(store, tables, feed.CUTOVER, 500)
+    run_bootstrap(store, snapshot_tables(spark, sf), feed.CUTOVER, 500)
     run_sync(read_envelopes(spark, f"{store.root}/messages", stream=True, max_files=1_000_000), store, f"{root}/cp")
     return store.view().select("table_name", "row_key", "payload", "next_position", "event_index", "transaction_id")

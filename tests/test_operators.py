@@ -552,3 +552,26 @@ def test_recent_events_and_counters(spark):
     assert [r.seq for r in ops.recent_events(log, 2).collect()] == [2, 1]
     counted = ops.pipeline_metrics(log).first()
     assert (counted.events_published, counted.snapshot_rows_sent, counted.events_consumed, counted.events_duplicate) == (1, 3, 1, 1)
+
+
+def test_snapshot_images_of_every_type(spark):
+    sql = """SELECT 1L AS id, timestamp_ntz'2020-01-02 03:04:00' AS wall, timestamp_ntz'2020-01-02 03:04:05.5' AS fine,
+                    timestamp'2020-01-02 03:04:05Z' AS instant, date'2020-01-02' AS day, 1.5D AS x, X'FF' AS raw,
+                    CAST(NULL AS timestamp_ntz) AS gone, true AS flag"""
+    want = {
+        "id": 1, "wall": "2020-01-02T03:04:00", "fine": "2020-01-02T03:04:05.5", "instant": "2020-01-02T03:04:05Z",
+        "day": "2020-01-02", "x": 1.5, "raw": "/w==", "gone": None, "flag": True,
+    }
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for session_zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", session_zone)
+        try:
+            rows = spark.sql(sql)
+            spec = TableSpec.of("shop", "t", rows, ["id", "wall"])
+            paged = snapshot.paginate(rows, ["id", "wall"], 10)
+            image = snapshot.snapshot_rows(paged, spec, snapshot.Cutover("c", "bin.000001", 4)).first()
+            last = snapshot.pages(paged, ["wall"]).first().last_pk
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        assert list(json.loads(image.after).items()) == list(want.items())
+        assert image.row_key == "1:2020-01-02T03:04:00" and json.loads(last) == {"wall": want["wall"]}
