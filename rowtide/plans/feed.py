@@ -280,29 +280,35 @@ def transactions_of(message_rows: DataFrame) -> DataFrame:
     return split_messages(good)[1]
 
 
-# Routing needs more tables than two: one per residue of the user number.
-ROUTED_TABLES = 40
+# Room between the arrivals of two transactions for one schema change per event of the later one.
+ROUTED_STEP = 8
+# One schema change in about this many is destructive, by the cents of its event.
+DESTRUCTIVE_EVERY = 97
 
 
 def routed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed spread over many tables."""
-    table = F.concat(F.lit("t"), (F.col("row_key").cast("bigint") % ROUTED_TABLES).cast("string"))
-    return changes(spark, sf_dir).withColumn("table_name", table)
+    """The feed spread over many tables: one per user."""
+    return changes(spark, sf_dir).withColumn("table_name", F.concat(F.lit("t"), "row_key"))
+
+
+def routed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spread feed as messages, with room for the schema changes."""
+    return as_messages(routed_changes(spark, sf_dir)).withColumn("arrival", F.expr(f"arrival DIV 2 * {ROUTED_STEP}"))
 
 
 def routed_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schema changes of those tables, one per 997 events, every second one destructive."""
-    e = events(spark, sf_dir).filter(F.col("event_id") % 997 == 0)
-    kind = F.when(F.expr("event_id DIV 997") % 2 == 0, "DROP_COLUMN").otherwise("ADD_COLUMN")
+    """Schema changes of those tables: one for every signup, just before the transaction of its event."""
+    e = events(spark, sf_dir).filter(F.col("event_type") == "signup")
+    destructive = F.col("cents") % DESTRUCTIVE_EVERY == 0
     file = file_name()
-    position = (F.col("xid") % TXNS_PER_FILE) * 100 + 1
+    position = (F.col("xid") % TXNS_PER_FILE) * 100 + 1 + F.col("event_index")
     return e.select(
-        (F.col("xid") * 2 - 1).alias("arrival"),
+        (F.col("xid") * ROUTED_STEP - 4 + F.col("event_index")).alias("arrival"),
         F.concat_ws(":", F.lit("ddl"), file, position).alias("event_id"),
         F.lit(CONNECTOR).alias("connector"),
         F.lit(DATABASE).alias("database_name"),
-        F.concat(F.lit("t"), (F.col("user_id") % ROUTED_TABLES).cast("string")).alias("table_name"),
-        kind.alias("ddl_type"),
+        F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("table_name"),
+        F.when(destructive, "DROP_COLUMN").otherwise("ADD_COLUMN").alias("ddl_type"),
         F.lit("ALTER TABLE").alias("raw_sql"),
         file.alias("file"),
         "file_seq",

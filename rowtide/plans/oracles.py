@@ -162,12 +162,12 @@ _CTES = {
                        WHEN trim(f_database) = '' THEN 'identity' END AS problem
         FROM decoded""",
     # routing
-    "rt": "SELECT * REPLACE ('t' || (CAST(row_key AS BIGINT) % 40) AS table_name) FROM ch",
+    "rt": "SELECT * REPLACE ('t' || row_key AS table_name) FROM ch",
     "rddl": """
-        SELECT xid * 2 - 1 AS arrival, 't' || (user_id % 40) AS table_name, file_seq, (xid % 500) * 100 + 1 AS next_position,
-               printf('mysql-bin.%06d', file_seq) AS file,
-               CASE WHEN (event_id // 997) % 2 = 0 THEN 'DROP_COLUMN' ELSE 'ADD_COLUMN' END AS ddl_type, ts_ms
-        FROM ev WHERE event_id % 997 = 0""",
+        SELECT xid * 8 - 4 + event_index AS arrival, 't' || user_id AS table_name, file_seq,
+               (xid % 500) * 100 + 1 + event_index AS next_position, printf('mysql-bin.%06d', file_seq) AS file,
+               CASE WHEN cents % 97 = 0 THEN 'DROP_COLUMN' ELSE 'ADD_COLUMN' END AS ddl_type, ts_ms
+        FROM ev WHERE event_type = 'signup'""",
     "rstate": """
         SELECT table_name,
                arg_max(file, (file_seq, next_position)) FILTER (ddl_type = 'DROP_COLUMN') AS d_file,
@@ -190,7 +190,7 @@ _CTES = {
         SELECT 'shop.' || table_name AS table_key, arrival, NULL AS transaction_id, file, file_seq, next_position
         FROM rddl WHERE ddl_type = 'DROP_COLUMN'
         UNION ALL
-        SELECT DISTINCT 'shop.' || table_name, xid * 2, transaction_id, NULL, NULL, NULL FROM rt""",
+        SELECT DISTINCT 'shop.' || table_name, xid * 8, transaction_id, NULL, NULL, NULL FROM rt""",
     "ostate": """
         SELECT *, last_value(CASE WHEN transaction_id IS NULL THEN {'s': file_seq, 'p': next_position, 'f': file} END IGNORE NULLS)
                  OVER (PARTITION BY table_key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st

@@ -433,7 +433,7 @@ def rebuild_tasks(spark, sf):
 
 
 def _routed_transactions(spark, sf):
-    return feed.transactions_of(feed.as_messages(feed.routed_changes(spark, sf)))
+    return feed.transactions_of(feed.routed_messages(spark, sf))
 
 
 def _routed_states(spark, sf):

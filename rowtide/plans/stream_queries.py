@@ -71,7 +71,7 @@ def stream_arrival_state(spark, sf):
 def stream_routed(spark, sf):
     """Transactions and schema changes through the stream: what became of each transaction."""
     ddl = encode_schema_changes(feed.routed_ddl(spark, sf), keep=("arrival",))
-    everything = feed.as_messages(feed.routed_changes(spark, sf)).unionByName(feed.message_columns(ddl))
+    everything = feed.routed_messages(spark, sf).unionByName(feed.message_columns(ddl))
     store = _synced(spark, _slices(everything, "arrival"))
     outcomes = store.outcomes().filter(F.col("event_type") == "DML_TX")
     route = F.when(F.col("result") == "SUCCESS", "APPLIED").otherwise(F.col("result"))
