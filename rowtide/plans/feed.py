@@ -317,6 +317,21 @@ def routed_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PARTITIONS = [0, 1, 2, 3]
+
+
+def partitioned_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routed feed in a topic of four partitions, by key.
+
+    Each partition is in log order and counts offsets of its own, the later partitions more slowly through the log:
+    offsets repeat between partitions, and slices of offsets find them at different places.
+    """
+    ddl = encode_schema_changes(routed_ddl(spark, sf_dir), keep=("arrival",))
+    rows = routed_messages(spark, sf_dir).unionByName(message_columns(ddl))
+    partition = F.pmod(F.xxhash64("key"), F.lit(len(PARTITIONS))).cast("int")
+    return rows.withColumn("partition", partition).withColumn("arrival", F.col("arrival") * (F.col("partition") + 1))
+
+
 def routed_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished rebuilds: the tables whose number is a multiple of three."""
     return (

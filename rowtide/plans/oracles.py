@@ -729,6 +729,7 @@ _SQL["stream_checkpoint"] = _SQL["connector_checkpoint"]
 _SQL["stream_routed"] = _with(
     """SELECT t.transaction_id, CASE WHEN b.transaction_id IS NOT NULL THEN 'BUFFERED' ELSE 'APPLIED' END AS route
        FROM (SELECT DISTINCT transaction_id FROM rt) t LEFT JOIN oblock b USING (transaction_id)""", *_ORDERED)
+_SQL["partitioned_feed"] = _SQL["stream_routed"]
 _SQL["stream_quarantine"] = _with(
     """SELECT DISTINCT CAST(m_arrival AS BIGINT) AS arrival, poison AS reason FROM msg WHERE poison IS NOT NULL
        UNION ALL

@@ -12,7 +12,7 @@ from rowtide.session import scratch_path
 from rowtide.sources.changelog import stream_change_log
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
 from rowtide.sources.store import ChangeStore
-from rowtide.streaming.apply import drop_repeats, run_sync
+from rowtide.streaming.apply import drop_repeats, release_waiting, run_sync
 from rowtide.streaming.bootstrap_job import run_bootstrap
 from rowtide.streaming.capture import capture_stream
 from rowtide.streaming.rebuild_job import run_rebuild
@@ -72,12 +72,23 @@ def stream_routed(spark, sf):
     """Transactions and schema changes through the stream: what became of each transaction."""
     ddl = encode_schema_changes(feed.routed_ddl(spark, sf), keep=("arrival",))
     everything = feed.routed_messages(spark, sf).unionByName(feed.message_columns(ddl))
-    store = _synced(spark, _slices(everything, "arrival"))
+    return _routes(_synced(spark, _slices(everything, "arrival")))
+
+
+def _routes(store: ChangeStore) -> DataFrame:
     outcomes = store.outcomes().filter(F.col("event_type") == "DML_TX")
     route = F.when(F.col("result") == "SUCCESS", "APPLIED").otherwise(F.col("result"))
     return outcomes.select(F.col("reference").alias("transaction_id"), route.alias("route"))
 
 
+@query
+def partitioned_feed(spark, sf):
+    """The same from a topic of four partitions with offsets of their own that advance unevenly: as from one partition."""
+    store = _synced(spark, _slices(feed.partitioned_messages(spark, sf), "arrival"), partitions=feed.PARTITIONS)
+    release_waiting(store, "end", feed.PARTITIONS)
+    return _routes(store)
+
+
 @query
 def stream_quarantine(spark, sf):
     """Unreadable messages and rejected transactions set aside by the stream."""

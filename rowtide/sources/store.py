@@ -34,6 +34,7 @@ TABLES = {
     "tasks": S.REBUILD_TASK,
     "outcomes": S.OUTCOME,
     "held": "arrival bigint, key string, fragment int, value string",
+    "frontiers": "partition int, place bigint",
     "quarantine": "arrival bigint, key string, value string, reason string",
     "messages": S.MESSAGES,
     "tail": S.RAW,

@@ -8,13 +8,15 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from rowtide.operators import ddl, envelope, fold
+from rowtide import schemas as S
+from rowtide.operators import ddl, envelope, fold, partitions as parts
 from rowtide.session import materialize, scratch_scope
 from rowtide.sources.store import Batch, ChangeStore, ConflictError
 
 WRITER = "apply"
 # A batch is begun again this often when a rebuild was published while it ran.
 CONFLICT_ATTEMPTS = 5
+HELD = ["arrival", "key", "fragment", "value"]
 
 
 class PoisonMessageError(ValueError):
@@ -32,9 +34,16 @@ def apply_batch(
     on_poison: str = "fail",
     on_reject: str = "fail",
     scope: str = "DATABASE_TABLE",
+    partitions: list[int] | None = None,
+    release: bool = False,
 ) -> None:
     """Apply one batch of messages; a batch applied before changes nothing.
 
+    ``partitions`` lists the partitions of a topic that has several, each in log order. Messages are then applied in
+    the order of the log: what lies beyond the place that all of them have reached waits in the store, so that
+    batches lead to the state one partition would have led to, however the partitions advance. ``release`` applies
+    what waits without looking at the partitions (``release_waiting``).
+
     ``fail`` stops at an unreadable message or a rejected transaction, nothing of the batch being
     committed; ``quarantine`` stores those messages with the reason and goes on. Parts of a transaction
     wait in the store until the last one has come; then it is judged and applied as a whole.
@@ -48,7 +57,7 @@ def apply_batch(
             return
         try:
             with scratch_scope(store.spark):
-                view = _apply(store, batch, messages, on_poison, on_reject, scope)
+                view = _apply(store, batch, messages, on_poison, on_reject, scope, partitions, release)
                 store.commit(batch, view)
             return
         except ConflictError:
@@ -58,15 +67,27 @@ def apply_batch(
 
 
 def _apply(
-    store: ChangeStore, batch: Batch, messages: DataFrame, on_poison: str, on_reject: str, scope: str
-) -> DataFrame:
+    store: ChangeStore, batch: Batch, messages: DataFrame, on_poison: str, on_reject: str, scope: str,
+    partitions: list[int] | None, release: bool,
+) -> DataFrame:
     """Write what a batch leads to, all but the view, whose folded changes are returned."""
     before = batch.base
-    columns = ["arrival", "key", "fragment", "value"]
+    columns = HELD
     waiting = store.read("held", only=store.latest(WRITER))
+    if partitions:
+        waiting = waiting.withColumn("partition", F.lit(None).cast("int"))
+        columns = [*columns, "partition"]
     arrived = messages.select(*columns).unionByName(waiting.select(*columns))
     # Parsing is the costly part; the parsed batch is written once and read by column below.
-    good, poison = envelope.split_poison(materialize(envelope.parse_messages(arrived, scope), "parsed"))
+    parsed = envelope.parse_messages(arrived, scope)
+    parsed = materialize(parts.with_place(parsed) if partitions else parsed, "parsed")
+    held = None
+    if partitions:
+        # One row a partition of the topic.
+        frontier = materialize(parts.frontiers(parsed, store.read("frontiers", only=store.latest(WRITER))), "frontier")
+        store.write("frontiers", batch, frontier)
+        parsed, held = parts.split_ahead(parsed, None if release else parts.reached(frontier, partitions))
+    good, poison = envelope.split_poison(parsed)
     if on_poison == "fail":
         first = poison.select("arrival", "reason").limit(1).collect()
         if first:
@@ -77,8 +98,11 @@ def _apply(
     if transactions.filter("fragments > 1").limit(1).count():
         transactions, incomplete = envelope.split_incomplete(transactions)
         # A late copy of one part of an applied transaction waits for nothing.
-        held, _ = fold.drop_done(fold.dedupe_transactions(incomplete), done)
-        store.write("held", batch, held.withColumn("key", F.col("transaction_id")).select(*columns))
+        open_parts, _ = fold.drop_done(fold.dedupe_transactions(incomplete), done)
+        open_parts = open_parts.withColumn("key", F.col("transaction_id")).select(*HELD)
+        held = held.select(*HELD).unionByName(open_parts) if partitions else open_parts
+    if held is not None:
+        store.write("held", batch, held)
     valid, rejected = envelope.validate_transactions(transactions)
     if on_reject == "fail":
         first = rejected.select("transaction_id", "reason").limit(1).collect()
@@ -90,6 +114,8 @@ def _apply(
         )
         store.write("quarantine", batch, bad)
 
+    if partitions:
+        valid, changes = parts.in_log_order(valid), parts.in_log_order(changes)
     first_seen = fold.dedupe_transactions(valid)
     states = store.schema_states(before)
     has_ddl = changes.limit(1).count() > 0
@@ -107,6 +133,9 @@ def _apply(
         store.write("tasks", batch, new)
     applied = routed.filter(F.col("route") == "APPLIED")
     rows = envelope.explode_rows(applied)
+    if partitions:
+        # All parts of a transaction share one place; the index of a row runs through them.
+        rows = rows.withColumn("list_pos", F.col("event_index"))
     store.write("done", batch, applied.select("transaction_id", "file_seq").distinct())
     store.write("outcomes", batch, _outcomes(routed, rejected, changes))
     folded = fold.fold_latest(rows) if store.mode == "meta" else fold.fold_arrival(rows)
@@ -156,6 +185,15 @@ def drop_repeats(message_stream: DataFrame, horizon: str, arrived: Column | None
     return timed.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["_message"]).drop("_arrived", "_message")
 
 
+def release_waiting(store: ChangeStore, name: str, partitions: list[int], **policy) -> None:
+    """Apply the messages that wait for other partitions: a partition is idle for good, or the feed has ended.
+
+    ``name`` is the name of this batch. A message that still comes from before them is applied late, as a repeat is.
+    """
+    nothing = store.spark.createDataFrame([], S.MESSAGES)
+    apply_batch(store, nothing, f"release-{name}", partitions=partitions, release=True, **policy)
+
+
 def apply_stream(message_stream: DataFrame, store: ChangeStore, **policy) -> DataStreamWriter:
     """A stream writer that applies every micro-batch; start it with a trigger and a checkpoint.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, functions as F
 
 from rowtide.operators import envelope, fold, rebuild
+from rowtide.operators.partitions import place_of
 from rowtide.session import materialize, scratch_scope
 from rowtide.sources.catalog import TableSpec
 from rowtide.sources.store import TABLES, Batch, ChangeStore, ConflictError
@@ -101,7 +102,7 @@ def _published(store: ChangeStore, batch: Batch, task: Row, staged: DataFrame, t
         "fragment",
         F.col("transaction_id").alias("key"),
         F.col("payload").alias("value"),
-        (F.shiftleft("file_seq", 36) + F.col("next_position")).alias("arrival"),
+        place_of(F.col("file_seq"), F.col("next_position")).alias("arrival"),
     )
     good, poison = envelope.decode_envelopes(messages)
     unreadable = poison.select("key", "reason").limit(1).collect()

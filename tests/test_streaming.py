@@ -7,14 +7,14 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from rowtide.operators import assemble, envelope, fold
+from rowtide.operators import assemble, envelope, fold, partitions
 from rowtide.operators.ordered import Blocks
 from rowtide.plans import feed
 from rowtide.sources.changelog import stream_change_log
 from rowtide.sources.catalog import TableSpec
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
 from rowtide.sources.store import ChangeStore, ConflictError
-from rowtide.streaming.apply import PoisonMessageError, RejectedTransactionError, apply_batch, drop_repeats, run_sync
+from rowtide.streaming.apply import PoisonMessageError, RejectedTransactionError, apply_batch, drop_repeats, release_waiting, run_sync
 from rowtide.streaming.capture import capture_batch, capture_stream
 from rowtide.streaming.bootstrap_job import run_bootstrap
 from rowtide.streaming.rebuild_job import run_rebuild
@@ -553,3 +553,56 @@ def test_bootstrap_publishes_pages_and_one_checkpoint(spark, tmp_path):
     page = store.overview()
     assert {name: df.count() > 0 for name, df in page.items()} == {
         "checkpoint": True, "full_sync_tasks": True, "rebuild_summary": True, "schema_states": False, "recent_events": True}
+
+
+def at(row, partition, offset):
+    return (row[0], partition, offset, *row[3:])
+
+
+@pytest.mark.parametrize("mode", ["meta", "simple"])
+def test_partitions_lead_to_the_state_of_one(spark, tmp_path, mode):
+    log = [insert(i, i % 3, f"v{i}", pos=100 * (i + 1), table="user" if i % 2 else "order") for i in range(8)]
+    log[3] = ddl_message(3, "user", "DROP_COLUMN", 400)
+    log += fragments(8, "t8", 900, [[("order", "UPDATE", 0, {"id": 0, "v": "a"})], [("order", "UPDATE", 0, {"id": 0, "v": "b"})]])
+    log[9] = (*log[9][:5], log[9][5].replace('"eventIndex": 0', '"eventIndex": 1'))
+    one = store_of(spark, tmp_path / "one", mode)
+    apply_batch(one, messages(spark, *log), 0)
+
+    # Three partitions that all count from 0; the schema change lies in the last, which comes late.
+    home = [0, 1, 0, 2, 1, 0, 1, 0, 1, 1]
+    spread = [at(row, p, home[:i].count(p)) for i, (row, p) in enumerate(zip(log, home))]
+    first = [row for row, p in zip(spread, home) if p < 2]
+    store = store_of(spark, tmp_path / "many", mode)
+    policy = {"partitions": [0, 1, 2], "on_poison": "quarantine"}
+    apply_batch(store, messages(spark, *first, ("t", 0, 99, "k", 0, "{broken")), 0, **policy)
+    assert store.view().isEmpty() and store.done().isEmpty()
+    assert rows(store.read("quarantine"), "arrival", "reason") == [(99, "MALFORMED")]
+    # Repeats of what waits, then the late partition: it has come to position 400.
+    apply_batch(store, messages(spark, *first[:3]), 1, **policy)
+    apply_batch(store, messages(spark, *[row for row, p in zip(spread, home) if p == 2]), 2, **policy)
+    assert rows(store.done(), "transaction_id") == [("t0",), ("t1",), ("t2",)]
+    release_waiting(store, "end", [0, 1, 2])
+    release_waiting(store, "end", [0, 1, 2])
+    assert view_rows(store.view()) == view_rows(one.view())
+    assert rows(store.done(), "transaction_id") == rows(one.done(), "transaction_id")
+    assert rows(store.pending(), "transaction_id", "blocked_position") == rows(one.pending(), "transaction_id", "blocked_position")
+    assert store.read("held", only=store.latest("apply")).isEmpty()
+
+
+def test_places_frontiers_and_messages_without_a_place(spark):
+    listed = messages(
+        spark, at(insert(0, 1, pos=500), 0, 7), at(insert(1, 1, pos=200), 1, 7), ("t", 1, 8, "k", 0, None),
+        at(ddl_message(2, "user", "ADD_COLUMN", 300), 0, 8), at(message(3, "t3", 900, []), 1, 9),
+        at(message(4, "t4", 100, [], file="mysql-bin.000011"), 2, 1),
+    )
+    placed = partitions.with_place(envelope.parse_messages(listed)).cache()
+    stored = spark.createDataFrame([(1, 0), (0, 1 << 60)], "partition int, place bigint")
+    seen = partitions.frontiers(placed, stored)
+    base = 10 << partitions.POSITION_BITS
+    assert rows(seen, "partition", "place") == [(0, 1 << 60), (1, base + 900), (2, (11 << partitions.POSITION_BITS) + 100)]
+    assert partitions.reached(seen, [0, 1, 2]) == base + 900 and partitions.reached(seen, [0, 3]) == -1
+    ready, ahead = partitions.split_ahead(placed, base + 300)
+    assert rows(ready, "key") == [("ddl:mysql-bin.000010:300",), ("k",), ("t1",)]
+    assert rows(ahead, "key") == [("t0",), ("t3",), ("t4",)]
+    nothing = placed.filter("false")
+    assert partitions.frontiers(nothing, stored.filter("false")).isEmpty() and partitions.split_ahead(nothing, None)[0].isEmpty()
