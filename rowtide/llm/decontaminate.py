@@ -8,6 +8,7 @@ are long enough for a window; the rest of the text is still read and counted.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -134,15 +135,18 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> list[Phrases]:
-    """The benchmark as blocks of at most about ``block_bytes`` of text, fetched one by one."""
+def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
+    """The benchmark as blocks of at most about ``block_bytes`` of text, one at a time.
+
+    A block is fetched when it is asked for, so the driver holds the windows of one block only.
+    """
     items = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    if n == 1:
-        return [phrases_of([tuple(r) for r in items.collect()])]
     block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [phrases_of([tuple(r) for r in items.filter(block == k).collect()]) for k in range(n)]
+    for k in range(n):
+        part = items if n == 1 else items.filter(block == k)
+        yield phrases_of([tuple(r) for r in part.collect()])
 
 
 def find_contamination(

@@ -472,7 +472,10 @@ def jaccard_components(
 
 
 def _live(docs, nodes, rows, size, num, den, bucket_bytes, shard_bytes) -> DataFrame:
-    """Live nodes with their prefixes and sets; the text is shuffled once, by bucket of its id."""
+    """Live nodes with their prefixes and sets; the text is shuffled once, by bucket of its id.
+
+    Nodes are represented by the text of their smallest id, so rows without an id have nothing to bring and stay out.
+    """
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     n_buckets, n_shards = max(1, math.ceil(total / bucket_bytes)), max(1, math.ceil(total / shard_bytes))
     # Shingles are counted by so many leading bits that chance equals are about one in a thousand.
@@ -482,7 +485,7 @@ def _live(docs, nodes, rows, size, num, den, bucket_bytes, shard_bytes) -> DataF
 
     arrow_kind = to_arrow_type(id_kind)
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(n_buckets).cast("bigint"))
-    spread = docs.withColumn("_bucket", bucket("_id")).groupBy("_bucket")
+    spread = docs.filter("_id IS NOT NULL").withColumn("_bucket", bucket("_id")).groupBy("_bucket")
     node_rows = nodes.filter("min_id IS NOT NULL").select(
         bucket("min_id").alias("_bucket"), F.col("min_id").alias("_id"), F.col("key").alias("_key"),
         F.lit(None).cast("bigint").alias("_shard"), F.lit(None).cast("binary").alias("counts"),

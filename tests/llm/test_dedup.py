@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from rowtide.llm import components, exact, jaccard, suffix_dedup
+from rowtide.llm import components, decontaminate, exact, jaccard, suffix_dedup
 from rowtide.llm.induced_sort import SuffixQueue, sort_suffixes
 
 
@@ -243,3 +243,23 @@ def test_components(spark):
                 todo.append(x)
         assert found[node] == min(seen)
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_jaccard_rows_without_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:-1], "other"]
+    alone = [f"x{i}" for i in range(40)]
+    listed = [(5, base), (3, near), (9, alone)] + [(None, base)] * 40 + [(None, near)] * 40 + [(None, [f"y{i}" for i in range(30)])] * 40
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in listed], "doc_id bigint, text string")
+    found = jaccard.jaccard_components(docs, bucket_bytes=1000).collect()
+    with_id = {(r.doc_id, r.component_id) for r in found if r.doc_id is not None}
+    assert with_id == {(5, 3), (3, 3), (9, 9)}
+    assert sorted(str(r.component_id) for r in found if r.doc_id is None) == ["3"] * 80 + ["None"] * 40
+
+
+def test_benchmark_blocks_are_built_one_at_a_time(spark):
+    items = spark.createDataFrame([(str(i), f"item {i} has words") for i in range(40)], "item_id string, text string")
+    blocks = decontaminate.benchmark_blocks(items, "item_id", "text", block_bytes=100)
+    assert iter(blocks) is blocks
+    names = [name for block in blocks for name in block.names]
+    assert sorted(names) == sorted(str(i) for i in range(40))
