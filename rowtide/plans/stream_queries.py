@@ -18,6 +18,8 @@ from rowtide.streaming.capture import capture_stream
 from rowtide.streaming.rebuild_job import run_rebuild
 
 SLICES = 2
+# The routed feed has a table for every user.
+TABLE_GROUPS = 4
 
 
 def _slices(rows: DataFrame, column: str) -> list[DataFrame]:
@@ -29,9 +31,11 @@ def _slices(rows: DataFrame, column: str) -> list[DataFrame]:
     ]
 
 
-def _synced(spark: SparkSession, slices: list[DataFrame], mode: str = "meta", **policy) -> ChangeStore:
+def _synced(
+    spark: SparkSession, slices: list[DataFrame], mode: str = "meta", table_groups: int | None = None, **policy
+) -> ChangeStore:
     root = scratch_path(spark, "sync")
-    store = ChangeStore(spark, f"{root}/store", mode).create()
+    store = ChangeStore(spark, f"{root}/store", mode, table_groups=table_groups).create()
     for part in slices:
         write_envelopes(part, f"{root}/topic")
         stream = read_envelopes(spark, f"{root}/topic", stream=True, max_files=1_000_000)
@@ -84,7 +88,8 @@ def _routes(store: ChangeStore) -> DataFrame:
 @query
 def partitioned_feed(spark, sf):
     """The same from a topic of four partitions with offsets of their own that advance unevenly: as from one partition."""
-    store = _synced(spark, _slices(feed.partitioned_messages(spark, sf), "arrival"), partitions=feed.PARTITIONS)
+    slices = _slices(feed.partitioned_messages(spark, sf), "arrival")
+    store = _synced(spark, slices, table_groups=TABLE_GROUPS, partitions=feed.PARTITIONS)
     release_waiting(store, "end", feed.PARTITIONS)
     return _routes(store)
 

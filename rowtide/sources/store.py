@@ -4,7 +4,8 @@ A batch writes its rows into folders of its own attempt and is committed by one
 next number. Until then nobody reads its folders, afterwards everybody does; there is no state between. A batch of
 the state (``apply``, ``rebuild``) is refused when another one was committed since it began, and is done again.
 
-The view is Parquet partitioned by database, table and bucket of the row key. A batch merges its changes into the
+The view is Parquet partitioned by database, table and bucket of the row key, in a store of very many tables by group
+of tables and bucket. A batch merges its changes into the
 buckets they touch, keeps the result with its attempt, commits, and then overwrites just those partitions (Spark's
 dynamic partition overwrite). Should the driver be lost on the way, the kept result is read in their place until the
 next batch has repeated the overwrite.
@@ -43,7 +44,7 @@ TABLES = {
     "full_sync": S.FULL_SYNC_TASK,
 }
 _PARTS = [*_TABLE, "bucket"]
-_VIEW = f"{S.VIEW}, bucket int"
+_GROUPED_PARTS = ["table_group", "bucket"]
 # Writers whose batches build on each other; a batch of one is refused when a batch of its group came between.
 _GROUPS = {"apply": "state", "rebuild": "state", "capture": "log", "snapshot": "log"}
 
@@ -70,13 +71,18 @@ class ChangeStore:
     """A folder of tables. ``mode`` is ``meta`` (version guard) or ``simple`` (arrival order).
 
     ``buckets`` divides each table of the view. A batch rewrites the buckets its keys fall into, so take enough of
-    them that one bucket is some 100 MB; the number is fixed when the store is created.
+    them that one bucket is some 100 MB; the number is fixed when the store is created. ``table_groups`` lets tables
+    share that many groups of buckets, so that the partitions of the view are counted by configuration and not by
+    tables; by default every table has buckets of its own, which is for some hundred tables. Also fixed at creation.
     """
 
-    def __init__(self, spark: SparkSession, root: str, mode: str = "meta", buckets: int = 16):
+    def __init__(
+        self, spark: SparkSession, root: str, mode: str = "meta", buckets: int = 16, table_groups: int | None = None
+    ):
         if mode not in ("meta", "simple"):
             raise ValueError(f"unknown apply mode: {mode}")
-        self.spark, self.root, self.mode, self.buckets = spark, root.rstrip("/"), mode, buckets
+        self.spark, self.root, self.mode = spark, root.rstrip("/"), mode
+        self.buckets, self.table_groups = buckets, table_groups
         self._seen: dict[int, dict] = {}
 
     def create(self) -> ChangeStore:
@@ -92,7 +98,7 @@ class ChangeStore:
             if int(name) not in self._seen:
                 self._seen[int(name)] = json.loads(read_file(self.spark, f"{self.root}/commits/{name}"))
         if 0 in self._seen:
-            self.buckets = self._seen[0]["buckets"]
+            self.buckets, self.table_groups = self._seen[0]["buckets"], self._seen[0].get("table_groups")
         return self._seen
 
     def latest(self, writer: str | None = None) -> int:
@@ -116,7 +122,7 @@ class ChangeStore:
             self._write_merged(batch, view, replaced)
         group = _GROUPS.get(batch.writer, batch.writer)
         entry = {"writer": batch.writer, "batch": batch.name, "attempt": batch.attempt, "view": view is not None,
-                 "buckets": self.buckets}
+                 "buckets": self.buckets, "table_groups": self.table_groups}
         while True:
             entries = self._entries()
             newer = [e for n, e in entries.items() if n > batch.base]
@@ -164,14 +170,27 @@ class ChangeStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("row_key"), F.lit(self.buckets)).cast("int").alias("bucket")
 
+    def _table_part(self) -> list[str | Column]:
+        """What tells the tables' partitions apart: their names, or the group they share."""
+        if self.table_groups is None:
+            return _TABLE
+        return [F.pmod(F.xxhash64(*_TABLE), F.lit(self.table_groups)).cast("int").alias("table_group")]
+
+    def _parts(self) -> list[str]:
+        return _PARTS if self.table_groups is None else _GROUPED_PARTS
+
+    def _view_schema(self) -> str:
+        added = [c for c in self._parts() if c not in S.VIEW_COLUMNS]
+        return ", ".join([S.VIEW, *[f"{c} int" for c in added]])
+
     def _place(self) -> Column:
-        return F.concat_ws("/", *_PARTS)
+        return F.concat_ws("/", *self._parts())
 
     def _stored(self) -> DataFrame:
         """The view as its partitions hold it, with one row without a key in each."""
         if not path_exists(self.spark, f"{self.root}/view"):
-            return self.spark.createDataFrame([], _VIEW)
-        return self.spark.read.schema(_VIEW).parquet(f"{self.root}/view")
+            return self.spark.createDataFrame([], self._view_schema())
+        return self.spark.read.schema(self._view_schema()).parquet(f"{self.root}/view")
 
     def _unpublished(self) -> list[str]:
         """Attempts committed with a merged result that has not replaced its partitions yet; one at most."""
@@ -179,16 +198,18 @@ class ChangeStore:
         return [e["attempt"] for _, e in sorted(self._entries().items()) if e["attempt"] in kept]
 
     def _merged(self, attempt: str) -> DataFrame:
-        return self.spark.read.schema(_VIEW).parquet(f"{self.root}/merged/{attempt}")
+        return self.spark.read.schema(self._view_schema()).parquet(f"{self.root}/merged/{attempt}")
 
     def _write_merged(self, batch: Batch, view: DataFrame, replaced: DataFrame | None) -> None:
         """Keep the new content of every touched bucket."""
-        incoming = view.select(*S.VIEW_COLUMNS, self._bucket())
-        places = incoming.select(*_PARTS).distinct()
+        parts = self._parts()
+        others = [c for c in S.VIEW_COLUMNS if c not in parts]
+        incoming = view.select(*others, *self._table_part(), self._bucket())
+        places = incoming.select(*parts).distinct()
         if replaced is not None:
             every = F.explode(F.sequence(F.lit(0), F.lit(self.buckets - 1))).alias("bucket")
-            places = places.unionByName(replaced.select(*_TABLE, every)).distinct()
-        # Bounded by configuration: tables times buckets.
+            places = places.unionByName(replaced.select(*self._table_part(), every)).distinct()
+        # Bounded by configuration: tables, or their groups, times buckets.
         places = self.spark.createDataFrame(places.toArrow(), places.schema)
         touched = [r[0] for r in places.select(self._place()).collect()]
         stored = self._stored().filter(self._place().isin(touched) & F.col("row_key").isNotNull())
@@ -196,20 +217,20 @@ class ChangeStore:
             stored = stored.join(F.broadcast(replaced.select(*_TABLE).distinct()), _TABLE, "left_anti")
         # One exchange by bucket serves the merge and the files.
         both = stored.withColumn("_stored", F.lit(1)).unionByName(incoming.withColumn("_stored", F.lit(0)))
-        rows = fold.merge_rows(both.repartition(*_PARTS), by=_PARTS, guarded=self.mode == "meta")
+        rows = fold.merge_rows(both.repartition(*parts), by=parts, guarded=self.mode == "meta")
         if self.mode == "simple":
             rows = fold.live(rows)
-        empty = places.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in _PARTS else F.col(f.name)
-                                for f in T.StructType.fromDDL(_VIEW)])
+        empty = places.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in parts else F.col(f.name)
+                                for f in T.StructType.fromDDL(self._view_schema())])
         # A row without a key stands for the bucket, so that one which lost all its rows is overwritten too.
         rows.unionByName(empty).write.mode("overwrite").parquet(f"{self.root}/merged/{batch.attempt}")
 
     def publish(self) -> None:
         """Overwrite the partitions of the view that a committed batch has merged; may be repeated."""
         for attempt in self._unpublished():
-            self._merged(attempt).repartition(*_PARTS).write.mode("overwrite").option(
+            self._merged(attempt).repartition(*self._parts()).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic"
-            ).partitionBy(*_PARTS).parquet(f"{self.root}/view")
+            ).partitionBy(*self._parts()).parquet(f"{self.root}/view")
             # Moved away in one step before it is deleted, so that half of it is never taken for the whole.
             move_path(self.spark, f"{self.root}/merged/{attempt}", f"{self.root}/merged/_{attempt}")
             delete_path(self.spark, f"{self.root}/merged/_{attempt}")

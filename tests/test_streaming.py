@@ -220,6 +220,23 @@ def test_view_files_do_not_grow_with_batches(spark, tmp_path):
     assert rows(store.view().filter("table_name = 'user' AND row_key < 3"), "row_key", "payload") == [("0", "6"), ("1", "7"), ("2", "5")]
 
 
+def test_partitions_of_the_view_do_not_grow_with_tables(spark, tmp_path):
+    """Tables share groups: forty of them take no more files than groups and buckets, a rebuilt one loses its rows alone."""
+    store = ChangeStore(spark, str(tmp_path / "s"), buckets=2, table_groups=3).create()
+    changed = lambda tables, value: spark.createDataFrame(
+        [("shop", f"t{t}", str(k), False, value, "f.1", 1, len(value), 0, "x") for t in tables for k in range(2)], feed.S.VIEW)
+    store.commit(store.begin("apply", "0"), changed(range(40), "a"))
+    other = ChangeStore(spark, store.root)
+    other.commit(other.begin("apply", "1"), changed([7], "bb"))
+    assert len(other.view().inputFiles()) <= 6
+    assert rows(other.view(), "table_name", "row_key", "payload") == sorted(
+        (f"t{t}", str(k), "bb" if t == 7 else "a") for t in range(40) for k in range(2))
+    table = spark.createDataFrame([("shop", "t8")], "database_name string, table_name string")
+    other.commit(other.begin("rebuild", "2"), changed([8], "c").filter("row_key = '1'"), table)
+    assert rows(other.view().filter("table_name = 't8'"), "row_key", "payload") == [("1", "c")]
+    assert other.view().count() == 79
+
+
 def fragments(arrival, txn_id, pos, parts, start=0):
     """Messages of a transaction cut into the given parts, one arrival each."""
     out = []
