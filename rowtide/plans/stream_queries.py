@@ -76,7 +76,7 @@ def stream_routed(spark, sf):
     """Transactions and schema changes through the stream: what became of each transaction."""
     ddl = encode_schema_changes(feed.routed_ddl(spark, sf), keep=("arrival",))
     everything = feed.routed_messages(spark, sf).unionByName(feed.message_columns(ddl))
-    return _routes(_synced(spark, _slices(everything, "arrival")))
+    return _routes(_synced(spark, _slices(everything, "arrival"), table_groups=TABLE_GROUPS))
 
 
 def _routes(store: ChangeStore) -> DataFrame:
