@@ -65,6 +65,11 @@ def java_trim(value: str | Column) -> Column:
     return F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
+def is_blank(value: Column, around: str = "") -> Column:
+    """Whether ``java_trim`` leaves nothing but the plain text ``around``; the text is read up to the first mismatch only."""
+    return value.rlike(rf"\A[\x00-\x20]*{around}[\x00-\x20]*\z")
+
+
 def json_string(value: Column) -> Column:
     """A string as a quoted JSON token; null gives the token ``null``."""
     # A one-element list is the token in brackets, and the token itself never ends in one.

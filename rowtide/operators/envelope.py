@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide import schemas as S
-from rowtide.functions.values import java_trim, json_with
+from rowtide.functions.values import is_blank, json_with
 from rowtide.functions.versions import file_seq, key_text
 from rowtide.session import lookup_join
 
@@ -84,15 +84,14 @@ def parse_messages(messages: DataFrame, scope: str = "DATABASE_TABLE") -> DataFr
     The reasons are ``NULL_PAYLOAD``, ``JSON_NULL`` and ``MALFORMED``; none of them goes away by
     trying again. In ``TABLE`` scope a row needs no database.
     """
-    text = java_trim("value")
     parsed = F.from_json(
         "value", f"{S.ENVELOPE_JSON}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE"}
     )
     reason = (
         F.when(F.col("value").isNull(), F.lit("NULL_PAYLOAD"))
-        .when(text == "null", F.lit("JSON_NULL"))
+        .when(is_blank(F.col("value"), "null"), F.lit("JSON_NULL"))
         .when(
-            (text == "") | F.col("_envelope").isNull() | F.col(f"_envelope.{_CORRUPT}").isNotNull(), F.lit("MALFORMED")
+            is_blank(F.col("value")) | F.col("_envelope").isNull() | F.col(f"_envelope.{_CORRUPT}").isNotNull(), F.lit("MALFORMED")
         )
     )
     return messages.withColumn("_envelope", parsed).select(
@@ -101,7 +100,7 @@ def parse_messages(messages: DataFrame, scope: str = "DATABASE_TABLE") -> DataFr
         F.col("_envelope.transaction").alias("transaction"),
         F.col("_envelope.schemaChange").alias("schema_change"),
         reason.alias("reason"),
-        F.when(java_trim(F.coalesce("_envelope.transaction.transactionId", F.lit(""))) == "", F.lit("transactionId"))
+        F.when(is_blank(F.coalesce("_envelope.transaction.transactionId", F.lit(""))), F.lit("transactionId"))
         .otherwise(first_problem(F.col("_envelope.transaction.events"), scope))
         .alias("problem"),
     )
@@ -126,6 +125,12 @@ def _is_empty() -> Column:
     return F.coalesce(F.size("transaction.events"), F.lit(0)) <= 0
 
 
+def message_kind() -> Column:
+    """Which part of ``split_messages`` a parsed message belongs to."""
+    kind = F.when(_is_schema_change(), F.lit("SCHEMA_CHANGE")).when(_is_empty(), F.lit("EMPTY"))
+    return kind.otherwise(F.lit("TRANSACTION"))
+
+
 def split_messages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Schema changes, transactions with rows, and messages with nothing to apply."""
     ddl = good.filter(_is_schema_change()).select(
@@ -162,7 +167,7 @@ def split_messages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def row_problem(event: Column, scope: str = "DATABASE_TABLE") -> Column:
     """Why a row cannot be applied, null when it can."""
-    blank = lambda c: F.coalesce(java_trim(c), F.lit("")) == ""
+    blank = lambda c: F.coalesce(is_blank(c), F.lit(True))
     nameless = blank(event["table"]) if scope == "TABLE" else blank(event["database"]) | blank(event["table"])
     op = event["eventType"]
     return (

@@ -138,14 +138,18 @@ def stale_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.unionByName(again)
 
 
-def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The activity as raw log entries.
+# Events whose entries include a schema change.
+HAS_STATEMENT = "event_id % 997 = 0"
+
+
+def raw_log(spark: SparkSession, sf_dir: str, of: str = "true") -> DataFrame:
+    """The activity as raw log entries, of the events that ``of`` holds for.
 
     Clicks go to tables nobody configured, one of them an internal progress table. Only two events
     in three announce their table, table ids swap meaning from file to file, some ids are never
     announced, and some transactions are closed by the next commit only.
     """
-    e = events(spark, sf_dir).selectExpr(
+    e = events(spark, sf_dir).filter(of).selectExpr(
         "*",
         f"{FILE_NAME} AS file",
         f"(xid % {TXNS_PER_FILE}) * 100 AS start",
@@ -186,7 +190,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     commit = entry("start + 100", "'XID'", xid="xid")
     entries = f"""array(
-        CASE WHEN event_id % 997 = 0 THEN {ddl} END,
+        CASE WHEN {HAS_STATEMENT} THEN {ddl} END,
         CASE WHEN event_index = 0 THEN {begin} END,
         CASE WHEN event_id % 3 <> 0 AND event_id % 101 <> 0 THEN {announce} END,
         {change},
@@ -261,7 +265,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(xid % 60 == 12, F.lit('{"other":1}'))
         .otherwise(F.col("value"))
     )
-    ddl = schema_change_events(raw_log(spark, sf_dir), catalog(spark))
+    ddl = schema_change_events(raw_log(spark, sf_dir, HAS_STATEMENT), catalog(spark))
     before_xid = (F.col("file_seq") - 1) * TXNS_PER_FILE + F.expr("next_position DIV 100")
     ddl_messages = encode_schema_changes(ddl.withColumn("arrival", before_xid * 2 - 1), keep=("arrival",))
     return good.withColumn("value", value).unionByName(message_columns(ddl_messages))
@@ -274,8 +278,13 @@ def repeated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.unionByName(again)
 
 
-def transactions_of(message_rows: DataFrame) -> DataFrame:
-    """Decoded transactions of a message set, parsed once: later steps read single columns of them."""
+def transactions_of(message_rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """Decoded transactions of a message set, parsed once: later steps read single columns of them.
+
+    Where ``columns`` are given, they alone are written.
+    """
+    if columns:
+        return materialize(split_messages(split_poison(parse_messages(message_rows))[0])[1].select(*columns), "parsed")
     good, _ = split_poison(materialize(parse_messages(message_rows), "parsed"))
     return split_messages(good)[1]
 

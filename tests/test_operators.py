@@ -575,3 +575,30 @@ def test_snapshot_images_of_every_type(spark):
             spark.conf.set("spark.sql.session.timeZone", zone)
         assert list(json.loads(image.after).items()) == list(want.items())
         assert image.row_key == "1:2020-01-02T03:04:00" and json.loads(last) == {"wall": want["wall"]}
+
+
+def test_messages_are_parsed_once_to_tell_their_kinds(spark, sf):
+    """One pass over the messages gives the kinds that the three parts of the split hold."""
+    from rowtide.plans import queries
+
+    found = queries.message_split(spark, sf)
+    assert found._jdf.queryExecution().analyzed().toString().count("from_json") == 1
+    good, _ = envelope.decode_envelopes(feed.messages(spark, sf))
+    parts = zip(("SCHEMA_CHANGE", "TRANSACTION", "EMPTY"), envelope.split_messages(good))
+    assert sorted(map(tuple, found.collect())) == sorted((r.arrival, kind) for kind, part in parts for r in part.collect())
+
+
+def test_judging_transactions_writes_no_rows_of_theirs(spark, sf):
+    from rowtide.plans import queries
+
+    judged = feed.transactions_of(feed.messages(spark, sf), *queries.JUDGED)
+    assert judged.columns == queries.JUDGED and judged.count() > 0
+    _, rejected = envelope.validate_transactions(judged)
+    _, whole = envelope.validate_transactions(feed.transactions_of(feed.messages(spark, sf)))
+    assert sorted(r.arrival for r in rejected.collect()) == sorted(r.arrival for r in whole.collect())
+
+
+def test_statements_alone_are_the_statements_of_the_whole_log(spark, sf):
+    found = [ddl.schema_change_events(log, feed.catalog(spark)).select("event_id", "table_name", "raw_sql", "ts_ms").collect()
+             for log in (feed.raw_log(spark, sf, feed.HAS_STATEMENT), feed.raw_log(spark, sf))]
+    assert sorted(found[0]) == sorted(found[1]) and found[0]
