@@ -12,7 +12,7 @@ from rowtide.functions.versions import done_key, is_newer, row_version, view_act
 from rowtide.operators import assemble, control, ddl, envelope, fold, ops, rebuild, shape, snapshot
 from rowtide.operators.ordered import fit_blocks, with_blocks
 from rowtide.plans import feed
-from rowtide.session import scratch_path
+from rowtide.session import materialize, scratch_path
 from rowtide.sources.catalog import TableSpec, attach_layouts, load_catalog
 from rowtide.sources.changelog import read_change_log
 from rowtide.sources.envelopes import read_envelopes, write_envelopes
@@ -510,7 +510,8 @@ def _all_blocked(spark, sf):
 @query
 def replayed_view(spark, sf):
     """Latest state after the buffered transactions of every third table were replayed."""
-    routed = _routed_in_order(spark, sf)
+    # Read by the fold, the candidates and what holds them back: decided once.
+    routed = materialize(_routed_in_order(spark, sf), "routed")
     applied = envelope.explode_rows(routed.filter(F.col("route") == "APPLIED"))
     pending = ddl.pending_rows(routed)
     published = feed.routed_status_log(spark, sf).select("database_name", "table_name").distinct()

@@ -161,6 +161,8 @@ def lookup_join(
     pinned, fits = pin_small(small, max_rows)
     if fits:
         return big.join(F.broadcast(pinned), on, how)
+    # Written once: the steps that read the joined rows would each compute it again, and lookups build on lookups.
+    small = materialize(small, "lookup")
     if not spread:
         return big.join(small, on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))

@@ -577,6 +577,15 @@ def test_snapshot_images_of_every_type(spark):
         assert image.row_key == "1:2020-01-02T03:04:00" and json.loads(last) == {"wall": want["wall"]}
 
 
+def test_a_lookup_beyond_its_bound_is_found_once(spark):
+    """What reads the joined rows reads the small side as written, it does not compute it again."""
+    big = spark.range(40).withColumnRenamed("id", "k")
+    small = spark.range(40).groupBy((F.col("id") % 20).alias("k")).agg(F.count("*").alias("n"))
+    joined = lookup_join(big, small, ["k"], max_rows=3)
+    assert "Aggregate" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in joined.filter("n = 2").collect()) == list(range(20))
+
+
 def test_messages_are_parsed_once_to_tell_their_kinds(spark, sf):
     """One pass over the messages gives the kinds that the three parts of the split hold."""
     from rowtide.plans import queries
