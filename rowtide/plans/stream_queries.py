@@ -22,9 +22,12 @@ SLICES = 2
 TABLE_GROUPS = 4
 
 
-def _slices(rows: DataFrame, column: str) -> list[DataFrame]:
-    """Consecutive slices of a feed that together are the whole of it."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
+def _slices(rows: DataFrame, column: str, numbers: DataFrame | None = None) -> list[DataFrame]:
+    """Consecutive slices of a feed that together are the whole of it.
+
+    ``numbers`` holds all numbers of the column where they can be had without the rows.
+    """
+    low, high = (rows if numbers is None else numbers).agg(F.min(column), F.max(column)).first()
     step = (high - low) // SLICES + 1
     return [
         rows.filter(F.col(column).between(low + i * step, low + (i + 1) * step - 1)) for i in range(SLICES)
@@ -121,7 +124,8 @@ def _captured(spark, sf, log=None, first=None, after_slice=None) -> ChangeStore:
         first(store)
     log = (feed.raw_log(spark, sf) if log is None else log).withColumn("_file", F.expr("bigint(substr(file, 11))"))
     options = {"blocks": fit_blocks(feed_files(spark, sf)), "on_pk_change": "quarantine"}
-    for part in _slices(log, "_file"):
+    numbers = feed.events(spark, sf).select(F.col("file_seq").alias("_file"))
+    for part in _slices(log, "_file", numbers):
         part.drop("_file").write.mode("append").parquet(f"{root}/log")
         stream = stream_change_log(spark, f"{root}/log", max_files=1_000_000)
         writer = capture_stream(stream, store, feed.catalog(spark), **options)

@@ -611,3 +611,12 @@ def test_statements_alone_are_the_statements_of_the_whole_log(spark, sf):
     found = [ddl.schema_change_events(log, feed.catalog(spark)).select("event_id", "table_name", "raw_sql", "ts_ms").collect()
              for log in (feed.raw_log(spark, sf, feed.HAS_STATEMENT), feed.raw_log(spark, sf))]
     assert sorted(found[0]) == sorted(found[1]) and found[0]
+
+
+def test_slices_with_given_numbers_do_not_read_the_rows(spark):
+    from rowtide.plans.stream_queries import _slices
+
+    unread = spark.range(10).select(F.raise_error(F.lit("read")).cast("bigint").alias("n"))
+    assert len(_slices(unread, "n", spark.range(10).select(F.col("id").alias("n")))) == 2
+    parts = _slices(spark.range(11).select(F.col("id").alias("n")), "n")
+    assert sorted(r.n for p in parts for r in p.collect()) == list(range(11))
