@@ -10,8 +10,10 @@ from rowtide.functions.values import java_trim
 
 def file_seq(file: str | Column) -> Column:
     """Number at the end of a log file name, -1 when there is none."""
+    # No digits give an empty text, which casts to null. A ``nullif`` would be a step of its own below which a scan
+    # reads all of the struct that holds the name.
     digits = F.regexp_extract(_col(file), r"(\d+)$", 1)
-    return F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(-1).cast("bigint"))
+    return F.coalesce(digits.try_cast("bigint"), F.lit(-1).cast("bigint"))
 
 
 def row_version(seq: str | Column, next_position: str | Column, event_index: str | Column) -> Column:

@@ -78,8 +78,10 @@ def encode_envelopes(transactions: DataFrame, schema_changes: DataFrame, keep: t
 
 
 def parse_messages(messages: DataFrame, scope: str = "DATABASE_TABLE") -> DataFrame:
-    """Messages with their parsed content, a ``reason`` when they cannot be parsed, and the
-    ``problem`` of the first row that cannot be applied.
+    """Messages with their parsed content, a ``reason`` when they cannot be parsed, the ``problem``
+    of the first row that cannot be applied, their ``kind`` and the ``digest`` of their text.
+
+    Kind and digest spare later steps the rows and the text of every message.
 
     The reasons are ``NULL_PAYLOAD``, ``JSON_NULL`` and ``MALFORMED``; none of them goes away by
     trying again. In ``TABLE`` scope a row needs no database.
@@ -94,7 +96,7 @@ def parse_messages(messages: DataFrame, scope: str = "DATABASE_TABLE") -> DataFr
             is_blank(F.col("value")) | F.col("_envelope").isNull() | F.col(f"_envelope.{_CORRUPT}").isNotNull(), F.lit("MALFORMED")
         )
     )
-    return messages.withColumn("_envelope", parsed).select(
+    content = messages.withColumn("_envelope", parsed).select(
         *messages.columns,
         F.col("_envelope.messageType").alias("message_type"),
         F.col("_envelope.transaction").alias("transaction"),
@@ -103,7 +105,9 @@ def parse_messages(messages: DataFrame, scope: str = "DATABASE_TABLE") -> DataFr
         F.when(is_blank(F.coalesce("_envelope.transaction.transactionId", F.lit(""))), F.lit("transactionId"))
         .otherwise(first_problem(F.col("_envelope.transaction.events"), scope))
         .alias("problem"),
+        F.xxhash64("value").alias("digest"),
     )
+    return content.withColumn("kind", message_kind())
 
 
 def decode_envelopes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +117,7 @@ def decode_envelopes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def split_poison(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = parsed.filter(F.col("reason").isNull()).drop("reason")
-    poison = parsed.filter(F.col("reason").isNotNull()).drop("message_type", "transaction", "schema_change", "problem")
+    poison = parsed.filter(F.col("reason").isNotNull()).drop("message_type", "transaction", "schema_change", "problem", "kind", "digest")
     return good, poison
 
 
@@ -133,7 +137,7 @@ def message_kind() -> Column:
 
 def split_messages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Schema changes, transactions with rows, and messages with nothing to apply."""
-    ddl = good.filter(_is_schema_change()).select(
+    ddl = good.filter("kind = 'SCHEMA_CHANGE'").select(
         "arrival",
         F.col("schema_change.eventId").alias("event_id"),
         F.col("schema_change.connectorName").alias("connector"),
@@ -146,7 +150,7 @@ def split_messages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("schema_change.nextPosition").alias("next_position"),
         F.col("schema_change.timestamp").alias("ts_ms"),
     )
-    transactions = good.filter(~_is_schema_change() & ~_is_empty()).select(
+    transactions = good.filter("kind = 'TRANSACTION'").select(
         "arrival",
         F.coalesce("transaction.fragment", "fragment", F.lit(0)).alias("fragment"),
         F.coalesce("transaction.fragments", F.lit(1)).alias("fragments"),
@@ -160,8 +164,9 @@ def split_messages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("transaction.timestamp").alias("ts_ms"),
         F.col("transaction.events").alias("events"),
         "problem",
+        "digest",
     )
-    empty = good.filter(~_is_schema_change() & _is_empty()).select("arrival", "key")
+    empty = good.filter("kind = 'EMPTY'").select("arrival", "key")
     return ddl, transactions, empty
 
 

@@ -23,8 +23,11 @@ def dedupe_transactions(transactions: DataFrame) -> DataFrame:
     rejects them.
     """
     message = ["transaction_id", "fragment"]
-    payload = "value" if "value" in transactions.columns else "arrival"
-    place = F.struct(F.col("arrival"), F.xxhash64(payload).alias("hash"))
+    if "digest" in transactions.columns:
+        payload = F.col("digest")
+    else:
+        payload = F.xxhash64("value" if "value" in transactions.columns else "arrival")
+    place = F.struct(F.col("arrival"), payload.alias("hash"))
     repeated = (
         transactions.groupBy(*message)
         .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))

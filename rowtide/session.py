@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # A side is broadcast only when it has been counted and holds at most this many rows.
 BROADCAST_ROWS = 50_000
@@ -130,6 +130,12 @@ def read_file(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows. The optimizer sees it, so joins and unions with it cost nothing, and no job makes it."""
+    fields = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)]
+    return spark.range(1).select(*fields).filter("false")
+
+
 def pin_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Turn a DataFrame of at most ``max_rows`` rows into local data.
 
@@ -153,16 +159,16 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large, possibly skewed side with a normally tiny one.
 
-    Within the row bound the small side is broadcast and the large side does not move. Beyond it
+    The small side is written first, since it may be costly and is not known to be small before. Within
+    the row bound it is broadcast and the large side does not move. Beyond it
     Spark joins by shuffle; with ``spread`` columns, rows of the large side are then spread over
     ``salts`` sub-keys (a hash of those columns) and the small side is repeated once per sub-key,
     so one hot join key is served by ``salts`` tasks.
     """
+    small = materialize(small, "lookup")
     pinned, fits = pin_small(small, max_rows)
     if fits:
         return big.join(F.broadcast(pinned), on, how)
-    # Written once: the steps that read the joined rows would each compute it again, and lookups build on lookups.
-    small = materialize(small, "lookup")
     if not spread:
         return big.join(small, on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))

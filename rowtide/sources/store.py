@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rowtide import schemas as S
 from rowtide.operators import fold, ops
 from rowtide.operators.ddl import schema_state
-from rowtide.session import create_file, delete_path, list_names, move_path, path_exists, read_file
+from rowtide.session import create_file, delete_path, empty_frame, list_names, move_path, path_exists, read_file
 
 _TABLE = ["database_name", "table_name"]
 
@@ -156,7 +156,7 @@ class ChangeStore:
         schema = f"{TABLES[name]}, version bigint, attempt string"
         columns = [c for c in T.StructType.fromDDL(schema).names if c != "attempt"]
         if not path_exists(self.spark, f"{self.root}/{name}"):
-            return self.spark.createDataFrame([], schema).select(*columns)
+            return empty_frame(self.spark, schema).select(*columns)
         listed = [
             e["attempt"] for n, e in sorted(self._entries().items())
             if (only is None or n == only) and (upto is None or n <= upto)
@@ -189,7 +189,7 @@ class ChangeStore:
     def _stored(self) -> DataFrame:
         """The view as its partitions hold it, with one row without a key in each."""
         if not path_exists(self.spark, f"{self.root}/view"):
-            return self.spark.createDataFrame([], self._view_schema())
+            return empty_frame(self.spark, self._view_schema())
         return self.spark.read.schema(self._view_schema()).parquet(f"{self.root}/view")
 
     def _unpublished(self) -> list[str]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from rowtide import schemas as S
+from rowtide.functions.versions import file_seq
 from rowtide.operators import ddl, envelope, fold, partitions as parts
 from rowtide.session import materialize, scratch_scope
 from rowtide.sources.store import Batch, ChangeStore, ConflictError
@@ -88,14 +89,16 @@ def _apply(
         store.write("frontiers", batch, frontier)
         parsed, held = parts.split_ahead(parsed, None if release else parts.reached(frontier, partitions))
     good, poison = envelope.split_poison(parsed)
-    if on_poison == "fail":
-        first = poison.select("arrival", "reason").limit(1).collect()
-        if first:
-            raise PoisonMessageError(f"message {first[0].arrival} cannot be parsed: {first[0].reason}")
+    holds = _contents(parsed)
+    # What a batch does not hold is known to be empty, so nothing is read for it again.
+    poison = poison.filter(F.lit(holds.n_poison > 0))
+    if on_poison == "fail" and holds.n_poison:
+        first = poison.select("arrival", "reason").first()
+        raise PoisonMessageError(f"message {first.arrival} cannot be parsed: {first.reason}")
     changes, transactions, _ = envelope.split_messages(good)
-    low, high = transactions.agg(F.min("file_seq"), F.max("file_seq")).first()
-    done = store.done((low, high) if low is not None else (0, -1), before)
-    if transactions.filter("fragments > 1").limit(1).count():
+    changes = changes.filter(F.lit(holds.n_ddl > 0))
+    done = store.done((holds.low, holds.high) if holds.low is not None else (0, -1), before)
+    if holds.n_parts:
         transactions, incomplete = envelope.split_incomplete(transactions)
         # A late copy of one part of an applied transaction waits for nothing.
         open_parts, _ = fold.drop_done(fold.dedupe_transactions(incomplete), done)
@@ -103,8 +106,12 @@ def _apply(
         held = held.select(*HELD).unionByName(open_parts) if partitions else open_parts
     if held is not None:
         store.write("held", batch, held)
-    valid, rejected = envelope.validate_transactions(transactions)
-    if on_reject == "fail":
+    if holds.n_bad:
+        valid, rejected = envelope.validate_transactions(transactions)
+    else:
+        valid = transactions.drop("problem")
+        rejected = valid.withColumn("reason", F.lit("")).filter("false")
+    if on_reject == "fail" and holds.n_bad:
         first = rejected.select("transaction_id", "reason").limit(1).collect()
         if first:
             raise RejectedTransactionError(f"transaction {first[0].transaction_id} rejected: {first[0].reason}")
@@ -118,7 +125,7 @@ def _apply(
         valid, changes = parts.in_log_order(valid), parts.in_log_order(changes)
     first_seen = fold.dedupe_transactions(valid)
     states = store.schema_states(before)
-    has_ddl = changes.limit(1).count() > 0
+    has_ddl = holds.n_ddl > 0
     if has_ddl or states.filter(F.col("status") != "ACTIVE").limit(1).count():
         routed = ddl.route_batch(first_seen, changes, states, done)
         known = store.read("pending", before).select("transaction_id", "fragment")
@@ -142,6 +149,22 @@ def _apply(
     return materialize(folded, "folded")
 
 
+def _contents(parsed: DataFrame) -> Row:
+    """What a batch holds, by one pass over single columns of its parsed messages."""
+    number = file_seq(F.col("transaction.binlogFilename"))
+    good = F.col("reason").isNull()
+    of = lambda kind: good & (F.col("kind") == kind)
+    transaction = of("TRANSACTION")
+    return parsed.agg(
+        F.count_if(~good).alias("n_poison"),
+        F.count_if(of("SCHEMA_CHANGE")).alias("n_ddl"),
+        F.count_if(transaction & F.col("problem").isNotNull()).alias("n_bad"),
+        F.count_if(transaction & (F.col("transaction.fragments") > 1)).alias("n_parts"),
+        F.min(F.when(transaction, number)).alias("low"),
+        F.max(F.when(transaction, number)).alias("high"),
+    ).first()
+
+
 def _outcomes(routed: DataFrame, rejected: DataFrame, changes: DataFrame) -> DataFrame:
     first = F.col("events")[0]
     result = F.when(F.col("route") == "APPLIED", "SUCCESS").otherwise(F.col("route"))

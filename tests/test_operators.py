@@ -620,3 +620,38 @@ def test_slices_with_given_numbers_do_not_read_the_rows(spark):
     assert len(_slices(unread, "n", spark.range(10).select(F.col("id").alias("n")))) == 2
     parts = _slices(spark.range(11).select(F.col("id").alias("n")), "n")
     assert sorted(r.n for p in parts for r in p.collect()) == list(range(11))
+
+
+def test_decisions_read_no_rows_and_no_text_of_messages(spark, sf):
+    """Ids, kinds, parts and repeats of parsed messages are found in single columns of what was written."""
+    parsed = session.materialize(envelope.parse_messages(feed.repeated_messages(spark, sf)), "parsed")
+    changes, txns, _ = envelope.split_messages(envelope.split_poison(parsed)[0])
+    repeats = txns.groupBy("transaction_id", "fragment").agg(F.min(F.struct("arrival", "digest")))
+    with_file = txns.select("transaction_id", "file_seq").distinct()
+    for narrow in (changes.select("event_id"), txns.select("fragments"), repeats, with_file):
+        plan = narrow._jdf.queryExecution().executedPlan()
+        read = [scan.requiredSchema().simpleString() for scan in _scans(plan)]
+        assert read and not any("events" in r or "value" in r for r in read), read
+    kept = fold.dedupe_transactions(txns)
+    assert rows(kept, "transaction_id", "arrival") == rows(fold.dedupe_transactions(txns.drop("digest")), "transaction_id", "arrival")
+
+
+def _scans(plan):
+    if plan.getClass().getSimpleName() == "FileSourceScanExec":
+        return [plan]
+    children = plan.children()
+    return [scan for i in range(children.size()) for scan in _scans(children.apply(i))]
+
+
+def test_a_lookup_finds_its_small_side_once_whatever_its_size(spark, monkeypatch):
+    seen, real = [], session.pin_small
+
+    def pin(df, max_rows):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, max_rows)
+
+    monkeypatch.setattr(session, "pin_small", pin)
+    small = spark.range(40).groupBy((F.col("id") % 20).alias("k")).agg(F.count("*").alias("n"))
+    for bound in (3, 100):
+        assert lookup_join(spark.range(5).withColumnRenamed("id", "k"), small, ["k"], max_rows=bound).filter("n = 2").count() == 5
+    assert len(seen) == 2 and not any("Aggregate" in plan for plan in seen)

@@ -623,3 +623,23 @@ def test_places_frontiers_and_messages_without_a_place(spark):
     assert rows(ahead, "key") == [("t0",), ("t3",), ("t4",)]
     nothing = placed.filter("false")
     assert partitions.frontiers(nothing, stored.filter("false")).isEmpty() and partitions.split_ahead(nothing, None)[0].isEmpty()
+
+
+def test_tables_nobody_wrote_cost_no_scan(spark, tmp_path):
+    store = store_of(spark, tmp_path / "s")
+    joined = spark.range(3).selectExpr("string(id) AS transaction_id").join(store.done(), "transaction_id", "left_semi")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Scan" in plan and "Join" not in plan and "ExistingRDD" not in plan and joined.count() == 0
+
+
+def test_a_batch_is_asked_once_what_it_holds(spark, tmp_path, monkeypatch):
+    """Nothing is looked for again that the batch does not hold; what it holds is judged as before."""
+    judged, real = [], envelope.validate_transactions
+    monkeypatch.setattr(envelope, "validate_transactions", lambda t: judged.append(1) or real(t))
+    store = store_of(spark, tmp_path / "s")
+    apply_batch(store, messages(spark, insert(0, 1)), 0, on_poison="quarantine", on_reject="quarantine")
+    assert not judged and store.read("quarantine").count() == 0
+    bad = message(3, "bad", 300, [("user", "INSERT", 5, None)])
+    apply_batch(store, messages(spark, insert(1, 2), ("t", 0, 2, "k", 0, "{"), bad), 1, on_poison="quarantine", on_reject="quarantine")
+    assert judged and rows(store.read("quarantine"), "arrival", "reason") == [(2, "MALFORMED"), (3, "after")]
+    assert rows(store.outcomes(), "reference", "result") == [("bad", "FAILED"), ("t0", "SUCCESS"), ("t1", "SUCCESS")]
