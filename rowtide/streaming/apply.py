@@ -146,7 +146,8 @@ def _apply(
     store.write("done", batch, applied.select("transaction_id", "file_seq").distinct())
     store.write("outcomes", batch, _outcomes(routed, rejected, changes))
     folded = fold.fold_latest(rows) if store.mode == "meta" else fold.fold_arrival(rows)
-    return materialize(folded, "folded")
+    # A merge reads the changes twice; the first ones of a store are written as they are.
+    return materialize(folded, "folded") if store.has_view() else folded
 
 
 def _contents(parsed: DataFrame) -> Row:

@@ -625,6 +625,21 @@ def test_places_frontiers_and_messages_without_a_place(spark):
     assert partitions.frontiers(nothing, stored.filter("false")).isEmpty() and partitions.split_ahead(nothing, None)[0].isEmpty()
 
 
+@pytest.mark.parametrize("mode", ["meta", "simple"])
+def test_the_first_changes_of_a_store_are_not_merged(spark, tmp_path, monkeypatch, mode):
+    store, merges, real = store_of(spark, tmp_path / "s", mode), [], fold.merge_rows
+    monkeypatch.setattr(fold, "merge_rows", lambda *a, **k: merges.append(1) or real(*a, **k))
+    gone = message(1, "gone", 130, [("user", "DELETE", 2, None)])
+    apply_batch(store, messages(spark, insert(0, 1), gone), 0)
+    assert not merges
+    expected = {("1", False), ("2", True)} if mode == "meta" else {("1", False)}
+    assert set(rows(store.view(), "row_key", "deleted")) == expected
+    apply_batch(store, messages(spark, message(9, "late", 900, [("user", "DELETE", 1, None)]), insert(10, 3)), 1)
+    assert merges
+    expected = {("1", True), ("2", True), ("3", False)} if mode == "meta" else {("3", False)}
+    assert set(rows(store.view(), "row_key", "deleted")) == expected
+
+
 def test_tables_nobody_wrote_cost_no_scan(spark, tmp_path):
     store = store_of(spark, tmp_path / "s")
     joined = spark.range(3).selectExpr("string(id) AS transaction_id").join(store.done(), "transaction_id", "left_semi")
