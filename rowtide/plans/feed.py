@@ -127,15 +127,18 @@ def replayed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stale_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed followed by its first half again under new transaction ids: late, older rows."""
-    feed = changes(spark, sf_dir)
-    again = feed.filter(F.col("event_id") < half(spark, sf_dir)).withColumns(
+    return changes(spark, sf_dir).unionByName(late_changes(spark, sf_dir))
+
+
+def late_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late rows of ``stale_changes`` alone."""
+    return changes(spark, sf_dir).filter(F.col("event_id") < half(spark, sf_dir)).withColumns(
         {
             "arrival": F.col("arrival") + 1_000_000_000,
             "transaction_id": F.concat("transaction_id", F.lit(":late")),
             "after": F.replace(F.col("after"), F.lit('"cents":'), F.lit('"cents":9')),
         }
     )
-    return feed.unionByName(again)
 
 
 # Events whose entries include a schema change.

@@ -67,9 +67,8 @@ def stream_fragments(spark, sf):
 @query
 def stream_arrival_state(spark, sf):
     """Arrival-order mode: late messages win."""
-    late = feed.stale_changes(spark, sf)
-    first = feed.as_messages(late.filter("arrival < 1000000000"))
-    second = feed.as_messages(late.filter("arrival >= 1000000000"))
+    first = feed.as_messages(feed.changes(spark, sf))
+    second = feed.as_messages(feed.late_changes(spark, sf))
     store = _synced(spark, [first, second.withColumn("arrival", F.col("arrival") + 1_000_000_000)], "simple")
     return store.view().select("database_name", "table_name", "row_key", "payload", "transaction_id")
 

@@ -655,3 +655,10 @@ def test_a_lookup_finds_its_small_side_once_whatever_its_size(spark, monkeypatch
     for bound in (3, 100):
         assert lookup_join(spark.range(5).withColumnRenamed("id", "k"), small, ["k"], max_rows=bound).filter("n = 2").count() == 5
     assert len(seen) == 2 and not any("Aggregate" in plan for plan in seen)
+
+
+def test_late_rows_alone_are_those_of_the_stale_feed(spark, sf):
+    columns = ["arrival", "transaction_id", "event_index", "after"]
+    late = feed.late_changes(spark, sf)
+    assert rows(late, *columns) == rows(feed.stale_changes(spark, sf).filter("arrival >= 1000000000"), *columns)
+    assert late._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
