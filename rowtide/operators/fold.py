@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowtide import schemas as S
 from rowtide.functions.values import json_string
 from rowtide.functions.versions import business_key, meta_key, row_version
-from rowtide.session import lookup_join
+from rowtide.session import lookup_join, materialize
 
 KEY = ["database_name", "table_name", "row_key"]
 VERSION = ["file_seq", "next_position", "event_index"]
@@ -17,7 +17,8 @@ VIEW_COLUMNS = S.VIEW_COLUMNS
 def dedupe_transactions(transactions: DataFrame) -> DataFrame:
     """First arrival of every transaction id (and fragment).
 
-    Counting looks at ids, arrivals and hashes only; messages that occur once pass unchanged. Among equal
+    Ids are counted first; only those that occur twice are looked at further, and messages that occur once pass
+    unchanged. Among equal
     arrivals (offsets of two partitions) the smaller payload hash is first, and of one message delivered
     twice at one arrival one row stays. Messages without an id are no repeats of each other; validation
     rejects them.
@@ -28,12 +29,14 @@ def dedupe_transactions(transactions: DataFrame) -> DataFrame:
     else:
         payload = F.xxhash64("value" if "value" in transactions.columns else "arrival")
     place = F.struct(F.col("arrival"), payload.alias("hash"))
-    repeated = (
-        transactions.groupBy(*message)
-        .agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
-        .filter("_n > 1 AND transaction_id IS NOT NULL")
-        .drop("_n")
+    counted = transactions.groupBy(*message).agg(F.count("*").alias("_n"))
+    twice = materialize(counted.filter("_n > 1 AND transaction_id IS NOT NULL").select(*message), "twice")
+    if twice.isEmpty():
+        return transactions
+    copies = lookup_join(
+        transactions.select(*message, place.alias("_place")), twice, message, "left_semi", spread=[F.col("_place.arrival")]
     )
+    repeated = copies.groupBy(*message).agg(F.min("_place").alias("_first"))
     judged = lookup_join(transactions, repeated, message, spread=["arrival"])
     again = judged.filter(F.col("_first").isNotNull() & (place == F.col("_first"))).dropDuplicates(message)
     return judged.filter("_first IS NULL").unionByName(again).drop("_first")
