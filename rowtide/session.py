@@ -169,10 +169,11 @@ def lookup_join(
     pinned, fits = pin_small(small, max_rows)
     if fits:
         return big.join(F.broadcast(pinned), on, how)
+    # A hint, as Spark judges a side by its compressed files, which says nothing of the copies made of their rows.
     if not spread:
-        return big.join(small, on, how)
+        return big.join(small.hint("merge"), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     copies = small.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")

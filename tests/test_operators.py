@@ -586,6 +586,15 @@ def test_a_lookup_beyond_its_bound_is_found_once(spark):
     assert sorted(r[0] for r in joined.filter("n = 2").collect()) == list(range(20))
 
 
+def test_a_lookup_beyond_its_bound_is_not_broadcast(spark):
+    """However small its files are: the copies of its rows are not seen in their size."""
+    big, small = (spark.range(40).withColumnRenamed("id", "k") for _ in range(2))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        for spread in (None, ["k"]):
+            plan = lookup_join(big, small, ["k"], how, spread, max_rows=3)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_messages_are_parsed_once_to_tell_their_kinds(spark, sf):
     """One pass over the messages gives the kinds that the three parts of the split hold."""
     from rowtide.plans import queries
