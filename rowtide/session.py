@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 # A side is broadcast only when it has been counted and holds at most this many rows.
 BROADCAST_ROWS = 50_000
+# Rows of messages may be wide. Parquet is read in batches of thousands of rows that end with a row group, so small
+# groups bound what a task holds, writing and reading alike; the size is checked every few rows, not every hundred.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "10"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**ROW_GROUPS).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

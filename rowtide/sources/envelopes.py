@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtide.schemas import MESSAGES
+from rowtide.session import ROW_GROUPS
 
 
 def read_envelopes(
@@ -55,4 +56,4 @@ def write_envelopes(messages: DataFrame, sink: str, fmt: str = "parquet", mode:
             .save()
         )
         return
-    messages.write.mode(mode).format(fmt).options(**options).save(sink)
+    messages.write.mode(mode).format(fmt).options(**{**ROW_GROUPS, **options}).save(sink)

@@ -22,7 +22,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rowtide import schemas as S
 from rowtide.operators import fold, ops
 from rowtide.operators.ddl import schema_state
-from rowtide.session import create_file, delete_path, empty_frame, list_names, move_path, path_exists, read_file
+from rowtide.session import (
+    ROW_GROUPS,
+    create_file,
+    delete_path,
+    empty_frame,
+    list_names,
+    move_path,
+    path_exists,
+    read_file,
+)
 
 _TABLE = ["database_name", "table_name"]
 
@@ -144,7 +153,7 @@ class ChangeStore:
         """Write one table of a batch; not visible before the batch is committed."""
         columns = T.StructType.fromDDL(TABLES[name]).names
         path = f"{self.root}/{name}/version={batch.version}/attempt={batch.attempt}"
-        df.select(*columns).write.mode("overwrite").parquet(path)
+        df.select(*columns).write.mode("overwrite").options(**ROW_GROUPS).parquet(path)
 
     @staticmethod
     def first_arrival(batch: Batch) -> int:

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -586,6 +587,30 @@ def test_a_lookup_beyond_its_bound_is_found_once(spark):
     assert sorted(r[0] for r in joined.filter("n = 2").collect()) == list(range(20))
 
 
+def test_wide_rows_are_written_in_small_row_groups(spark, tmp_path):
+    """What a task reads at once ends with a row group; a default group takes all rows of this test, 20 MB."""
+    from pyarrow import parquet
+
+    from rowtide.sources.envelopes import write_envelopes
+    from rowtide.sources.store import ChangeStore
+
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(800)), lambda i: F.sha2(F.concat_ws(":", "id", i), 512)), "")
+    wide = spark.range(0, 200, 1, 1).select(
+        F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("arrival"), F.lit("k").alias("key"),
+        F.lit(0).alias("fragment"), text.alias("value"),
+    )
+    store = ChangeStore(spark, f"{tmp_path}/store").create()
+    store.write("messages", store.begin("w", "0"), wide)
+    write_envelopes(wide, f"{tmp_path}/topic")
+    kept = materialize(wide.select("arrival", F.array(F.struct("value")).alias("events")), "wide")
+    folders = [tmp_path / "store" / "messages", tmp_path / "topic", Path(kept.inputFiles()[0].removeprefix("file:")).parent]
+    for folder in folders:
+        read = [parquet.ParquetFile(f).metadata for f in folder.rglob("*.parquet")]
+        groups = [m.row_group(i).num_rows for m in read for i in range(m.num_row_groups)]
+        assert sum(groups) == 200 and max(groups) <= 100, groups
+    assert kept.select(F.sum(F.length(F.col("events")[0]["value"]))).first()[0] == 200 * 800 * 128
+
+
 def test_a_lookup_beyond_its_bound_is_not_broadcast(spark):
     """However small its files are: the copies of its rows are not seen in their size."""
     big, small = (spark.range(40).withColumnRenamed("id", "k") for _ in range(2))
